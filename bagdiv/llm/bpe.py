@@ -14,6 +14,7 @@ import mmap
 import os
 import re
 import tempfile
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,14 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
 from .frequent import above_cutoff
 
 END = "</w>"
 #: Fixed value: the split pattern of the vocabulary, for printable ASCII in lower case.
 ASCII_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 PRINTABLE = re.compile(r"[!-~]+").fullmatch
-#: Words that a worker keeps; beyond that it starts anew, which costs time only.
-CACHE = 600_000
+#: The rank of neighbours that no merge joins.
+NONE = (1 << 40, -1)
+#: Words that a worker keeps in each of two generations; beyond that the older one goes, which costs time only.
+CACHE = 500_000
 
 
 class Vocabulary:
@@ -57,24 +61,22 @@ class Vocabulary:
         return [s for s, _ in self.pre(self.normal(word))]
 
     def merge(self, pre: str) -> list[int]:
-        ids, merges = self.ids, self.merges
-        now = [ids[c] for c in pre[:-1]] + [ids[pre[-1] + END]]
-        while len(now) > 1:
-            found = [merges[p] for p in zip(now, now[1:]) if p in merges]
-            if not found:
-                break
-            rank, new = min(found)
-            out, i, last = [], 0, len(now) - 1
-            while i <= last:
-                if i < last and merges.get((now[i], now[i + 1]), (-1,))[0] == rank:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(now[i])
-                    i += 1
-            now = out
+        """Ids of a pre-token: of all neighbours that have a rank, the lowest merge first, from the left."""
+        now = [*map(self.ids.__getitem__, pre[:-1]), self.ids[pre[-1] + END]]
+        rank = [*map(self.ranked, zip(now, now[1:]))]
+        while rank and (best := min(rank)) is not NONE:
+            i = rank.index(best)
+            now[i : i + 2] = [best[1]]
+            del rank[i]
+            if i:
+                rank[i - 1] = self.ranked((now[i - 1], now[i]))
+            if i < len(rank):
+                rank[i] = self.ranked((now[i], now[i + 1]))
         return now
 
+    def ranked(self, pair: tuple[int, int]) -> tuple[int, int]:
+        return self.merges.get(pair, NONE)
+
 
 def compile_lexicon(entries: dict[str, list[int]]) -> bytes:
     """The minimal acyclic transducer of the entries, as the bytes of a file."""
@@ -154,37 +156,45 @@ class Lexicon:
         return list(self.ids[self.outs[number] : self.outs[number + 1]])
 
 
+class Met(dict):
+    """Results by word: those met since the last turn, and the generation before it."""
+
+    def __init__(self, make, most: int = CACHE):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, word):
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        out = self.older.get(word)
+        if out is None:
+            out = self.make(word)
+        self[word] = out
+        return out
+
+
 class Encoder:
-    """Encodes words; (bytes of the ids, tokens joined by spaces) of the words that it met are kept."""
+    """Encodes texts word by word; the ids of words and pre-tokens that it met are kept."""
 
     def __init__(self, path: str, compiled: bytes):
         self.vocabulary, self.lexicon = Vocabulary(path), Lexicon(compiled)
-        owner = self
-
-        class Met(dict):
-            def __missing__(self, word: bytes):
-                if len(self) >= CACHE:
-                    self.clear()
-                out = self[word] = owner.encode(word)
-                return out
+        self.words = Met(self.word)
+        self.pre = Met(lambda pre: array("I", self.lexicon.get(pre) or self.vocabulary.merge(pre)).tobytes(), CACHE // 2)
+        self.names = [self.vocabulary.names.get(i, "") for i in range(max(self.vocabulary.names) + 1)]
 
-        self.met = Met()
-
-    def encode(self, word: bytes) -> tuple[bytes, bytes]:
-        v, ids = self.vocabulary, []
+    def word(self, word: bytes) -> bytes:
+        """Ids of a word without ASCII white space, as little-endian 32-bit integers."""
+        v, pre = self.vocabulary, self.pre
         text = word.decode("utf-8", "replace")
-        for part in v.cut(text) if "<|" in text else [text]:
-            if part in v.special:
-                ids.append(v.special[part])
-            elif part:
-                for pre in v.split(part):
-                    ids += self.lexicon.get(pre) or v.merge(pre)
-        return np.array(ids, "<u4").tobytes(), " ".join(v.names[i] for i in ids).encode()
+        if "<|" not in text:
+            return b"".join([pre[p] for p in v.split(text)])
+        return b"".join([array("I", [v.special[part]]).tobytes() if part in v.special else b"".join([pre[p] for p in v.split(part)]) for part in v.cut(text) if part])
 
     def text(self, raw: bytes) -> tuple[bytes, bytes]:
-        """Ids as little-endian 32-bit integers and the decoded text. No token spans ASCII white space."""
-        met = [*map(self.met.__getitem__, raw.split())]
-        return b"".join([a for a, _ in met]), b" ".join([b for _, b in met if b])
+        """Ids and the decoded text. No token spans ASCII white space, so words are encoded one by one."""
+        ids = b"".join(map(self.words.__getitem__, raw.split()))
+        return ids, " ".join(map(self.names.__getitem__, memoryview(ids).cast("I"))).encode()
 
 
 def _words(least: int):
@@ -204,9 +214,9 @@ def _words(least: int):
     return run
 
 
-def frequent_lexicon(documents: DataFrame, path: str, size: int, least: int = 3) -> bytes:
+def frequent_lexicon(documents: DataFrame, path: str, size: int, least: int = 4) -> bytes:
     """The compiled lexicon of at most `size` words that some task met `least` times, of all documents."""
-    counts = documents.select("text").mapInArrow(_words(least), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = checkpointed(documents.select("text").mapInArrow(_words(least), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     v, entries = Vocabulary(path), {}
     for row in above_cutoff(counts, size).select("word").collect():
         for part in v.cut(row.word):
