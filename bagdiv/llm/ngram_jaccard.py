@@ -2,8 +2,8 @@
 
 Texts with equal sets are one class. A class is looked up under its prefix alone: of |x| n-grams in one global
 order, the first |x| - ceil(t|x|) + 1; two sets with Jaccard similarity t or more share one of their prefixes.
-The order puts n-grams that are frequent last, which keeps the columns of the product short; any order gives
-the same links. Classes that meet in a column form clusters, clusters are cut into tiles of bounded
+The order puts n-grams that are frequent, or of frequent words, last, which keeps the columns of the product short; any order gives
+the same links. For the smaller of the two a still shorter prefix does. Classes that meet in a column form clusters, clusters are cut into tiles of bounded
 size, and for every two tiles that some column brings together a task multiplies their full rows:
 overlap counts accumulate over blocks of columns, and pairs whose sizes or counts are out of bounds are
 discarded. A task returns the edges of a forest, never the list of pairs.
@@ -24,78 +24,123 @@ from .components import connected_components
 from .frequent import above_cutoff
 
 #: Rows and n-grams of a tile, columns of a dense block, and the column length from which it is used.
-TILE_ROWS, TILE_GRAMS, BLOCK, DENSE = 256, 1 << 20, 4096, 12
+TILE_ROWS, TILE_GRAMS, BLOCK, DENSE = 512, 1 << 21, 4096, 12
+#: Rows (class, block) up to which that table is broadcast, some tens of MB; beyond, texts are shuffled to meet it.
+BROADCAST_ROWS = 1 << 20
 
 
-def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct n-gram hashes) of each text that has a word."""
+class Rarity:
+    """How common n-grams are, as far as a bounded table tells: by their own counts, and by those of their words."""
+
+    def __init__(self, grams: list[tuple[int, int]], words: list[tuple[int, int]]):
+        self.grams, self.times = self._table(grams)
+        self.words, n = self._table(words)
+        self.levels = (8 * np.log2(n + 1)).astype(np.int64)
+
+    @staticmethod
+    def _table(rows: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        rows = sorted((key & (1 << 64) - 1, n) for key, n in rows)
+        return np.array([key for key, _ in rows], np.uint64), np.array([n for _, n in rows], np.int64)
+
+    @staticmethod
+    def _of(keys: np.ndarray, table: np.ndarray, values: np.ndarray) -> np.ndarray:
+        if not len(table):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+        return np.where(table[at] == keys, values[at], 0)
+
+    def of_words(self, h: np.ndarray) -> np.ndarray:
+        return self._of(h, self.words, self.levels)
+
+    def of_grams(self, grams: np.ndarray, of_words: np.ndarray) -> np.ndarray:
+        """Places in the order: n-grams of known counts by them after all others, those by the frequencies of their words."""
+        return self._of(grams, self.grams, self.times) * (1 << 16) + of_words
+
+
+def _sets(batch: pa.RecordBatch, k: int, see=None) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted distinct n-gram hashes) of each text that has a word. see: gets the hashes of all words."""
     for i, _, data, offsets in text_chunks(batch.column("text")):
         _, _, h, bounds = split_words(data, offsets)
         grams, edges = windows(h, bounds, k)
+        if see:
+            see(h)
         for d in range(len(edges) - 1):
             if edges[d] < edges[d + 1]:
                 yield i + d, np.unique(grams[edges[d] : edges[d + 1]])
 
 
+def _placed(batch: pa.RecordBatch, k: int, rarity: Rarity) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(sorted distinct n-gram hashes, their places in the order) of each text that has a word."""
+    for _, _, data, offsets in text_chunks(batch.column("text")):
+        _, _, h, bounds = split_words(data, offsets)
+        grams, edges = windows(h, bounds, k)
+        level, n = rarity.of_words(h), np.diff(bounds)
+        # A text of fewer than k words has one n-gram, of all its words.
+        sums = np.append(0, np.cumsum(level))
+        ends = np.minimum(k, np.repeat(n, np.diff(edges)))
+        first = np.repeat(bounds[:-1] - edges[:-1], np.diff(edges)) + np.arange(len(grams))
+        of_words = sums[first + ends] - sums[first]
+        for d in range(len(edges) - 1):
+            if edges[d] < edges[d + 1]:
+                own, at = np.unique(grams[edges[d] : edges[d + 1]], return_index=True)
+                yield own, rarity.of_grams(own, of_words[edges[d] : edges[d + 1]][at])
+
+
 def signature(grams: np.ndarray) -> int:
     with np.errstate(over="ignore"):
         return int(mix64(np.array([np.sum(mix64(grams ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)]))[0].astype(np.int64))
 
 
 def _profiles(k: int, least: int):
-    """Rows (doc_id, size, sig), and in between (gram, n) of n-grams that the task saw in `least` documents or more."""
+    """Rows (doc_id, size, sig), and in between (gram, n) and (word, n) of what the task saw in `least` documents or places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
+        held: dict[str, list[np.ndarray]] = {"gram": [], "word": []}
 
-        def common() -> pa.RecordBatch:
-            gram, n = np.unique(np.concatenate(held), return_counts=True)
-            gram, n = gram[n >= least], n[n >= least]
-            none = pa.nulls(len(gram), pa.int64())
-            return pa.RecordBatch.from_pydict({"doc_id": none, "size": none, "sig": none, "gram": long_array(gram), "n": pa.array(n.astype(np.int64))})
+        def common(kind: str) -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate(held[kind]), return_counts=True)
+            held[kind] = []
+            key, n = key[n >= least], n[n >= least]
+            none = pa.nulls(len(key), pa.int64())
+            return pa.RecordBatch.from_pydict({"doc_id": none, "size": none, "sig": none, "gram": none, "word": none} | {kind: long_array(key), "n": pa.array(n.astype(np.int64))})
 
         for batch in batches:
-            rows = np.arange(batch.num_rows)
-            sizes, sigs = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-            for row, grams in _sets(batch, k):
+            sizes, sigs = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for row, grams in _sets(batch, k, held["word"].append):
                 sizes[row], sigs[row] = len(grams), signature(grams)
-                held.append(grams)
-                size += len(grams)
-                if size > 1 << 22:
-                    yield common()
-                    held, size = [], 0
-            none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "size": pa.array(sizes), "sig": pa.array(sigs), "gram": none, "n": none})
-        if held:
-            yield common()
+                held["gram"].append(grams)
+                if row % 64 == 0:
+                    for kind in ("gram", "word"):
+                        if sum(map(len, held[kind])) > 1 << 22:
+                            yield common(kind)
+            none = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "size": pa.array(sizes), "sig": pa.array(sigs), "gram": none, "word": none, "n": none})
+        for kind in ("gram", "word"):
+            if held[kind]:
+                yield common(kind)
 
     return run
 
 
-def prefix(grams: np.ndarray, late: np.ndarray, percent: int) -> np.ndarray:
-    """The first n-grams of a set in the order (not in late, hash)."""
+def prefix(grams: np.ndarray, places: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The first n-grams of a set in the order (place, hash), and how many of them do for the smaller of two sets."""
     n = len(grams)
-    keep = n - -(-percent * n // 100) + 1
-    is_late = np.zeros(n, bool)
-    if len(late):
-        at = np.minimum(np.searchsorted(late, grams), len(late) - 1)
-        is_late = late[at] == grams
-    return np.concatenate([grams[~is_late], grams[is_late]])[:keep]
+    keep, enough = n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+    return grams[np.argsort(places, kind="stable")][:keep], enough
 
 
 def _prefixes(k: int, percent: int, late):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = late.value
+        rarity = late.value
         for batch in batches:
-            out: list[tuple[np.ndarray, int, int]] = []
+            out: list[tuple[np.ndarray, int, int, int]] = []
             done: set[tuple[int, int]] = set()
             count = 0
-            for _, grams in _sets(batch, k):
+            for grams, places in _placed(batch, k, rarity):
                 key = (len(grams), signature(grams))
                 if key not in done:
                     done.add(key)
-                    out.append((prefix(grams, last, percent), *key))
+                    out.append((*prefix(grams, places, percent), *key))
                     count += len(out[-1][0])
                 if count > 200_000:
                     yield rows(out)
@@ -103,53 +148,45 @@ def _prefixes(k: int, percent: int, late):
             if out:
                 yield rows(out)
 
-    def rows(out: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
-        n = [len(g) for g, _, _ in out]
-        return pa.RecordBatch.from_pydict({"gram": long_array(np.concatenate([g for g, _, _ in out])), "size": pa.array(np.repeat([s for _, s, _ in out], n).astype(np.int64)), "sig": pa.array(np.repeat(np.array([c for _, _, c in out], np.int64), n))})
+    def rows(out: list[tuple[np.ndarray, int, int, int]]) -> pa.RecordBatch:
+        n = [len(g) for g, _, _, _ in out]
+        early = np.concatenate([np.arange(len(g)) < e for g, e, _, _ in out])
+        return pa.RecordBatch.from_pydict({"gram": long_array(np.concatenate([g for g, _, _, _ in out])), "size": pa.array(np.repeat([s for _, _, s, _ in out], n).astype(np.int64)), "sig": pa.array(np.repeat(np.array([c for _, _, _, c in out], np.int64), n)), "early": pa.array(early)})
 
     return run
 
 
 def _met(percent: int):
-    """Rows (gram, size, sig) sorted -> those of columns in which two classes of sizes within bounds meet, with the next one there."""
+    """Rows (gram, size, sig, early) in order -> each class with the last early one before it in the column, if their sizes are within bounds.
+
+    The smaller of two sets that link has a common n-gram among its early ones, so these pairs connect all
+    classes of a column that can link through it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: np.ndarray | None = None
+        rest = np.zeros((0, 4), np.int64)
         for batch in batches:
-            now = np.column_stack([batch.column(c).to_numpy() for c in ("gram", "size", "sig")])
-            now = now if rest is None else np.concatenate([rest, now])
-            yield from out(now)
-            rest = now[-1:]
-
-    def out(x: np.ndarray) -> Iterator[pa.RecordBatch]:
-        a, b = x[:-1], x[1:]
-        same = (a[:, 0] == b[:, 0]) & (100 * a[:, 1] >= percent * b[:, 1]) & (a[:, 1:] != b[:, 1:]).any(1)
+            now = np.column_stack([batch.column(c).cast(pa.int64()).to_numpy() for c in ("gram", "size", "sig", "early")])
+            now = np.concatenate([rest, now])
+            yield from out(now, len(rest))
+            early = now[now[:, 3] == 1]
+            rest = early[-1:]
+
+    def out(x: np.ndarray, old: int) -> Iterator[pa.RecordBatch]:
+        at = np.arange(len(x))
+        last = np.maximum.accumulate(np.where(x[:, 3] == 1, at, -1))
+        before = np.append(-1, last[:-1])
+        i = np.flatnonzero((before >= 0) & (at >= old))
+        a, b = x[before[i]], x[i]
+        same = (a[:, 0] == b[:, 0]) & (100 * a[:, 1] >= percent * b[:, 1]) & (a[:, 1:3] != b[:, 1:3]).any(1)
         if same.any():
             a, b = a[same], b[same]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (a[:, 0], a[:, 1], a[:, 2], b[:, 1], b[:, 2])], ["gram", "size", "sig", "size2", "sig2"])
+            columns = (a[:, 0], a[:, 1], a[:, 2], b[:, 1], b[:, 2])
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in columns), pa.array(b[:, 3] == 1)], ["gram", "size", "sig", "size2", "sig2", "early"])
 
     return run
 
 
-def _rows(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, grams in _sets(batch, k):
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(row, 1), "cluster": batch.column("cluster").slice(row, 1), "tile": batch.column("tile").slice(row, 1), "grams": pa.array([grams.tobytes()], pa.binary())})
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for one in run(batches):
-            held.append(one)
-            if len(held) >= 200:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held = []
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    return packed
-
-
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """The product of the incidence matrices of two lists of sets: sizes of all their intersections."""
     n, m = len(a), len(b)
@@ -202,18 +239,20 @@ def forest(a: list[np.ndarray], ids_a: list[int], b: list[np.ndarray], ids_b: li
     return [(int(x), int(y)) for x, y in zip(names, names[root]) if x != y]
 
 
-def _products(percent: int):
-    """Rows (cluster, one, two, tile, doc_id, grams) sorted by the first three -> forest edges."""
+def _products(percent: int, k: int):
+    """Rows (cluster, one, two, tile, doc_id, text) sorted by the first three -> forest edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, tiles = None, {}
         for batch in batches:
-            for *key, tile, doc_id, grams in zip(*(batch.column(c).to_pylist() for c in ("cluster", "one", "two", "tile", "doc_id", "grams"))):
+            keys = [*zip(*(batch.column(c).to_pylist() for c in ("cluster", "one", "two", "tile", "doc_id")))]
+            for row, grams in _sets(batch, k):
+                *key, tile, doc_id = keys[row]
                 if key != now:
                     yield from out(now, tiles)
                     now, tiles = key, {}
                 sets, ids = tiles.setdefault(tile, ([], []))
-                sets.append(np.frombuffer(grams, np.uint64)), ids.append(doc_id)
+                sets.append(grams), ids.append(doc_id)
         yield from out(now, tiles)
 
     def out(key, tiles) -> Iterator[pa.RecordBatch]:
@@ -223,39 +262,44 @@ def _products(percent: int):
     return run
 
 
-def links(documents: DataFrame, percent: int = 85, k: int = 4, late: int = 1 << 17, least: int = 3) -> tuple[DataFrame, DataFrame]:
+def links(documents: DataFrame, percent: int = 85, k: int = 4, late: int = 1 << 18, least: int = 3) -> tuple[DataFrame, DataFrame]:
     """(profiles (doc_id, size, sig, rep), forest edges (doc_id, root) between the representatives).
 
-    late: the n-grams that come last in the order, at most so many, by the counts that tasks made of all
-    documents (of n-grams that a task saw `least` times); they are broadcast. They change no link.
+    late: n-grams, and words, of which the order knows how common they are, at most so many of either, by the counts
+    that tasks made of all documents (of those that a task saw `least` times); broadcast. They change no link.
     """
     spark = documents.sparkSession
     own = documents.select("doc_id", "text")
-    seen = checkpointed(own.mapInArrow(_profiles(k, least), "doc_id long, size long, sig long, gram long, n long"))
-    profiles = seen.where("gram is null").select("doc_id", "size", "sig")
+    seen = checkpointed(own.mapInArrow(_profiles(k, least), "doc_id long, size long, sig long, gram long, word long, n long"))
+    profiles = seen.where("gram is null and word is null").select("doc_id", "size", "sig")
     reps = profiles.where("size > 0").groupBy("size", "sig").agg(F.min("doc_id").alias("rep"))
-    common = seen.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
-    last = np.sort(np.array([r.gram for r in above_cutoff(common, late).select("gram").collect()], np.int64).view(np.uint64))
-    rows = own.mapInArrow(_prefixes(k, percent, spark.sparkContext.broadcast(last)), "gram long, size long, sig long")
+    common = {kind: [(r[0], r[1]) for r in above_cutoff(seen.where(F.col(kind).isNotNull()).groupBy(kind).agg(F.sum("n").alias("n")), late).collect()] for kind in ("gram", "word")}
+    rarity = spark.sparkContext.broadcast(Rarity(common["gram"], common["word"]))
+    rows = own.mapInArrow(_prefixes(k, percent, rarity), "gram long, size long, sig long, early boolean")
     # Equal n-grams meet in one partition; sorted by size, neighbours within bounds connect all that can link there.
-    met = checkpointed(rows.repartition("gram").sortWithinPartitions("gram", "size", "sig").mapInArrow(_met(percent), "gram long, size long, sig long, size2 long, sig2 long"))
+    met = checkpointed(rows.repartition("gram").sortWithinPartitions("gram", "size", "sig").mapInArrow(_met(percent), "gram long, size long, sig long, size2 long, sig2 long, early boolean"))
     pairs = met.select("size", "sig", "size2", "sig2").distinct()
     named = pairs.join(reps, ["size", "sig"]).select("rep", F.col("size2").alias("size"), F.col("sig2").alias("sig")).join(reps.withColumnRenamed("rep", "rep2"), ["size", "sig"])
     clusters = connected_components(named, "rep", "rep2")
     placed = reps.join(clusters, F.col("rep") == F.col("id")).select("rep", "size", "sig", F.col("component").alias("cluster"))
     inside = W.partitionBy("cluster").orderBy("size", "rep").rowsBetween(W.unboundedPreceding, -1)
-    tile = F.greatest(F.floor(F.count("*").over(inside) / TILE_ROWS), F.lit(0)) + F.floor(F.coalesce(F.sum("size").over(inside), F.lit(0)) / TILE_GRAMS)
+    tile = F.floor(F.count("*").over(inside) / TILE_ROWS) + F.floor(F.coalesce(F.sum("size").over(inside), F.lit(0)) / TILE_GRAMS)
     placed = checkpointed(placed.withColumn("tile", tile.cast("int")))
-    # Which tiles of a cluster meet in some column; a cluster of one tile needs no column.
-    several = placed.where("tile > 0").select("cluster").distinct()
-    members = met.select("gram", "size", "sig").union(met.select("gram", "size2", "sig2")).distinct()
-    tiles = members.join(placed.join(several, "cluster", "left_semi"), ["size", "sig"]).select("gram", "cluster", "tile").distinct()
-    two = tiles.join(tiles.withColumnRenamed("tile", "two"), ["gram", "cluster"]).where("tile <= two").select("cluster", F.col("tile").alias("one"), "two").distinct()
-    two = placed.select("cluster", F.col("tile").alias("one"), F.col("tile").alias("two")).distinct().union(two).distinct()
-    wanted = two.select("cluster", "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("tile"))
-    full = own.join(placed.select(F.col("rep").alias("doc_id"), "cluster", "tile"), "doc_id").mapInArrow(_rows(k), "doc_id long, cluster long, tile int, grams binary")
-    blocks = full.join(wanted, ["cluster", "tile"]).select("cluster", "one", "two", "tile", "doc_id", "grams")
-    edges = blocks.repartition("cluster", "one", "two").sortWithinPartitions("cluster", "one", "two", "tile").mapInArrow(_products(percent), "doc_id long, root long")
+    # A class goes to the blocks in which it meets another of a size within bounds in some column.
+    members = met.select("gram", "size", "sig", F.lit(True).alias("early")).union(met.select("gram", "size2", "sig2", "early")).distinct().join(placed, ["size", "sig"])
+    early = F.when(F.col("early"), F.col("size"))
+    columns = members.groupBy("gram", "cluster", F.col("tile").alias("other")).agg(F.count("*").alias("n"), F.min("size").alias("low"), F.max("size").alias("high"), F.min(early).alias("low1"), F.max(early).alias("high1"))
+    larger = F.col("early") & (F.col("high") >= F.col("size")) & (F.lit(percent) * F.col("low") <= F.lit(100) * F.col("size"))
+    smaller = (F.col("low1") <= F.col("size")) & (F.lit(100) * F.col("high1") >= F.lit(percent) * F.col("size"))
+    fits = (larger | smaller) & ((F.col("tile") != F.col("other")) | (F.col("n") > 1))
+    sides = members.join(columns, ["gram", "cluster"]).where(fits).select("rep", "cluster", "tile", F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two")).distinct()
+    sides = checkpointed(sides)
+    few = sides.count() <= BROADCAST_ROWS
+    blocks = sides.groupBy(F.col("rep").alias("doc_id"), "cluster", "tile").agg(F.collect_list(F.struct("one", "two")).alias("blocks"))
+    # The texts go to the tasks that multiply their rows; they are smaller than their rows of hashes.
+    sent = own.join(F.broadcast(blocks) if few else blocks, "doc_id").select("doc_id", "text", "cluster", "tile", F.explode("blocks").alias("block"))
+    sent = sent.select("cluster", "block.one", "block.two", "tile", "doc_id", "text")
+    edges = sent.repartition("cluster", "one", "two").sortWithinPartitions("cluster", "one", "two", "tile").mapInArrow(_products(percent, k), "doc_id long, root long")
     return profiles.join(reps, ["size", "sig"], "left"), edges
 
 
