@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +29,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage by checkpoint() to the shared folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cut lineage by a table in the shared folder: computed once, compressed, and read again from any executor."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
