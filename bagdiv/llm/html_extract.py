@@ -171,12 +171,12 @@ def best_path(page: Page) -> str:
 
 
 def main_text(page: Page, path: str | None) -> str:
-    """Blocks in all containers on the path, in the page's order; from the page's own best path if it lacks the one given."""
+    """Blocks in all containers on the path, in the page's order; from the page's own best path if it lacks the one given, and all if no container has text."""
     for tried in (path, best_path(page)):
         wanted = {i for i, p in enumerate(page.paths) if p == tried}
         if wanted and (kept := [b.text for b in page.blocks if not wanted.isdisjoint(b.inside)]):
             return "\n\n".join(kept)
-    return "\n\n".join(b.text for b in page.blocks) if not page.paths else ""
+    return "\n\n".join(b.text for b in page.blocks)
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,6 +227,6 @@ def extract(pages: DataFrame, broadcast_hosts: int = 100_000, salts: int = 32) -
         met = own.join(F.broadcast(paths), "_host", "left")
     else:
         own = own.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)))
-        met = own.join(paths.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long")), ["_host", "_salt"], "left")
+        met = own.join(paths.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))), ["_host", "_salt"], "left")
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
     return met.select("page_id", "url", "html", "_path").mapInArrow(_extracted(["page_id", "url"]), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
