@@ -7,19 +7,21 @@ that splits the text; all others are joined by shuffle.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
 from .frequent import above_cutoff
 
-#: Fixed value: the split pattern of byte-level BPE vocabularies of this family.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: the split pattern of byte-level BPE vocabularies of this family, 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+,
+#: for code points below U+02B0, where \w is a letter, a digit, one of six other numbers or _.
+_LETTER, _NUMBER = r"[^\W\d_²³¹¼½¾]", r"[\d²³¹¼½¾]"
+LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?{_LETTER}+| ?{_NUMBER}+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 
 _loaded: dict[str, "PieceCounter"] = {}
 
@@ -34,9 +36,9 @@ class PieceCounter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.find = regex.compile(PATTERN).findall
-        self.plain = regex.compile(r"[\x00-ʯ]*+").fullmatch
+        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.find = re.compile(LATIN_PATTERN).findall
+        self.plain = re.compile(r"[\x00-\x1b\x20-ʯ]*").fullmatch  # \x1c to \x1f are white space to this module alone
 
     @staticmethod
     def of(path: str) -> "PieceCounter":
