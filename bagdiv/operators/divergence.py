@@ -50,6 +50,9 @@ def _sums(bases: list[str], ks: list[int], dim: int, width: int):
                                 out.append((p, q, stat, k, float((b**-dim).sum())))
                             elif stat == "kl":
                                 out.append((p, q, stat, k, float((np.log(b) - np.log(a)).sum())))
+                            elif stat.startswith("mix:"):
+                                r = a if p == q else np.sort(np.concatenate([rho[:, :k], nu[:, :k]], axis=1), axis=1)[:, k - 1]
+                                out.append((p, q, stat, k, float((r ** (dim * (1 - float(stat[4:])))).sum())))
                             elif stat == "js-core":
                                 if p != q:
                                     out.append((p, q, stat, k, float(js_terms(rho, nu, k, dim, n, m).sum())))
@@ -94,7 +97,8 @@ def _by_k(ks: list[int], of) -> Column:
 def estimate_divs(pts: DataFrame, specs: list[str], ks: list[int], pairs: DataFrame | None = None, min_dist: float | None = None) -> DataFrame:
     """points (bag_id, point_id, features) -> (p, q, spec, k, value), the divergence of bag p from bag q.
 
-    pairs (p, q) restricts the result. K must be below the size of every bag.
+    pairs (p, q) restricts the result; a column split in the points already restricts the neighbour pass to pairs of
+    bags of different splits, and of each bag with itself. K must be below the size of every bag.
     js is null where K is too small for the sizes of the two bags.
     """
     wanted = S.parse(specs)
@@ -167,6 +171,30 @@ def _known(c: str) -> Column:
     return F.when(~F.isnan(c), F.col(c))
 
 
+def entropy_constant(k: int, a: float, dim: int) -> float:
+    return math.exp((1 - a) * (dim / 2 * math.log(math.pi) - math.lgamma(dim / 2 + 1)) + math.lgamma(k) - math.lgamma(k - a + 1))
+
+
+def jensen_renyi(pts: DataFrame, alphas: list[float], ks: list[int], clamp: bool = True) -> DataFrame:
+    """(p, q, alpha, k, value): Renyi entropy of the mixture of two bags less the mean of theirs; at least 0 with clamp.
+
+    The neighbours of a point in the mixture are those in either bag. Symmetric, and 0 for p = q; null for bags of
+    different sizes, for whose mixture the estimator isn't defined.
+    """
+    dim = dimension(pts)
+    sums = base_sums(pts, [f"mix:{a}" for a in alphas], ks).withColumn("alpha", F.substring("stat", 5, 40).cast("double"))
+    constant = F.lit(None).cast("double")
+    for a in alphas:
+        constant = F.when(F.col("alpha") == a, _by_k(ks, lambda k, a=a: entropy_constant(k, a, dim))).otherwise(constant)
+    entropy = lambda total, n: F.log(constant * F.pow(n - 1, 1 - F.col("alpha")) * total / n) / (1 - F.col("alpha"))
+    own = sums.where("p = q").select("p", "alpha", "k", entropy(F.col("total"), F.col("n")).alias("own"))
+    back = sums.select(F.col("q").alias("p"), F.col("p").alias("q"), "alpha", "k", F.col("total").alias("back"))
+    met = sums.join(back, ["p", "q", "alpha", "k"]).join(own, ["p", "alpha", "k"]).join(own.select(F.col("p").alias("q"), "alpha", "k", F.col("own").alias("other")), ["q", "alpha", "k"])
+    value = entropy(F.col("total") + F.col("back"), 2 * F.col("n")) - (F.col("own") + F.col("other")) / 2
+    value = F.greatest(F.lit(0.0), value) if clamp else value
+    return met.select("p", "q", "alpha", "k", F.when(F.col("p") == F.col("q"), 0.0).when(F.col("n") == F.col("m"), value).alias("value"))
+
+
 def bag_entropy(pts: DataFrame, alpha: float, k: int) -> DataFrame:
     """(p, value): Renyi entropy of each bag."""
     dim, sizes = dimension(pts), bags(pts)
@@ -179,6 +207,6 @@ def bag_entropy(pts: DataFrame, alpha: float, k: int) -> DataFrame:
 
     kind = pts.schema["bag_id"].dataType.simpleString()
     sums = found.mapInArrow(run, f"p {kind}, total double").groupBy("p").agg(F.sum("total").alias("total"))
-    constant = math.exp((1 - alpha) * (dim / 2 * math.log(math.pi) - math.lgamma(dim / 2 + 1)) + math.lgamma(k) - math.lgamma(k - alpha + 1))
+    constant = entropy_constant(k, alpha, dim)
     n = F.col("n_pts")
     return sums.join(sizes, F.col("p") == F.col("bag_id")).select("p", (F.log(F.lit(constant) * F.pow(n - 1, F.lit(1 - alpha)) * F.col("total") / n) / F.lit(1 - alpha)).alias("value"))

@@ -21,11 +21,12 @@ CHUNK, CELL_BYTES = 2048, 1 << 25
 
 
 def chunks(pts: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(bag_id, part, ids, points): chunks of about `chunk` points, packed."""
+    """(bag_id, part, split, ids, points): chunks of about `chunk` points, packed. split is the bag's, null without such a column."""
     sized = pts.join(pts.groupBy("bag_id").agg(F.count("*").alias("_n")), "bag_id")
     part = F.pmod(F.xxhash64("point_id"), F.ceil(F.col("_n") / chunk)).cast("int").alias("part")
-    rows = sized.select("bag_id", part, "point_id", "features").groupBy("bag_id", "part").agg(F.sort_array(F.collect_list(F.struct("point_id", "features"))).alias("rows"))
-    return rows.select("bag_id", "part", F.col("rows.point_id").alias("ids"), F.col("rows.features").alias("points"))
+    split = (F.col("split").cast("string") if "split" in pts.columns else F.lit(None).cast("string")).alias("split")
+    rows = sized.select("bag_id", part, split, "point_id", "features").groupBy("bag_id", "part").agg(F.min("split").alias("split"), F.sort_array(F.collect_list(F.struct("point_id", "features"))).alias("rows"))
+    return rows.select("bag_id", "part", "split", F.col("rows.point_id").alias("ids"), F.col("rows.features").alias("points"))
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -47,21 +48,23 @@ def _matrix(rows: pa.Array) -> np.ndarray:
 
 
 def _near(k: int):
-    """Rows (cell, side, bag_id, part, ids, points) by cell, neighbours first -> the k least distances of each query chunk to each neighbour chunk."""
+    """Rows (cell, side, bag_id, part, split, ids, points) by cell, neighbours first -> the k least distances of each query chunk to each neighbour chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held = None, []
         for batch in batches:
             for i in range(batch.num_rows):
-                now, side, bag, part = (batch.column(c)[i].as_py() for c in ("cell", "side", "bag_id", "part"))
+                now, side, bag, part, split = (batch.column(c)[i].as_py() for c in ("cell", "side", "bag_id", "part", "split"))
                 ids, x = np.array(batch.column("ids")[i].as_py()), _matrix(batch.column("points")[i])
                 if now != cell:
                     cell, held = now, []
                 if side == 0:
-                    held.append((bag, ids, x))
+                    held.append((bag, split, ids, x))
                     continue
                 out = []
-                for other, other_ids, y in held:
+                for other, other_split, other_ids, y in held:
+                    if other != bag and split is not None and split == other_split:
+                        continue
                     d = distances(x, y)
                     if other == bag:
                         d[ids[:, None] == other_ids[None]] = math.inf
@@ -82,7 +85,10 @@ def merged(rows: list[tuple[int, bytes]], k: int, least: float) -> np.ndarray:
 
 
 def near(pts: DataFrame, k: int, least: float) -> DataFrame:
-    """(p, part, q, near): for a chunk of p's points, an n x k matrix of distances to the nearest of q, the point itself left out."""
+    """(p, part, q, near): for a chunk of p's points, an n x k matrix of distances to the nearest of q, the point itself left out.
+
+    With a column split, bags meet themselves and the bags of another split only.
+    """
     spark = pts.sparkSession
     kind = pts.schema["bag_id"].dataType.simpleString()
     packed = chunks(pts)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -120,6 +121,32 @@ class Machine:
         scale = max((one + two) / 2, 1e-12)
         return rows, a * s / scale, (one - two) / 2 / scale
 
+    def calibrate(self, k: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, n_folds: int = 5, seed: int = 0) -> "Machine":
+        """Sigmoids for probabilities(), from decisions about bags that were left out of the training; classifiers only."""
+        w = np.ones(len(k)) if weight is None else np.asarray(weight, float)
+        self.sigmoids = []
+        for lo, hi in itertools.combinations(self.classes, 2):
+            rows = np.flatnonzero((y == lo) | (y == hi))
+            fold, f = folds(len(rows), n_folds, seed), np.zeros(len(rows))
+            for i in range(n_folds):
+                train, test = rows[fold != i], rows[fold == i]
+                if len(np.unique(y[train])) < 2:
+                    f[fold == i] = 1.0 if (y[train] == lo).any() else -1.0
+                    continue
+                at, coef, b = self._pair(k[np.ix_(train, train)], y[train], w[train], lo, hi)
+                f[fold == i] = k[np.ix_(test, train[at])] @ coef - b
+            self.sigmoids.append(sigmoid(f, y[rows] == lo))
+        return self
+
+    def probabilities(self, k: np.ndarray) -> np.ndarray:
+        """A row for each test bag, a column for each class; needs calibrate()."""
+        n = len(self.classes)
+        r = np.full((len(k), n, n), 0.5)
+        for (i, j), d, (a, b) in zip(itertools.combinations(range(n), 2), self.decision(k).T, self.sigmoids):
+            r[:, i, j] = np.clip(1 / (1 + np.exp(np.clip(a * d + b, -500, 500))), 1e-7, 1 - 1e-7)
+            r[:, j, i] = 1 - r[:, i, j]
+        return np.array([coupled(x) for x in r]).reshape(-1, n)
+
     def decision(self, k: np.ndarray) -> np.ndarray:
         return np.column_stack([k[:, rows] @ coef - b for rows, coef, b in self.parts])
 
@@ -136,6 +163,40 @@ class Machine:
         return self.classes[votes.argmax(1)]
 
 
+def sigmoid(f: np.ndarray, positive: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """(a, b) of 1 / (1 + exp(a f + b)), the likeliest for smoothed targets, by Newton steps that are halved until they help."""
+    more, less = int(positive.sum()), int((~positive).sum())
+    t = np.where(positive, (more + 1) / (more + 2), 1 / (less + 2))
+    x = np.column_stack([f, np.ones(len(f))])
+
+    def cost(w: np.ndarray) -> float:
+        z = x @ w
+        return float((t * np.logaddexp(0, z) + (1 - t) * np.logaddexp(0, -z)).sum())
+
+    w = np.array([0.0, math.log((less + 1) / (more + 1))])
+    now = cost(w)
+    for _ in range(rounds):
+        p = np.exp(-np.logaddexp(0, x @ w))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-10 * np.eye(2), x.T @ (t - p))
+        while np.abs(step).max() > 1e-10 and cost(w - step) > now:
+            step = step / 2
+        if np.abs(step).max() <= 1e-10:
+            break
+        w = w - step
+        now = cost(w)
+    return float(w[0]), float(w[1])
+
+
+def coupled(r: np.ndarray) -> np.ndarray:
+    """Class probabilities whose ratios fit those of all pairs best in squares; r[i, j] is that of i against j."""
+    n = len(r)
+    off = r * (1 - np.eye(n))
+    q = np.diag((off**2).sum(0)) - off * off.T
+    system = np.block([[q, np.ones((n, 1))], [np.ones((1, n)), np.zeros((1, 1))]])
+    p = np.maximum(np.linalg.lstsq(system, np.append(np.zeros(n), 1.0), rcond=None)[0][:n], 0)
+    return p / p.sum()
+
+
 def folds(n: int, k: int, seed: int = 0) -> np.ndarray:
     return np.random.default_rng(seed).permutation(n) % k
 

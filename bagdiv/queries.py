@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import schema
 from .functions import specs as S
-from .operators import divergence, kernel, knn, machines, transforms
+from .operators import divergence, estimators, kernel, knn, machines, transforms
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -145,6 +145,14 @@ def masked_divs(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("masked_divs", masked_divs, _near_sql(vectors, [3]) + f"select p, q, round({_stat_sql(S.Spec('kl_raw'), 64, [3])}, 6) as value from j where q = p + 1 group by p, q, k")
 
 
+def split_divs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pts = balances(spark, sf_dir).withColumn("split", F.col("bag_id") < 5)
+    return divergence.estimate_divs(pts, ["kl_raw"], [3]).select("p", "q", F.round("value", 6).alias("value"))
+
+
+add("split_divs", split_divs, _near_sql(balances, [3]) + f"select p, q, round({_stat_sql(S.Spec('kl_raw'), 1, [3])}, 6) as value from j where p = q or (p < 5) <> (q < 5) group by p, q, k")
+
+
 def _near_query(own: bool) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = knn.knn_join(vectors(spark, sf_dir), vectors(spark, sf_dir), 3).where(F.col("rank") == 3)
@@ -238,6 +246,15 @@ def svc_cv_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(int(i), int(a), int(b)) for i, a, b in zip(ids, y, preds)], "bag_id int, label int, pred int")
 
 
+def svc_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bags of the nations 0 to 14 train a machine that predicts the others'."""
+    pts = balances(spark, sf_dir)
+    known = pts.where("bag_id < 15")
+    m = estimators.BagMachine("SVC", "renyi:0.8", sigmas=(0.5, 1.0, 2.0), params=[{"c": 1.0}, {"c": 64.0}])
+    return m.fit(known, known.select("bag_id", (F.col("bag_id") % 2).alias("label")).distinct()).predict(pts.where("bag_id >= 15"))
+
+
+add("svc_predictions", svc_predictions)
 add("psd_clip", psd_clip)
 add("svc_cv_predictions", svc_cv_predictions)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 IMAGES = ("jpg", "jpeg", "png", "bmp")
+#: Codes of plain values in the typed bytes format.
+PLAIN_CODES = {1: ">b", 2: ">?", 3: ">i", 4: ">q", 5: ">f", 6: ">d"}
 
 
 def _place(path):
@@ -36,6 +39,57 @@ def read_npz(spark: SparkSession, path: str, cats: list[str] | None = None, name
     return files.select("category", "name", "content").mapInPandas(run, "category string, name string, point_id long, features array<double>")
 
 
+def typed(data: memoryview, at: int) -> tuple[object, int]:
+    """The typed bytes value at an offset, and the offset behind it. Code 0xAA: an array in npy format behind its length."""
+    code, at = data[at], at + 1
+    if code in PLAIN_CODES:
+        form = PLAIN_CODES[code]
+        return struct.unpack_from(form, data, at)[0], at + struct.calcsize(form)
+    if code == 9:
+        out = []
+        while data[at] != 255:
+            one, at = typed(data, at)
+            out.append(one)
+        return out, at + 1
+    n, at = struct.unpack_from(">i", data, at)[0], at + 4
+    if code in (0, 7):
+        raw = bytes(data[at : at + n])
+        return (raw.decode() if code == 7 else raw), at + n
+    if code == 0xAA:
+        return np.load(io.BytesIO(data[at : at + n]), allow_pickle=False), at + n
+    if code not in (8, 10):
+        raise ValueError(f"unknown type code {code}")
+    out = []
+    for _ in range(n if code == 8 else 2 * n):
+        one, at = typed(data, at)
+        out.append(one)
+    return (out if code == 8 else dict(zip(out[::2], out[1::2]))), at
+
+
+def read_typedbytes(spark: SparkSession, path: str, cats: list[str] | None = None) -> DataFrame:
+    """Files data_*.tb of pairs `category/name`, {features: array, ...} -> points (category, name, point_id, features).
+
+    Bags are emitted one by one; a file is held by one task, so files should stay at the usual 500 MB.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "data_*.tb").load(path).select("content")
+    text = lambda v: v.decode() if isinstance(v, bytes) else str(v)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for content in pdf["content"]:
+                data, at = memoryview(content), 0
+                while at < len(data):
+                    key, at = typed(data, at)
+                    value, at = typed(data, at)
+                    category, _, name = text(key).partition("/")
+                    if cats and category not in cats:
+                        continue
+                    x = np.atleast_2d(np.asarray({text(k): v for k, v in value.items()}["features"], float))
+                    yield pd.DataFrame({"category": category, "name": name, "point_id": np.arange(len(x)), "features": list(x)})
+
+    return files.mapInPandas(run, "category string, name string, point_id long, features array<double>")
+
+
 def write_points(pts: DataFrame, path: str, mode: str = "errorifexists") -> None:
     pts.write.mode(mode).partitionBy("category").parquet(path)
 
