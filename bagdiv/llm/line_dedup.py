@@ -148,12 +148,13 @@ def _changed(key: tuple, left, right):
 
 @dataclass(frozen=True)
 class LineIndex:
-    """holders (hi, lo, doc_id), filters (shard, filter) of the shared keys, and how keys are made."""
+    """holders (hi, lo, doc_id), filters (shard, filter) of the shared keys, how keys are made, and the shared keys' counts once written."""
 
     holders: DataFrame
     filters: DataFrame
     shards: int
     least: int = 10
+    known: DataFrame | None = None
 
     @staticmethod
     def of(documents: DataFrame, least: int = 10) -> "LineIndex":
@@ -167,7 +168,7 @@ class LineIndex:
         return self.holders.groupBy(*KEY).agg(F.count("*").alias("refs"), F.min("doc_id").alias("owner"))
 
     def shared(self) -> DataFrame:
-        return self.counts().where("refs >= 2")
+        return self.counts().where("refs >= 2") if self.known is None else self.known
 
     def _shard(self, n: int):
         return F.pmod("hi", F.lit(n)).cast("int").alias("shard")
@@ -175,24 +176,25 @@ class LineIndex:
     def _with_filters(self, shared: DataFrame) -> "LineIndex":
         n = max(1, -(-shared.count() // SHARD_KEYS))
         rows = shared.select(self._shard(n), *KEY)
-        return replace(self, shards=n, filters=checkpointed(rows.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_filters, "shard int, filter binary")))
+        return replace(self, shards=n, known=shared, filters=checkpointed(rows.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_filters, "shard int, filter binary")))
 
     def _moved(self, after: "LineIndex") -> "LineIndex":
+        after = replace(after, known=checkpointed(after.shared()))
         was, now = self.shared().select(*KEY), after.shared().select(*KEY)
         change = now.join(was, KEY, "left_anti").withColumn("sign", F.lit(1)).union(was.join(now, KEY, "left_anti").withColumn("sign", F.lit(-1)))
         change = change.select(self._shard(self.shards), *KEY, "sign")
         new = self.filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(_changed, "shard int, filter binary")
         new = checkpointed(new)
-        return after._with_filters(checkpointed(after.shared())) if new.where("filter is null").limit(1).count() else replace(after, filters=new)
+        return after._with_filters(after.shared()) if new.where("filter is null").limit(1).count() else replace(after, filters=new)
 
     def insert(self, documents: DataFrame) -> "LineIndex":
         """With further documents, whose doc_ids must be new."""
         more = documents.select("doc_id", "text").mapInArrow(_lines(self.least), "hi long, lo long, doc_id long")
-        return self._moved(replace(self, holders=checkpointed(self.holders.union(more))))
+        return self._moved(replace(self, holders=checkpointed(self.holders.union(more)), known=None))
 
     def delete(self, doc_ids: DataFrame) -> "LineIndex":
         """Without the documents of a table (doc_id)."""
-        return self._moved(replace(self, holders=checkpointed(self.holders.join(doc_ids.select("doc_id"), "doc_id", "left_anti").select(*KEY, "doc_id"))))
+        return self._moved(replace(self, holders=checkpointed(self.holders.join(doc_ids.select("doc_id"), "doc_id", "left_anti").select(*KEY, "doc_id")), known=None))
 
     def dropped(self, documents: DataFrame) -> DataFrame:
         """(doc_id, gone): keys that documents of the index lose, as an array of 16-byte strings; only documents that lose some."""
