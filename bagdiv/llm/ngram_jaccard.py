@@ -272,7 +272,8 @@ def links(documents: DataFrame, percent: int = 85, k: int = 4, late: int = 1 <<
     own = documents.select("doc_id", "text")
     seen = checkpointed(own.mapInArrow(_profiles(k, least), "doc_id long, size long, sig long, gram long, word long, n long"))
     profiles = seen.where("gram is null and word is null").select("doc_id", "size", "sig")
-    reps = profiles.where("size > 0").groupBy("size", "sig").agg(F.min("doc_id").alias("rep"))
+    # Written, so that a class of very many documents can be split when it meets its representative.
+    reps = checkpointed(profiles.where("size > 0").groupBy("size", "sig").agg(F.min("doc_id").alias("rep")))
     common = {kind: [(r[0], r[1]) for r in above_cutoff(seen.where(F.col(kind).isNotNull()).groupBy(kind).agg(F.sum("n").alias("n")), late).collect()] for kind in ("gram", "word")}
     rarity = spark.sparkContext.broadcast(Rarity(common["gram"], common["word"]))
     rows = own.mapInArrow(_prefixes(k, percent, rarity), "gram long, size long, sig long, early boolean")
