@@ -1,10 +1,10 @@
 """Language-model scores by a weighted backoff automaton.
 
-Word counts cover every training document. N-grams of the most frequent words become the states of an
-automaton: an arc carries the log-probability of a word after a state's history, a failure arc the backoff
-weight to the next shorter history. Every text is read once from left to right; the state is carried along
-and log-probabilities add up. Words beyond the automaton's lexicon fall back to the empty history in the
-task; their own probabilities are joined by shuffle, so no word of the corpus is left out.
+The states are the histories of up to two words of the training documents, all of them: an arc carries the
+log-probability of a word after a history, a failure arc the backoff weight to the next shorter one. No n-gram is
+dropped. Words are 64-bit hashes; the arcs are a table made by shuffle, in which each n-gram that any document
+holds has its weight, that of the failure arcs on its way included. Arcs of the most frequent n-grams are broadcast
+as well, and only what a text has besides them is joined by shuffle. `Automaton` is the same model in one process.
 """
 
 from __future__ import annotations
@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import U64, checkpointed, long_array, mix64, split_words, text_chunks
 from .frequent import above_cutoff
 
 #: The end of a text, counted as a token; no word holds white space.
 END = b" "
 DISCOUNT = 0.75
 BITS = 21
+END_HASH = U64(0x5D1F0C2A9B7E4361)
+_FIRST = U64(0x9E6C63D0876A9A47)
 
 
 def folded(doc_id: str, mod: int) -> Column:
@@ -148,84 +150,156 @@ class Automaton:
         return total
 
 
-def _ngrams(lexicon, context: int, order: int):
+def hashed(found: list[bytes]) -> np.ndarray:
+    """Hashes of words as `split_words` makes them; END has one of its own."""
+    out = np.full(len(found), END_HASH, U64)
+    own = [i for i, w in enumerate(found) if w != END]
+    if own:
+        data = b" ".join(found[i] for i in own)
+        out[own] = split_words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[2]
+    return out
+
+
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64(a * _FIRST + mix64(b) + _FIRST)
+
+
+def sequences(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, word hashes with the ends, bounds of each text) of runs of texts."""
+    for i, _, data, offsets in text_chunks(texts):
+        _, _, h, bounds = split_words(data, offsets)
+        yield i, np.insert(h, bounds[1:], END_HASH), bounds + np.arange(len(bounds))
+
+
+def _ngrams(order: int):
+    """(text, learned) -> counts of n-grams in training texts; 0 for those that only others hold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {w: i for w, i in lexicon.value.items() if i < context}
         held: list[np.ndarray] = []
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            code, n = np.unique(np.concatenate(held), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"code": pa.array(code), "n": pa.array(n)})
+            rows = np.concatenate(held)
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            first = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1)))
+            n = np.add.reduceat(rows[:, 2], first).astype(np.int64)
+            for lo in range(0, len(first), 100_000):
+                at = first[lo : lo + 100_000]
+                yield pa.RecordBatch.from_pydict({"history": long_array(rows[at, 0]), "low": long_array(rows[at, 1]), "n": pa.array(n[lo : lo + 100_000])})
 
         for batch in batches:
-            for text in batch.column(0):
-                ids = np.array([known.get(w, -1) for w in words(text.as_py())], np.int64)
-                if len(ids) >= order:
-                    parts = [ids[k : len(ids) - order + 1 + k] for k in range(order)]
-                    good = np.logical_and.reduce([p >= 0 for p in parts])
-                    code = parts[0][good]
-                    for p in parts[1:]:
-                        code = code << BITS | p[good]
-                    held.append(code)
-                    size += len(code)
-            if size > 1 << 22:
-                yield from out()
-                held.clear()
-                size = 0
-        if held:
+            learned = batch.column(1).to_numpy(zero_copy_only=False)
+            for i, h, bounds in sequences(batch.column(0)):
+                of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+                g = h if order == 2 else pair(h[:-1], h[1:])
+                whole = of[: len(of) - order + 1] == of[order - 1 :]
+                held.append(np.column_stack([g[:-1][whole], g[1:][whole], learned[i + of[order - 1 :][whole]].astype(U64)]))
+                size += len(held[-1])
+                if size > 1 << 21:
+                    yield from out()
+                    held.clear()
+                    size = 0
+        if size:
             yield from out()
 
     return run
 
 
-def _scored(automaton):
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(history, low) -> also the hash of both, which names the bigram."""
+    for batch in batches:
+        a, b = (batch.column(k).to_numpy().view(U64) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([*batch.columns, long_array(pair(a, b))], [*batch.schema.names, "key"])
+
+
+def weighed(grams: DataFrame, lower: DataFrame, missing: float) -> DataFrame:
+    """grams (history, low, n, ...), lower (low, below) -> also v: interpolated where n > 0, backed off where the
+    history has other words, and the lower order's where it has none. missing: of what lower lacks."""
+    of = grams.groupBy("history").agg(F.sum("n").alias("total"), F.sum((F.col("n") > 0).cast("long")).alias("kinds"))
+    below, left = F.coalesce("below", F.lit(missing)), F.lit(DISCOUNT) * F.col("kinds") / F.nullif(F.col("total"), F.lit(0))
+    seen = F.log10((F.col("n") - F.lit(DISCOUNT)) / F.nullif(F.col("total"), F.lit(0)) + left * F.pow(F.lit(10.0), below))
+    v = F.when(F.col("n") > 0, seen).when(F.col("total") > 0, F.log10(left) + below).otherwise(below)
+    return grams.join(of, "history").join(lower, "low", "left").select(*grams.columns, v.alias("v"))
+
+
+@dataclass
+class Head:
+    """What is broadcast: sorted hashes of words with their counts' logarithms, and of n-grams with their weights."""
+
+    words: np.ndarray
+    base: np.ndarray
+    single: np.ndarray
+    grams: np.ndarray
+    weights: np.ndarray
+
+    @staticmethod
+    def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(table):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+        return at, table[at] == keys
+
+
+#: Values of `history` for rows that aren't trigrams: a bigram that begins a text, a word that does, a document's own, a word for base_score.
+BIGRAM, WORD, OWN, BASE = range(4)
+
+
+def _scored(head):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: Automaton = automaton.value
-        lexicon = a.lexicon
-        flat = [math.log10(a.unigrams.base(n)) for n in a.counts]
+        a: Head = head.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                rows: list[tuple] = []
-                for doc_id, text in zip(batch.column(0).slice(i, 500).to_pylist(), batch.column(1).slice(i, 500).to_pylist()):
-                    found = words(text)
-                    ids = [*map(lexicon.get, found)]
-                    strange = Counter([w for w, k in zip(found, ids) if k is None])
-                    known = [k for k in ids if k is not None]
-                    rows.append((doc_id, len(ids), len(known), math.fsum(map(flat.__getitem__, known)), a.read(ids), None, None))
-                    rows += [(doc_id, 0, 0, 0.0, 0.0, w, n) for w, n in strange.items()]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "n_tokens", "n_known", "base", "score", "word", "times"])
+            for i, h, bounds in sequences(batch.column(1)):
+                docs = len(bounds) - 1
+                ids = batch.column(0).slice(i, docs).to_numpy()
+                of = np.repeat(np.arange(docs), np.diff(bounds))
+                place = np.arange(len(h)) - bounds[of]
+                g = np.append(U64(0), pair(h[:-1], h[1:]))
+                history = np.where(place == 0, U64(WORD), np.where(place == 1, U64(BIGRAM), np.append(U64(0), g[:-1])))
+                low = np.where(place == 0, h, g)
+                at, known = a.find(a.words, h)
+                spot, met = a.find(a.grams, pair(history, low))
+                begins = (place == 0) & known
+                score = np.bincount(of[begins], a.single[at[begins]], docs) + np.bincount(of[met], a.weights[spot[met]], docs)
+                own = np.column_stack([np.diff(bounds), np.bincount(of[known], minlength=docs), np.bincount(of[known], a.base[at[known]], docs), score])
+                tail, strange = ~(begins | met), ~known
+                rows = np.column_stack([np.concatenate([of[tail], of[strange]]).astype(U64), np.concatenate([history[tail], np.full(strange.sum(), BASE, U64)]), np.concatenate([low[tail], h[strange]])])
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "history": pa.array(np.full(docs, OWN)), "low": pa.array(ids, pa.int64()), "own": pa.array(own.tolist(), pa.list_(pa.float64()))})
+                for lo in range(0, len(rows), 100_000):
+                    part = rows[lo : lo + 100_000]
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[part[:, 0].astype(np.int64)], pa.int64()), "history": long_array(part[:, 1]), "low": long_array(part[:, 2]), "own": pa.nulls(len(part), pa.list_(pa.float64()))})
 
     return run
 
 
-def train(texts: DataFrame, lexicon: int = 1 << 18, context: int = 2048, arcs: int = 1 << 18) -> tuple[DataFrame, Automaton]:
-    """(word counts of all texts as a table, automaton). Bounds of what is broadcast: `lexicon` words, `arcs` n-grams
-    of each order 2 and 3, all among the `context` most frequent words (the end is one of them)."""
-    context_ = texts.sparkSession.sparkContext
-    texts = texts.select("text")
-    counts = checkpointed(texts.mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+def train(texts: DataFrame, lexicon: int = 1 << 18, arcs: int = 1 << 18) -> tuple[DataFrame, Unigrams, Head]:
+    """texts (text, held_out) -> (weights of all n-grams as a table (history, low, v), single words, head).
+
+    lexicon and arcs bound only what is broadcast: so many words and trigrams; they change no score.
+    """
+    counts = checkpointed(texts.where("not held_out").select("text").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total, distinct, once, twice = counts.agg(F.sum("n"), F.count("*"), F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).first()
     once, twice = once or 0, twice or 0
-    unigrams = Unigrams(total or 0, distinct, min(0.95, max(0.05, once / (once + 2 * twice) if once else 0.05)))
-    top = above_cutoff(counts.where((F.length("word") <= 64) & (F.col("word") != F.lit(END))), lexicon - 1).collect()
-    top = sorted(((bytes(r.word), r.n) for r in top), key=lambda x: (-x[1], x[0]))
-    ends = counts.where(F.col("word") == F.lit(END)).first()
-    ids = {END: 0} | {w: i + 1 for i, (w, _) in enumerate(top)}
-    known = context_.broadcast(ids)
-    found = []
-    for order in (2, 3):
-        grams = texts.mapInArrow(_ngrams(known, context, order), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-        kept = above_cutoff(checkpointed(grams), arcs, 3).collect()
-        mask = (1 << BITS) - 1
-        found.append([(*((r.code >> BITS * k) & mask for k in reversed(range(order))), r.n) for r in kept])
-    model = Automaton(ids, [ends.n if ends else 0, *(n for _, n in top)], unigrams)
-    if unigrams.total:
-        model.build(*found)
-    else:
-        model.lexicon, model.counts = {}, []
-    return counts, model
+    u = Unigrams(total or 0, distinct, min(0.95, max(0.05, once / (once + 2 * twice) if once else 0.05)))
+    single = checkpointed(counts.mapInArrow(_named, "low long, n long")).withColumn("below", u.column(F.col("n")))
+    grams = [texts.select("text", F.coalesce(~F.col("held_out"), F.lit(False))).mapInArrow(_ngrams(k), "history long, low long, n long").groupBy("history", "low").agg(F.sum("n").alias("n")) for k in (2, 3)]
+    two = weighed(checkpointed(grams[0].mapInArrow(_keyed, "history long, low long, n long, key long")), single.select("low", "below"), u.log10(0))
+    two = checkpointed(two.select(F.col("key").alias("low"), F.col("v").alias("below")))
+    three = checkpointed(weighed(checkpointed(grams[1]), two, 0.0))
+    of = lambda kind, df, v: df.select(F.lit(kind).cast("long").alias("history"), "low", v.alias("v"))
+    base = F.log10((F.col("n") + 1) / F.lit(float(u.total + 1 * (u.distinct + 1))))
+    table = three.select("history", "low", "v").unionByName(of(BIGRAM, two, F.col("below"))).unionByName(of(WORD, single, F.col("below"))).unionByName(of(BASE, single, base))
+    top = sorted((r.low % 2**64, r.n) for r in above_cutoff(single.select("low", "n"), lexicon).collect())
+    names, n = np.array([k for k, _ in top], U64), [n for _, n in top]
+    best = above_cutoff(three, arcs, 2).select("history", "low", "v").toArrow()
+    key, v = pair(*(best.column(k).to_numpy().view(U64) for k in (0, 1))), best.column(2).to_numpy()
+    order = np.argsort(key)
+    return table, u, Head(names, np.array([math.log10(u.base(x)) for x in n]), np.array([u.log10(x) for x in n]), key[order], v[order])
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"low": long_array(hashed(batch.column(0).to_pylist())), "n": batch.column(1)})
 
 
 def score(documents: DataFrame, held_out: Column, **bounds) -> DataFrame:
@@ -237,15 +311,18 @@ def score(documents: DataFrame, held_out: Column, **bounds) -> DataFrame:
     doc_id is taken as unique and not null.
     """
     own = documents.select("doc_id", "text", held_out.alias("held_out"))
-    counts, model = train(own.where("not held_out"), **bounds)
-    u = model.unigrams
-    rows = own.select("doc_id", "text").mapInArrow(_scored(documents.sparkSession.sparkContext.broadcast(model)), "doc_id long, n_tokens long, n_known long, base double, score double, word binary, times long")
-    spread = F.coalesce("word", F.concat(F.lit(END + b"doc "), F.col("doc_id").cast("string").cast("binary")))
-    met = rows.withColumn("key", spread).join(counts.select(F.col("word").alias("key"), "n"), "key", "left")
-    n, tail = F.coalesce("n", F.lit(0)), F.col("word").isNotNull()
-    add = lambda own, of_word: F.sum(F.col(own) + F.when(tail, F.col("times") * of_word).otherwise(F.lit(0)))
-    base = F.log10((n + 1) / F.lit(float(u.total + 1 * (u.distinct + 1))))
-    found = met.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), add("n_known", (n > 0).cast("long")).alias("n_known"), add("base", base).alias("base_score"), add("score", u.column(n)).alias("score"))
+    table, u, head = train(own.select("text", "held_out"), **bounds)
+    rows = own.select("doc_id", "text").mapInArrow(_scored(documents.sparkSession.sparkContext.broadcast(head)), "doc_id long, history long, low long, own array<double>")
+    met = rows.join(table, ["history", "low"], "left")
+    kind, v = F.col("history"), F.col("v")
+    add = lambda at, mine, value: F.sum(F.when(kind == OWN, F.col("own")[at]).when(mine, value).otherwise(F.lit(0.0)))
+    base = F.coalesce(v, F.lit(math.log10(u.base(0))))
+    found = met.groupBy("doc_id").agg(
+        add(0, F.lit(False), F.lit(0.0)).cast("long").alias("n_tokens"),
+        add(1, kind == BASE, v.isNotNull().cast("double")).cast("long").alias("n_known"),
+        add(2, kind == BASE, base).alias("base_score"),
+        add(3, kind != BASE, F.coalesce(v, F.lit(u.log10(0)))).alias("score"),
+    )
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(u.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

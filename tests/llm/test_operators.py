@@ -181,6 +181,25 @@ def test_lm(docs, empty):
     assert lm_score.score(empty, held).count() == 0
 
 
+def test_lm_holds_every_ngram(spark):
+    rng = np.random.default_rng(8)
+    texts = [None, "", "One", *(" ".join(f"w{x}" for x in rng.zipf(1.3, rng.integers(1, 40)) % 4000) for _ in range(300))]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    out = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    words = [lm_score.words(t) for t in texts]
+    c, n2, n3 = Counter(), Counter(), Counter()
+    for ws in (ws for ws, o in zip(words, out) if not o):
+        c.update(ws), n2.update(zip(ws, ws[1:])), n3.update(zip(ws, ws[1:], ws[2:]))
+    once, twice = (sum(n == k for n in c.values()) for k in (1, 2))
+    u = lm_score.Unigrams(sum(c.values()), len(c), min(0.95, max(0.05, once / (once + 2 * twice))))
+    ids = {w: i for i, w in enumerate([lm_score.END, *sorted({*c} - {lm_score.END})])}
+    full = lm_score.Automaton(ids, [c[w] for w in ids], u).build(*([(*(ids[w] for w in g), n) for g, n in x.items()] for x in (n2, n3)))
+    for head in ({}, {"lexicon": 20, "arcs": 5}):
+        got = by_id(lm_score.score(df, lm_score.held_out_fold(7, 2), **head))
+        for i, ws in enumerate(words):
+            assert got[i].score == pytest.approx(full.read([ids.get(w) for w in ws]) + sum(w not in c for w in ws) * u.log10(0))
+
+
 def test_lm_probabilities_sum_to_one():
     u = lm_score.Unigrams(100, 4, 0.5)
     a = lm_score.Automaton({b" ": 0, b"a": 1, b"b": 2, b"c": 3}, [10, 40, 30, 20], u).build([(1, 2, 20), (1, 1, 5), (2, 1, 9)], [(1, 2, 1, 8)])
