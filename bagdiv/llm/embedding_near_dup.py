@@ -32,6 +32,14 @@ def rotation(dim: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def added(rows: np.ndarray) -> np.ndarray:
+    """The sum of the rows, one after another."""
+    out = rows[0].copy()
+    for row in rows[1:]:
+        out += row
+    return out
+
+
 class Blocks:
     """The rotated coordinates of vectors of one length, and how the budget is shared among their blocks."""
 
@@ -42,7 +50,22 @@ class Blocks:
         self.budget = (2 - 2 * threshold) * self.sizes / dim + SLACK
 
     def turned(self, vectors: np.ndarray) -> np.ndarray:
-        return (vectors / np.linalg.norm(vectors, axis=1)[:, None]) @ self.turn
+        """Coordinates whose bits depend on the vector alone, not on its place among others as those of a matrix product:
+        the tasks that meet a pair must agree on the block in which it counts."""
+        out = np.empty(vectors.shape)
+        for lo in range(0, len(vectors), 512):
+            x = np.ascontiguousarray(vectors[lo : lo + 512].T)
+            x = x / np.sqrt(added(x * x))
+            turned = np.zeros(x.shape)
+            for row, to in zip(x, self.turn):
+                turned += to[:, None] * row
+            out[lo : lo + 512] = turned.T
+        return out
+
+    def gaps(self, difference: np.ndarray) -> np.ndarray:
+        """Shares of the budgets that differences of rotated coordinates take, by block; bits as in `turned`."""
+        square = np.ascontiguousarray(difference.T) ** 2
+        return np.stack([added(square[s : s + n]) / budget for s, n, budget in zip(self.starts, self.sizes, self.budget)], 1)
 
     def cells(self, x: np.ndarray, b: int, grid: int) -> np.ndarray:
         return np.floor(x / (2 * math.sqrt(self.budget[b]))).astype(np.int64)
@@ -135,8 +158,7 @@ def _linked(block_dim: int, threshold: float, kind: str):
             for s in range(0, len(found), 1 << 15):
                 i, j = found[s : s + (1 << 15)].T
                 i = i + lo
-                gap = np.add.reduceat((pt[i] - ht[j]) ** 2, at.starts, axis=1) / at.budget
-                mine = gap.argmin(1) == b
+                mine = at.gaps(pt[i] - ht[j]).argmin(1) == b
                 i, j = i[mine], j[mine]
                 cosine = np.einsum("ij,ij->i", px[i], hx[j]) / (np.linalg.norm(px[i], axis=1) * hn[j])
                 yield i[cosine >= threshold], j[cosine >= threshold]

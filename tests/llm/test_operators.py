@@ -133,6 +133,30 @@ def test_embeddings(spark):
     assert links and embedding_near_dup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_rotated_coordinates_depend_on_the_vector_alone():
+    x = np.random.default_rng(6).normal(size=(1030, 64))
+    at = embedding_near_dup.Blocks(64, 8, 0.98)
+    every = at.turned(x)
+    assert np.allclose(every, x / np.linalg.norm(x, axis=1)[:, None] @ at.turn)
+    for lo, hi in ((0, 1), (0, 3), (5, 12), (511, 514), (1029, 1030), (3, 1030)):
+        assert (at.turned(x[lo:hi]) == every[lo:hi]).all()
+
+
+def test_embeddings_that_are_copies_count_once(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(700, 64)).astype(np.float32)
+    of = np.append(np.arange(700), np.append(np.repeat(np.arange(100), 2), np.repeat(600, 40)))
+    scale = np.append(np.ones(700), rng.choice([1, 1, 3, 0.7], 240))
+    put = rng.permutation(len(of))
+    rows = [(i, [float(v) for v in x[of[k]] * np.float32(scale[k])], 0) for i, k in enumerate(put)]
+    members = defaultdict(list)
+    for i, k in enumerate(put):
+        members[of[k]].append(i)
+    got = by_id(embedding_near_dup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), tile=64))
+    for same in members.values():
+        assert all(tuple(got[i])[1:] == (len(same) - 1, min(same), i == min(same)) for i in same)
+
+
 def test_lines(docs, empty):
     got = by_id(line_dedup.line_dedup(docs))
     key = lambda x: lowered(x.strip(" \t\n\r\x0b\x0c"))
