@@ -35,6 +35,8 @@ BOILERPLATE = {
 }
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=<))|</?[a-zA-Z][^<>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Ends of raw elements; sought in the source itself, as lower() makes two characters of some.
+SHUT = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -96,7 +98,6 @@ def parse(source: str) -> Page:
             path = page.paths[inside[-1]] if inside else ""
 
     at, end = 0, len(source)
-    lower = None
     while at < end:
         m = TAG.search(source, at)
         stop = m.start() if m else end
@@ -119,9 +120,8 @@ def parse(source: str) -> Page:
             continue
         if tag in RAW and not m[1]:
             if not m[3].endswith("/") or tag in ("script", "style", "title", "textarea"):
-                lower = source.lower() if lower is None else lower
-                shut = lower.find(f"</{tag}", at)
-                at = end if shut < 0 else (lower.find(">", shut) + 1 or end)
+                shut = SHUT[tag].search(source, at)
+                at = end if shut is None else (source.find(">", shut.start()) + 1 or end)
             continue
         flush()
         links = 0

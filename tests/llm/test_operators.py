@@ -277,6 +277,12 @@ def test_html(spark):
         assert html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), broadcast_hosts=hosts).count() == 7
 
 
+def test_html_text_after_letters_that_grow_in_lower_case():
+    text = lambda source: html_extract.main_text(html_extract.parse(source), None)
+    assert text("<head><title>İstanbul</title></head><body><p>Hello</p></body>") == "Hello"
+    assert text("<p>İİİİ</p><script>x</SCRIPT><p>Hello</p>") == "İİİİ\n\nHello"
+
+
 def test_mix(docs, empty):
     got = by_id(mixing.mix(docs))
     assert all(r.size == len(split(TEXTS[i])) and r.taken <= 3 * r.size for i, r in got.items())
