@@ -21,9 +21,11 @@ from .common import checkpointed
 
 #: Names of HTML elements by what they are here.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "audio", "video", "textarea", "title"}
+RAW = {"script", "style", "noscript", "template", "iframe", "svg", "annotation", "annotation-xml", "object", "canvas", "audio", "video", "textarea", "title"}
 SKIPPED = {"nav", "header", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "fieldset", "head", *RAW}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "picture", "br"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "picture", "br"} | {
+    "math", "semantics", "mi", "mn", "mo", "ms", "mtext", "mrow", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "mover", "munder", "munderover", "mstyle", "mspace", "mpadded", "mphantom", "menclose", "merror", "mmultiscripts", "mprescripts", "mtable", "mtr", "mtd",
+}
 CONTAINERS = {"body", "div", "section", "article", "main", "td", "center", "blockquote", "html"}
 #: Elements that end an open paragraph when they begin.
 ENDS_P = {"p", "div", "section", "article", "main", "ul", "ol", "li", "dl", "table", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "hr", "form", "nav", "header", "footer", "aside", "figure", "fieldset", "center", "dialog", "menu"}
@@ -33,6 +35,8 @@ BOILERPLATE = {
     "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "comment", "comments", "disqus", "reply", "replies", "respond", "share", "sharing", "social", "related", "recommended",
     "newsletter", "subscribe", "subscription", "signup", "login", "search", "widget", "toolbar", "pagination", "pager", "skip", "complementary", "contentinfo", "copyright", "legal", "disclaimer",
 }
+#: Parts of a class or id that say something about a page or container which isn't boilerplate itself.
+ABOUT = re.compile(r"^(?:has|no|not|with|without|hide|show|is)[-_]|[-_](?:open|opened|closed|enabled|disabled|active|inactive|on|off|left|right|none)$")
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=<))|</?[a-zA-Z][^<>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: Ends of raw elements; sought in the source itself, as lower() makes two characters of some.
@@ -67,16 +71,34 @@ def _step(tag: str, own: dict[str, str]) -> str:
     return ".".join([tag, *names[:4]])
 
 
-def _marked(own: dict[str, str]) -> bool:
-    words = _WORDS.findall(f"{own.get('class', '')} {own.get('id', '')} {own.get('role', '')}".lower().replace("_", " "))
-    return not BOILERPLATE.isdisjoint(words) or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
+def _hidden(own: dict[str, str]) -> bool:
+    return "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
+
+
+def _marked(own: dict[str, str], in_article: bool) -> bool:
+    names = [n for n in f"{own.get('class', '')} {own.get('id', '')} {own.get('role', '')}".lower().split() if not ABOUT.search(n)]
+    words = {w for n in names for w in _WORDS.findall(n.replace("_", " "))}
+    return not BOILERPLATE.isdisjoint(words - {"header"} if in_article else words)
 
 
 def parse(source: str) -> Page:
-    """Blocks and containers of a page; markup may be broken or cut off."""
+    """Blocks and containers of a page; markup may be broken or cut off.
+
+    Elements with the name of boilerplate are left out, but never article and main, and none that holds
+    most of the page's letters outside of links, unless an article or main stands apart from all such.
+    """
+    page, spared = _parsed(source, frozenset())
+    return _parsed(source, spared)[0] if spared else page
+
+
+def _parsed(source: str, spared: frozenset[int]) -> tuple[Page, frozenset[int]]:
+    """The page, and the marked elements (by the place of their tags) that hold most of its letters."""
     page = Page()
-    open_: list[tuple[str, bool, int | None]] = []  # tag, whether it is boilerplate, its container
-    skipping, links = 0, 0
+    open_: list[tuple[str, bool, int | None, tuple[int, int] | None]] = []  # tag, whether it is boilerplate, its container; if only by name, its place and the letters before it
+    skipping, links, named, articles = 0, 0, 0, 0
+    lit = dimmed = 0  # letters outside of links: shown, and left out only by the name of an element
+    held: dict[int, int] = {}
+    apart = False
     inside: tuple[int, ...] = ()
     path = ""
     text: list[str] = []
@@ -90,9 +112,13 @@ def parse(source: str) -> Page:
             text, linked = [], 0
 
     def close() -> None:
-        nonlocal skipping, inside, path
-        _, dark, number = open_.pop()
+        nonlocal skipping, inside, path, named, articles
+        tag, dark, number, mark = open_.pop()
         skipping -= dark
+        articles -= tag == "article"
+        if mark:
+            named -= 1
+            held[mark[0]] = dimmed - mark[1]
         if number is not None:
             inside = inside[:-1]
             path = page.paths[inside[-1]] if inside else ""
@@ -106,6 +132,10 @@ def parse(source: str) -> Page:
             text.append(piece)
             if links:
                 linked += len(piece.strip())
+            else:
+                lit += len(piece.strip())
+        elif stop > at and skipping == named and not links:
+            dimmed += len(html.unescape(source[at:stop]).strip())
         if m is None:
             break
         at = m.end()
@@ -126,12 +156,12 @@ def parse(source: str) -> Page:
         flush()
         links = 0
         if m[1]:
-            if any(t == tag for t, _, _ in open_):
+            if any(t[0] == tag for t in open_):
                 while open_[-1][0] != tag:
                     close()
                 close()
             continue
-        if tag in ENDS_P and any(t == "p" for t, _, _ in open_):
+        if tag in ENDS_P and any(t[0] == "p" for t in open_):
             while open_[-1][0] != "p":
                 close()
             close()
@@ -140,17 +170,25 @@ def parse(source: str) -> Page:
         if tag in VOID or m[3].endswith("/"):
             continue
         own = _attributes(m[3])
-        dark = tag in SKIPPED or (_marked(own) and tag not in ("html", "body"))
+        dark = (tag in SKIPPED and not (tag == "header" and articles)) or (_hidden(own) and tag not in ("html", "body"))
+        mark = None
+        if not dark and tag not in ("html", "body", "article", "main") and m.start() not in spared and _marked(own, articles > 0):
+            dark, mark = True, (m.start(), dimmed)
+        apart |= tag in ("article", "main") and not skipping and not dark
         number = None
         if tag in CONTAINERS and not skipping and not dark:
             path = f"{path}/{_step(tag, own)}"
             number = len(page.paths)
             page.paths.append(path)
             inside = (*inside, number)
-        open_.append((tag, dark, number))
+        open_.append((tag, dark, number, mark))
         skipping += dark
+        named += mark is not None
+        articles += tag == "article"
     flush()
-    return page
+    while open_:
+        close()
+    return page, frozenset() if apart else frozenset(k for k, n in held.items() if 2 * n > lit + dimmed)
 
 
 def scores(page: Page) -> list[float]:

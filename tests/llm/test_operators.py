@@ -283,6 +283,24 @@ def test_html_text_after_letters_that_grow_in_lower_case():
     assert text("<p>İİİİ</p><script>x</SCRIPT><p>Hello</p>") == "İİİİ\n\nHello"
 
 
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<div class='content has-sidebar'><p>The whole article</p></div>", "The whole article"),
+        ("<main class='no-sidebar'><p>The whole article</p></main>", "The whole article"),
+        ("<article class='post comments-open'><p>The whole article</p></article>", "The whole article"),
+        ("<div id='search-results-article'><p>The whole article</p></div><div class='ads'>Buy</div>", "The whole article"),
+        ("<div class='notice'><div id='related'><p>The whole article", "The whole article"),
+        ("<article><header class='entry-header'><h1>Title</h1></header><p>Body of it</p><div class='comments'>More letters than the body has</div></article>", "Title\n\nBody of it"),
+        ("<header>Site</header><div class='sidebar'>Side</div><div><p>The whole article</p></div>", "The whole article"),
+        ("<p>As <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>", "As x=1 holds"),
+        ("<div class='widget' style='display: none'>Hidden, of many letters</div><p>Shown</p>", "Shown"),
+    ],
+)
+def test_html_keeps_articles_with_names_of_boilerplate(source, want):
+    assert html_extract.main_text(html_extract.parse(f"<html><body>{source}"), None) == want
+
+
 def test_mix(docs, empty):
     got = by_id(mixing.mix(docs))
     assert all(r.size == len(split(TEXTS[i])) and r.taken <= 3 * r.size for i, r in got.items())
