@@ -21,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one, as in tests, only where none is set."""
+    """The folder in spark.checkpoint.dir; a temporary one only where none is set and the executors are threads of this process, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="bagdiv-checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="bagdiv-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -36,6 +39,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that `checkpointed` wrote, once nothing reads them any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        for file in df.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if folder.getName().startswith("table-"):
+                folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def fresh(names: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, longer by underscores where a table has them already, whatever their case."""
+    held = {n.lower() for n in names}
+    out = []
+    for name in wanted:
+        while name.lower() in held:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of 64-bit integers (the finaliser of splitmix64)."""
     x = x.astype(U64, copy=True)

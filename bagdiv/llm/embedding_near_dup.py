@@ -5,8 +5,8 @@ vectors are within squared distance D2 = 2 - 2t, then in at least one block thei
 within that block's share of D2, in proportion to its dimensions. So each block is range-joined under
 its own budget and the union of what the blocks find holds every link. A pair counts in the one block in
 which its distance is the smallest share of the budget, which needs no pass to drop repeats, and it is
-verified on the vectors as they came. A task returns, for each vector, a count and one edge of a local
-forest, never the list of pairs.
+verified on the vectors as they came. Equal vectors of one label are one class, which takes part once, with its
+number of copies. A task returns, for each class, a count and one edge of a local forest, never the list of pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import long_array, mix64
+from .common import checkpointed, long_array, mix64
 from .components import connected_components
 
 #: Rounding allowance in the search; the verification has none.
@@ -82,8 +82,8 @@ def cell_key(cells: np.ndarray) -> np.ndarray:
     return key
 
 
-def _usable(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, labels, vectors) by length of the vector, without those that link with nothing."""
+def _usable(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, labels, vectors, copies) by length of the vector, without those that link with nothing."""
     ids, vectors, labels = (batch.column(i) for i in range(3))
     lengths = np.array([-1 if n is None else n for n in pa.compute.list_value_length(vectors).to_pylist()], np.int64)
     known = ~labels.is_null().to_numpy(zero_copy_only=False)
@@ -93,11 +93,12 @@ def _usable(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         rows = np.flatnonzero(known & (lengths == dim))
         flat = vectors.take(pa.array(rows)).flatten().cast(pa.float64()).fill_null(math.nan)
         x = flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
-        with np.errstate(all="ignore"):
-            norm = np.linalg.norm(x, axis=1)
-        good = np.isfinite(norm) & (norm > 0)
-        rows = rows[good]
-        yield ids.take(pa.array(rows)).to_numpy(), labels.take(pa.array(rows)).to_numpy().astype(np.int64), x[good]
+        largest = np.abs(x).max(1)
+        good = np.isfinite(largest) & (largest > 0)
+        rows, x = rows[good], x[good]
+        # By a power of two, which costs no digit, so that no square is too large or too small.
+        x = np.ldexp(x, -np.frexp(largest[good])[1][:, None])
+        yield ids.take(pa.array(rows)).to_numpy(), labels.take(pa.array(rows)).to_numpy().astype(np.int64), x, batch.column(3).take(pa.array(rows)).to_numpy()
 
 
 def _coded(block_dim: int, threshold: float, grid: int, kind: str, probes: bool):
@@ -105,7 +106,7 @@ def _coded(block_dim: int, threshold: float, grid: int, kind: str, probes: bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, labels, x in _usable(batch):
+            for ids, labels, x, copies in _usable(batch):
                 dim = x.shape[1]
                 at = Blocks(dim, block_dim, threshold)
                 turned = at.turned(x)
@@ -124,7 +125,7 @@ def _coded(block_dim: int, threshold: float, grid: int, kind: str, probes: bool)
                     row = np.concatenate(rows)
                     out = {"label": pa.array(labels[row]), "dim": pa.array(np.full(len(row), dim, np.int32)), "block": pa.array(np.full(len(row), b, np.int32)), "cell": long_array(cell_key(np.concatenate(cells)))}
                     if probes:
-                        out |= {"probe": pa.array(np.concatenate(roles)), "vec_id": pa.array(ids[row]), "raw": raw.take(pa.array(row))}
+                        out |= {"probe": pa.array(np.concatenate(roles)), "vec_id": pa.array(ids[row]), "copies": pa.array(copies[row]), "raw": raw.take(pa.array(row))}
                     yield pa.RecordBatch.from_pydict(out)
 
     return run
@@ -146,7 +147,7 @@ def _linked(block_dim: int, threshold: float, kind: str):
     """Counts and forest edges; rows come sorted by cell, the vectors at home before the probes."""
 
     def pairs(at: Blocks, b: int, home: tuple, probe: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        (hid, hx, ht), (pid, px, pt) = home, probe
+        (hid, hx, ht, _), (pid, px, pt, _) = home, probe
         own = slice(at.starts[b], at.starts[b] + at.sizes[b])
         hb, hn = ht[:, own], np.linalg.norm(hx, axis=1)
         for lo in range(0, len(pid), 512):
@@ -170,7 +171,8 @@ def _linked(block_dim: int, threshold: float, kind: str):
             return None
         names, where = np.unique(np.concatenate([probe[0][i], home[0][j]]), return_inverse=True)
         root = local_roots(len(names), where[: len(i)], where[len(i) :])
-        return pa.RecordBatch.from_pydict({"vec_id": pa.array(names), "links": pa.array(np.bincount(where, minlength=len(names)).astype(np.int64)), "root": pa.array(names[root])})
+        met = np.bincount(where, np.concatenate([home[3][j], probe[3][i]]), len(names))
+        return pa.RecordBatch.from_pydict({"vec_id": pa.array(names), "links": pa.array(met.astype(np.int64)), "root": pa.array(names[root])})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, at, home = None, None, []
@@ -185,7 +187,7 @@ def _linked(block_dim: int, threshold: float, kind: str):
                     at = Blocks(int(key[1]), block_dim, threshold)
                 raw = batch.column("raw").slice(lo, hi - lo).to_pylist()
                 x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
-                here = (batch.column("vec_id").slice(lo, hi - lo).to_numpy(), x, at.turned(x))
+                here = (batch.column("vec_id").slice(lo, hi - lo).to_numpy(), x, at.turned(x), batch.column("copies").slice(lo, hi - lo).to_numpy())
                 if not probes[lo]:
                     home = [here if not home else tuple(np.concatenate(z) for z in zip(home[0], here))]
                 elif home and (out := counted(at, int(key[2]), home[0], here)) is not None:
@@ -195,39 +197,56 @@ def _linked(block_dim: int, threshold: float, kind: str):
 
 
 def near_duplicate_links(vectors: DataFrame, threshold: float = 0.98, block_dim: int = 8, tile: int = 4096, broadcast_cells: int = 100_000) -> DataFrame:
-    """vectors (vec_id, embedding, label) -> (vec_id, links, root): partial counts and forest edges, of linked vectors only.
+    """vectors (vec_id, embedding, label, copies) -> (vec_id, links, root): partial counts and forest edges, of linked vectors
+    only. copies: as how many links a link to the vector counts.
 
     tile: vectors at home in one task; a cell with more is split and its probes go to each part. The
     grid over a block has more axes the more vectors the largest label has. The table of such cells
     is broadcast up to broadcast_cells rows and joined by shuffle beyond.
     """
     kind = "<f4" if "float" in dict(vectors.dtypes)["embedding"] else "<f8"
-    own = vectors.select("vec_id", "embedding", "label")
+    own = vectors.select("vec_id", "embedding", "label", "copies")
     most = own.where("label is not null").groupBy("label").count().agg(F.max("count")).first()[0] or 0
     grid = max(1, min(block_dim, math.ceil(math.log(max(most, 1) / tile, 4)))) if most > tile else 1
     crowd = own.mapInArrow(_coded(block_dim, threshold, grid, kind, False), CELL).groupBy("label", "dim", "block", "cell").count().where(F.col("count") > tile)
     cells = crowd.select("label", "dim", "block", "cell", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
     few = cells.limit(broadcast_cells + 1).count() <= broadcast_cells
-    rows = own.mapInArrow(_coded(block_dim, threshold, grid, kind, True), f"{CELL}, probe tinyint, vec_id long, raw binary")
+    rows = own.mapInArrow(_coded(block_dim, threshold, grid, kind, True), f"{CELL}, probe tinyint, vec_id long, copies long, raw binary")
     rows = rows.join(F.broadcast(cells) if few else cells, ["label", "dim", "block", "cell"], "left")
     tiles = F.coalesce("tiles", F.lit(1))
     at = F.when(F.col("probe") == 1, F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(F.pmod(F.xxhash64("vec_id"), tiles).cast("int")))
-    rows = rows.select("label", "dim", "block", "cell", F.explode(at).alias("tile"), "probe", "vec_id", "raw")
+    rows = rows.select("label", "dim", "block", "cell", F.explode(at).alias("tile"), "probe", "vec_id", "copies", "raw")
     key = ["label", "dim", "block", "cell", "tile"]
     return rows.repartition(*key).sortWithinPartitions(*key, "probe").mapInArrow(_linked(block_dim, threshold, kind), "vec_id long, links long, root long")
 
 
+def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members (vec_id, label, one, two), classes (vec_id, embedding, label, copies, one, two)) of the vectors that can link.
+
+    A class has equal vectors and labels, told by two hashes of 64 bits; its vec_id is the smallest of its members.
+    """
+    e = F.col("embedding")
+    sound = (F.size(e) > 0) & F.forall(e, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < F.lit(math.inf)), F.lit(False))) & F.exists(e, lambda v: v != 0)
+    able = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(sound, F.lit(False))
+    marked = vectors.select("vec_id", "embedding", "label", F.when(able, F.xxhash64("embedding")).alias("one"), F.when(able, F.xxhash64(F.lit(1), "embedding")).alias("two"))
+    found = marked.where("one is not null").groupBy("label", "one", "two").agg(F.min("vec_id").alias("vec_id"), F.first("embedding").alias("embedding"), F.count("*").alias("copies"))
+    return marked.select("vec_id", "label", "one", "two"), checkpointed(found)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, **how) -> DataFrame:
     """vectors (vec_id, embedding, label; more are ignored) -> (vec_id, n_links, component_id, kept), a row for each vector.
 
     Linked: equal labels that aren't null, vectors of one length and cosine >= threshold in double
     precision. A vector that is null, empty, zero or has a null or non-finite component links with
-    nothing and is kept. vec_id is taken as unique; an empty table gives no rows.
+    nothing and is kept, and so is one without a vec_id. Rows of one vec_id count as links of their own, and are in one
+    component if their vectors link; an empty table gives no rows.
     """
-    from .common import checkpointed
-
-    found = checkpointed(near_duplicate_links(vectors, threshold, **how).groupBy("vec_id", "root").agg(F.sum("links").alias("links")))
-    counts = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
+    members, own = classes(vectors)
+    found = checkpointed(near_duplicate_links(own, threshold, **how).groupBy("vec_id", "root").agg(F.sum("links").alias("links")))
+    counts = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     component = connected_components(found, "vec_id", "root").select(F.col("id").alias("vec_id"), F.col("component").alias("component_id"))
-    every = vectors.select("vec_id").join(counts, "vec_id", "left").join(component, "vec_id", "left")
+    ended = own.select("vec_id", "label", "one", "two", "copies").join(counts, "vec_id", "left").join(component, "vec_id", "left")
+    ended = ended.select("label", "one", "two", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    # Written, so that a class of very many copies can be split when they meet it.
+    every = members.join(checkpointed(ended), ["label", "one", "two"], "left")
     return every.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -35,10 +35,13 @@ BOILERPLATE = {
     "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "comment", "comments", "disqus", "reply", "replies", "respond", "share", "sharing", "social", "related", "recommended",
     "newsletter", "subscribe", "subscription", "signup", "login", "search", "widget", "toolbar", "pagination", "pager", "skip", "complementary", "contentinfo", "copyright", "legal", "disclaimer",
 }
+#: Of these, the words that mark an advert within a line of text.
+ADVERTS = {"ad", "ads", "advert", "advertisement", "adverts", "sponsor", "sponsored", "promo", "promotion"}
 #: Parts of a class or id that say something about a page or container which isn't boilerplate itself.
 ABOUT = re.compile(r"^(?:has|no|not|with|without|hide|show|is)[-_]|[-_](?:open|opened|closed|enabled|disabled|active|inactive|on|off|left|right|none)$")
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=<))|</?[a-zA-Z][^<>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+MARKS = re.compile(r"\b(?:class|id|role|hidden|style)\b", re.I)
 #: Ends of raw elements; sought in the source itself, as lower() makes two characters of some.
 SHUT = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 _WORDS = re.compile(r"[a-z]+")
@@ -68,16 +71,21 @@ def _attributes(text: str) -> dict[str, str]:
 def _step(tag: str, own: dict[str, str]) -> str:
     """A tag and its classes, generalised: sorted, in lower case, without digits."""
     names = sorted({re.sub(r"\d+", "", c) for c in own.get("class", "").lower().split()} - {""})
-    return ".".join([tag, *names[:4]])
+    return ".".join([tag, *names])
 
 
 def _hidden(own: dict[str, str]) -> bool:
     return "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
 
 
-def _marked(own: dict[str, str], in_article: bool) -> bool:
+def _names(own: dict[str, str]) -> set[str]:
+    """Words of a class, id and role, without those that speak about something else."""
     names = [n for n in f"{own.get('class', '')} {own.get('id', '')} {own.get('role', '')}".lower().split() if not ABOUT.search(n)]
-    words = {w for n in names for w in _WORDS.findall(n.replace("_", " "))}
+    return {w for n in names for w in _WORDS.findall(n.replace("_", " "))}
+
+
+def _marked(own: dict[str, str], in_article: bool) -> bool:
+    words = _names(own)
     return not BOILERPLATE.isdisjoint(words - {"header"} if in_article else words)
 
 
@@ -95,7 +103,7 @@ def _parsed(source: str, spared: frozenset[int]) -> tuple[Page, frozenset[int]]:
     """The page, and the marked elements (by the place of their tags) that hold most of its letters."""
     page = Page()
     open_: list[tuple[str, bool, int | None, tuple[int, int] | None]] = []  # tag, whether it is boilerplate, its container; if only by name, its place and the letters before it
-    skipping, links, named, articles = 0, 0, 0, 0
+    skipping, links, named, articles, within = 0, 0, 0, 0, 0
     lit = dimmed = 0  # letters outside of links: shown, and left out only by the name of an element
     held: dict[int, int] = {}
     apart = False
@@ -112,9 +120,10 @@ def _parsed(source: str, spared: frozenset[int]) -> tuple[Page, frozenset[int]]:
             text, linked = [], 0
 
     def close() -> None:
-        nonlocal skipping, inside, path, named, articles
+        nonlocal skipping, inside, path, named, articles, within
         tag, dark, number, mark = open_.pop()
         skipping -= dark
+        within -= tag in INLINE
         articles -= tag == "article"
         if mark:
             named -= 1
@@ -147,6 +156,18 @@ def _parsed(source: str, spared: frozenset[int]) -> tuple[Page, frozenset[int]]:
         if tag in INLINE:
             if tag == "br" and not skipping:
                 text.append(" ")
+            # An inline element is followed only if it is an advert or hidden, and those of its name within it.
+            elif m[1]:
+                if within and any(t[0] == tag for t in open_):
+                    while open_[-1][0] != tag:
+                        close()
+                    close()
+            elif tag not in VOID and not m[3].endswith("/") and (within or MARKS.search(m[3])):
+                own = _attributes(m[3])
+                if dark := _hidden(own) or not ADVERTS.isdisjoint(_names(own)) or (within and any(t[0] == tag for t in open_)):
+                    open_.append((tag, dark, None, None))
+                    skipping += 1
+                    within += 1
             continue
         if tag in RAW and not m[1]:
             if not m[3].endswith("/") or tag in ("script", "style", "title", "textarea"):
@@ -256,7 +277,8 @@ def extract(pages: DataFrame, broadcast_hosts: int = 100_000, salts: int = 32) -
     """pages (page_id, url, html; more are ignored) -> (page_id, url, text, n_chars), a row for each page.
 
     Null html gives an empty text; a null or odd url belongs to the host "", whose pages vote like those of any
-    other. Winning paths are broadcast for at most broadcast_hosts hosts; beyond, pages and paths are joined by
+    other. Every row is a page of its own, repeated and null page_ids too; an empty table gives no rows; long pages are
+    read whole. Of paths with equal votes the one with more letters wins, then the greater name. Winning paths are broadcast for at most broadcast_hosts hosts; beyond, pages and paths are joined by
     shuffle, each host in `salts` parts so that a large one is spread.
     """
     paths = checkpointed(host_paths(pages)).select(F.col("host").alias("_host"), F.col("path").alias("_path"))
@@ -264,7 +286,7 @@ def extract(pages: DataFrame, broadcast_hosts: int = 100_000, salts: int = 32) -
     if paths.limit(broadcast_hosts + 1).count() <= broadcast_hosts:
         met = own.join(F.broadcast(paths), "_host", "left")
     else:
-        own = own.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)))
+        own = own.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(salts)))
         met = own.join(paths.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))), ["_host", "_salt"], "left")
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
     return met.select("page_id", "url", "html", "_path").mapInArrow(_extracted(["page_id", "url"]), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

@@ -3,8 +3,9 @@
 The exact side is a table of holders (key, doc_id): one row for each document that holds a line of the key;
 its counts by key are the reference counts. A key held by two documents or more is shared. Each shard of the
 key space has a cuckoo filter of its shared keys. Documents probe the filters, so that only lines that
-may be shared are joined to the exact counts. Deleting documents lowers the counts and deletes from the
-filters the keys that are no longer shared.
+may be shared are joined to the exact counts: in the task that reads them while all filters fit a broadcast,
+and in the shard's own tasks beyond. Deleting documents lowers the counts and deletes from the filters the keys
+that are no longer shared.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, fresh
 
 BLANKS = b" \t\n\v\f\r"
 KEY = ["hi", "lo"]
 #: Keys in one shard's filter, as planned for; and the filters' bytes that are broadcast at most.
 SHARD_KEYS, FILTER_BYTES, BROADCAST_ROWS = 1 << 16, 1 << 26, 100_000
+#: Lines of shared keys that one task probes where shards have tasks of their own.
+TASK_LINES = 1 << 22
 _STIR = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
 
@@ -46,8 +49,9 @@ class CuckooFilter:
         self.buckets = len(self.table)
 
     def places(self, hi: int, lo: int) -> tuple[int, int, int]:
+        """Fingerprint and buckets, from bits of lo; the shard is a matter of hi alone."""
         mark = (lo & 0xFFFF) or 1
-        one = (hi & _ALL) & (self.buckets - 1)
+        one = (lo & _ALL) >> 16 & (self.buckets - 1)
         return mark, one, one ^ self.hop(mark)
 
     def hop(self, mark: int) -> int:
@@ -61,7 +65,7 @@ class CuckooFilter:
         mark = lo.astype(np.uint64) & np.uint64(0xFFFF)
         mark[mark == 0] = 1
         mask = np.uint64(self.buckets - 1)
-        one = hi.astype(np.uint64) & mask
+        one = (lo.astype(np.uint64) >> np.uint64(16)) & mask
         with np.errstate(over="ignore"):
             two = one ^ ((mark * np.uint64(_STIR) >> np.uint64(20)) & mask)
         return (self.table[one] == mark[:, None]).any(1) | (self.table[two] == mark[:, None]).any(1)
@@ -196,12 +200,11 @@ class LineIndex:
         """Without the documents of a table (doc_id)."""
         return self._moved(replace(self, holders=checkpointed(self.holders.join(doc_ids.select("doc_id"), "doc_id", "left_anti").select(*KEY, "doc_id")), known=None))
 
-    def dropped(self, documents: DataFrame) -> DataFrame:
-        """(doc_id, gone): keys that documents of the index lose, as an array of 16-byte strings; only documents that lose some."""
-        lines = documents.select("doc_id", "text")
-        n, least = self.shards, self.least
-        if self.filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0] <= FILTER_BYTES:
-            held = documents.sparkSession.sparkContext.broadcast({r.shard: bytes(r.filter) for r in self.filters.collect()})
+    def _hits(self, lines: DataFrame, filter_bytes: int) -> DataFrame:
+        """(hi, lo, doc_id) of lines that the filters hold: all that are shared, and a few others."""
+        n, least, kind = self.shards, self.least, "hi long, lo long, doc_id long"
+        if self.filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0] <= filter_bytes:
+            held = lines.sparkSession.sparkContext.broadcast({r.shard: bytes(r.filter) for r in self.filters.collect()})
 
             def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 tables = {k: CuckooFilter(8, v) for k, v in held.value.items()}
@@ -213,49 +216,92 @@ class LineIndex:
                             hit[shard == s] = tables[s].contains(hi[shard == s], lo[shard == s])
                     yield batch.filter(pa.array(hit))
 
-            maybe = lines.mapInArrow(probed, "hi long, lo long, doc_id long")
-        else:
-            maybe = lines.mapInArrow(_lines(least), "hi long, lo long, doc_id long")
+            return lines.mapInArrow(probed, kind)
+        # A shard of very common lines has several tasks, each with a copy of its filter.
+        tasks = self.shared().groupBy(self._shard(n)).agg((F.floor(F.sum("refs") / TASK_LINES) + 1).cast("int").alias("tasks"))
+        asked = lines.mapInArrow(_lines(least), kind).withColumn("shard", self._shard(n)).join(F.broadcast(tasks), "shard")
+        asked = asked.select("shard", F.pmod(F.xxhash64("doc_id"), "tasks").cast("int").alias("task"), *KEY, "doc_id", F.lit(None).cast("binary").alias("filter"))
+        given = self.filters.join(tasks, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), *(F.lit(None).cast("long").alias(c) for c in (*KEY, "doc_id")), "filter")
+        rows = given.unionByName(asked).repartition("shard", "task").sortWithinPartitions("shard", "task", F.col("filter").isNull())
+        return rows.mapInArrow(_probed_in_shards, kind)
+
+    def dropped(self, documents: DataFrame, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+        """(doc_id, gone): keys that documents of the index lose, as an array of 16-byte strings; only documents that lose some.
+
+        filter_bytes: of filters that are broadcast; larger ones stay with their shards, and the lines come to them.
+        """
+        maybe = self._hits(documents.select("doc_id", "text"), filter_bytes)
         shared = self.shared().select(*KEY, "owner")
         few = shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        met = maybe.join(F.broadcast(shared) if few else shared, KEY).where("doc_id > owner")
+        met = maybe.join(F.broadcast(shared) if few else shared, KEY).where("doc_id > owner").select("doc_id", *KEY).distinct()
         return met.groupBy("doc_id").agg(F.collect_list(F.struct(*KEY)).alias("gone"))
 
-    def rewritten(self, documents: DataFrame, keep_text: bool = True) -> DataFrame:
-        """documents with n_lines, n_dropped, kept_sha256 and, if asked for, their text without the dropped lines."""
-        rest = [c for c in documents.columns if c not in ("n_lines", "n_dropped", "kept_sha256")]
+    def rewritten(self, documents: DataFrame, keep_text: bool = True, facts: bool = True, **how) -> DataFrame:
+        """documents without the dropped lines in their text (if asked for), and with n_lines, n_dropped, kept_sha256 (if asked for)."""
+        rest = [c for c in documents.columns if not facts or c.lower() not in FACTS]
         documents = documents.select(*rest) if keep_text else documents.select("doc_id", "text")
-        rows = documents.join(self.dropped(documents), "doc_id", "left")
+        gone = fresh(documents.columns, "gone")[0]
+        rows = documents.join(self.dropped(documents, **how).withColumnRenamed("gone", gone), "doc_id", "left").select(*documents.columns, gone)
         names = [c for c in documents.columns if c != "text" or keep_text]
-        schema = [f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names]
-        return rows.mapInArrow(_rewritten(self.least, names), ", ".join([*schema, "n_lines long", "n_dropped long", "kept_sha256 string"]))
+        schema = [f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names] + ["n_lines long", "n_dropped long", "kept_sha256 string"] * facts
+        return rows.mapInArrow(_rewritten(self.least, names, gone, facts), ", ".join(schema))
 
 
-def _rewritten(least: int, names: list[str]):
+def _probed_in_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, task, hi, lo, doc_id, filter), in each shard and task the filter before the lines."""
+    now, held = None, None
+    for batch in batches:
+        place = np.column_stack([batch.column(c).to_numpy() for c in ("shard", "task")])
+        edges = np.flatnonzero(np.append(True, (place[1:] != place[:-1]).any(1))) if len(place) else []
+        for lo, hi in zip(edges, [*edges[1:], len(place)]):
+            part = batch.slice(lo, hi - lo)
+            if tuple(place[lo]) != now:
+                now, held = tuple(place[lo]), None
+            if part.column("filter")[0].is_valid:
+                held, part = CuckooFilter(8, part.column("filter")[0].as_py()), part.slice(1)
+            if held is not None and part.num_rows:
+                keys = part.select(["hi", "lo", "doc_id"])
+                yield keys.filter(pa.array(held.contains(keys.column(0).to_numpy(), keys.column(1).to_numpy())))
+
+
+#: Columns that are added to documents.
+FACTS = ("n_lines", "n_dropped", "kept_sha256")
+
+
+def _rewritten(least: int, names: list[str], lost_keys: str, facts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n, dropped, sha = [], [], [], []
-            for text, gone in zip(batch.column("text"), batch.column("gone")):
+            for text, gone in zip(batch.column("text"), batch.column(lost_keys)):
                 lines = (text.as_py() or "").encode("utf-8", "replace").split(b"\n")
                 kept = lines
                 if gone.is_valid:
                     lost = {(k["hi"], k["lo"]) for k in gone.as_py()}
                     kept = [x for x in lines if line_key(x, least) not in lost]
                 left = b"\n".join(kept)
-                texts.append(left.decode() if gone.is_valid else text.as_py())
-                n.append(len(lines)), dropped.append(len(lines) - len(kept)), sha.append(hashlib.sha256(left).hexdigest())
+                texts.append(left.decode() if gone.is_valid and text.is_valid else text.as_py())
+                if facts:
+                    n.append(len(lines)), dropped.append(len(lines) - len(kept)), sha.append(hashlib.sha256(left).hexdigest())
             own = {c: pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names}
-            yield pa.RecordBatch.from_pydict(own | {"n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
+            if facts:
+                own |= {"n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
+            yield pa.RecordBatch.from_pydict(own)
 
     return run
 
 
-def line_dedup(documents: DataFrame, least: int = 10, keep_text: bool = True) -> DataFrame:
+def line_dedup(documents: DataFrame, least: int = 10, keep_text: bool = True, **how) -> DataFrame:
     """documents (doc_id, text, …) -> the same with n_lines, n_dropped, kept_sha256.
 
     A text is split at \\n. Lines whose key (blanks stripped at both ends, A-Z in lower case) has at least
     `least` code points and is held by two documents or more stay only in the one with the smallest doc_id,
-    where they all stay. Null text is one empty line and stays null. doc_id is taken as unique and not
-    null; columns of the names that this adds are replaced; an empty table gives no rows.
+    where they all stay. Null text is one empty line and stays null; empty and very long texts are as any other.
+    Rows of one doc_id are parts of one document: a line that they share stays in all of them. Rows without a
+    doc_id lose nothing. Columns of the names that this adds are replaced; an empty table gives no rows.
     """
-    return LineIndex.of(documents, least).rewritten(documents, keep_text)
+    return LineIndex.of(documents, least).rewritten(documents, keep_text, **how)
+
+
+def without_repeated_lines(documents: DataFrame, least: int = 10, **how) -> DataFrame:
+    """documents without the lines that `line_dedup` drops, and with the columns that they had."""
+    return LineIndex.of(documents, least).rewritten(documents, facts=False, **how)

@@ -1,16 +1,16 @@
 """Language-model scores by a weighted backoff automaton.
 
-The states are the histories of up to two words of the training documents, all of them: an arc carries the
-log-probability of a word after a history, a failure arc the backoff weight to the next shorter one. No n-gram is
-dropped. Words are 64-bit hashes; the arcs are a table made by shuffle, in which each n-gram that any document
-holds has its weight, that of the failure arcs on its way included. Arcs of the most frequent n-grams are broadcast
-as well, and only what a text has besides them is joined by shuffle. `Automaton` is the same model in one process.
+The states are the empty history and every word of the training documents as a history. An arc carries the
+log-probability of a word after a history (absolute discounting), a failure arc the weight of backing off to
+the empty history, which reads any word. No word pair is dropped, so the model grows with the corpus. It is
+never in one place: documents are dealt to groups of bounded size, a group asks the owners of states for the
+counts of the arcs that its texts can take, and compiles from their answers the part of the automaton that it
+needs, which reads its texts from left to right in one pass. Words are 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,137 +19,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, checkpointed, long_array, mix64, split_words, text_chunks
-from .frequent import above_cutoff
+from .common import U64, checkpointed, dropped, long_array, mix64, split_words, text_chunks
 
 #: The end of a text, counted as a token; no word holds white space.
 END = b" "
 DISCOUNT = 0.75
-BITS = 21
 END_HASH = U64(0x5D1F0C2A9B7E4361)
-_FIRST = U64(0x9E6C63D0876A9A47)
+_FIRST, _SLICE = U64(0x9E6C63D0876A9A47), U64(0xC2B2AE3D27D4EB4F)
+#: Bytes of text in a group of documents; and at most so many words whose arcs are dealt to several owners.
+GROUP_BYTES, HOT_WORDS = 12 << 20, 1 << 12
+#: Bytes of a word's hash by which it is named among the arcs of one state.
+SHORT = 6
 
 
 def folded(doc_id: str, mod: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(mod))
 
 
+def held_out_fold(mod: int, remainder: int) -> Column:
+    return F.coalesce(folded("doc_id", mod) == remainder, F.lit(False))
+
+
 def words(text: str | None) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` with A-Z in lower case, then the end."""
     return [*(text or "").encode("utf-8", "replace").lower().split(), END]
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: Counter = Counter()
-
-    def out() -> Iterator[pa.RecordBatch]:
-        rows = [*found.items()]
-        for i in range(0, len(rows), 100_000):
-            yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in rows[i : i + 100_000]], pa.binary()), "n": pa.array([n for _, n in rows[i : i + 100_000]], pa.int64())})
-
-    for batch in batches:
-        for text in batch.column(0):
-            found.update(words(text.as_py()))
-        if len(found) > 1_000_000:
-            yield from out()
-            found.clear()
-    yield from out()
-
-
-@dataclass
-class Unigrams:
-    """Probabilities of single words: absolute discounting, what it takes away going to all unseen words as one."""
-
-    total: int
-    distinct: int
-    discount: float
-
-    def log10(self, n: int) -> float:
-        if not self.total:
-            return 0.0
-        return math.log10((n - self.discount if n else self.discount * self.distinct) / self.total)
-
-    def column(self, n: Column) -> Column:
-        if not self.total:
-            return F.lit(0.0)
-        return F.log10(F.when(n > 0, n - F.lit(self.discount)).otherwise(F.lit(self.discount * self.distinct)) / F.lit(float(self.total)))
-
-    def base(self, n):
-        return (n + 1) / (self.total + 1 * (self.distinct + 1))
-
-
-@dataclass
-class Automaton:
-    """States are histories, 0 the empty one. arcs: (state << BITS | word) -> (log10 probability, next state)."""
-
-    lexicon: dict[bytes, int]
-    counts: list[int]
-    unigrams: Unigrams
-    arcs: dict[int, tuple[float, int]] = field(default_factory=dict)
-    fail: list[int] = field(default_factory=lambda: [0])
-    backoff: list[float] = field(default_factory=lambda: [0.0])
-    single: list[float] = field(default_factory=list)
-    rest: list[int] = field(default_factory=list)
-
-    def build(self, pairs: list[tuple[int, int, int]], triples: list[tuple[int, int, int, int]]) -> "Automaton":
-        p1 = self.single = [self.unigrams.log10(n) for n in self.counts]
-        state: dict[tuple[int, ...], int] = {(): 0}
-
-        def add(history: tuple[int, ...]) -> int:
-            if history not in state:
-                state[history] = len(self.fail)
-                self.fail.append(state.get(history[1:], 0)), self.backoff.append(0.0)
-            return state[history]
-
-        def weigh(by: dict[tuple, list[tuple[int, int]]], total, lower) -> list[tuple[tuple, int, float]]:
-            found = []
-            for history, nexts in by.items():
-                s, n = add(history), total(history)
-                left = 1 - sum(c - DISCOUNT for _, c in nexts) / n
-                self.backoff[s] = math.log10(max(left, 1e-12))
-                found += [(history, w, math.log10((c - DISCOUNT) / n + left * 10 ** lower(history, w))) for w, c in nexts]
-            return found
-
-        ahead: dict[tuple, list[tuple[int, int]]] = {}
-        for a, b, n in sorted(pairs):
-            ahead.setdefault((a,), []).append((b, n))
-        two = weigh(ahead, lambda h: self.counts[h[0]], lambda h, w: p1[w])
-        seen2, p2 = {(a, b): n for a, b, n in pairs}, {(*h, w): p for h, w, p in two}
-        ahead = {}
-        for a, b, c, n in sorted(triples):
-            if (a, b) in seen2 and a and b:
-                ahead.setdefault((a, b), []).append((c, n))
-        three = weigh(ahead, lambda h: seen2[h], lambda h, w: p2[h[1], w] if (h[1], w) in p2 else (self.backoff[state[h[1],]] if (h[1],) in state else 0.0) + p1[w])
-        for h, w, p in two + three:
-            to = state.get((h[-1], w))
-            self.arcs[state[h] << BITS | w] = (p, state.get((w,), 0) if to is None else to)
-        self.rest = [state.get((w,), 0) for w in range(len(p1))]
-        return self
-
-    def read(self, ids: list[int | None]) -> float:
-        """log10 probability of known words, and the backoff weights alone of others (None)."""
-        arcs, fail, backoff, single, rest = self.arcs, self.fail, self.backoff, self.single, self.rest
-        state, total = 0, 0.0
-        for w in ids:
-            if w is None:
-                while state:
-                    total += backoff[state]
-                    state = fail[state]
-                continue
-            while state:
-                arc = arcs.get(state << BITS | w)
-                if arc is not None:
-                    total += arc[0]
-                    state = arc[1]
-                    break
-                total += backoff[state]
-                state = fail[state]
-            else:
-                total += single[w]
-                state = rest[w]
-        return total
-
-
 def hashed(found: list[bytes]) -> np.ndarray:
     """Hashes of words as `split_words` makes them; END has one of its own."""
     out = np.full(len(found), END_HASH, U64)
@@ -172,159 +67,243 @@ def sequences(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield i, np.insert(h, bounds[1:], END_HASH), bounds + np.arange(len(bounds))
 
 
-def _ngrams(order: int):
-    """(text, learned) -> counts of n-grams in training texts; 0 for those that only others hold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            rows = np.concatenate(held)
-            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-            first = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1)))
-            n = np.add.reduceat(rows[:, 2], first).astype(np.int64)
-            for lo in range(0, len(first), 100_000):
-                at = first[lo : lo + 100_000]
-                yield pa.RecordBatch.from_pydict({"history": long_array(rows[at, 0]), "low": long_array(rows[at, 1]), "n": pa.array(n[lo : lo + 100_000])})
-
-        for batch in batches:
-            learned = batch.column(1).to_numpy(zero_copy_only=False)
-            for i, h, bounds in sequences(batch.column(0)):
-                of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-                g = h if order == 2 else pair(h[:-1], h[1:])
-                whole = of[: len(of) - order + 1] == of[order - 1 :]
-                held.append(np.column_stack([g[:-1][whole], g[1:][whole], learned[i + of[order - 1 :][whole]].astype(U64)]))
-                size += len(held[-1])
-                if size > 1 << 21:
-                    yield from out()
-                    held.clear()
-                    size = 0
-        if size:
-            yield from out()
+@dataclass
+class Unigrams:
+    """Probabilities of single words: absolute discounting, what it takes away going to all unseen words as one.
 
-    return run
+    ends: how often a training text ended. hot: words whose arcs have several owners, with the number of those.
+    """
+
+    total: int
+    distinct: int
+    discount: float
+    ends: int = 0
+    hot: dict[int, int] = field(default_factory=dict)
+
+    def log10(self, n: np.ndarray) -> np.ndarray:
+        n = np.asarray(n, float)
+        if not self.total:
+            return np.zeros(n.shape)
+        return np.log10(np.where(n > 0, n - self.discount, self.discount * self.distinct) / self.total)
 
+    def base(self, n: np.ndarray) -> np.ndarray:
+        return np.log10((np.asarray(n, float) + 1) / (self.total + 1 * (self.distinct + 1)))
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(history, low) -> also the hash of both, which names the bigram."""
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, learned) -> (word, n) of training texts as far as the task saw them, and rows without a word with the bytes of all texts."""
+    held: list[np.ndarray] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        word, n = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        for lo in range(0, len(word), 100_000):
+            part = slice(lo, lo + 100_000)
+            yield pa.RecordBatch.from_arrays([long_array(word[part]), pa.array(n[part].astype(np.int64))], ["word", "n"])
+
+    size = 0
     for batch in batches:
-        a, b = (batch.column(k).to_numpy().view(U64) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([*batch.columns, long_array(pair(a, b))], [*batch.schema.names, "key"])
+        learned = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        size += batch.column(0).nbytes
+        for i, h, bounds in sequences(batch.column(0)):
+            n = np.diff(bounds)
+            held.append(h[np.repeat(learned[i : i + len(n)], n)])
+        if sum(map(len, held)) > 1 << 22:
+            yield from out()
+    if held:
+        yield from out()
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([size], pa.int64())], ["word", "n"])
+
+
+def count_words(texts: DataFrame, hot: int = HOT_WORDS) -> tuple[Unigrams, int]:
+    """texts (text, held_out) -> (counts of single words in those that aren't held out, bytes of all texts)."""
+    rows = texts.select("text", F.coalesce(~F.col("held_out"), F.lit(False))).mapInArrow(_word_counts, "word long, n long")
+    counts = checkpointed(rows.groupBy("word").agg(F.sum("n").alias("n")))
+    known = counts.where("word is not null")
+    total, distinct, once, twice = known.agg(F.sum("n"), F.count("*"), F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).first()
+    total, once, twice = total or 0, once or 0, twice or 0
+    size = counts.where("word is null").agg(F.sum("n")).first()[0] or 0
+    ends = known.where(F.col("word") == int(END_HASH.astype(np.int64))).agg(F.sum("n")).first()[0] or 0
+    # Fewer than `hot` words can exceed this share of all tokens; how their arcs are dealt changes no score.
+    most = max(1 << 16, -(-total // hot))
+    many = {r.word % 2**64: -(-r.n // most) for r in known.where(F.col("n") > most).collect()}
+    many.pop(int(END_HASH), None)
+    dropped(counts)
+    return Unigrams(total, distinct, min(0.95, max(0.05, once / (once + 2 * twice) if once else 0.05)), ends, many), size
 
 
-def weighed(grams: DataFrame, lower: DataFrame, missing: float) -> DataFrame:
-    """grams (history, low, n, ...), lower (low, below) -> also v: interpolated where n > 0, backed off where the
-    history has other words, and the lower order's where it has none. missing: of what lower lacks."""
-    of = grams.groupBy("history").agg(F.sum("n").alias("total"), F.sum((F.col("n") > 0).cast("long")).alias("kinds"))
-    below, left = F.coalesce("below", F.lit(missing)), F.lit(DISCOUNT) * F.col("kinds") / F.nullif(F.col("total"), F.lit(0))
-    seen = F.log10((F.col("n") - F.lit(DISCOUNT)) / F.nullif(F.col("total"), F.lit(0)) + left * F.pow(F.lit(10.0), below))
-    v = F.when(F.col("n") > 0, seen).when(F.col("total") > 0, F.log10(left) + below).otherwise(below)
-    return grams.join(of, "history").join(lower, "low", "left").select(*grams.columns, v.alias("v"))
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers as bytes, all lowest bytes first: small ones compress well."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1).astype(np.int64)
+
+
+class Reading:
+    """The tokens of a group of texts, and its distinct words and word pairs in the order in which it asks for them.
+
+    words: hashes in order. token, arc, begins: of each token its word, its pair with the token before it
+    (-1 if it begins a text), and whether it does. keys, owner: states asked for, in order of key, and whose they are.
+    """
+
+    def __init__(self, texts: pa.Array, learned: np.ndarray, hot: dict[int, int]):
+        found = [*sequences(texts)]
+        h = np.concatenate([x for _, x, _ in found] or [np.zeros(0, U64)])
+        size = np.concatenate([np.diff(b) for _, _, b in found] or [np.zeros(0, np.int64)])
+        self.text = np.repeat(np.arange(len(size)), size)
+        self.size = size
+        self.words, self.token = np.unique(h, return_inverse=True)
+        self.begins = np.ones(len(h), bool)
+        self.begins[1:] = self.text[1:] != self.text[:-1]
+        inside, n = np.flatnonzero(~self.begins), max(1, len(self.words))
+        pairs, at = np.unique(self.token[inside - 1] * n + self.token[inside], return_inverse=True)
+        self.before, self.after = pairs // n, pairs % n
+        self.arc = np.full(len(h), -1, np.int64)
+        self.arc[inside] = at
+        self.times = np.bincount(at, learned[self.text[inside]], len(pairs)).astype(np.int64)
+        self._ask(hot)
+
+    def _ask(self, hot: dict[int, int]) -> None:
+        parts = np.ones(len(self.words), np.int64)
+        if hot and len(self.words):
+            names = np.array([*hot], U64)
+            at = np.minimum(np.searchsorted(self.words, names), len(self.words) - 1)
+            ok = self.words[at] == names
+            parts[at[ok]] = np.array([*hot.values()])[ok]
+        owner = np.flatnonzero(self.words != END_HASH)
+        first = np.cumsum(parts[owner]) - parts[owner]
+        owner = np.repeat(owner, parts[owner])
+        keys = self._key(owner, np.arange(len(owner)) - np.repeat(first, parts[owner[first]] if len(first) else 0), parts)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner = keys[order], owner[order]
+        own = self._key(self.before, (mix64(self.words[self.after]) % parts[self.before].astype(U64)).astype(np.int64), parts)
+        self.order = np.argsort(own, kind="stable")
+        own = own[self.order]
+        self.edges = np.searchsorted(own, self.keys)
+        self.edges = np.append(self.edges, len(own))
+
+    def _key(self, word: np.ndarray, part: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """The name of a state; that of a part of it where its arcs have several owners."""
+        with np.errstate(over="ignore"):
+            return np.where(parts[word] > 1, mix64(self.words[word] + (part.astype(U64) + U64(1)) * _SLICE), self.words[word])
+
+    def asked(self, buckets: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
+        """(bucket, states, number of arcs of each, words of these, times in training texts), by bucket."""
+        bounds = np.searchsorted(((self.keys >> U64(32)) * U64(buckets)) >> U64(32), np.arange(buckets + 1))
+        name = np.ascontiguousarray(self.words[self.after[self.order]]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SHORT]
+        times = self.times[self.order]
+        for b, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+            if lo < hi:
+                of = slice(self.edges[lo], self.edges[hi])
+                yield b, self.keys[lo:hi].astype("<u8").tobytes(), planes(np.diff(self.edges[lo : hi + 1])), name[of].tobytes(), planes(times[of])
 
 
 @dataclass
-class Head:
-    """What is broadcast: sorted hashes of words with their counts' logarithms, and of n-grams with their weights."""
+class Automaton:
+    """Words are states and tokens. single: log10 probabilities read at the empty history; backoff: weights of the
+    failure arcs to it, 0 for a word that no arc leaves; arcs: weights of pairs, not a number where there is no arc."""
 
-    words: np.ndarray
-    base: np.ndarray
     single: np.ndarray
-    grams: np.ndarray
-    weights: np.ndarray
+    backoff: np.ndarray
+    arcs: np.ndarray
 
     @staticmethod
-    def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(table):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        return at, table[at] == keys
-
-
-#: Values of `history` for rows that aren't trigrams: a bigram that begins a text, a word that does, a document's own, a word for base_score.
-BIGRAM, WORD, OWN, BASE = range(4)
-
-
-def _scored(head):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: Head = head.value
-        for batch in batches:
-            for i, h, bounds in sequences(batch.column(1)):
-                docs = len(bounds) - 1
-                ids = batch.column(0).slice(i, docs).to_numpy()
-                of = np.repeat(np.arange(docs), np.diff(bounds))
-                place = np.arange(len(h)) - bounds[of]
-                g = np.append(U64(0), pair(h[:-1], h[1:]))
-                history = np.where(place == 0, U64(WORD), np.where(place == 1, U64(BIGRAM), np.append(U64(0), g[:-1])))
-                low = np.where(place == 0, h, g)
-                at, known = a.find(a.words, h)
-                spot, met = a.find(a.grams, pair(history, low))
-                begins = (place == 0) & known
-                score = np.bincount(of[begins], a.single[at[begins]], docs) + np.bincount(of[met], a.weights[spot[met]], docs)
-                own = np.column_stack([np.diff(bounds), np.bincount(of[known], minlength=docs), np.bincount(of[known], a.base[at[known]], docs), score])
-                tail, strange = ~(begins | met), ~known
-                rows = np.column_stack([np.concatenate([of[tail], of[strange]]).astype(U64), np.concatenate([history[tail], np.full(strange.sum(), BASE, U64)]), np.concatenate([low[tail], h[strange]])])
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "history": pa.array(np.full(docs, OWN)), "low": pa.array(ids, pa.int64()), "own": pa.array(own.tolist(), pa.list_(pa.float64()))})
-                for lo in range(0, len(rows), 100_000):
-                    part = rows[lo : lo + 100_000]
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[part[:, 0].astype(np.int64)], pa.int64()), "history": long_array(part[:, 1]), "low": long_array(part[:, 2]), "own": pa.nulls(len(part), pa.list_(pa.float64()))})
+    def of(reading: Reading, u: Unigrams, total: np.ndarray, kinds: np.ndarray, times: np.ndarray) -> "Automaton":
+        """From how often words (total) and pairs (times) are in training texts, and in how many pairs words are first there (kinds)."""
+        single = u.log10(total)
+        before, after = reading.before, reading.after
+        with np.errstate(all="ignore"):
+            left = np.where(kinds > 0, DISCOUNT * kinds / total, 1.0)
+            arcs = np.log10((times - DISCOUNT) / total[before] + left[before] * 10.0 ** single[after])
+        return Automaton(single, np.log10(left), np.where(times > 0, arcs, math.nan))
+
+    def read(self, token: np.ndarray, arc: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """log10 probability of each token. The state behind a token is its word, so one pass from left to right is one
+        over the array of tokens: each takes its arc, or the failure arc of the state before it and then the empty history."""
+        state = np.append(0, token[:-1])
+        failed = self.single[token] + np.where(begins, 0.0, self.backoff[state])
+        taken = np.where(arc >= 0, self.arcs[arc] if len(self.arcs) else math.nan, math.nan)
+        return np.where(np.isnan(taken), failed, taken)
+
+
+ASKED = "bucket int, group int, states binary, lengths binary, words binary, times binary"
+ANSWERED = "bucket int, group int, totals binary, kinds binary, times binary"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _reading(table: pa.Table, hot: dict[int, int]) -> Reading:
+    texts = table.column("text").combine_chunks()
+    texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
+    return Reading(texts, ~table.column("held_out").to_numpy().astype(bool), hot)
+
+
+def _asked(buckets: int, hot: dict[int, int]):
+    def run(table: pa.Table) -> pa.Table:
+        group = table.column("group")[0].as_py()
+        rows = [(b, group, *x) for b, *x in _reading(table, hot).asked(buckets)]
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["bucket", "group", "states", "lengths", "words", "times"])
 
     return run
 
 
-def train(texts: DataFrame, lexicon: int = 1 << 18, arcs: int = 1 << 18) -> tuple[DataFrame, Unigrams, Head]:
-    """texts (text, held_out) -> (weights of all n-grams as a table (history, low, v), single words, head).
+def _answered(table: pa.Table) -> pa.Table:
+    """What all groups ask of one bucket of states -> for each of them how often its states and arcs are in training texts, and the states' distinct arcs there."""
+    column = lambda name: table.column(name).to_pylist()
+    states = [np.frombuffer(b, "<u8") for b in column("states")]
+    lengths = [from_planes(b) for b in column("lengths")]
+    names = [np.frombuffer(b, np.uint8).reshape(-1, SHORT) for b in column("words")]
+    times = np.concatenate([from_planes(b) for b in column("times")])
+    keys, at = np.unique(np.concatenate(states), return_inverse=True)
+    of = np.repeat(at, np.concatenate(lengths))
+    name = np.zeros((len(of), 8), np.uint8)
+    name[:, :SHORT] = np.concatenate(names)
+    _, first, arc = np.unique(pair(keys[of], name.view("<u8").reshape(-1)), return_index=True, return_inverse=True)
+    sums = np.bincount(arc, times, len(first)).astype(np.int64)
+    totals = np.bincount(of, times, len(keys)).astype(np.int64)
+    kinds = np.bincount(of[first], sums > 0, len(keys)).astype(np.int64)
+    out, s, a = [], 0, 0
+    for x, n in zip(states, names):
+        here = at[s : s + len(x)]
+        out.append((planes(totals[here]), planes(kinds[here]), planes(sums[arc[a : a + len(n)]])))
+        s, a = s + len(x), a + len(n)
+    return pa.table([table.column("bucket"), table.column("group"), *(pa.array([r[k] for r in out], pa.binary()) for k in range(3))], ["bucket", "group", "totals", "kinds", "times"])
+
+
+def _scored(u: Unigrams):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        r = _reading(docs, u.hot)
+        answers = answers.sort_by("bucket")
+        totals, kinds, times = (np.concatenate([from_planes(b) for b in answers.column(c).to_pylist()] or [np.zeros(0, np.int64)]) for c in ("totals", "kinds", "times"))
+        total = np.bincount(r.owner, totals, len(r.words))
+        total[r.words == END_HASH] = u.ends
+        mine = np.zeros(len(times), np.int64)
+        mine[r.order] = times
+        value = Automaton.of(r, u, total, np.bincount(r.owner, kinds, len(r.words)), mine).read(r.token, r.arc, r.begins)
+        by_text = lambda x: np.bincount(r.text, x, len(r.size))
+        known = total > 0
+        sums = [pa.array(r.size), pa.array(by_text(known[r.token]).astype(np.int64)), pa.array(np.full(len(r.size), u.total)), pa.array(by_text(u.base(total)[r.token])), pa.array(by_text(value))]
+        return pa.table([docs.column("doc_id"), docs.column("held_out"), *sums], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    lexicon and arcs bound only what is broadcast: so many words and trigrams; they change no score.
-    """
-    counts = checkpointed(texts.where("not held_out").select("text").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total, distinct, once, twice = counts.agg(F.sum("n"), F.count("*"), F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).first()
-    once, twice = once or 0, twice or 0
-    u = Unigrams(total or 0, distinct, min(0.95, max(0.05, once / (once + 2 * twice) if once else 0.05)))
-    single = checkpointed(counts.mapInArrow(_named, "low long, n long")).withColumn("below", u.column(F.col("n")))
-    grams = [texts.select("text", F.coalesce(~F.col("held_out"), F.lit(False))).mapInArrow(_ngrams(k), "history long, low long, n long").groupBy("history", "low").agg(F.sum("n").alias("n")) for k in (2, 3)]
-    two = weighed(checkpointed(grams[0].mapInArrow(_keyed, "history long, low long, n long, key long")), single.select("low", "below"), u.log10(0))
-    two = checkpointed(two.select(F.col("key").alias("low"), F.col("v").alias("below")))
-    three = checkpointed(weighed(checkpointed(grams[1]), two, 0.0))
-    of = lambda kind, df, v: df.select(F.lit(kind).cast("long").alias("history"), "low", v.alias("v"))
-    base = F.log10((F.col("n") + 1) / F.lit(float(u.total + 1 * (u.distinct + 1))))
-    table = three.select("history", "low", "v").unionByName(of(BIGRAM, two, F.col("below"))).unionByName(of(WORD, single, F.col("below"))).unionByName(of(BASE, single, base))
-    top = sorted((r.low % 2**64, r.n) for r in above_cutoff(single.select("low", "n"), lexicon).collect())
-    names, n = np.array([k for k, _ in top], U64), [n for _, n in top]
-    best = above_cutoff(three, arcs, 2).select("history", "low", "v").toArrow()
-    key, v = pair(*(best.column(k).to_numpy().view(U64) for k in (0, 1))), best.column(2).to_numpy()
-    order = np.argsort(key)
-    return table, u, Head(names, np.array([math.log10(u.base(x)) for x in n]), np.array([u.log10(x) for x in n]), key[order], v[order])
-
-
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_pydict({"low": long_array(hashed(batch.column(0).to_pylist())), "n": batch.column(1)})
+    return run
 
 
-def score(documents: DataFrame, held_out: Column, **bounds) -> DataFrame:
+def score(documents: DataFrame, held_out: Column, group_bytes: int = GROUP_BYTES, hot: int = HOT_WORDS) -> DataFrame:
     """documents (doc_id, text; more are ignored) -> (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     The model learns from rows where held_out is false. Null text counts as empty: one token, the end.
     base_score is the sum of log10((c + 1) / (N + V + 1)); score is the model's log10 probability, over the
     same events (each known word, and any unknown one). With nothing to learn from both are 0.
-    doc_id is taken as unique and not null.
+    A row for each row: a doc_id that is repeated, or null, is scored as often as it comes, and each of its rows is
+    learned from. An empty table gives no rows.
     """
-    own = documents.select("doc_id", "text", held_out.alias("held_out"))
-    table, u, head = train(own.select("text", "held_out"), **bounds)
-    rows = own.select("doc_id", "text").mapInArrow(_scored(documents.sparkSession.sparkContext.broadcast(head)), "doc_id long, history long, low long, own array<double>")
-    met = rows.join(table, ["history", "low"], "left")
-    kind, v = F.col("history"), F.col("v")
-    add = lambda at, mine, value: F.sum(F.when(kind == OWN, F.col("own")[at]).when(mine, value).otherwise(F.lit(0.0)))
-    base = F.coalesce(v, F.lit(math.log10(u.base(0))))
-    found = met.groupBy("doc_id").agg(
-        add(0, F.lit(False), F.lit(0.0)).cast("long").alias("n_tokens"),
-        add(1, kind == BASE, v.isNotNull().cast("double")).cast("long").alias("n_known"),
-        add(2, kind == BASE, base).alias("base_score"),
-        add(3, kind != BASE, F.coalesce(v, F.lit(u.log10(0)))).alias("score"),
-    )
-    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(u.total).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def held_out_fold(mod: int, remainder: int) -> Column:
-    return F.coalesce(folded("doc_id", mod) == remainder, F.lit(False))
+    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
+    u, size = count_words(own, hot)
+    groups = max(1, -(-size // group_bytes))
+    # The one exchange of the texts serves both plans below.
+    dealt = own.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")).repartition(groups, "group")
+    asked = dealt.groupBy("group").applyInArrow(_asked(groups, u.hot), ASKED)
+    answers = asked.groupBy("bucket").applyInArrow(_answered, ANSWERED)
+    return dealt.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(_scored(u), SCORED)

@@ -51,36 +51,62 @@ def running(df: DataFrame, group: list[str], part: Column, order: list, size: st
     return df.join(sums, [*group, "_part"]).withColumn(name, F.col("_before") + F.sum(size).over(within)).drop("_part", "_before")
 
 
-def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
-    """documents (doc_id, text, source; more are ignored) -> (doc_id, size, source_size, target, taken), a row for each.
-
-    size: words of the text, null text has none. The budget is the total of all sizes. A document is
-    taken as a whole, up to `most` times; the last copy that still fits ends the mix, so a source misses its
-    target by about one document. The order is that of md5 over id and round: reruns agree.
-    doc_id is taken as unique and not null; an empty table gives no rows.
-    """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = checkpointed(documents.select("doc_id", "source", size.alias("size")))
-    targets = checkpointed(source_targets(sized, weights, most))
-    met = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select("doc_id", "size", "source_size", "rank", "target")
+def _times(documents: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """(doc_id, source, size, alike, source_size, target, times): for rows alike in the first three, how many there are and how often the mix takes one of them."""
+    sized = checkpointed(documents.select("doc_id", "source", word_count().alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("alike")))
+    targets = checkpointed(source_targets(sized.select("source", (F.col("size") * F.col("alike")).alias("size")), weights, most))
+    met = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select("doc_id", targets["source"], "size", "alike", "source_size", "rank", "target")
     rounds = F.least(F.lit(most), F.ceil(F.col("target") / F.col("source_size")).cast("int") + 1)
-    copies = met.where("size > 0").withColumn("round", F.explode(F.sequence(F.lit(1), rounds)))
-    copies = copies.withColumn("key", F.md5(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("round").cast("string")).cast("binary")))
+    copies = met.where("size > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), rounds * F.col("alike") - 1)))
+    copies = copies.withColumn("round", (F.expr("copy div alike") + 1).cast("int"))
+    name = F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("round").cast("string"), F.when(F.col("copy") % F.col("alike") > 0, (F.col("copy") % F.col("alike")).cast("string")))
+    copies = copies.withColumn("key", F.md5(name.cast("binary"))).select("doc_id", "rank", "size", "alike", "target", "round", "key")
     place = F.col("round") * F.lit(16**DIGITS) + F.conv(F.substring("key", 1, DIGITS), 16, 10).cast("long")
-    copies = running(copies, ["rank"], place, ["round", "key", "doc_id"], "size", "served")
+    copies = running(copies, ["rank"], place, ["round", "key", "doc_id", "size"], "size", "served")
     copies = copies.withColumn("finish", F.col("served") / F.col("target"))
     spot = F.least(F.floor(F.col("finish") * TICKS), F.lit(8 * TICKS))
-    copies = running(copies.withColumn("whole", F.lit(0)), ["whole"], spot, ["finish", "rank", "round", "key", "doc_id"], "size", "spent")
+    copies = running(copies.withColumn("whole", F.lit(0)), ["whole"], spot, ["finish", "rank", "round", "key", "doc_id", "size"], "size", "spent")
     budget = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    taken = copies.where(F.col("spent") <= budget).groupBy("doc_id").agg(F.sum("size").alias("taken"))
-    return met.join(taken, "doc_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    served = copies.groupBy("doc_id", "rank", "size", "alike").agg(F.count_if(F.col("spent") <= budget).alias("times"))
+    rest = met.where("size = 0").select("doc_id", "rank", "size", "alike", F.lit(0).cast("long").alias("times"))
+    by_rank = targets.select("rank", "source", "source_size", "target")
+    return served.unionByName(rest).join(by_rank, "rank").select("doc_id", "source", "size", "alike", "source_size", "target", "times")
+
+
+def word_count() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mixed(documents: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document as many times as it is taken, its columns as they were."""
-    times = mix(documents, **how).where("taken > 0").select("doc_id", F.expr("int(taken div size)").alias("_times"))
-    rows = documents.join(times, "doc_id").withColumn("_round", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return rows.select(*documents.columns)
+def _share(times: Column, alike: Column, nth: Column) -> Column:
+    """Of `times` copies of `alike` rows those of the nth, from 1: as even as can be."""
+    return F.floor(times / alike) + (nth <= times % alike).cast("long")
+
+
+def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
+    """documents (doc_id, text, source; more are ignored) -> (doc_id, size, source_size, target, taken), a row for each row.
+
+    size: words of the text, null text has none. The budget is the total of all sizes. A document is
+    taken as a whole, up to `most` times; the last copy that still fits ends the mix, so a source misses its
+    target by about one document. The order is that of md5 over id and round: reruns agree, and ties go by id and size.
+    Rows that are alike in doc_id, source and size share evenly what is taken of them, each at most `most` times;
+    a null doc_id is a value as any other. Sources of no words have the target 0. An empty table gives no rows.
+    """
+    found = _times(documents, weights, most).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("alike"))))
+    taken = F.col("size") * _share(F.col("times"), F.col("alike"), F.col("nth"))
+    return found.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
+    """The mix itself: each document as many times as `mix` takes it, its columns as they were, whatever their names."""
+    # One key for what rows are told apart by, so that nulls meet.
+    key = lambda size: F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), size.cast("string"), F.concat(F.lit("s"), "source"))
+    counted = checkpointed(_times(documents, weights, most).where("times > 0").select(key(F.col("size")).alias("name"), "times", "alike"))
+    rows = documents.select(F.struct("*").alias("row"), key(word_count()).alias("name")).join(counted, "name")
+    if not counted.where("alike > 1").isEmpty():
+        # Rows that are alike have an order among them by all that they hold.
+        rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("name").orderBy(F.xxhash64("row"))))
+        rows = rows.withColumn("times", _share(F.col("times"), F.col("alike"), F.col("nth"))).where("times > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")
 
 
 #: The same in DuckDB, over the whole table and without ranges.

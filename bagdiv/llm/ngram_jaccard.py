@@ -16,7 +16,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checkpointed, long_array, mix64, split_words, text_chunks, windows
@@ -262,6 +261,22 @@ def _products(percent: int, k: int):
     return run
 
 
+def in_tiles(placed: DataFrame) -> DataFrame:
+    """placed (cluster, size, rep, …) with a tile: 0 in clusters that fit one. Others are cut by bands of size, and a band
+    by a hash of rep into as many parts as its rows or n-grams need; so no cluster is numbered in one task."""
+    parts = F.greatest(F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum("size") / TILE_GRAMS)).cast("int").alias("parts")
+    large = placed.groupBy("cluster").agg(parts).where("parts > 1").select("cluster", F.lit(True).alias("cut"))
+    few = large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    marked = placed.join(F.broadcast(large) if few else large, "cluster", "left")
+    # Bands of a quarter of an octave; a part of a band is named after both.
+    marked = marked.withColumn("band", F.when(F.col("cut"), F.floor(4 * F.log2("size")).cast("int")).otherwise(F.lit(-1)))
+    bands = marked.where("cut").groupBy("cluster", "band").agg(parts)
+    few = bands.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    cut = marked.join(F.broadcast(bands) if few else bands, ["cluster", "band"], "left")
+    tile = F.when(F.col("band") < 0, F.lit(0).cast("long")).otherwise((F.col("band") + 1).cast("long") * (1 << 40) + F.pmod(F.xxhash64("rep"), F.col("parts")))
+    return cut.select(*placed.columns, tile.alias("tile"))
+
+
 def links(documents: DataFrame, percent: int = 85, k: int = 4, late: int = 1 << 18, least: int = 3) -> tuple[DataFrame, DataFrame]:
     """(profiles (doc_id, size, sig, rep), forest edges (doc_id, root) between the representatives).
 
@@ -273,7 +288,7 @@ def links(documents: DataFrame, percent: int = 85, k: int = 4, late: int = 1 <<
     seen = checkpointed(own.mapInArrow(_profiles(k, least), "doc_id long, size long, sig long, gram long, word long, n long"))
     profiles = seen.where("gram is null and word is null").select("doc_id", "size", "sig")
     # Written, so that a class of very many documents can be split when it meets its representative.
-    reps = checkpointed(profiles.where("size > 0").groupBy("size", "sig").agg(F.min("doc_id").alias("rep")))
+    reps = checkpointed(profiles.where("size > 0 and doc_id is not null").groupBy("size", "sig").agg(F.min("doc_id").alias("rep")))
     common = {kind: [(r[0], r[1]) for r in above_cutoff(seen.where(F.col(kind).isNotNull()).groupBy(kind).agg(F.sum("n").alias("n")), late).collect()] for kind in ("gram", "word")}
     rarity = spark.sparkContext.broadcast(Rarity(common["gram"], common["word"]))
     rows = own.mapInArrow(_prefixes(k, percent, rarity), "gram long, size long, sig long, early boolean")
@@ -282,10 +297,7 @@ def links(documents: DataFrame, percent: int = 85, k: int = 4, late: int = 1 <<
     pairs = met.select("size", "sig", "size2", "sig2").distinct()
     named = pairs.join(reps, ["size", "sig"]).select("rep", F.col("size2").alias("size"), F.col("sig2").alias("sig")).join(reps.withColumnRenamed("rep", "rep2"), ["size", "sig"])
     clusters = connected_components(named, "rep", "rep2")
-    placed = reps.join(clusters, F.col("rep") == F.col("id")).select("rep", "size", "sig", F.col("component").alias("cluster"))
-    inside = W.partitionBy("cluster").orderBy("size", "rep").rowsBetween(W.unboundedPreceding, -1)
-    tile = F.floor(F.count("*").over(inside) / TILE_ROWS) + F.floor(F.coalesce(F.sum("size").over(inside), F.lit(0)) / TILE_GRAMS)
-    placed = checkpointed(placed.withColumn("tile", tile.cast("int")))
+    placed = checkpointed(in_tiles(checkpointed(reps.join(clusters, F.col("rep") == F.col("id")).select("rep", "size", "sig", F.col("component").alias("cluster")))))
     # A class goes to the blocks in which it meets another of a size within bounds in some column.
     members = met.select("gram", "size", "sig", F.lit(True).alias("early")).union(met.select("gram", "size2", "sig2", "early")).distinct().join(placed, ["size", "sig"])
     early = F.when(F.col("early"), F.col("size"))
@@ -301,7 +313,8 @@ def links(documents: DataFrame, percent: int = 85, k: int = 4, late: int = 1 <<
     sent = own.join(F.broadcast(blocks) if few else blocks, "doc_id").select("doc_id", "text", "cluster", "tile", F.explode("blocks").alias("block"))
     sent = sent.select("cluster", "block.one", "block.two", "tile", "doc_id", "text")
     edges = sent.repartition("cluster", "one", "two").sortWithinPartitions("cluster", "one", "two", "tile").mapInArrow(_products(percent, k), "doc_id long, root long")
-    return profiles.join(reps, ["size", "sig"], "left"), edges
+    named = profiles.withColumn("size0", F.when(F.col("doc_id").isNotNull(), F.col("size"))).join(reps.withColumnRenamed("size", "size0"), ["size0", "sig"], "left")
+    return named.select("doc_id", "size", "sig", "rep"), edges
 
 
 def jaccard_components(documents: DataFrame, percent: int = 85, k: int = 4, **how) -> DataFrame:
@@ -309,14 +322,20 @@ def jaccard_components(documents: DataFrame, percent: int = 85, k: int = 4, **ho
 
     Words `[^\\x20\\x09-\\x0D]+` with A-Z in lower case; a text of fewer than k words has its whole sequence as the one
     n-gram. Linked: 100 * intersection >= percent * union. Null texts and texts without words link with
-    nothing. component_id is the smallest doc_id that links reach. doc_id is taken as unique and not null.
+    nothing. component_id is the smallest doc_id that links reach; equal sets are one node, whose name is its smallest.
+    Rows of one doc_id are parts of one document, linked by any of them. Rows without a doc_id link with nothing, and
+    their component is null. An empty table gives no rows. Sets are told apart by their size and a hash of 64 bits,
+    words and n-grams by hashes of 64 bits, which are not compared with the texts.
     """
     profiles, edges = links(documents, percent, k, **how)
+    again = profiles.where("rep is not null and doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+    edges = edges.union(again.select("doc_id", "low")).union(again.select("doc_id", "high")) if not again.isEmpty() else edges
     found = connected_components(edges, "doc_id", "root").select(F.col("id").alias("rep"), "component")
     return profiles.join(found, "rep", "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
 def without_near_copies(documents: DataFrame, percent: int = 80, k: int = 5, **how) -> DataFrame:
-    """documents without those of which a smaller doc_id is in the same component; their columns as they were."""
+    """documents without those of which a smaller doc_id is in the same component; their columns as they were. Rows of one
+    doc_id stay or go together, rows without one stay."""
     kept = jaccard_components(documents, percent, k, **how).where("doc_id = component_id").select("doc_id")
-    return documents.join(kept, "doc_id", "left_semi")
+    return documents.join(kept, "doc_id", "left_semi").select(*documents.columns).unionByName(documents.where("doc_id is null"))

@@ -192,11 +192,16 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def fit(stats: DataFrame, labels: DataFrame, sample: int = 20_000) -> list[Rule]:
-    """Rules from at most `sample` labelled rows, those of the smallest hash of doc_id. labels (doc_id, quality: 0 is bad, null is none)."""
+def fit(documents: DataFrame, labels: DataFrame, sample: int = 20_000) -> list[Rule]:
+    """Rules from at most `sample` labelled documents, those of the smallest hash of doc_id. labels (doc_id, quality: 0 is bad, null is none).
+
+    Only the texts of these are read for it. Of rows with one doc_id the one with the least statistics counts.
+    """
     own = labels.select("doc_id", "quality").where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = stats.join(own, "doc_id").select(F.xxhash64("doc_id").alias("at"), "doc_id", "quality", *(ratio(k).alias(k) for k in RATIOS)).collect()
+    met = statistics(documents.select("doc_id", "text").join(F.broadcast(own.select("doc_id")), "doc_id", "left_semi"))
+    stats = met.groupBy("doc_id").agg(F.min(F.struct(*BASE, *COUNTS)).alias("stats")).select("doc_id", "stats.*")
+    rows = stats.join(F.broadcast(own), "doc_id").select(F.xxhash64("doc_id").alias("at"), "doc_id", "quality", *(ratio(k).alias(k) for k in RATIOS)).collect()
     rows.sort(key=lambda r: (r["at"], r["doc_id"]))
     if not rows:
         return []
@@ -208,19 +213,21 @@ def quality(documents: DataFrame, labels: DataFrame, **how) -> DataFrame:
     (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept), a row for each document.
 
     Null and empty texts have no words and fail the base rule. Without labels only the base rule holds. A document
-    with two labels counts by the lower one. doc_id is taken as unique and not null.
+    with two labels counts by the lower one. Every row is judged by its own text, so repeated doc_ids and null ones
+    are as any other. Equal statistics get equal verdicts. An empty table gives no rows.
     """
     stats = statistics(documents)
-    rules = fit(stats, labels, **how)
+    rules = fit(documents, labels, **how)
     return stats.select("doc_id", *BASE, base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"))
 
 
 def filtered(documents: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """documents without those that are rejected, their columns as they were.
 
-    The columns pass through the task that makes the statistics, so no text is shuffled or joined.
+    The columns pass through the task that makes the statistics, so no text is shuffled or joined. Nulls, repeated
+    rows and empty tables as in `quality`; columns of any names pass.
     """
-    rules = fit(statistics(documents), labels, **how)
+    rules = fit(documents, labels, **how)
     names = documents.columns
     own = documents.select("text", *(F.col(c).alias(f"own{i}") for i, c in enumerate(names)))
     kinds = [f"own{i} {f.dataType.simpleString()}" for i, f in enumerate(documents.schema)]

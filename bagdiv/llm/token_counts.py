@@ -1,8 +1,8 @@
 """Token counts of documents, without token ids.
 
-Pieces are counted once per distinct pre-token and joined to the pre-token frequencies of each document.
-The most frequent pre-tokens, within a stated bound, are joined from a broadcast table inside the task
-that splits the text; all others are joined by shuffle.
+One pass over the texts finds the distinct pre-tokens, whose pieces are counted once each, and a second joins
+them to the pre-token frequencies of each document. The most frequent pre-tokens, within a stated bound, are
+joined from a broadcast table inside the task that splits the text; all others are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -65,7 +65,9 @@ class PieceCounter:
         return [len(x) for x in self.tokenizer.encode_batch(pre, add_special_tokens=False)]
 
 
-def _summary(path: str, least: int):
+def _summary(path: str):
+    """Pre-tokens and how often the task met them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, all_of = PieceCounter.of(path), Counter()
         for batch in batches:
@@ -79,10 +81,9 @@ def _summary(path: str, least: int):
         yield from out(all_of)
 
     def out(found: Counter) -> Iterator[pa.RecordBatch]:
-        kept = [(k, n) for k, n in found.items() if n >= least and len(k) <= 64]
-        for i in range(0, len(kept), 100_000):
-            part = kept[i : i + 100_000]
-            yield pa.RecordBatch.from_pydict({"pre": pa.array([k for k, _ in part], pa.string()), "n": pa.array([n for _, n in part], pa.int64())})
+        names, times = [*found], [*found.values()]
+        for i in range(0, len(names), 100_000):
+            yield pa.RecordBatch.from_pydict({"pre": pa.array(names[i : i + 100_000], pa.string()), "n": pa.array(times[i : i + 100_000], pa.int64())})
 
     return run
 
@@ -93,50 +94,53 @@ def _pieces(path: str):
             counter = PieceCounter.of(path)
             for i in range(0, batch.num_rows, 20_000):
                 pre = batch.column(0).slice(i, 20_000)
-                yield pa.RecordBatch.from_pydict({"pre": pre, "pieces": pa.array(counter.pieces(pre.to_pylist()), pa.int64())})
+                yield pa.RecordBatch.from_pydict({"pre": pre, "n": batch.column(1).slice(i, 20_000), "pieces": pa.array(counter.pieces(pre.to_pylist()), pa.int64())})
 
     return run
 
 
-def _frequencies(path: str, head, base: bool):
+def _frequencies(path: str, head):
+    """(doc_id, mark, text) -> a row for each document with its bytes, the tokens that the head gives, and no pre-token; and one for each other pre-token of it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, known = PieceCounter.of(path), head.value
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
-                ids, size, tokens, pre, times = [], [], [], [], []
-                for doc_id, text in zip(batch.column(0).slice(i, 500).to_pylist(), batch.column(1).slice(i, 500).to_pylist()):
+                ids, marks, size, tokens, pre, times = [], [], [], [], [], []
+                for doc_id, mark, text in zip(*(batch.column(k).slice(i, 500).to_pylist() for k in range(3))):
                     special, found = counter.frequencies(text or "")
                     rest = [(k, n) for k, n in found.items() if k not in known]
-                    if base:
-                        ids.append(doc_id), size.append(len((text or "").encode())), pre.append(None), times.append(None)
-                        tokens.append(special + sum(known[k] * n for k, n in found.items() if k in known))
-                    ids += [doc_id] * len(rest)
-                    size += [None] * len(rest)
-                    tokens += [0] * len(rest)
-                    pre += [k for k, _ in rest]
-                    times += [n for _, n in rest]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(tokens, pa.int64()), pa.array(pre, pa.string()), pa.array(times, pa.int64())], ["doc_id", "size", "tokens", "pre", "times"])
+                    ids += [doc_id] * (len(rest) + 1)
+                    marks += [mark] * (len(rest) + 1)
+                    size += [len((text or "").encode()), *[None] * len(rest)]
+                    tokens += [special + sum(known[k] * n for k, n in found.items() if k in known), *[0] * len(rest)]
+                    pre += [None, *(k for k, _ in rest)]
+                    times += [None, *(n for _, n in rest)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array(size, pa.int64()), pa.array(tokens, pa.int64()), pa.array(pre, pa.string()), pa.array(times, pa.int64())], ["doc_id", "mark", "size", "tokens", "pre", "times"])
 
     return run
 
 
-def token_counts(documents: DataFrame, path: str, limit: int = 1024, head: int = 1 << 18, least: int = 4) -> DataFrame:
-    """documents (doc_id, text; more are ignored) -> (doc_id, n_bytes, n_tokens, over_limit), a row for each document.
+def token_counts(documents: DataFrame, path: str, limit: int = 1024, head: int = 1 << 18) -> DataFrame:
+    """documents (doc_id, text; more are ignored) -> (doc_id, n_bytes, n_tokens, over_limit), a row for each row.
 
     Counts equal the tokenizers library's with the file at path, no tokens added at the ends; special
-    strings in a text are one token each. Null text counts as empty: 0 bytes, 0 tokens. doc_id is
-    taken as unique and not null. head: pre-tokens (of 64 characters at most) in the broadcast table,
-    chosen from those that some task saw `least` times.
+    strings in a text are one token each. Null text counts as empty: 0 bytes, 0 tokens. Rows with a repeated or
+    null doc_id are counted each by itself; equal rows give equal rows. An empty table gives no rows. head: pre-tokens
+    (of 64 characters at most) in the broadcast table, the most frequent of all texts; it changes no count.
     """
-    spark, own = documents.sparkSession, documents.select("doc_id", "text")
-    seen = checkpointed(own.select("text").mapInArrow(_summary(path, least), "pre string, n long").groupBy("pre").agg(F.sum("n").alias("n")))
-    rows = above_cutoff(seen, head).select("pre").mapInArrow(_pieces(path), "pre string, pieces long").collect()
+    spark = documents.sparkSession
+    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("mark"), "text")
+    seen = own.select("text").mapInArrow(_summary(path), "pre string, n long").groupBy("pre").agg(F.sum("n").alias("n"))
+    pieces = checkpointed(seen.mapInArrow(_pieces(path), "pre string, n long, pieces long"))
+    rows = above_cutoff(pieces.where(F.length("pre") <= 64), head).select("pre", "pieces").collect()
     table = spark.sparkContext.broadcast({r.pre: r.pieces for r in rows})
-    kind = "doc_id long, size long, tokens long, pre string, times long"
-    pieces = own.mapInArrow(_frequencies(path, table, False), kind).select("pre").distinct().mapInArrow(_pieces(path), "pre string, pieces long")
     # A document's own row has no pre-token; its key matches nothing and spreads over the partitions.
-    spread = F.coalesce("pre", F.concat(F.lit("\x00doc "), F.col("doc_id").cast("string")))
-    met = own.mapInArrow(_frequencies(path, table, True), kind).withColumn("key", spread).join(pieces.select(F.col("pre").alias("key"), "pieces"), "key", "left")
+    spread = F.coalesce("pre", F.concat(F.lit("\x00doc "), F.coalesce(F.col("doc_id"), F.col("mark")).cast("string")))
+    found = own.mapInArrow(_frequencies(path, table), "doc_id long, mark int, size long, tokens long, pre string, times long")
+    met = found.withColumn("key", spread).join(pieces.select(F.col("pre").alias("key"), "pieces"), "key", "left")
     total = F.sum(F.col("tokens") + F.when(F.col("pre").isNull(), F.lit(0)).otherwise(F.col("times") * F.col("pieces")))
-    found = met.groupBy("doc_id").agg(F.max("size").alias("n_bytes"), total.alias("n_tokens"))
-    return found.withColumn("over_limit", F.col("n_tokens") > limit)
+    # Rows of one doc_id and one text come together here and are told apart again.
+    counted = met.groupBy("doc_id", "mark").agg(F.max("size").alias("n_bytes"), total.alias("n_tokens"), F.count("size").alias("rows"))
+    each = counted.select("doc_id", "n_bytes", F.expr("n_tokens div rows").alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("row"))
+    return each.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed, dropped
+
 #: Letters of other scripts that look like Latin ones, and signs that stand for letters.
 HOMOGLYPHS = dict(zip("абвгдеёзіїјкмнорстухцѕԁһԛԝАВЕЗІЈКМНОРСТУХЅαβγεηικμνορτυχωΑΒΕΖΗΙΚΜΝΟΡΤΥΧøØıłŁđĐ", "abbrdeeziijkmhopctyxusdhqwabeзijkmhopctyxsabyenikuvoptuxwabezhikmnoptyxoOilLdD".replace("з", "z")))
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "€": "e", "|": "i", "+": "t"}
@@ -186,20 +188,32 @@ def _scored(lexicon):
     return run
 
 
-def fit(documents: DataFrame, labels: DataFrame, held_out: Column, sample: int = 12_000) -> Lexicon:
-    """From at most `sample` labelled rows that aren't held out, those of the smallest hash of doc_id."""
+def fit(documents: DataFrame, labels: DataFrame, held_out: Column, sample: int = 12_000, text_bytes: int = 64 << 20) -> Lexicon:
+    """From at most `sample` labelled documents that aren't held out and at most `text_bytes` of their texts, those of the
+    smallest hash of doc_id. A text that alone is larger than what is left is passed over. Of rows with one doc_id
+    the first text counts."""
     own = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out)
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = documents.select("doc_id", "text").join(own, "doc_id").select("doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: r.doc_id)
-    return learn([r.text for r in rows], [int(r.toxic != 0) for r in rows])
+    met = documents.select("doc_id", "text").join(F.broadcast(own), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= text_bytes)
+    rows = checkpointed(met.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
+    sizes = rows.select("doc_id", F.xxhash64("doc_id").alias("at"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).collect()
+    room, chosen = text_bytes, []
+    for r in sorted(sizes, key=lambda r: (r["at"], r["doc_id"])):
+        if r["n"] <= room:
+            room -= r["n"]
+            chosen.append((r["doc_id"],))
+    ids = documents.sparkSession.createDataFrame(chosen, "doc_id long")
+    held = sorted(rows.join(F.broadcast(ids), "doc_id", "left_semi").collect(), key=lambda r: r["doc_id"])
+    dropped(rows)
+    return learn([r["text"] for r in held], [int(r["toxic"] != 0) for r in held])
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, held_out: Column, **how) -> DataFrame:
     """documents (doc_id, text; more are ignored), labels (doc_id, toxic) -> (doc_id, held_out, score, predicted), a row for each document.
 
     Only the text enters a score. Null and empty texts score as texts without any entry. Of two labels of one document
-    the higher counts; with no labels, or of one kind only, every score is the share of toxic ones.
+    the higher counts; with no labels, or of one kind only, every score is the share of toxic ones. A row for each row,
+    so repeated and null doc_ids are as any other; equal texts get equal scores; an empty table gives no rows.
     """
     lexicon = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, held_out, **how))
     found = documents.select("doc_id", "text").mapInArrow(_scored(lexicon), "doc_id long, score double")
