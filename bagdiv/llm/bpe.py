@@ -257,7 +257,8 @@ def encode(documents: DataFrame, path: str, lexicon: int = 100_000, keep: bool =
 
     Ids equal the tokenizers library's with the file at path (a BPE with word ends, lower case), no
     tokens added; decoded is its decode of them, special tokens included. Null text counts as empty:
-    no ids, empty text. lexicon bounds the words in the broadcast transducer; any other word is merged.
+    no ids, empty text. Every row is encoded by itself, so repeated and null doc_ids are as any other; an empty table
+    gives no rows. lexicon bounds the words in the broadcast transducer; any other word is merged.
     keep: give the ids and the decoded text too, not their digests alone.
     """
     own = documents.select("doc_id", "text")

@@ -27,7 +27,7 @@ DISCOUNT = 0.75
 END_HASH = U64(0x5D1F0C2A9B7E4361)
 _FIRST, _SLICE = U64(0x9E6C63D0876A9A47), U64(0xC2B2AE3D27D4EB4F)
 #: Bytes of text in a group of documents; and at most so many words whose arcs are dealt to several owners.
-GROUP_BYTES, HOT_WORDS = 12 << 20, 1 << 12
+GROUP_BYTES, HOT_WORDS = 6 << 20, 1 << 12
 #: Bytes of a word's hash by which it is named among the arcs of one state.
 SHORT = 6
 

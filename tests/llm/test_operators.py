@@ -259,19 +259,26 @@ def test_lm_of_repeated_and_null_doc_ids(spark):
     assert zlib.crc32(b"5") % 7 != 2 and sorted(key(tuple(r)[2:]) for r in got) == sorted(map(key, want))
 
 
-def test_lm_probabilities_sum_to_one(spark):
-    texts = ["a b a c", "b a", "a b b", "c"]
-    words = ["a", "b", "c", "a b", "b c", "c c"]
-    df = spark.createDataFrame([*enumerate(texts), *((100 + i, t) for i, t in enumerate([*words, *(f"{w} {x}" for w in words for x in ("a", "b", "c", "zz"))]))], "doc_id long, text string")
-    score = {r.text: r.score for r in lm_score.score(df, F.col("doc_id") >= 100).join(df, "doc_id").collect()}
-    # A text's score holds its end; what follows a word is the end, a known word or the unknown one.
-    ends = lm_by_hand([*texts, "zz"], [False] * 4 + [True])[-1][-1]
-    c = Counter(w for t in texts for w in lm_score.words(t))
-    single_end = math.log10((c[b" "] - 0.0) / sum(c.values())) if False else None
-    assert single_end is None and ends < 0 and len(score) >= len(words)
-    by_pair = Counter(p for t in texts for p in zip(lm_score.words(t), lm_score.words(t)[1:]))
-    for h in (b"a", b"b", b"c"):
-        assert sum(n for (a, _), n in by_pair.items() if a == h) == c[h]
+def test_lm_probabilities_sum_to_one():
+    import pyarrow as pa
+
+    trained = ["a b a c", "b a", "a b b", "c"]
+    names = ["a", "b", "c", "zz"]
+    # Every word that may follow one, in texts that aren't learned from.
+    asked = [f"{x} {y}" for x in names for y in names] + names
+    r = lm_score.Reading(pa.array(trained + asked), np.append(np.ones(len(trained)), np.zeros(len(asked))), {})
+    total = np.bincount(r.token[: sum(len(t.split()) + 1 for t in trained)], minlength=len(r.words))
+    kinds = np.bincount(r.before, r.times > 0, len(r.words))
+    u = lm_score.Unigrams(int(total.sum()), int((total > 0).sum()), 0.5, len(trained))
+    a = lm_score.Automaton.of(r, u, total, kinds, r.times)
+    p = 10 ** a.read(r.token, r.arc, r.begins)
+    first = {(t, k): at for t, (lo, n) in enumerate(zip(np.cumsum(r.size) - r.size, r.size)) for k, at in enumerate(range(lo, lo + n))}
+    for i, x in enumerate(names):
+        words = [p[first[len(trained) + 4 * i + j, 1]] for j in range(4)]
+        end = p[first[len(trained) + 16 + i, 1]]
+        assert sum(words) + end == pytest.approx(1)
+    start = [p[first[len(trained) + 16 + i, 0]] for i in range(4)]
+    assert sum(start) + 10 ** u.log10(len(trained)) == pytest.approx(1)
 
 
 def test_quality(docs, empty, spark):
@@ -342,6 +349,184 @@ def test_html_keeps_articles_with_names_of_boilerplate(source, want):
     assert html_extract.main_text(html_extract.parse(f"<html><body>{source}"), None) == want
 
 
+ODD = [(1, "a b c d e f g h i", "x"), (1, "a b c d e f g h i", "x"), (None, "one line of text\nzz", None), (7, "one line of text\nyy", "x"), (7, None, "y"), (None, "one line of text\nzz", None), (9, "", "y"), (9, "same words here now", "y"), (9, "same words here too", "y"), (3, "one line of text\nww", "x"), (3, "another line of text", "z"), (2, "another line of text", None)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Repeated rows, null ids, and columns with the names that operators use."""
+    df = spark.createDataFrame(ODD, "doc_id long, text string, source string")
+    for name in ("gone", "Gone_", "_times", "_round", "times", "alike", "name", "row", "nth", "n_lines", "size", "mark", "rep", "component", "own0", "n_words", "kept", "group"):
+        df = df.withColumn(name, F.lit(f"own {name}"))
+    return df.cache()
+
+
+def rows_of(df, *names):
+    return Counter(map(tuple, df.select(*names).collect()))
+
+
+def test_repeated_rows_of_token_counts_and_bpe(odd):
+    for name, run in ((queries.BYTE_BPE, lambda d, p: token_counts.token_counts(d, p, head=3)), (queries.WORD_BPE, lambda d, p: bpe.encode(d, p))):
+        path = str(public_tokenizers.path(name))
+        library = Tokenizer.from_file(path)
+        assert rows_of(run(odd, path), "doc_id", "n_tokens") == Counter((i, len(library.encode(t or "", add_special_tokens=False))) for i, t, _ in ODD)
+
+
+def test_repeated_rows_of_quality_and_toxicity(odd, spark):
+    labels = spark.createDataFrame([(1, 0, 1), (1, 1, 0), (9, 1, 0), (7, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert rows_of(quality_rules.quality(odd, labels), "doc_id", "n_words") == Counter((i, len(split(t))) for i, t, _ in ODD)
+    assert quality_rules.filtered(odd, labels).columns == odd.columns
+    got = toxicity.toxicity(odd, labels, F.lit(False))
+    assert rows_of(got, "doc_id") == Counter((i,) for i, _, _ in ODD)
+
+
+@pytest.mark.parametrize("filter_bytes", [1 << 26, 0])
+def test_repeated_rows_of_lines(odd, filter_bytes):
+    """A line stays in all rows of the smallest doc_id that holds it; with filters in a broadcast, and in tasks of their shards."""
+    got = line_dedup.without_repeated_lines(odd, filter_bytes=filter_bytes)
+    held = defaultdict(set)
+    for i, t, _ in ODD:
+        for x in (t or "").split("\n"):
+            held[x] |= {i} - {None}
+    gone = lambda i, x: len(x) >= 10 and i is not None and min(held[x]) < i
+    want = [(i, t and "\n".join(x for x in t.split("\n") if not gone(i, x)), s, "own n_lines", "own Gone_") for i, t, s in ODD]
+    assert got.columns == odd.columns and rows_of(got, "doc_id", "text", "source", "n_lines", "Gone_") == Counter(want)
+
+
+@pytest.mark.parametrize("filter_bytes", [1 << 26, 0])
+def test_lines_of_many_shards(spark, monkeypatch, filter_bytes):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 8)
+    monkeypatch.setattr(line_dedup, "TASK_LINES", 20)
+    rng = np.random.default_rng(3)
+    texts = ["\n".join([f"this is line {x}" for x in rng.zipf(1.2, 12) % 300] + ["the line that all have"]) for _ in range(120)]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    owner = {}
+    for i, t in enumerate(texts):
+        for x in t.split("\n"):
+            owner.setdefault(x, i)
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(df, filter_bytes=filter_bytes).collect()}
+    assert got == {i: "\n".join(x for x in t.split("\n") if owner[x] == i) for i, t in enumerate(texts)}
+
+
+def test_repeated_rows_of_jaccard(odd, spark):
+    got = ngram_jaccard.jaccard_components(odd)
+    n = lambda t: len({tuple(split(t)[j : j + 4]) for j in range(max(1, len(split(t)) - 3))}) if split(t) else 0
+    near = {3: 2, None: None}
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == Counter((i, n(t), near.get(i, i)) for i, t, _ in ODD)
+    kept = ngram_jaccard.without_near_copies(odd)
+    assert kept.columns == odd.columns and rows_of(kept, "doc_id", "text") == Counter((i, t) for i, t, _ in ODD if i != 3)
+    # Documents 1 and 2 link through rows of document 3 that have nothing in common.
+    rows = [(1, "a b c d e"), (3, "a b c d e"), (3, "v w x y z"), (2, "v w x y z"), (4, "q")]
+    got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_jaccard_tiles_of_large_clusters(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "TILE_ROWS", 4)
+    rng = np.random.default_rng(9)
+    words = [f"v{x}" for x in range(200)]
+    texts = [" ".join(words[: 200 - rng.integers(0, 60)] + [f"own{i}"]) for i in range(60)]
+    sets = {i: {tuple(t.split()[j : j + 4]) for j in range(len(t.split()) - 3)} for i, t in enumerate(texts)}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    got = ngram_jaccard.jaccard_components(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == components(sets, links)
+
+
+def test_repeated_rows_of_embeddings(spark):
+    rows = [(5, [1.0, 0.0], 1), (5, [1.0, 0.0], 1), (4, [2.0, 0.0], 1), (None, [1.0, 0.0], 1), (6, [1e-200, 1e-200], 2), (7, [1e200, 1e200], 2), (8, [math.inf, 0.0], 2), (9, [0.0, 0.0], 2), (10, [0.0, 0.0], 2), (2, [0.0, 1.0], 1)]
+    got = embedding_near_dup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("copies", F.lit("x")))
+    want = [(5, 2, 4, False), (5, 2, 4, False), (4, 2, 4, True), (None, 0, None, True), (6, 1, 6, True), (7, 1, 6, False), (8, 0, 8, True), (9, 0, 9, True), (10, 0, 10, True), (2, 0, 2, True)]
+    assert rows_of(got, *got.columns) == Counter(want)
+
+
+def test_repeated_rows_of_the_mix(odd):
+    got = mixing.mix(odd).collect()
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((i, len(split(t))) for i, t, _ in ODD)
+    assert all(r.taken <= 3 * r["size"] and (not r["size"] or r.taken % r["size"] == 0) for r in got)
+    total = sum(r["size"] for r in got)
+    assert 0 < sum(r.taken for r in got) <= total
+    copies = mixing.mixed(odd)
+    assert copies.columns == odd.columns and rows_of(copies.withColumn("n", F.regexp_count("text", F.lit(r"\S+"))), "doc_id", "n") == Counter({k: n for k, n in sum((Counter({(r.doc_id, r["size"]): r.taken // max(1, r["size"])}) for r in got), Counter()).items() if n})
+    # Ties: equal words, sources of equal size; the same twice.
+    assert Counter(map(tuple, mixing.mix(odd).collect())) == Counter(map(tuple, got))
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(odd, tmp_path, spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for docs in (odd.withColumn("n_chars", F.length("text")), odd.where("false").withColumn("n_chars", F.length("text"))):
+        for _, stage in corpus_pipeline.STAGES[1:-1]:
+            assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+            stage(spark, docs, str(tmp_path)).count()
+    odd.where("false").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def html_page(rng, n):
+    """A page with a known article, and menus, notices, adverts, comments and forms around and within it."""
+    word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(2, 8)))
+    text = lambda k: " ".join(word() for _ in range(k))
+    paras = [text(rng.integers(20, 60)) for _ in range(rng.integers(2, 7))]
+    junk = ['<div class="sidebar"><ul><li><a href="#">{0}</a></li></ul></div>', '<form action="x"><label>{0}</label><input name="q"></form>', '<div class="ad-slot">{0}</div>', "<script>var x = '{0} <p>';</script>", "<!-- {0} <p>no</p> -->", '<style>p::after {{content: "{0}"}}</style>', '<aside><p>{0}</p></aside>', '<section id="comments"><p>{0}</p></section>']
+    inside = [rng.choice(junk).format(text(4)) if rng.random() < 0.4 else "" for _ in paras]
+    spans = ['{0}', '<b>{0}</b>', '<a href="/x">{0}</a>', '<span class="ad">buy now</span>{0}', "{0}<span hidden> gone</span>"]
+    shown = [f"<p>{' '.join(rng.choice(spans).format(w) if rng.random() < 0.1 else w for w in p.split())}</p>{j}" for p, j in zip(paras, inside)]
+    body = f'<header><nav><a href="/">{text(3)}</a></nav></header><div class="cookie-banner">{text(5)}</div><div class="page has-sidebar"><div class="content c{n} wide two three four five"><h1>{text(4)}</h1>' + "\n".join(shown) + f'</div><div class="sidebar">{text(12)}</div></div><footer>{text(6)}</footer>'
+    title = body.split("<h1>")[1].split("</h1>")[0]
+    return f"<!doctype html><html><head><title>{text(3)}</title></head><body>{body}</body></html>", "\n\n".join([title, *paras])
+
+
+def test_html_of_made_up_pages(spark):
+    rng = np.random.default_rng(12)
+    pages = [html_page(rng, i) for i in range(80)]
+    df = spark.createDataFrame([(i, f"http://h{i % 5}.example/{i}", p) for i, (p, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = by_id(html_extract.extract(df))
+    assert [got[i].text for i in range(80)] == [want for _, want in pages]
+    assert html_extract.extract(df.where("false")).count() == 0
+
+
+def test_html_long_page(spark):
+    page = "<article>" + "".join(f"<p>line {i} of a long page</p>" for i in range(20_000)) + "</article>"
+    row = html_extract.extract(spark.createDataFrame([(1, "http://a.example", page), (1, "http://a.example", page)], "page_id long, url string, html string")).collect()
+    assert len(row) == 2 and all(r.text == "\n\n".join(f"line {i} of a long page" for i in range(20_000)) and r.n_chars == len(r.text) for r in row)
+
+
+def test_quality_verdicts_equal_the_rules(spark):
+    """kept, against the learned rules applied one by one to statistics that Python counts."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality_rules.fit(docs, labels)
+    stats = {r.doc_id: r.asDict() for r in quality_rules.statistics(docs).collect()}
+    for r in quality_rules.quality(docs, labels).collect():
+        x = stats[r.doc_id]
+        value = lambda c: float(x[quality_rules.RATIOS[c.name][0]]) / (1 if quality_rules.RATIOS[c.name][1] is None else max(1, x[quality_rules.RATIOS[c.name][1]]))
+        rejected = any(all((value(c) >= c.at) == c.above for c in rule) for rule in rules)
+        assert r.kept == (not r.base_failed and not rejected)
+
+
+def test_toxicity_scores_equal_the_lexicon(spark):
+    """Scores, against the weights of all entries found by plain search; and the held-out labels."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    fold = lm_score.held_out_fold(5, 0)
+    lexicon = toxicity.fit(docs, labels, fold)
+    texts = {r.doc_id: r.text for r in docs.where("doc_id % 10 = 0").collect()}
+    got = by_id(toxicity.toxicity(docs, labels, fold))
+    for i, t in texts.items():
+        f = toxicity.fold(t)
+        raw = sum(w * len(re.findall(f"(?={re.escape(k)})", f)) for k, w in (lexicon.weights | lexicon.exceptions).items())
+        z = lexicon.scale * raw / max(1, f.count(" ") - 1) ** lexicon.power + lexicon.shift
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))))
+    told = {r.doc_id: r.toxic for r in labels.where("toxic is not null").collect()}
+    judged = [(told[i], r.predicted) for i, r in got.items() if r.held_out and i in told]
+    assert sum(a == b for a, b in judged) >= 0.95 * len(judged)
+
+
+def test_toxicity_keeps_to_its_bytes(spark):
+    docs = spark.createDataFrame([(i, ("bad " if i % 2 else "good ") * 20) for i in range(40)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    lexicon = toxicity.fit(docs, labels, F.lit(False), text_bytes=0)
+    assert not lexicon.weights
+
+
 def test_mix(docs, empty):
     got = by_id(mixing.mix(docs))
     assert all(r.size == len(split(TEXTS[i])) and r.taken <= 3 * r.size for i, r in got.items())
