@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+#: Names of divergences.
 PLAIN = {"linear", "kl", "kl_raw", "bc", "hellinger", "l2", "js-core", "js", "jensen-shannon", "js_clamp"}
 WITH_ALPHA = {"alpha", "renyi", "tsallis"}
 #: Below this a power mean counts as this in a logarithm.

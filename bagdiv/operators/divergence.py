@@ -1,8 +1,8 @@
 """Divergences between all bags, from nearest-neighbour distances.
 
-All specs and all K share one neighbour pass. It leaves additive sums per pair of bags, from which Spark
-aggregates and column expressions make the divergences; those that need both directions join the
-table with its transpose.
+All specs and all K share one neighbour pass. It leaves additive sums per pair of bags, which are written once and
+from which Spark aggregates and column expressions make the divergences; those that need both directions join the
+table with its transpose. Pairs that nobody asked for are not computed.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import specs as S
-from ..schema import bags, dimension
-from .knn import near
+from ..tables import checkpointed
+from .knn import Shape, by_pair, merged, near, shape
 
 
 def js_terms(rho: np.ndarray, nu: np.ndarray, k: int, dim: int, n: int, m: int) -> np.ndarray:
@@ -33,58 +33,67 @@ def js_terms(rho: np.ndarray, nu: np.ndarray, k: int, dim: int, n: int, m: int)
     return dim * np.log(r) - table[count]
 
 
-def _sums(bases: list[str], ks: list[int], dim: int, width: int):
-    """Rows (p, q, n, m, rho, nu) of chunks -> (p, q, stat, k, total) over the chunk's points."""
+def _of_points(stat: str, k: int, dim: int, own: bool, rho: np.ndarray, nu: np.ndarray, n: int, m: int) -> tuple[str, np.ndarray]:
+    """(name of the sum, its terms) for the points of a chunk."""
+    a, b = rho[:, k - 1], nu[:, k - 1]
+    if stat == "linear":
+        return stat, b**-dim
+    if stat == "kl":
+        return stat, np.log(b) - np.log(a)
+    if stat.startswith("mix:"):
+        r = a if own else np.sort(np.concatenate([rho[:, :k], nu[:, :k]], axis=1), axis=1)[:, k - 1]
+        return stat, r ** (dim * (1 - float(stat[4:])))
+    if stat == "js-core":
+        return ("log-rho", np.log(a)) if own else (stat, js_terms(rho, nu, k, dim, n, m))
+    return stat, (a / b) ** (dim * (1 - float(stat[6:])))
+
+
+def _sums(bases: list[str], ks: list[int], dim: int, width: int, least: float):
+    """Rows of `near` -> (p, q, n, m, stat, k, total) over a chunk's points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                p, q, n, m = (batch.column(c)[i].as_py() for c in ("p", "q", "n", "m"))
-                rho, nu = (np.frombuffer(batch.column(c)[i].as_py()).reshape(-1, width) for c in ("rho", "nu"))
+        rho, kind, out = np.zeros((0, width)), None, []
+
+        def batch_of() -> pa.RecordBatch:
+            types = (kind, kind, pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(types)], ["p", "q", "n", "m", "stat", "k", "total"])
+
+        def noted() -> Iterator[pa.RecordBatch]:
+            nonlocal kind
+            for batch in batches:
+                kind = batch.schema.field("p").type
+                yield batch
+
+        for (p, _, q), rows in by_pair(noted()):
+            nu = merged([(r["width"], r["near"]) for r in rows], width, least)
+            if p == q:
+                rho = nu
+            n, m = rows[0]["n"], rows[0]["m"]
+            with np.errstate(all="ignore"):
                 for k in ks:
-                    a, b = rho[:, k - 1], nu[:, k - 1]
-                    with np.errstate(all="ignore"):
-                        for stat in bases:
-                            if stat == "linear":
-                                out.append((p, q, stat, k, float((b**-dim).sum())))
-                            elif stat == "kl":
-                                out.append((p, q, stat, k, float((np.log(b) - np.log(a)).sum())))
-                            elif stat.startswith("mix:"):
-                                r = a if p == q else np.sort(np.concatenate([rho[:, :k], nu[:, :k]], axis=1), axis=1)[:, k - 1]
-                                out.append((p, q, stat, k, float((r ** (dim * (1 - float(stat[4:])))).sum())))
-                            elif stat == "js-core":
-                                if p != q:
-                                    out.append((p, q, stat, k, float(js_terms(rho, nu, k, dim, n, m).sum())))
-                                else:
-                                    out.append((p, q, "log-rho", k, float(np.log(a).sum())))
-                            else:
-                                out.append((p, q, stat, k, float(((a / b) ** (dim * (1 - float(stat[6:])))).sum())))
-            kind = batch.schema.field("p").type
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((kind, kind, pa.string(), pa.int32(), pa.float64()))], ["p", "q", "stat", "k", "total"])
+                    for stat in bases:
+                        name, terms = _of_points(stat, k, dim, p == q, rho, nu, n, m)
+                        out.append((p, q, n, m, name, k, float(terms.sum())))
+            if len(out) > 10_000:
+                yield batch_of()
+                out = []
+        if out:
+            yield batch_of()
 
     return run
 
 
-def base_sums(pts: DataFrame, bases: list[str], ks: list[int], least: float | None = None) -> DataFrame:
-    """(p, q, n, m, stat, k, total): sums over the points of p, for every pair of bags, p = q included."""
-    dim = dimension(pts)
-    least = S.min_dist(dim) if least is None else least
+def base_sums(pts: DataFrame, bases: list[str], ks: list[int], least: float | None = None, of: Shape | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """(p, q, n, m, stat, k, total): sums over the points of p, for every pair of bags (or those in pairs), p = q included; a written table."""
+    of = of or shape(pts)
+    least = S.min_dist(of.dim) if least is None else least
     most = max(ks)
-    sizes = bags(pts)
-    smallest = sizes.agg(F.min("n_pts")).first()[0]
-    if min(ks) < 1 or most >= smallest:
-        raise ValueError(f"K must be from 1 to less than the smallest bag, which has {smallest} points")
+    if min(ks) < 1 or most >= of.smallest:
+        raise ValueError(f"K must be from 1 to less than the smallest bag, which has {of.smallest} points")
     width = 2 * most + 1 if "js-core" in bases else most
     kind = pts.schema["bag_id"].dataType.simpleString()
-    found = near(pts, width, least)
-    rho = found.where("p = q").select("p", "part", F.col("near").alias("rho"))
-    n = sizes.select(F.col("bag_id").alias("p"), F.col("n_pts").alias("n"))
-    m = sizes.select(F.col("bag_id").alias("q"), F.col("n_pts").alias("m"))
-    met = found.withColumnRenamed("near", "nu").join(rho, ["p", "part"]).join(n, "p").join(m, "q").select("p", "q", "n", "m", "rho", "nu")
-    sums = met.mapInArrow(_sums(bases, ks, dim, width), f"p {kind}, q {kind}, stat string, k int, total double")
-    return sums.groupBy("p", "q", "stat", "k").agg(F.sum("total").alias("total")).join(n, "p").join(m, "q")
+    sums = near(pts, width, of, pairs).mapInArrow(_sums(bases, ks, of.dim, width, least), f"p {kind}, q {kind}, n long, m long, stat string, k int, total double")
+    return checkpointed(sums.groupBy("p", "q", "n", "m", "stat", "k").agg(F.sum("total").alias("total")))
 
 
 def _by_k(ks: list[int], of) -> Column:
@@ -97,14 +106,18 @@ def _by_k(ks: list[int], of) -> Column:
 def estimate_divs(pts: DataFrame, specs: list[str], ks: list[int], pairs: DataFrame | None = None, min_dist: float | None = None) -> DataFrame:
     """points (bag_id, point_id, features) -> (p, q, spec, k, value), the divergence of bag p from bag q.
 
-    pairs (p, q) restricts the result; a column split in the points already restricts the neighbour pass to pairs of
-    bags of different splits, and of each bag with itself. K must be below the size of every bag.
+    pairs (p, q) restricts the neighbour pass to these (and their transposes, where a spec needs them), a column split in
+    the points to pairs of bags of different splits; each bag meets itself. K must be below the size of every bag.
     js is null where K is too small for the sizes of the two bags.
     """
     wanted = S.parse(specs)
     bases = sorted(frozenset().union(*(s.bases for s in wanted)))
-    dim = dimension(pts)
-    sums = base_sums(pts, bases, ks, min_dist)
+    of = shape(pts)
+    dim, asked = of.dim, pairs
+    if pairs is not None:
+        asked = pairs.select("p", "q")
+        asked = asked.union(asked.select("q", "p")) if any(s.transposed for s in wanted) else asked
+    sums = base_sums(pts, bases, ks, min_dist, of, asked)
     same, n, m, mean = F.col("p") == F.col("q"), F.col("n"), F.col("m"), F.col("total") / F.col("n")
     density = _by_k(ks, lambda k: S.density_constant(k, dim))
     value = F.when(F.col("stat") == "linear", density / F.when(same, n).otherwise(m) * mean)
@@ -181,8 +194,9 @@ def jensen_renyi(pts: DataFrame, alphas: list[float], ks: list[int], clamp: bool
     The neighbours of a point in the mixture are those in either bag. Symmetric, and 0 for p = q; null for bags of
     different sizes, for whose mixture the estimator isn't defined.
     """
-    dim = dimension(pts)
-    sums = base_sums(pts, [f"mix:{a}" for a in alphas], ks).withColumn("alpha", F.substring("stat", 5, 40).cast("double"))
+    of = shape(pts)
+    dim = of.dim
+    sums = base_sums(pts, [f"mix:{a}" for a in alphas], ks, of=of).withColumn("alpha", F.substring("stat", 5, 40).cast("double"))
     constant = F.lit(None).cast("double")
     for a in alphas:
         constant = F.when(F.col("alpha") == a, _by_k(ks, lambda k, a=a: entropy_constant(k, a, dim))).otherwise(constant)
@@ -196,17 +210,9 @@ def jensen_renyi(pts: DataFrame, alphas: list[float], ks: list[int], clamp: bool
 
 
 def bag_entropy(pts: DataFrame, alpha: float, k: int) -> DataFrame:
-    """(p, value): Renyi entropy of each bag."""
-    dim, sizes = dimension(pts), bags(pts)
-    found = near(pts, k, S.min_dist(dim)).where("p = q")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total = [float((np.frombuffer(x.as_py()).reshape(-1, k)[:, k - 1] ** (dim * (1 - alpha))).sum()) for x in batch.column("near")]
-            yield pa.RecordBatch.from_pydict({"p": batch.column("p"), "total": pa.array(total, pa.float64())})
-
-    kind = pts.schema["bag_id"].dataType.simpleString()
-    sums = found.mapInArrow(run, f"p {kind}, total double").groupBy("p").agg(F.sum("total").alias("total"))
-    constant = entropy_constant(k, alpha, dim)
-    n = F.col("n_pts")
-    return sums.join(sizes, F.col("p") == F.col("bag_id")).select("p", (F.log(F.lit(constant) * F.pow(n - 1, F.lit(1 - alpha)) * F.col("total") / n) / F.lit(1 - alpha)).alias("value"))
+    """(p, value): Renyi entropy of each bag, which meets itself alone."""
+    of = shape(pts)
+    own = pts.select(F.col("bag_id").alias("p"), F.col("bag_id").alias("q")).distinct()
+    sums = base_sums(pts, [f"mix:{alpha}"], [k], of=of, pairs=own)
+    n, total, constant = F.col("n"), F.col("total"), entropy_constant(k, alpha, of.dim)
+    return sums.select("p", (F.log(F.lit(constant) * F.pow(n - 1, F.lit(1 - alpha)) * total / n) / F.lit(1 - alpha)).alias("value"))

@@ -9,13 +9,21 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel, machines
 from .divergence import estimate_divs
 
 
+def accuracy(label: Column, pred: Column) -> Column:
+    return F.avg((pred == label).cast("double"))
+
+
+def rmse(label: Column, pred: Column) -> Column:
+    return F.sqrt(F.avg(F.pow(pred - label, 2)))
+
+
 @dataclass
 class BagMachine:
     """kind as of Machine; div and k name the divergence; sigmas count in medians of the positive divergences.
@@ -94,5 +102,5 @@ class BagMachine:
         """Accuracy of classifiers, root of the mean squared error of the others."""
         met = self.predict(pts).join(labels, "bag_id")
         if self.kind in ("SVC", "NuSVC", "OneClassSVM"):
-            return met.agg(F.avg((F.col("pred") == F.col("label")).cast("double"))).first()[0]
-        return met.agg(F.sqrt(F.avg(F.pow(F.col("pred") - F.col("label"), 2)))).first()[0]
+            return met.agg(accuracy(F.col("label"), F.col("pred"))).first()[0]
+        return met.agg(rmse(F.col("label"), F.col("pred"))).first()[0]

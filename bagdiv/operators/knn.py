@@ -1,32 +1,57 @@
 """Exact nearest neighbours between bags, over a grid of groups of bags.
 
-Every chunk of points goes to the cells of one row (as queries) or one column (as neighbours) of a grid, so
+Every chunk of points goes to the cells of one row (as queries) and one column (as neighbours) of a grid, so
 that a chunk is sent as often as the grid is wide and not once per bag. A task holds the neighbours of
-one cell and streams its queries.
+one cell and streams its queries. What a chunk of queries found in several cells comes together in order
+of the bag that it asked, its own bag first, so that one pass over it has all that divergences need.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Points of a chunk, and bytes of neighbours that a cell is planned to hold.
-CHUNK, CELL_BYTES = 2048, 1 << 25
+#: Points of a chunk, bytes of neighbours that a cell is planned to hold, and tasks that cells are dealt to at most.
+CHUNK, CELL_BYTES, CELL_TASKS = 2048, 1 << 25, 20_000
 
 
-def chunks(pts: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(bag_id, part, split, ids, points): chunks of about `chunk` points, packed. split is the bag's, null without such a column."""
-    sized = pts.join(pts.groupBy("bag_id").agg(F.count("*").alias("_n")), "bag_id")
-    part = F.pmod(F.xxhash64("point_id"), F.ceil(F.col("_n") / chunk)).cast("int").alias("part")
+@dataclass(frozen=True)
+class Shape:
+    """Dimension, number of points, and points of the smallest and the largest bag."""
+
+    dim: int
+    points: int
+    smallest: int
+    largest: int
+
+
+def shape(pts: DataFrame) -> Shape:
+    """In one job. Features must have one length."""
+    size = F.size("features")
+    by_bag = pts.groupBy("bag_id").agg(F.count("*").alias("n"), F.min(size).alias("low"), F.max(size).alias("high"))
+    low, high, total, small, large = by_bag.agg(F.min("low"), F.max("high"), F.sum("n"), F.min("n"), F.max("n")).first()
+    if low is None or low != high or low < 1:
+        raise ValueError(f"features must have one length, not {low} to {high}")
+    return Shape(low, total, small, large)
+
+
+def chunks(pts: DataFrame, chunk: int = CHUNK, largest: int | None = None) -> DataFrame:
+    """(bag_id, n, part, split, rows): chunks of about `chunk` points, packed. n is the bag's size; split is the bag's, null
+    without such a column. largest: points of the largest bag, where it is known; bags of one chunk need no join."""
     split = (F.col("split").cast("string") if "split" in pts.columns else F.lit(None).cast("string")).alias("split")
-    rows = sized.select("bag_id", part, split, "point_id", "features").groupBy("bag_id", "part").agg(F.min("split").alias("split"), F.sort_array(F.collect_list(F.struct("point_id", "features"))).alias("rows"))
-    return rows.select("bag_id", "part", "split", F.col("rows.point_id").alias("ids"), F.col("rows.features").alias("points"))
+    row = F.sort_array(F.collect_list(F.struct("point_id", "features"))).alias("rows")
+    if largest is not None and largest <= chunk:
+        whole = pts.select("bag_id", split, "point_id", "features").groupBy("bag_id").agg(F.min("split").alias("split"), row)
+        return whole.select("bag_id", F.size("rows").cast("long").alias("n"), F.lit(0).alias("part"), "split", "rows")
+    sized = pts.join(pts.groupBy("bag_id").agg(F.count("*").alias("n")), "bag_id")
+    part = F.pmod(F.xxhash64("point_id"), F.ceil(F.col("n") / chunk)).cast("int").alias("part")
+    return sized.select("bag_id", "n", part, split, "point_id", "features").groupBy("bag_id", "n", "part").agg(F.min("split").alias("split"), row).select("bag_id", "n", "part", "split", "rows")
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -43,35 +68,48 @@ def smallest(d: np.ndarray, k: int) -> np.ndarray:
     return np.sort(d, axis=1)
 
 
-def _matrix(rows: pa.Array) -> np.ndarray:
-    return np.array(rows.as_py(), float)
+def _chunk(row: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, points) of a packed chunk."""
+    held = row.values
+    x = held.field("features")
+    return held.field("point_id").to_numpy(zero_copy_only=False), x.flatten().to_numpy(zero_copy_only=False).reshape(len(held), -1)
+
 
+FOUND = "p {0}, n long, part int, q {0}, m long, width int, near binary, own binary, ids binary"
 
-def _near(k: int):
-    """Rows (cell, side, bag_id, part, split, ids, points) by cell, neighbours first -> the k least distances of each query chunk to each neighbour chunk."""
+
+def _near(k: int, with_ids: bool):
+    """Rows (cell, side, bag_id, n, part, split, wanted, rows) by cell, neighbours first -> the k least distances of each query chunk to each neighbour chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held = None, []
         for batch in batches:
+            kind = batch.schema.field("bag_id").type
             for i in range(batch.num_rows):
-                now, side, bag, part, split = (batch.column(c)[i].as_py() for c in ("cell", "side", "bag_id", "part", "split"))
-                ids, x = np.array(batch.column("ids")[i].as_py()), _matrix(batch.column("points")[i])
+                now, side, bag, n, part, split, wanted = (batch.column(c)[i].as_py() for c in ("cell", "side", "bag_id", "n", "part", "split", "wanted"))
+                ids, x = _chunk(batch.column("rows")[i])
                 if now != cell:
                     cell, held = now, []
                 if side == 0:
-                    held.append((bag, split, ids, x))
+                    held.append((bag, n, split, ids, x))
                     continue
-                out = []
-                for other, other_split, other_ids, y in held:
-                    if other != bag and split is not None and split == other_split:
+                out, only = [], None if wanted is None else {*wanted, bag}
+                for other, m, other_split, other_ids, y in held:
+                    if (only is not None and other not in only) or (other != bag and split is not None and split == other_split):
                         continue
                     d = distances(x, y)
                     if other == bag:
                         d[ids[:, None] == other_ids[None]] = math.inf
-                    d = smallest(d, k)
-                    out.append((bag, part, other, d.shape[1], d.tobytes()))
+                    if with_ids:
+                        # Ids of a chunk ascend, so a stable order has ties by id.
+                        order = np.argsort(d, axis=1, kind="stable")[:, :k]
+                        out.append((bag, n, part, other, m, order.shape[1], np.take_along_axis(d, order, 1).tobytes(), ids.astype("<i8").tobytes(), other_ids[order].astype("<i8").tobytes()))
+                    else:
+                        d = smallest(d, k)
+                        out.append((bag, n, part, other, m, d.shape[1], d.tobytes(), None, None))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((batch.schema.field("bag_id").type, pa.int32(), batch.schema.field("bag_id").type, pa.int32(), pa.binary()))], ["p", "part", "q", "width", "near"])
+                    types = (kind, pa.int64(), pa.int32(), kind, pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(types)], ["p", "n", "part", "q", "m", "width", "near", "own", "ids"])
 
     return run
 
@@ -84,38 +122,65 @@ def merged(rows: list[tuple[int, bytes]], k: int, least: float) -> np.ndarray:
     return np.maximum(d, least)
 
 
-def near(pts: DataFrame, k: int, least: float) -> DataFrame:
-    """(p, part, q, near): for a chunk of p's points, an n x k matrix of distances to the nearest of q, the point itself left out.
+def near(pts: DataFrame, k: int, of: Shape | None = None, pairs: DataFrame | None = None, with_ids: bool = False) -> DataFrame:
+    """(p, n, part, q, m, width, near, own, ids): for a chunk of p's points and one of q's, a matrix of the distances to the
+    nearest `width` (k at most), the point itself left out; own and ids are of the points and the neighbours, if asked for.
+    n and m are the sizes of the bags. Rows come by p and part, in order of q with p itself first.
 
-    With a column split, bags meet themselves and the bags of another split only.
+    With a column split, bags meet themselves and the bags of another split only. pairs (p, q): p meets itself
+    and these alone, and bags in no pair aren't sent anywhere.
     """
-    spark = pts.sparkSession
+    spark, of = pts.sparkSession, of or shape(pts)
+    kind = pts.schema["bag_id"].dataType.simpleString()
+    packed = chunks(pts, CHUNK, of.largest)
+    if pairs is None:
+        packed = packed.withColumn("wanted", F.lit(None).cast(f"array<{kind}>"))
+    else:
+        pairs = pairs.select("p", "q").distinct()
+        wanted = pairs.groupBy(F.col("p").alias("bag_id")).agg(F.collect_set("q").alias("wanted"))
+        met = pairs.select(F.col("p").alias("bag_id")).union(pairs.select("q")).distinct()
+        packed = packed.join(met, "bag_id", "left_semi").join(wanted, "bag_id", "left").withColumn("wanted", F.coalesce("wanted", F.array().cast(f"array<{kind}>")))
+    width = max(1, math.ceil(of.points * of.dim * 8 / CELL_BYTES), min(16, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    own = F.pmod(F.xxhash64("bag_id", "part"), F.lit(width)).cast("long")
+    line = F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))
+    at = lambda side, cell: F.transform(line, lambda i: F.struct(cell(i).alias("cell"), F.lit(side).alias("side")))
+    places = F.explode(F.concat(at(1, lambda j: own * width + j), at(0, lambda i: i * width + own)))
+    rows = packed.withColumn("place", places).select("place.cell", "place.side", "bag_id", "n", "part", "split", "wanted", "rows")
+    found = rows.repartition(min(width * width, CELL_TASKS), "cell").sortWithinPartitions("cell", "side").mapInArrow(_near(k, with_ids), FOUND.format(kind))
+    return found.repartition("p", "part").sortWithinPartitions("p", "part", F.col("p") != F.col("q"), "q")
+
+
+def by_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
+    """Rows of `near` -> (p, part, q) and its rows, one after another."""
+    key, held = None, []
+    for batch in batches:
+        for r in batch.to_pylist():
+            now = (r["p"], r["part"], r["q"])
+            if now != key:
+                if held:
+                    yield key, held
+                key, held = now, []
+            held.append(r)
+    if held:
+        yield key, held
+
+
+def nearest(pts: DataFrame, k: int, pairs: DataFrame | None = None) -> DataFrame:
+    """(p, i, q, j, rank, dist): the k nearest of each bag to every point, or of the bags that pairs name; ties by id."""
     kind = pts.schema["bag_id"].dataType.simpleString()
-    packed = chunks(pts)
-    total = pts.count() * (len(pts.first()["features"]) if pts.limit(1).count() else 1) * 8
-    width = max(1, math.ceil(total / CELL_BYTES), min(16, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    own = F.pmod(F.xxhash64("bag_id", "part"), F.lit(width)).cast("int")
-    line = F.sequence(F.lit(0), F.lit(width - 1))
-    asked = packed.withColumn("cell", F.explode(F.transform(line, lambda j: own * width + j))).withColumn("side", F.lit(1))
-    given = packed.withColumn("cell", F.explode(F.transform(line, lambda i: i * width + own))).withColumn("side", F.lit(0))
-    rows = asked.unionByName(given).repartition(width * width, "cell").sortWithinPartitions("cell", "side")
-    found = rows.mapInArrow(_near(k), f"p {kind}, part int, q {kind}, width int, near binary")
-
-    def put_together(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = merged([*zip(pdf["width"], pdf["near"])], k, least)
-        return pd.DataFrame({"p": pdf["p"].iloc[:1], "part": pdf["part"].iloc[:1], "q": pdf["q"].iloc[:1], "near": [d.tobytes()]})
-
-    return found.groupBy("p", "part", "q").applyInPandas(put_together, f"p {kind}, part int, q {kind}, near binary")
-
-
-def knn_join(pts: DataFrame, other: DataFrame, k: int) -> DataFrame:
-    """(p, i, q, j, rank, dist) with ids of the k nearest of each bag in `other`, ties by id, in DataFrame operations.
-
-    For small collections and as a cross-check; the divergences use near().
-    """
-    from pyspark.sql import Window as W
 
-    d = F.sqrt(F.aggregate(F.zip_with("features", "other_features", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
-    met = pts.select(F.col("bag_id").alias("p"), F.col("point_id").alias("i"), "features").join(other.select(F.col("bag_id").alias("q"), F.col("point_id").alias("j"), F.col("features").alias("other_features")), ~((F.col("p") == F.col("q")) & (F.col("i") == F.col("j"))))
-    ranked = met.withColumn("dist", d).withColumn("rank", F.row_number().over(W.partitionBy("p", "i", "q").orderBy("dist", "j")))
-    return ranked.where(F.col("rank") <= k).select("p", "i", "q", "j", "rank", "dist")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (p, _, q), rows in by_pair(batches):
+            bag = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}.get(kind)
+            i = np.frombuffer(rows[0]["own"], "<i8")
+            d = np.concatenate([np.frombuffer(r["near"]).reshape(len(i), -1) for r in rows], axis=1)
+            j = np.concatenate([np.frombuffer(r["ids"], "<i8").reshape(len(i), -1) for r in rows], axis=1)
+            order = np.lexsort((j, d), axis=1)[:, :k]
+            d, j = np.take_along_axis(d, order, 1), np.take_along_axis(j, order, 1)
+            rank = np.broadcast_to(np.arange(1, d.shape[1] + 1, dtype=np.int32), d.shape)
+            ok = np.isfinite(d).ravel()
+            own = np.repeat(i, d.shape[1])[ok]
+            of = lambda name: pa.array([name] * len(own), bag)
+            yield pa.RecordBatch.from_arrays([of(p), pa.array(own), of(q), pa.array(j.ravel()[ok]), pa.array(rank.ravel()[ok]), pa.array(d.ravel()[ok])], ["p", "i", "q", "j", "rank", "dist"])
+
+    return near(pts, k, pairs=pairs, with_ids=True).mapInArrow(run, f"p {kind}, i long, q {kind}, j long, rank int, dist double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -13,6 +14,7 @@ from pyspark.sql import SparkSession
 
 from .kernel import repair
 
+#: The grids that are searched by default.
 SIGMAS = tuple(2.0**e for e in range(-4, 11, 2))
 CS = tuple(2.0**e for e in range(-9, 19, 3))
 NUS = (0.1, 0.2, 0.3, 0.5, 0.7)
@@ -147,6 +149,10 @@ class Machine:
             r[:, j, i] = 1 - r[:, i, j]
         return np.array([coupled(x) for x in r]).reshape(-1, n)
 
+    def log_probabilities(self, k: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            return np.log(self.probabilities(k))
+
     def decision(self, k: np.ndarray) -> np.ndarray:
         return np.column_stack([k[:, rows] @ coef - b for rows, coef, b in self.parts])
 
@@ -197,8 +203,16 @@ def coupled(r: np.ndarray) -> np.ndarray:
     return p / p.sum()
 
 
-def folds(n: int, k: int, seed: int = 0) -> np.ndarray:
-    return np.random.default_rng(seed).permutation(n) % k
+def folds(n: int, k: int, seed: int = 0, classes: np.ndarray | None = None) -> np.ndarray:
+    """A fold for each of n, of sizes that differ by one at most; with classes, so within each class."""
+    rng = np.random.default_rng(seed)
+    if classes is None:
+        return rng.permutation(n) % k
+    order = np.argsort(rng.permutation(n))
+    order = order[np.argsort(np.asarray(classes)[order], kind="stable")]
+    out = np.empty(n, int)
+    out[order] = np.arange(n) % k
+    return out
 
 
 def grid(kind: str) -> list[dict]:
@@ -206,25 +220,25 @@ def grid(kind: str) -> list[dict]:
     return [dict(zip(axes, v)) for v in itertools.product(*axes.values())]
 
 
-def loss(kind: str, y: np.ndarray, pred: np.ndarray) -> float:
-    return float((y != pred).mean()) if kind in ("SVC", "NuSVC") else float(((y - pred) ** 2).mean())
+def loss(kind: str, y: np.ndarray, pred: np.ndarray, weight: np.ndarray | None = None) -> float:
+    return float(np.average(y != pred if kind in ("SVC", "NuSVC") else (y - pred) ** 2, weights=weight))
 
 
 def gram(divs: np.ndarray, sigma: float, how: str = "clip") -> np.ndarray:
     return repair(np.exp(-(divs**2) / (2 * sigma**2)), how)[0]
 
 
-def tune(spark: SparkSession, divs: np.ndarray, y: np.ndarray, kind: str = "SVC", sigmas=SIGMAS, params: list[dict] | None = None, n_folds: int = 3, how: str = "clip", seed: int = 0, rounds: int = 1000) -> dict:
+def tune(spark: SparkSession, divs: np.ndarray, y: np.ndarray, kind: str = "SVC", sigmas=SIGMAS, params: list[dict] | None = None, n_folds: int = 3, how: str = "clip", seed: int = 0, rounds: int = 1000, weight: np.ndarray | None = None) -> dict:
     """The best of sigma (in medians of the positive divergences) and parameters, by mean loss over folds; the first of equals."""
     params = params or grid(kind)
     scale = float(np.median(divs[divs > 0]))
     tries = [(i, s * scale, p) for i, (s, p) in enumerate(itertools.product(sigmas, params))]
     if len(tries) == 1:
         return {"sigma": tries[0][1], **tries[0][2]}
-    shared, fold = spark.sparkContext.broadcast((divs, y)), folds(len(y), n_folds, seed)
+    shared, fold = spark.sparkContext.broadcast((divs, y, np.ones(len(y)) if weight is None else np.asarray(weight, float))), folds(len(y), n_folds, seed)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d, labels = shared.value
+        d, labels, w = shared.value
         for pdf in batches:
             out = []
             for sigma, rows in pdf.groupby("sigma"):
@@ -232,8 +246,8 @@ def tune(spark: SparkSession, divs: np.ndarray, y: np.ndarray, kind: str = "SVC"
                 for r in rows.itertuples():
                     train, test = np.flatnonzero(fold != r.fold), np.flatnonzero(fold == r.fold)
                     try:
-                        m = Machine(kind, rounds=rounds, **tries[r.i][2]).fit(k[np.ix_(train, train)], labels[train])
-                        out.append((r.i, loss(kind, labels[test], m.predict(k[np.ix_(test, train)]))))
+                        m = Machine(kind, rounds=rounds, **tries[r.i][2]).fit(k[np.ix_(train, train)], labels[train], w[train])
+                        out.append((r.i, loss(kind, labels[test], m.predict(k[np.ix_(test, train)]), w[test])))
                     except ValueError:
                         out.append((r.i, 1e50))
             yield pd.DataFrame(out, columns=["i", "loss"])
@@ -244,20 +258,59 @@ def tune(spark: SparkSession, divs: np.ndarray, y: np.ndarray, kind: str = "SVC"
     return {"sigma": tries[best][1], **tries[best][2]}
 
 
-def crossvalidate(spark: SparkSession, divs: np.ndarray, y: np.ndarray, kind: str = "SVC", n_folds: int = 10, how: str = "clip", seed: int = 0, **search) -> tuple[float, np.ndarray]:
-    """(score, predictions): every fold tunes on its training bags; test bags join the Gram matrix without labels."""
-    y, divs, fold = np.asarray(y), (divs + divs.T) / 2, folds(len(y), n_folds, seed)
-    preds = np.empty(len(y), float if kind in ("SVR", "NuSVR") else y.dtype)
-    for f in range(n_folds):
-        train, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-        best = tune(spark, divs[np.ix_(train, train)], y[train], kind, how=how, seed=seed, **search)
-        k = gram(divs, best.pop("sigma"), how)
-        preds[test] = Machine(kind, **best).fit(k[np.ix_(train, train)], y[train]).predict(k[np.ix_(test, train)])
-    bad = loss(kind, y, preds)
-    return (1 - bad if kind in ("SVC", "NuSVC") else bad**0.5), preds
-
+def _fold_task(kind: str, how: str, project_all: bool):
+    """Rows (fold, sigma, params) -> the predictions for the fold's bags, each fit in the task that its row is in."""
 
-def transduct(divs: np.ndarray, y: np.ndarray, n_train: int, kind: str = "SVC", sigma: float = 1.0, how: str = "clip", **params) -> np.ndarray:
-    """Predictions for the bags after the first n_train, which are projected together with them."""
+    def run(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
+        d, y, w, fold = shared.value
+        for pdf in batches:
+            for r in pdf.itertuples():
+                train, test = np.flatnonzero(fold != r.fold), np.flatnonzero(fold == r.fold)
+                m = Machine(kind, **json.loads(r.params))
+                if project_all:
+                    k = gram(d, r.sigma, how)
+                    pred = m.fit(k[np.ix_(train, train)], y[train], w[train]).predict(k[np.ix_(test, train)])
+                else:
+                    raw = np.exp(-(d**2) / (2 * r.sigma**2))
+                    k, change = repair(raw[np.ix_(train, train)], how)
+                    pred = m.fit(k, y[train], w[train]).predict(raw[np.ix_(test, train)] @ change)
+                codes = np.searchsorted(np.unique(y), pred) if kind in ("SVC", "NuSVC") else pred
+                yield pd.DataFrame({"at": test, "pred": np.asarray(codes, float)})
+
+    return run
+
+
+def crossvalidate(spark: SparkSession, divs: np.ndarray, y: np.ndarray, kind: str = "SVC", n_folds: int = 10, how: str = "clip", seed: int = 0, weight: np.ndarray | None = None, stratified: bool = False, fold: np.ndarray | None = None, project_all: bool = True, **search) -> tuple[float, np.ndarray]:
+    """(score, predictions): every fold tunes on its training bags, and its machine is fitted in a task of its own.
+
+    weight: of the bags, in fits and in the score. fold: the fold of each bag, in place of random (or stratified) ones.
+    project_all: test bags join the Gram matrix without labels; otherwise it is repaired for the training bags alone
+    and the test rows are mapped to it.
+    """
+    y, divs, w = np.asarray(y), (divs + divs.T) / 2, np.ones(len(y)) if weight is None else np.asarray(weight, float)
+    if fold is None:
+        fold = folds(len(y), n_folds, seed, y if stratified else None)
+    fold = np.asarray(fold)
+    todo = []
+    for f in np.unique(fold):
+        train = np.flatnonzero(fold != f)
+        best = tune(spark, divs[np.ix_(train, train)], y[train], kind, how=how, seed=seed, weight=w[train], **search)
+        todo.append((int(f), float(best.pop("sigma")), json.dumps(best)))
+    shared, task = spark.sparkContext.broadcast((divs, y, w, fold)), _fold_task(kind, how, project_all)
+    rows = spark.createDataFrame(todo, "fold int, sigma double, params string").repartition(len(todo), "fold")
+    found = rows.mapInPandas(lambda b: task(b, shared), "at long, pred double").collect()
+    classifies = kind in ("SVC", "NuSVC")
+    preds = np.empty(len(y), y.dtype if classifies else float)
+    for r in found:
+        preds[r.at] = np.unique(y)[int(r.pred)] if classifies else r.pred
+    bad = loss(kind, y, preds, w)
+    return (1 - bad if classifies else bad**0.5), preds
+
+
+def transduct(divs: np.ndarray, y: np.ndarray, n_train: int, kind: str = "SVC", sigma: float = 1.0, how: str = "clip", mode: str = "predict", **params) -> np.ndarray:
+    """For the bags after the first n_train, which are projected together with them. mode: predict, decision, probabilities or log_probabilities."""
     k = gram((divs + divs.T) / 2, sigma, how)
-    return Machine(kind, **params).fit(k[:n_train, :n_train], y).predict(k[n_train:, :n_train])
+    m = Machine(kind, **params).fit(k[:n_train, :n_train], y)
+    if mode.endswith("probabilities"):
+        m.calibrate(k[:n_train, :n_train], np.asarray(y))
+    return getattr(m, mode)(k[n_train:, :n_train])

@@ -2,24 +2,44 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import dimension
+from ..tables import checkpointed, dropped
 
 
 def _total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
 
 
+@dataclass(frozen=True)
+class Scaler:
+    """Means and spreads of the dimensions of some points, to be applied to any of the same dimension."""
+
+    mean: tuple[float, ...]
+    spread: tuple[float, ...]
+
+    @staticmethod
+    def fit(pts: DataFrame) -> "Scaler":
+        """Population variance; a constant dimension has the spread 1."""
+        dim = dimension(pts)
+        at = [F.element_at("features", i + 1) for i in range(dim)]
+        row = pts.agg(*(F.avg(x) for x in at), *(F.stddev_pop(x) for x in at)).first()
+        return Scaler(tuple(row[:dim]), tuple(x or 1.0 for x in row[dim:]))
+
+    def apply(self, pts: DataFrame) -> DataFrame:
+        mean, spread = (F.array(*map(F.lit, x)) for x in (self.mean, self.spread))
+        return pts.withColumn("features", F.zip_with(F.zip_with("features", mean, lambda a, b: a - b), spread, lambda a, b: a / b))
+
+
 def standardize(pts: DataFrame) -> DataFrame:
     """Zero mean and unit population variance in each dimension; a constant dimension becomes 0."""
-    dim = dimension(pts)
-    at = [F.element_at("features", i + 1) for i in range(dim)]
-    stats = pts.agg(*(F.avg(x).alias(f"m{i}") for i, x in enumerate(at)), *(F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(at))).first()
-    return pts.withColumn("features", F.array(*((x - stats[f"m{i}"]) / F.lit(stats[f"s{i}"] or 1.0) for i, x in enumerate(at))))
+    return Scaler.fit(pts).apply(pts)
 
 
 def normalize(pts: DataFrame, norm: str = "l2") -> DataFrame:
@@ -51,66 +71,110 @@ def append_xy(pts: DataFrame, x: str | None = "x", y: str | None = "y", per_bag:
     return met.withColumn("features", F.concat("features", F.array(*(F.col(c).cast("double") / F.col(f"_{c}") for c in names)))).drop(*(f"_{c}" for c in names))
 
 
-def pca_fit(pts: DataFrame, k: int | None = None, varfrac: float = 0.7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, components, variances): of k dimensions, or the fewest that explain varfrac. Only dim x dim sums leave the executors."""
-    dim = dimension(pts)
-
-    def sums(batches):
-        n, s, ss = 0, np.zeros(dim), np.zeros((dim, dim))
-        for batch in batches:
-            x = np.array(batch.column(0).to_pylist(), float).reshape(-1, dim)
-            n, s, ss = n + len(x), s + x.sum(0), ss + x.T @ x
-        import pyarrow as pa
-
-        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "s": pa.array([s.tolist()], pa.list_(pa.float64())), "ss": pa.array([ss.ravel().tolist()], pa.list_(pa.float64()))})
-
-    add = lambda c, m: F.array(*(F.sum(F.element_at(c, i + 1)) for i in range(m)))
-    row = pts.select("features").mapInArrow(sums, "n long, s array<double>, ss array<double>").agg(F.sum("n").alias("n"), add("s", dim).alias("s"), add("ss", dim * dim).alias("ss")).first()
-    mean = np.array(row.s) / row.n
-    values, vectors = np.linalg.eigh(np.array(row.ss).reshape(dim, dim) / row.n - np.outer(mean, mean))
-    values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
-    vectors = vectors * np.where(vectors[np.abs(vectors).argmax(0), np.arange(dim)] < 0, -1, 1)
-    if k is None:
-        k = min(dim, int(np.searchsorted(np.cumsum(values) / values.sum(), varfrac) + 1))
-    return mean, vectors[:, :k], values[:k]
+@dataclass(frozen=True)
+class Projection:
+    """Principal components of some points, to be applied to any of the same dimension."""
+
+    mean: np.ndarray
+    components: np.ndarray
+    variances: np.ndarray
+    whiten: bool = False
+
+    @staticmethod
+    def fit(pts: DataFrame, k: int | None = None, varfrac: float = 0.7, whiten: bool = False) -> "Projection":
+        """k dimensions, or the fewest that explain varfrac. Only dim x dim sums leave the executors."""
+        dim = dimension(pts)
+
+        def sums(batches):
+            n, s, ss = 0, np.zeros(dim), np.zeros((dim, dim))
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                n, s, ss = n + len(x), s + x.sum(0), ss + x.T @ x
+            found = np.concatenate([[n], s, ss.ravel()])
+            yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(found))), "x": pa.array(found)})
+
+        rows = pts.select("features").mapInArrow(sums, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()
+        n, s, ss = rows[0].x, np.array([r.x for r in rows[1 : dim + 1]]), np.array([r.x for r in rows[dim + 1 :]]).reshape(dim, dim)
+        mean = s / n
+        values, vectors = np.linalg.eigh(ss / n - np.outer(mean, mean))
+        values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
+        vectors = vectors * np.where(vectors[np.abs(vectors).argmax(0), np.arange(dim)] < 0, -1, 1)
+        if k is None:
+            k = min(dim, int(np.searchsorted(np.cumsum(values) / values.sum(), varfrac) + 1))
+        return Projection(mean, vectors[:, :k], values[:k], whiten)
+
+    def apply(self, pts: DataFrame) -> DataFrame:
+        components = self.components / np.sqrt(np.maximum(self.variances, 1e-300)) if self.whiten else self.components
+        mean, dim = self.mean, len(self.mean)
+
+        def scores(batches):
+            for batch in batches:
+                at = batch.schema.get_field_index("features")
+                x = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                new = pa.array(list((x - mean) @ components), pa.list_(pa.float64()))
+                yield batch.set_column(at, "features", new)
+
+        return pts.mapInArrow(scores, pts.schema)
 
 
 def pca(pts: DataFrame, k: int | None = None, varfrac: float = 0.7, whiten: bool = False) -> DataFrame:
-    mean, components, values = pca_fit(pts, k, varfrac)
-    components = components / np.sqrt(np.maximum(values, 1e-300)) if whiten else components
-    centred = F.zip_with("features", F.array(*map(F.lit, mean.tolist())), lambda a, b: a - b)
-    score = lambda w: _total(F.zip_with("_centred", F.array(*map(F.lit, w.tolist())), lambda a, b: a * b))
-    return pts.withColumn("_centred", centred).withColumn("features", F.array(*(score(w) for w in components.T))).drop("_centred")
-
-
-def lloyd(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    centers = x[np.sort(rng.choice(len(x), k, replace=False))]
+    return Projection.fit(pts, k, varfrac, whiten).apply(pts)
+
+
+def prepared(pts: DataFrame, k: int | None = None, varfrac: float = 0.7, blank: str | None = None, threshold: float = 1000.0, xy: bool = False) -> tuple[DataFrame, Projection, Scaler]:
+    """Points through the usual chain (blanks, principal components, place, unit variance), and what was fitted for it."""
+    if blank:
+        pts = blanks(pts, blank, threshold)
+    projection = Projection.fit(pts, k, varfrac)
+    pts = projection.apply(pts)
+    pts = append_xy(pts) if xy else pts
+    scaler = Scaler.fit(pts)
+    return scaler.apply(pts), projection, scaler
+
+
+def condense_kmeans(pts: DataFrame, k: int, rounds: int = 20) -> DataFrame:
+    """Bags of more than k points become their k cluster centers, numbered from 0; others stay.
+
+    Each bag starts from its k points of the smallest ids. A round is a join of the points with the centers of their bag
+    and sums by center, so that a bag of any size is spread over tasks; a center that loses all points stays.
+    It ends when no center moves.
+    """
+    sizes = pts.groupBy("bag_id").agg(F.count("*").alias("_n"))
+    large = checkpointed(pts.select("bag_id", "point_id", "features").join(sizes.where(F.col("_n") > k).select("bag_id"), "bag_id", "left_semi"))
+    centers = checkpointed(_first(large, k))
+    dim = dimension(pts)
     for _ in range(rounds):
-        code = ((x[:, None] - centers[None]) ** 2).sum(2).argmin(1)
-        new = np.array([x[code == c].mean(0) if (code == c).any() else centers[c] for c in range(k)])
-        if np.array_equal(new, centers):
+        gap = lambda c: _total(F.zip_with("features", c, lambda a, b: (a - b) * (a - b)))
+        coded = large.join(centers, "bag_id").withColumn("_gaps", F.transform("centers", gap))
+        coded = coded.select("bag_id", (F.array_position("_gaps", F.array_min("_gaps")) - 1).cast("int").alias("code"), "features", "centers")
+        means = coded.groupBy("bag_id", "code").agg(F.array(*(F.avg(F.element_at("features", i + 1)) for i in range(dim))).alias("mean"))
+        new = means.groupBy("bag_id").agg(F.map_from_entries(F.collect_list(F.struct("code", "mean"))).alias("by_code")).join(centers, "bag_id")
+        new = checkpointed(new.select("bag_id", F.transform("centers", lambda c, i: F.coalesce(F.element_at("by_code", i), c)).alias("centers"), F.col("centers").alias("was")))
+        moved = not new.where(F.col("centers") != F.col("was")).isEmpty()
+        dropped(centers)
+        centers = new.select("bag_id", "centers")
+        if not moved:
             break
-        centers = new
-    return centers
+    condensed = centers.select("bag_id", F.posexplode("centers").alias("point_id", "features")).withColumn("point_id", F.col("point_id").cast("long"))
+    small = pts.select("bag_id", "point_id", "features").join(sizes.where(F.col("_n") <= k).select("bag_id"), "bag_id", "left_semi")
+    return small.unionByName(condensed)
 
 
-def condense_kmeans(pts: DataFrame, k: int, rounds: int = 20, seed: int = 0) -> DataFrame:
-    """Bags of more than k points become their k cluster centers; others stay."""
-    kind = pts.schema["bag_id"].dataType.simpleString()
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) <= k:
-            return pdf[["bag_id", "point_id", "features"]]
-        pdf = pdf.sort_values("point_id")
-        centers = lloyd(np.array(pdf["features"].tolist(), float), k, rounds, seed)
-        return pd.DataFrame({"bag_id": pdf["bag_id"].iloc[0], "point_id": np.arange(k), "features": list(centers)})
+def _first(pts: DataFrame, k: int) -> DataFrame:
+    """(bag_id, centers): the k points of each bag with the smallest ids, by rank among those of a few hundred parts."""
+    from pyspark.sql import Window as W
 
-    return pts.groupBy("bag_id").applyInPandas(one, f"bag_id {kind}, point_id long, features array<double>")
+    part = pts.withColumn("_part", F.pmod(F.xxhash64("point_id"), F.lit(256)))
+    some = part.withColumn("_r", F.row_number().over(W.partitionBy("bag_id", "_part").orderBy("point_id"))).where(F.col("_r") <= k)
+    few = some.withColumn("_r", F.row_number().over(W.partitionBy("bag_id").orderBy("point_id"))).where(F.col("_r") <= k)
+    rows = F.sort_array(F.collect_list(F.struct("point_id", "features")))
+    return few.groupBy("bag_id").agg(F.transform(rows, lambda r: r["features"]).alias("centers"))
 
 
 def codewords(pts: DataFrame, k: int, rounds: int = 100, seed: int = 0) -> np.ndarray:
-    """Centers of a global k-means over all points, by Spark's own."""
+    """Centers of a global k-means over all points, by Spark's own; more centers than points are an error."""
+    if pts.limit(k).count() < k:
+        raise ValueError(f"{k} codewords need as many points")
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -119,6 +183,8 @@ def codewords(pts: DataFrame, k: int, rounds: int = 100, seed: int = 0) -> np.nd
 
 def bag_of_words(pts: DataFrame, centers: np.ndarray) -> DataFrame:
     """(bag_id, code, n): how many points of a bag are nearest to each center, the first of equals."""
+    if len(centers) < 1:
+        raise ValueError("there must be a center")
     gap = lambda c: _total(F.zip_with("features", F.array(*map(F.lit, c.tolist())), lambda a, b: (a - b) * (a - b)))
     gaps = F.array(*(gap(c) for c in centers))
     coded = pts.withColumn("_gaps", gaps).withColumn("code", F.array_position("_gaps", F.array_min("_gaps")) - 1)

@@ -137,8 +137,7 @@ add("renyi_entropy", renyi_entropy, _near_sql(balances, [3]) + f"select p, round
 
 def masked_divs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = vectors(spark, sf_dir)
-    b = schema.bags(pts)
-    pairs = b.select(F.col("bag_id").alias("p")).crossJoin(b.select(F.col("bag_id").alias("q"))).where("q = p + 1")
+    pairs = _bag_pairs(pts).where("q = p + 1")
     return divergence.estimate_divs(pts, ["kl_raw"], [3], pairs).select("p", "q", F.round("value", 6).alias("value"))
 
 
@@ -153,9 +152,16 @@ def split_divs(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("split_divs", split_divs, _near_sql(balances, [3]) + f"select p, q, round({_stat_sql(S.Spec('kl_raw'), 1, [3])}, 6) as value from j where p = q or (p < 5) <> (q < 5) group by p, q, k")
 
 
+def _bag_pairs(pts: DataFrame) -> DataFrame:
+    b = pts.select("bag_id").distinct()
+    return b.select(F.col("bag_id").alias("p")).crossJoin(b.select(F.col("bag_id").alias("q")))
+
+
 def _near_query(own: bool) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = knn.knn_join(vectors(spark, sf_dir), vectors(spark, sf_dir), 3).where(F.col("rank") == 3)
+        pts = vectors(spark, sf_dir)
+        same = pts.select(F.col("bag_id").alias("p"), F.col("bag_id").alias("q")).distinct()
+        found = knn.nearest(pts, 3, same if own else None).where(F.col("rank") == 3)
         return found.where("p = q" if own else "p <> q").select("p", "i", "q", F.round("dist", 6).alias("dist"))
 
     return query
@@ -166,11 +172,10 @@ add("nu_k", _near_query(False), _near_sql(vectors, [3]) + "select p, i, q, round
 
 
 def knn_join_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pts = balances(spark, sf_dir)
-    return knn.knn_join(pts, pts.where("bag_id < 5"), 3).select("p", "i", "q", "j", "rank")
+    return knn.nearest(balances(spark, sf_dir), 3).select("p", "i", "q", "j", "rank")
 
 
-add("knn_join_ids", knn_join_ids, _near_sql(balances, [3]) + "select p, i, q, j, k::int as rank from r where k <= 3 and q < 5")
+add("knn_join_ids", knn_join_ids, _near_sql(balances, [3]) + "select p, i, q, j, k::int as rank from r where k <= 3")
 
 
 def _kl(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,9 +227,52 @@ def bow_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("bow_histogram", bow_histogram, f"with e as ({_E}), c as (select bag, arg_min(v, id) as c, row_number() over (order by bag) - 1 as code from e group by bag), d as (select e.bag, e.id, code, row_number() over (partition by e.id order by array_distance(v, c), code) as r from e, c) select bag as bag_id, code::int as code, count(*) as n from d where r = 1 group by all")
 add("label_join", lambda s, d: schema.with_extra(_table(s, d, "documents").select(F.col("doc_id").alias("bag_id"), "source"), _table(s, d, "labels").select(F.col("doc_id").alias("bag_id"), "quality")).groupBy("source", "quality").agg(F.count("*").alias("n")), "select source, quality, count(*) as n from documents left join labels using (doc_id) group by all")
-add("scores", lambda s, d: _table(s, d, "labels").agg(F.round(F.avg((F.col("quality") == F.col("toxic")).cast("int")), 6).alias("accuracy"), F.round(F.sqrt(F.avg(F.pow(F.col("quality") - F.col("toxic"), 2))), 6).alias("rmse")), "select round(avg((quality = toxic)::int), 6) as accuracy, round(sqrt(avg(power(quality - toxic, 2))), 6) as rmse from labels")
+add("scores", lambda s, d: _table(s, d, "labels").agg(F.round(estimators.accuracy(F.col("quality"), F.col("toxic")), 6).alias("accuracy"), F.round(estimators.rmse(F.col("quality"), F.col("toxic")), 6).alias("rmse")), "select round(avg((quality = toxic)::int), 6) as accuracy, round(sqrt(avg(power(quality - toxic, 2))), 6) as rmse from labels")
 add("pca_scores", lambda s, d: transforms.pca(vectors(s, d), k=3).select("bag_id", "point_id", F.round(F.element_at("features", 1), 6).alias("f0")))
-add("condense_kmeans", lambda s, d: transforms.condense_kmeans(parts(s, d), 5).groupBy("bag_id").agg(F.count("*").alias("n_pts")))
+add("condense_kmeans", lambda s, d: _rounded(parts, lambda p: transforms.condense_kmeans(p, 5), 2)(s, d))
+
+
+def _one_round_sql(k: int) -> str:
+    """Centers of k-means after one round from the k points of the smallest ids."""
+    return f"""with e as ({_P}), c as (select bag, v as c, row_number() over (partition by bag order by id) - 1 as code from e qualify code < {k}),
+d as (select e.bag, e.id, e.v, code, row_number() over (partition by e.bag, e.id order by array_distance(e.v, c), code) as r from e join c on e.bag = c.bag),
+m as (select bag, code, avg(v[1]) as a, avg(v[2]) as b from d where r = 1 group by bag, code)
+select c.bag as bag_id, c.code::bigint as point_id, round(coalesce(a, c[1]), 6) as f0, round(coalesce(b, c[2]), 6) as f1 from c left join m on c.bag = m.bag and c.code = m.code"""
+
+
+add("condense_one_round", lambda s, d: _rounded(parts, lambda p: transforms.condense_kmeans(p, 5, rounds=1), 2)(s, d), _one_round_sql(5))
+
+
+def jensen_renyi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between the first 40 customers of each nation: bags must have one size."""
+    pts = transforms.sample_bags(balances(spark, sf_dir), "bag_id", "point_id", 40)
+    return divergence.jensen_renyi(pts, [0.8], [3], clamp=False).select("p", "q", "alpha", "k", F.round("value", 6).alias("value"))
+
+
+def _entropy_sql(n: str, total: str, a: float = 0.8, k: int = 3) -> str:
+    return f"ln({divergence.entropy_constant(k, a, 1)!r} * power({n} - 1, {1 - a!r}) * ({total}) / ({n})) / {1 - a!r}"
+
+
+add("jensen_renyi", jensen_renyi, f"""with e as (select * from ({SQL[balances][0]}) qualify row_number() over (partition by bag order by id) <= 40),
+d as (select a.bag as p, a.id as i, b.bag as q, greatest({S.min_dist(1)!r}, array_distance(a.v, b.v)) as d from e a, e b where a.id <> b.id),
+n as (select bag, count(*) as n from e group by bag),
+own as (select p, i, d, row_number() over (partition by p, i order by d) as r from d where p = q),
+h as (select p, {_entropy_sql("any_value(n)", f"sum(power(d, {1 - _A!r}))")} as h from own join n on n.bag = p where r = 3 group by p),
+mix as (select x.p, y.bag as q, d.i, d.d, row_number() over (partition by x.p, y.bag, d.i order by d.d) as r from (select bag as p from n) x, n y, d where x.p <> y.bag and d.p = x.p and d.q in (x.p, y.bag)),
+t as (select p, q, sum(power(d, {1 - _A!r})) as t from mix where r = 3 group by p, q),
+v as (select a.p, a.q, {_entropy_sql("(2 * n.n)", "a.t + b.t")} - (x.h + y.h) / 2 as value from t a join t b on a.p = b.q and a.q = b.p join n on n.bag = a.p join n m on m.bag = a.q join h x on x.p = a.p join h y on y.p = a.q where n.n = m.n)
+select p.bag as p, q.bag as q, 0.8::double as alpha, 3::int as k, round(case when p.bag = q.bag then 0 else value end, 6) as value from n p, n q left join v on v.p = p.bag and v.q = q.bag""")
+add("js_core", _divs(balances, ["js-core"], [3]))
+
+
+def bow_codewords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bag of words with a codebook learned from all points."""
+    pts = vectors(spark, sf_dir)
+    return transforms.bag_of_words(pts, transforms.codewords(pts, 8)).select("bag_id", F.col("code").cast("int").alias("code"), "n")
+
+
+add("bow_codewords", bow_codewords)
+add("blank_fill", _rounded(parts, lambda p: transforms.blanks(p, "fill", 975.0), 2))
 
 
 def _gram(spark: SparkSession, sf_dir: str) -> tuple[list, np.ndarray]:

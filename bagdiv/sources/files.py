@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import io
+import json
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +92,108 @@ def read_typedbytes(spark: SparkSession, path: str, cats: list[str] | None = Non
     return files.mapInPandas(run, "category string, name string, point_id long, features array<double>")
 
 
+def _packed(pts: DataFrame, extras: DataFrame | None) -> DataFrame:
+    """points (category, name, point_id, features) -> a row for each bag: rows in order of point_id, and its extras as JSON."""
+    rows = F.sort_array(F.collect_list(F.struct("point_id", "features"))).alias("rows")
+    out = pts.groupBy("category", "name").agg(rows).select("category", "name", F.col("rows.features").alias("features"))
+    if extras is None:
+        return out.withColumn("extras", F.lit("{}"))
+    own = [c for c in extras.columns if c not in ("category", "name")]
+    return out.join(extras.select("category", "name", F.to_json(F.struct(*own)).alias("extras")), ["category", "name"], "left").fillna("{}", ["extras"])
+
+
+def _bags(packed: pd.DataFrame) -> Iterator[tuple[str, str, dict]]:
+    for r in packed.itertuples():
+        yield r.category, r.name, {"features": np.array([*r.features], float), **json.loads(r.extras)}
+
+
+def write_npz(pts: DataFrame, path: str, extras: DataFrame | None = None) -> int:
+    """points (category, name, point_id, features) -> root/<category>/<name>.npz with features and the extras of the bag
+    (a table by category and name). A bag is one file, so it is held by one task. Gives the number of files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for pdf in batches:
+            for category, name, bag in _bags(pdf):
+                store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                store.create_dir(f"{root}/{category}", recursive=True)
+                data = io.BytesIO()
+                np.savez(data, **bag)
+                with store.open_output_stream(f"{root}/{category}/{name}.npz") as f:
+                    f.write(data.getvalue())
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return _packed(pts, extras).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def as_typed(value) -> bytes:
+    """A value in the typed bytes format; arrays as code 0xAA with their npy bytes."""
+    if isinstance(value, np.ndarray):
+        data = io.BytesIO()
+        np.save(data, value, allow_pickle=False)
+        return b"\xaa" + struct.pack(">i", len(data.getvalue())) + data.getvalue()
+    if isinstance(value, bool):
+        return struct.pack(">B?", 2, value)
+    if isinstance(value, (int, np.integer)):
+        return struct.pack(">Bi", 3, value) if -(2**31) <= value < 2**31 else struct.pack(">Bq", 4, value)
+    if isinstance(value, (float, np.floating)):
+        return struct.pack(">Bd", 6, value)
+    if isinstance(value, bytes):
+        return struct.pack(">Bi", 0, len(value)) + value
+    if isinstance(value, str):
+        return struct.pack(">Bi", 7, len(value.encode())) + value.encode()
+    if isinstance(value, dict):
+        return struct.pack(">Bi", 10, len(value)) + b"".join(as_typed(k) + as_typed(v) for k, v in value.items())
+    if isinstance(value, (list, tuple)):
+        return struct.pack(">Bi", 8, len(value)) + b"".join(map(as_typed, value))
+    raise TypeError(f"no typed bytes for {type(value).__name__}")
+
+
+def write_typedbytes(pts: DataFrame, path: str, extras: DataFrame | None = None, file_bytes: int = 500 << 20) -> int:
+    """points -> files data_<partition>_<first bag>.tb of pairs `category/name`, {features, extras…}; a new file begins beyond file_bytes. Gives the number of bags."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        store.create_dir(root, recursive=True)
+        out, size, n = None, 0, 0
+        for pdf in batches:
+            for category, name, bag in _bags(pdf):
+                if out is None or size > file_bytes:
+                    if out is not None:
+                        out.close()
+                    out, size = store.open_output_stream(f"{root}/data_{TaskContext.get().partitionId():05d}_{n:09d}.tb"), 0
+                row = as_typed(f"{category}/{name}") + as_typed(bag)
+                out.write(row)
+                size, n = size + len(row), n + 1
+        if out is not None:
+            out.close()
+        yield pd.DataFrame({"n": [n]})
+
+    return _packed(pts, extras).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def save(pts: DataFrame, path: str, form: str = "parquet") -> None:
+    """points in one of the forms that `load` tells apart."""
+    writers = {"parquet": write_points, "npz": write_npz, "typedbytes": write_typedbytes}
+    if form not in writers:
+        raise ValueError(f"unknown form {form!r}")
+    writers[form](pts, path)
+
+
+def load(spark: SparkSession, path: str, cats: list[str] | None = None) -> DataFrame:
+    """points (category, name, point_id, features) of a folder, by the names of the files in it."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.element_at(F.split("path", r"\."), -1).alias("kind"))
+    kinds = {r.kind for r in names.distinct().collect()} & {"parquet", "npz", "tb"}
+    if len(kinds) != 1:
+        raise ValueError(f"files of one form are expected in {path}, not of {sorted(kinds) or 'none'}")
+    reader = {"parquet": read_points, "npz": read_npz, "tb": read_typedbytes}[kinds.pop()]
+    return reader(spark, path, cats).select("category", "name", "point_id", "features")
+
+
 def write_points(pts: DataFrame, path: str, mode: str = "errorifexists") -> None:
     pts.write.mode(mode).partitionBy("category").parquet(path)
 
@@ -117,7 +221,7 @@ def read_paths(spark: SparkSession, path: str) -> DataFrame:
 
 
 class DivergenceCache:
-    """Divergences by (spec, k) as Parquet; writing some replaces those alone."""
+    """Divergences by (spec, k) as Parquet, with what they were made for; writing some replaces those alone."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -127,3 +231,64 @@ class DivergenceCache:
 
     def read(self, spec: str, k: int) -> DataFrame:
         return self.spark.read.option("recursiveFileLookup", "false").parquet(self.path).where((F.col("spec") == spec) & (F.col("k") == k))
+
+    def held(self) -> set[tuple[str, int]]:
+        """(spec, k) of what is there; nothing if there is no cache yet."""
+        try:
+            rows = self.spark.read.parquet(self.path).select("spec", "k").distinct().collect()
+        except AnalysisException:
+            return set()
+        return {(str(r.spec), int(r.k)) for r in rows}
+
+    def get(self, pts: DataFrame, specs: list[str], ks: list[int], min_dist: float | None = None) -> DataFrame:
+        """(p, q, spec, k, value): from the cache, and computed and added to it where it lacks some. A cache of other bags,
+        other numbers of points, another dimension or min_dist is an error."""
+        from ..functions.specs import min_dist as usual
+        from ..functions.specs import parse
+        from ..operators.divergence import estimate_divs
+        from ..operators.knn import shape
+
+        of = shape(pts)
+        facts = pts.groupBy("bag_id").agg(F.count("*").alias("n_pts")).select(F.col("bag_id").cast("string").alias("bag_id"), "n_pts", F.lit(of.dim).alias("dim"), F.lit(float(usual(of.dim) if min_dist is None else min_dist)).alias("min_dist"))
+        names = [str(s) for s in parse(specs)]
+        known = self.held()
+        if known:
+            was = self.spark.read.parquet(f"{self.path}-bags")
+            if not (facts.exceptAll(was).isEmpty() and was.exceptAll(facts).isEmpty()):
+                raise ValueError(f"{self.path} holds divergences of other bags, or of another min_dist")
+        else:
+            facts.write.mode("overwrite").parquet(f"{self.path}-bags")
+        lacking = [s for s in names if any((s, k) not in known for k in ks)]
+        if lacking:
+            self.write(estimate_divs(pts, lacking, ks, min_dist=min_dist))
+        found = self.spark.read.parquet(self.path)
+        return found.where(F.col("spec").isin(names) & F.col("k").isin(ks)).select("p", "q", F.col("spec").cast("string").alias("spec"), F.col("k").cast("int").alias("k"), "value")
+
+
+def checked(pts: DataFrame) -> DataFrame:
+    """The points, or an error if a feature is null or not finite."""
+    bad = pts.where(F.exists("features", lambda x: F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(True))) | F.col("features").isNull()).groupBy("bag_id").count()
+    if rows := bad.limit(5).collect():
+        raise ValueError(f"features that are null or not finite in bags {[r.bag_id for r in rows]}")
+    return pts
+
+
+def nonempty(pts: DataFrame, bag_table: DataFrame) -> DataFrame:
+    """Bags that have points."""
+    return bag_table.join(pts.select("bag_id").distinct(), "bag_id", "left_semi")
+
+
+def image_points(spark: SparkSession, path: str, describe) -> DataFrame:
+    """points (category, name, point_id, features) of the images below a folder: describe takes a file's bytes and gives an
+    array of descriptors, a row for each; images without any give no points."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = files.where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*IMAGES)).select(*_place(F.col("path")), "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                x = np.atleast_2d(np.asarray(describe(r.content), float))
+                if x.size:
+                    yield pd.DataFrame({"category": r.category, "name": r.file, "point_id": np.arange(len(x)), "features": list(x)})
+
+    return files.mapInPandas(run, "category string, name string, point_id long, features array<double>")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from bagdiv.functions import specs as S
-from bagdiv.operators import divergence, kernel, machines, transforms
+from bagdiv.operators import divergence, kernel, knn, machines, transforms
 from bagdiv.sources import files
 
 
@@ -28,20 +28,108 @@ def test_chunks_do_not_change_distances(spark, monkeypatch):
     rng = np.random.default_rng(1)
     pts = bags(spark, rng.normal(size=(60, 3)), rng.normal(size=(41, 3)) * 2)
     values = lambda: {(r.p, r.q): r.value for r in divergence.estimate_divs(pts, ["kl_raw"], [3]).collect()}
-    want = values()
-    monkeypatch.setattr(divergence, "near", lambda p, k, least: _near_in_parts(p, k, least))
-    assert values() == pytest.approx(want)
+    near = lambda: sorted(map(tuple, knn.nearest(pts, 2).collect()))
+    want, found = values(), near()
+    monkeypatch.setattr(knn, "CHUNK", 16)
+    assert values() == pytest.approx(want) and near() == found
 
 
-def _near_in_parts(pts, k, least):
-    from bagdiv.operators import knn
+def test_only_pairs_that_are_asked_for_are_computed(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(b, i, rng.normal(size=2).tolist()) for b in range(6) for i in range(9)]
+    pts = spark.createDataFrame(rows, "bag_id long, point_id long, features array<double>")
+    pairs = spark.createDataFrame([(0, 1), (3, 2)], "p long, q long")
+    met = {(r.p, r.q) for r in knn.near(pts, 2, pairs=pairs).select("p", "q").collect()}
+    assert met == {(0, 1), (3, 2), (0, 0), (1, 1), (2, 2), (3, 3)}
+    for spec in ("kl_raw", "l2", "js"):
+        every = {(r.p, r.q): r.value for r in divergence.estimate_divs(pts, [spec], [2]).collect()}
+        some = {(r.p, r.q): r.value for r in divergence.estimate_divs(pts, [spec], [2], pairs).collect()}
+        assert some == {k: pytest.approx(every[k]) for k in ((0, 1), (3, 2))}
+
 
-    old = knn.chunks.__defaults__
-    knn.chunks.__defaults__ = (16,)
-    try:
-        return knn.near(pts, k, least)
-    finally:
-        knn.chunks.__defaults__ = old
+def test_scaler_and_projection_of_other_points(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(50, 4)) @ rng.normal(size=(4, 4)), rng.normal(size=(7, 4))
+    pts = bags(spark, a, b)
+    train, test = pts.where("bag_id = 0"), pts.where("bag_id = 1")
+    of = lambda df: np.array([r.features for r in df.orderBy("point_id").collect()])
+    assert np.allclose(of(transforms.Scaler.fit(train).apply(test)), (b - a.mean(0)) / a.std(0))
+    p = transforms.Projection.fit(train, 2, whiten=True)
+    values, vectors = np.linalg.eigh(np.cov(a.T, bias=True))
+    want = (b - a.mean(0)) @ vectors[:, ::-1][:, :2] / np.sqrt(values[::-1][:2])
+    assert np.allclose(np.abs(of(p.apply(test))), np.abs(want))
+    done, projection, scaler = transforms.prepared(train, k=3)
+    assert np.allclose(of(done).std(0), 1) and np.allclose(of(scaler.apply(projection.apply(train))), of(done))
+
+
+def test_condense_equals_plain_kmeans(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(40, 2)), rng.normal(size=(3, 2))
+    got = {(r.bag_id, r.point_id): r.features for r in transforms.condense_kmeans(bags(spark, x, y), 4).collect()}
+    centers = x[:4].copy()
+    for _ in range(20):
+        code = ((x[:, None] - centers[None]) ** 2).sum(2).argmin(1)
+        centers = np.array([x[code == c].mean(0) if (code == c).any() else centers[c] for c in range(4)])
+    assert np.allclose([got[0, i] for i in range(4)], centers) and np.allclose([got[1, i] for i in range(3)], y) and len(got) == 7
+
+
+def test_crossvalidation_options(spark):
+    rng = np.random.default_rng(5)
+    y = np.array([0, 1] * 15)
+    x = rng.normal(size=30) + 3 * y
+    d = np.abs(x[:, None] - x[None])
+    weight = rng.uniform(0.7, 1.3, 30)
+    how = {"sigmas": (1.0,), "params": [{"c": 1.0}]}
+    for more in ({"weight": weight}, {"stratified": True}, {"fold": np.arange(30) % 4}, {"project_all": False}):
+        score, preds = machines.crossvalidate(spark, d, y, n_folds=5, **more, **how)
+        assert score >= 0.85 and score == pytest.approx(np.average(preds == y, weights=more.get("weight")))
+    f = machines.folds(30, 5, 0, y)
+    assert all((y[f == i] == 1).sum() == 3 for i in range(5))
+    logs = machines.transduct(d, y[:20], 20, mode="log_probabilities")
+    assert np.allclose(np.exp(logs), machines.transduct(d, y[:20], 20, mode="probabilities")) and (machines.transduct(d, y[:20], 20) == y[20:]).mean() >= 0.8
+
+
+@pytest.mark.parametrize("form", ["npz", "typedbytes", "parquet"])
+def test_points_round_trip(spark, tmp_path, form):
+    rng = np.random.default_rng(6)
+    rows = [(c, n, i, rng.normal(size=3).tolist()) for c in ("a", "b") for n in ("x", "y") for i in range(5)]
+    pts = spark.createDataFrame(rows, "category string, name string, point_id long, features array<double>")
+    files.save(pts, str(tmp_path / "out"), form)
+    assert sorted(map(tuple, files.load(spark, str(tmp_path / "out")).collect())) == sorted(rows)
+    assert {r.category for r in files.load(spark, str(tmp_path / "out"), ["b"]).collect()} == {"b"}
+
+
+@pytest.mark.parametrize("value", [np.arange(30, dtype=np.uint8), np.random.default_rng(0).normal(size=(10, 12, 100)), np.linspace(1, 3.2, 121, dtype=np.longdouble), 5, -(2**40), 1.5, True, "text", b"raw", [1, "a"], {"k": [2.5]}])
+def test_typed_bytes_round_trip(value):
+    got, at = files.typed(memoryview(files.as_typed(value)), 0)
+    assert at == len(files.as_typed(value)) and (np.array_equal(got, value) if isinstance(value, np.ndarray) else got == value)
+
+
+def test_divergence_cache_is_checked(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    pts = bags(spark, rng.normal(size=(9, 2)), rng.normal(size=(8, 2)))
+    cache = files.DivergenceCache(spark, str(tmp_path / "divs"))
+    first = {tuple(r) for r in cache.get(pts, ["kl"], [2]).collect()}
+    assert cache.held() == {("kl", 2)} and len(first) == 4
+    assert {tuple(r) for r in cache.get(pts, ["kl", "renyi:0.9"], [2]).where("spec = 'kl'").collect()} == first
+    assert cache.held() == {("kl", 2), ("renyi:0.9", 2)}
+    with pytest.raises(ValueError):
+        cache.get(pts.where("point_id < 8"), ["kl"], [2])
+    with pytest.raises(ValueError):
+        cache.get(pts, ["kl"], [2], min_dist=0.1)
+    with pytest.raises(ValueError):
+        files.checked(bags(spark, [1.0, float("nan")], [2.0]))
+
+
+def test_images_and_nonempty_bags(spark, tmp_path):
+    (tmp_path / "cat").mkdir()
+    (tmp_path / "cat" / "one.png").write_bytes(bytes(range(12)))
+    (tmp_path / "cat" / "none.jpg").write_bytes(b"")
+    (tmp_path / "cat" / "note.txt").write_bytes(b"no")
+    pts = files.image_points(spark, str(tmp_path), lambda b: np.frombuffer(b, np.uint8).reshape(-1, 4))
+    assert sorted((r.category, r.name, r.point_id, r.features) for r in pts.collect()) == [("cat", "one.png", i, [4.0 * i + j for j in range(4)]) for i in range(3)]
+    table = spark.createDataFrame([(0,), (1,), (2,)], "bag_id long")
+    assert files.nonempty(bags(spark, [1.0], [2.0]), table).count() == 2
 
 
 @pytest.mark.parametrize("bad", [["nothing"], ["kl:0.5"], ["alpha"], ["kl", "kl"]])
