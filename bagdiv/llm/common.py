@@ -1,9 +1,7 @@
-"""Helpers shared by the text operators: table access, checkpoints, vectorised word splitting."""
+"""Helpers shared by the text operators: table access, vectorised word splitting."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..tables import checkpoint_folder, checkpointed, dropped  # noqa: F401, for the operators
+
 U64 = np.uint64
 #: Bytes of text that are split into words at once; bounds the memory of a task.
 CHUNK_BYTES = 1 << 21
@@ -20,35 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set and the executors are threads of this process, as in tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="bagdiv-checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the shared folder: computed once, compressed, and read again from any executor."""
-    spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes tables that `checkpointed` wrote, once nothing reads them any more."""
-    for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        for file in df.inputFiles()[:1]:
-            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            if folder.getName().startswith("table-"):
-                folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def fresh(names: list[str], *wanted: str) -> list[str]:
     """The wanted column names, longer by underscores where a table has them already, whatever their case."""
     held = {n.lower() for n in names}

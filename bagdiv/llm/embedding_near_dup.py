@@ -207,7 +207,7 @@ def near_duplicate_links(vectors: DataFrame, threshold: float = 0.98, block_dim:
     kind = "<f4" if "float" in dict(vectors.dtypes)["embedding"] else "<f8"
     own = vectors.select("vec_id", "embedding", "label", "copies")
     most = own.where("label is not null").groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    grid = max(1, min(block_dim, math.ceil(math.log(max(most, 1) / tile, 4)))) if most > tile else 1
+    grid = max(1, min(block_dim, math.ceil(math.log(max(most, 1) / (8 * tile), 4))))
     crowd = own.mapInArrow(_coded(block_dim, threshold, grid, kind, False), CELL).groupBy("label", "dim", "block", "cell").count().where(F.col("count") > tile)
     cells = crowd.select("label", "dim", "block", "cell", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
     few = cells.limit(broadcast_cells + 1).count() <= broadcast_cells
