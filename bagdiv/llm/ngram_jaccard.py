@@ -31,15 +31,17 @@ BROADCAST_ROWS = 1 << 20
 class Rarity:
     """How common n-grams are, as far as a bounded table tells: by their own counts, and by those of their words."""
 
-    def __init__(self, grams: list[tuple[int, int]], words: list[tuple[int, int]]):
+    def __init__(self, grams: pa.Table, words: pa.Table):
         self.grams, self.times = self._table(grams)
         self.words, n = self._table(words)
         self.levels = (8 * np.log2(n + 1)).astype(np.int64)
 
     @staticmethod
-    def _table(rows: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        rows = sorted((key & (1 << 64) - 1, n) for key, n in rows)
-        return np.array([key for key, _ in rows], np.uint64), np.array([n for _, n in rows], np.int64)
+    def _table(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes in order, counts) of a table of both."""
+        key, n = rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
+        order = np.argsort(key)
+        return key[order], n[order]
 
     @staticmethod
     def _of(keys: np.ndarray, table: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -289,7 +291,8 @@ def links(documents: DataFrame, percent: int = 85, k: int = 4, late: int = 1 <<
     profiles = seen.where("gram is null and word is null").select("doc_id", "size", "sig")
     # Written, so that a class of very many documents can be split when it meets its representative.
     reps = checkpointed(profiles.where("size > 0 and doc_id is not null").groupBy("size", "sig").agg(F.min("doc_id").alias("rep")))
-    common = {kind: [(r[0], r[1]) for r in above_cutoff(seen.where(F.col(kind).isNotNull()).groupBy(kind).agg(F.sum("n").alias("n")), late).collect()] for kind in ("gram", "word")}
+    # As Arrow, a few MB each on the driver; rows would take a hundred.
+    common = {kind: above_cutoff(seen.where(F.col(kind).isNotNull()).groupBy(kind).agg(F.sum("n").alias("n")), late).toArrow() for kind in ("gram", "word")}
     rarity = spark.sparkContext.broadcast(Rarity(common["gram"], common["word"]))
     rows = own.mapInArrow(_prefixes(k, percent, rarity), "gram long, size long, sig long, early boolean")
     # Equal n-grams meet in one partition; sorted by size, neighbours within bounds connect all that can link there.

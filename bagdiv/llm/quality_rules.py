@@ -201,11 +201,12 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 20_000) -> list[R
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     met = statistics(documents.select("doc_id", "text").join(F.broadcast(own.select("doc_id")), "doc_id", "left_semi"))
     stats = met.groupBy("doc_id").agg(F.min(F.struct(*BASE, *COUNTS)).alias("stats")).select("doc_id", "stats.*")
-    rows = stats.join(F.broadcast(own), "doc_id").select(F.xxhash64("doc_id").alias("at"), "doc_id", "quality", *(ratio(k).alias(k) for k in RATIOS)).collect()
-    rows.sort(key=lambda r: (r["at"], r["doc_id"]))
-    if not rows:
+    rows = stats.join(F.broadcast(own), "doc_id").select(F.xxhash64("doc_id").alias("at"), "doc_id", "quality", *(ratio(k).alias(k) for k in RATIOS)).toArrow()
+    column = lambda name: rows.column(name).to_numpy()
+    order = np.lexsort((column("doc_id"), column("at")))
+    if not len(order):
         return []
-    return learn(np.array([[r[k] for k in RATIOS] for r in rows]), np.array([r["quality"] == 0 for r in rows]))
+    return learn(np.column_stack([column(k) for k in RATIOS])[order], (column("quality") == 0)[order])
 
 
 def quality(documents: DataFrame, labels: DataFrame, **how) -> DataFrame:
