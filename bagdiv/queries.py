@@ -233,11 +233,13 @@ add("condense_kmeans", lambda s, d: _rounded(parts, lambda p: transforms.condens
 
 
 def _one_round_sql(k: int) -> str:
-    """Centers of k-means after one round from the k points of the smallest ids."""
-    return f"""with e as ({_P}), c as (select bag, v as c, row_number() over (partition by bag order by id) - 1 as code from e qualify code < {k}),
+    """Centers of k-means after one round from the k points of the smallest ids; bags of no more than k points as they are."""
+    return f"""with a as ({_P}), s as (select bag from a group by bag having count(*) <= {k}), e as (select * from a where bag not in (select bag from s)),
+c as (select bag, v as c, row_number() over (partition by bag order by id) - 1 as code from e qualify code < {k}),
 d as (select e.bag, e.id, e.v, code, row_number() over (partition by e.bag, e.id order by array_distance(e.v, c), code) as r from e join c on e.bag = c.bag),
 m as (select bag, code, avg(v[1]) as a, avg(v[2]) as b from d where r = 1 group by bag, code)
-select c.bag as bag_id, c.code::bigint as point_id, round(coalesce(a, c[1]), 6) as f0, round(coalesce(b, c[2]), 6) as f1 from c left join m on c.bag = m.bag and c.code = m.code"""
+select c.bag as bag_id, c.code::bigint as point_id, round(coalesce(a, c[1]), 6) as f0, round(coalesce(b, c[2]), 6) as f1 from c left join m on c.bag = m.bag and c.code = m.code
+union all select bag, id, round(v[1], 6), round(v[2], 6) from a where bag in (select bag from s)"""
 
 
 add("condense_one_round", lambda s, d: _rounded(parts, lambda p: transforms.condense_kmeans(p, 5, rounds=1), 2)(s, d), _one_round_sql(5))
