@@ -53,7 +53,7 @@ def components(n, links):
 def test_token_counts(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(str(path))
-    got = by_id(token_counts.token_counts(docs, str(path), head=8, least=1))
+    got = by_id(token_counts.token_counts(docs, str(path), head=8))
     for i, t in enumerate(TEXTS):
         n = len(library.encode(t or "", add_special_tokens=False))
         assert tuple(got[i]) == (i, len((t or "").encode()), n, n > 1024)
