@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import SparkSession
 
 from .operators import divergence, estimators, kernel, machines
-from .sources.files import DivergenceCache
+from .sources.files import DivergenceCache, write_attrs
 
 #: The divergences that are estimated by default.
 DIVS = ["hellinger", "bc", "linear", "l2", "kl", "renyi:.5", "renyi:.7", "renyi:.9", "renyi:.99"]
@@ -46,9 +46,11 @@ def main(args: list[str] | None = None) -> None:
     ids = sorted(said)
     d = kernel.matrix(divergence.estimate_divs(pts, [a.div], [a.K]), ids)
     y = np.array([said[b] for b in ids])
-    score, preds = machines.crossvalidate(spark, d, y, a.kind, a.folds, a.psd)
-    print(f"score {score:.6f}")
-    spark.createDataFrame([*zip(ids, y.tolist(), preds.tolist())], ["bag_id", "label", "pred"]).write.parquet(a.out)
+    found = machines.crossvalidated(spark, d, y, a.kind, a.folds, a.psd)
+    print(f"score {found['score']:.6f}")
+    rows = [*zip(ids, y.tolist(), found["preds"].tolist(), found["fold"].tolist())]
+    spark.createDataFrame(rows, ["bag_id", "label", "pred", "fold"]).write.parquet(a.out)
+    write_attrs(spark, a.out, {"score": float(found["score"]), "div": a.div, "K": a.K, "kind": a.kind, "psd": a.psd, "params": found["params"]})
 
 
 if __name__ == "__main__":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 #: Names of divergences.
@@ -12,6 +13,21 @@ WITH_ALPHA = {"alpha", "renyi", "tsallis"}
 FLOOR = 2.0**-52
 
 
+#: Divergences of the user: what they are made of, and the expression over it.
+CUSTOM: dict[str, tuple[tuple[str, ...], Callable]] = {}
+
+
+def register(name: str, bases: list[str], value: Callable) -> None:
+    """A divergence of one's own, by name in specs from then on: value takes the columns of the bases ("linear", "kl",
+    "js-core" or "alpha:<a>", each between p and q) and gives the column of the divergence."""
+    if name in PLAIN | WITH_ALPHA | set(CUSTOM) or ":" in name:
+        raise ValueError(f"{name!r} can't be the name of another divergence")
+    own = tuple(f"alpha:{float(b[6:])}" if b.startswith("alpha:") else b for b in bases)
+    if not own or any(b not in ("linear", "kl", "js-core") and not b.startswith("alpha:") for b in own):
+        raise ValueError(f"no bases of a divergence: {bases}")
+    CUSTOM[name] = (own, value)
+
+
 @dataclass(frozen=True)
 class Spec:
     name: str
@@ -23,6 +39,8 @@ class Spec:
     @property
     def bases(self) -> frozenset[str]:
         """Base statistics that it is made of."""
+        if self.name in CUSTOM:
+            return frozenset(CUSTOM[self.name][0])
         if self.name in ("bc", "hellinger"):
             return frozenset({"alpha:0.5"})
         if self.name in WITH_ALPHA:
@@ -41,7 +59,7 @@ def parse(specs: list[str]) -> list[Spec]:
     out = []
     for text in specs:
         name, _, alpha = text.partition(":")
-        if name not in PLAIN | WITH_ALPHA:
+        if name not in PLAIN | WITH_ALPHA | set(CUSTOM):
             raise ValueError(f"unknown divergence {text!r}")
         if bool(alpha) != (name in WITH_ALPHA):
             raise ValueError(f"{name} {'needs an' if name in WITH_ALPHA else 'takes no'} alpha")

@@ -147,6 +147,9 @@ def estimate_divs(pts: DataFrame, specs: list[str], ks: list[int], pairs: DataFr
     js = F.when(F.col("p") == F.col("q"), F.lit(0.0)).otherwise(0.5 * (_known("js_core") + _known("js_core_back") - _known("bit_p") - _known("bit_q")) + F.log(F.col("n") + F.col("m") - 1) + _by_k(ks, S.psi)) if any(s.bases == {"js-core"} for s in wanted) else None
 
     def of(s: S.Spec) -> Column:
+        if s.name in S.CUSTOM:
+            parts, own = S.CUSTOM[s.name]
+            return own(*(F.col(name(b)) for b in parts)).cast("double")
         a = F.col(name(f"alpha:{s.alpha}")) if s.name in S.WITH_ALPHA else None
         half = F.col("alpha_0_5") if s.name in ("bc", "hellinger") else None
         match s.name:

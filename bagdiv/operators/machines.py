@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .kernel import repair
 
@@ -230,32 +231,41 @@ def gram(divs: np.ndarray, sigma: float, how: str = "clip") -> np.ndarray:
 
 def tune(spark: SparkSession, divs: np.ndarray, y: np.ndarray, kind: str = "SVC", sigmas=SIGMAS, params: list[dict] | None = None, n_folds: int = 3, how: str = "clip", seed: int = 0, rounds: int = 1000, weight: np.ndarray | None = None) -> dict:
     """The best of sigma (in medians of the positive divergences) and parameters, by mean loss over folds; the first of equals."""
+    return tune_each(spark, divs, y, [np.arange(len(divs))], kind, sigmas, params, n_folds, how, seed, rounds, weight)[0]
+
+
+def tune_each(spark: SparkSession, divs: np.ndarray, y: np.ndarray, trains: list[np.ndarray], kind: str = "SVC", sigmas=SIGMAS, params: list[dict] | None = None, n_folds: int = 3, how: str = "clip", seed: int = 0, rounds: int = 1000, weight: np.ndarray | None = None) -> list[dict]:
+    """As tune, for each of some sets of bags (their rows), in one Spark job: a row for every set, try and fold."""
     params = params or grid(kind)
-    scale = float(np.median(divs[divs > 0]))
-    tries = [(i, s * scale, p) for i, (s, p) in enumerate(itertools.product(sigmas, params))]
+    insides = [divs[np.ix_(at, at)] for at in trains]
+    scales = [float(np.median(d[d > 0])) for d in insides]
+    tries = [*itertools.product(sigmas, params)]
     if len(tries) == 1:
-        return {"sigma": tries[0][1], **tries[0][2]}
-    shared, fold = spark.sparkContext.broadcast((divs, y, np.ones(len(y)) if weight is None else np.asarray(weight, float))), folds(len(y), n_folds, seed)
+        return [{"sigma": tries[0][0] * scale, **tries[0][1]} for scale in scales]
+    shared = spark.sparkContext.broadcast((divs, y, np.ones(len(y)) if weight is None else np.asarray(weight, float), trains))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d, labels, w = shared.value
+        every, labels, weights, sets = shared.value
         for pdf in batches:
             out = []
-            for sigma, rows in pdf.groupby("sigma"):
-                k = gram(d, sigma, how)
+            for (of, sigma), rows in pdf.groupby(["of", "sigma"]):
+                at = sets[of]
+                k, own, w, fold = gram(every[np.ix_(at, at)], sigma, how), labels[at], weights[at], folds(len(at), n_folds, seed)
                 for r in rows.itertuples():
                     train, test = np.flatnonzero(fold != r.fold), np.flatnonzero(fold == r.fold)
                     try:
-                        m = Machine(kind, rounds=rounds, **tries[r.i][2]).fit(k[np.ix_(train, train)], labels[train], w[train])
-                        out.append((r.i, loss(kind, labels[test], m.predict(k[np.ix_(test, train)]), w[test])))
+                        m = Machine(kind, rounds=rounds, **tries[r.i][1]).fit(k[np.ix_(train, train)], own[train], w[train])
+                        out.append((r.of, r.i, loss(kind, own[test], m.predict(k[np.ix_(test, train)]), w[test])))
                     except ValueError:
-                        out.append((r.i, 1e50))
-            yield pd.DataFrame(out, columns=["i", "loss"])
+                        out.append((r.of, r.i, 1e50))
+            yield pd.DataFrame(out, columns=["of", "i", "loss"])
 
-    rows = spark.createDataFrame([(i, float(s), f) for i, s, _ in tries for f in range(n_folds)], "i int, sigma double, fold int")
-    found = rows.repartition(min(len(tries), spark.sparkContext.defaultParallelism), "sigma", "i").mapInPandas(run, "i int, loss double").groupBy("i").avg("loss").collect()
-    best = min(found, key=lambda r: (r[1], r[0]))[0]
-    return {"sigma": tries[best][1], **tries[best][2]}
+    todo = [(of, i, float(s * scale), f) for of, scale in enumerate(scales) for i, (s, _) in enumerate(tries) for f in range(n_folds)]
+    rows = spark.createDataFrame(todo, "of int, i int, sigma double, fold int")
+    tasks = min(len(tries) * len(trains), spark.sparkContext.defaultParallelism)
+    found = rows.repartition(tasks, "of", "sigma", "i").mapInPandas(run, "of int, i int, loss double").groupBy("of", "i").agg(F.avg("loss").alias("loss"))
+    best = {r.of: r.i for r in found.groupBy("of").agg(F.min(F.struct("loss", "i"))["i"].alias("i")).collect()}
+    return [{"sigma": tries[best[of]][0] * scale, **tries[best[of]][1]} for of, scale in enumerate(scales)]
 
 
 def _fold_task(kind: str, how: str, project_all: bool):
@@ -281,7 +291,14 @@ def _fold_task(kind: str, how: str, project_all: bool):
 
 
 def crossvalidate(spark: SparkSession, divs: np.ndarray, y: np.ndarray, kind: str = "SVC", n_folds: int = 10, how: str = "clip", seed: int = 0, weight: np.ndarray | None = None, stratified: bool = False, fold: np.ndarray | None = None, project_all: bool = True, **search) -> tuple[float, np.ndarray]:
-    """(score, predictions): every fold tunes on its training bags, and its machine is fitted in a task of its own.
+    """(score, predictions) of `crossvalidated`."""
+    out = crossvalidated(spark, divs, y, kind, n_folds, how, seed, weight, stratified, fold, project_all, **search)
+    return out["score"], out["preds"]
+
+
+def crossvalidated(spark: SparkSession, divs: np.ndarray, y: np.ndarray, kind: str = "SVC", n_folds: int = 10, how: str = "clip", seed: int = 0, weight: np.ndarray | None = None, stratified: bool = False, fold: np.ndarray | None = None, project_all: bool = True, **search) -> dict:
+    """score, preds, the fold of each bag and params, those of each fold: every fold tunes on its training bags, and its
+    machine is fitted in a task of its own.
 
     weight: of the bags, in fits and in the score. fold: the fold of each bag, in place of random (or stratified) ones.
     project_all: test bags join the Gram matrix without labels; otherwise it is repaired for the training bags alone
@@ -291,11 +308,10 @@ def crossvalidate(spark: SparkSession, divs: np.ndarray, y: np.ndarray, kind: st
     if fold is None:
         fold = folds(len(y), n_folds, seed, y if stratified else None)
     fold = np.asarray(fold)
-    todo = []
-    for f in np.unique(fold):
-        train = np.flatnonzero(fold != f)
-        best = tune(spark, divs[np.ix_(train, train)], y[train], kind, how=how, seed=seed, weight=w[train], **search)
-        todo.append((int(f), float(best.pop("sigma")), json.dumps(best)))
+    names = np.unique(fold)
+    bests = tune_each(spark, divs, y, [np.flatnonzero(fold != f) for f in names], kind, how=how, seed=seed, weight=w, **search)
+    params = {int(f): best for f, best in zip(names, bests)}
+    todo = [(f, float(best["sigma"]), json.dumps({k: v for k, v in best.items() if k != "sigma"})) for f, best in params.items()]
     shared, task = spark.sparkContext.broadcast((divs, y, w, fold)), _fold_task(kind, how, project_all)
     rows = spark.createDataFrame(todo, "fold int, sigma double, params string").repartition(len(todo), "fold")
     found = rows.mapInPandas(lambda b: task(b, shared), "at long, pred double").collect()
@@ -304,7 +320,7 @@ def crossvalidate(spark: SparkSession, divs: np.ndarray, y: np.ndarray, kind: st
     for r in found:
         preds[r.at] = np.unique(y)[int(r.pred)] if classifies else r.pred
     bad = loss(kind, y, preds, w)
-    return (1 - bad if classifies else bad**0.5), preds
+    return {"score": 1 - bad if classifies else bad**0.5, "preds": preds, "fold": fold, "params": params}
 
 
 def transduct(divs: np.ndarray, y: np.ndarray, n_train: int, kind: str = "SVC", sigma: float = 1.0, how: str = "clip", mode: str = "predict", **params) -> np.ndarray:

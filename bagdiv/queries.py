@@ -109,6 +109,8 @@ add("l2", _divs(balances, ["l2"], [3]), _LIN + "select x.p, x.q, 'l2' as spec, 3
 
 
 def _js_sql(what: str, k: int = 3) -> str:
+    value = {"js": "v", "js_clamp": "least(ln(2), greatest(0, v))", "js-core": "core"}[what]
+    of = "(select p, q, core from g union all select bag, bag, null from n)" if what == "js-core" else "js"
     rows, dim = SQL[balances]
     return f"""with e as ({rows}), n as (select bag, count(*) as n from e group by bag),
 d as (select a.bag as p, a.id as i, b.bag as q, greatest({S.min_dist(dim)!r}, array_distance(a.v, b.v)) as d from e a, e b where a.id <> b.id),
@@ -120,7 +122,7 @@ t as (select p, q, n, m, i, max(rn) filter (cw * (n + m - 1) <= {k} * m * (2 * n
 g as (select t.p, t.q, t.n, t.m, avg({dim} * ln(s.d) - (-0.5772156649015329 + coalesce(list_sum(list_transform(range(1, nn), lambda z: 1.0::double / z)), 0))) as core from t join s on s.p = t.p and s.q = t.q and s.i = t.i and s.rn = t.nn group by all),
 bit as (select p, {dim} * avg(ln(d)) + ln(any_value(n.n) - 1) as b from k join n on n.bag = k.p where k.k = {k} and p = q group by p),
 js as (select g.p, g.q, 0.5 * (g.core + h.core - a.b - c.b) + ln(g.n + g.m - 1) + ({S.psi(k)!r}) as v from g join g h on h.p = g.q and h.q = g.p join bit a on a.p = g.p join bit c on c.p = g.q union all select bag, bag, 0 from n)
-select p, q, '{what}' as spec, {k}::int as k, round({"least(ln(2), greatest(0, v))" if what == "js_clamp" else "v"}, 6) as value from js"""
+select p, q, '{what}' as spec, {k}::int as k, round({value}, 6) as value from {of}"""
 
 
 add("js", _divs(balances, ["js"], [3]), _js_sql("js"))
@@ -229,6 +231,10 @@ add("bow_histogram", bow_histogram, f"with e as ({_E}), c as (select bag, arg_mi
 add("label_join", lambda s, d: schema.with_extra(_table(s, d, "documents").select(F.col("doc_id").alias("bag_id"), "source"), _table(s, d, "labels").select(F.col("doc_id").alias("bag_id"), "quality")).groupBy("source", "quality").agg(F.count("*").alias("n")), "select source, quality, count(*) as n from documents left join labels using (doc_id) group by all")
 add("scores", lambda s, d: _table(s, d, "labels").agg(F.round(estimators.accuracy(F.col("quality"), F.col("toxic")), 6).alias("accuracy"), F.round(estimators.rmse(F.col("quality"), F.col("toxic")), 6).alias("rmse")), "select round(avg((quality = toxic)::int), 6) as accuracy, round(sqrt(avg(power(quality - toxic, 2))), 6) as rmse from labels")
 add("pca_scores", lambda s, d: transforms.pca(vectors(s, d), k=3).select("bag_id", "point_id", F.round(F.element_at("features", 1), 6).alias("f0")))
+# Of two dimensions the axes are known in closed form; the second feature varies more, so its part of the first axis is positive.
+add("pca_plane", _rounded(parts, lambda p: transforms.pca(p, k=2), 2), f"""with a as ({_P}), s as (select avg(v[1]) as mx, avg(v[2]) as my, var_pop(v[1]) as x, var_pop(v[2]) as y, covar_pop(v[1], v[2]) as c from a),
+t as (select *, c as u, (y - x) / 2 + sqrt(power((x - y) / 2, 2) + c * c) as w from s)
+select bag as bag_id, id as point_id, round(((v[1] - mx) * u + (v[2] - my) * w) / sqrt(u * u + w * w), 6) as f0, round(((v[1] - mx) * w - (v[2] - my) * u) / sqrt(u * u + w * w), 6) as f1 from a, t""")
 add("condense_kmeans", lambda s, d: _rounded(parts, lambda p: transforms.condense_kmeans(p, 5), 2)(s, d))
 
 
@@ -264,7 +270,7 @@ mix as (select x.p, y.bag as q, d.i, d.d, row_number() over (partition by x.p, y
 t as (select p, q, sum(power(d, {1 - _A!r})) as t from mix where r = 3 group by p, q),
 v as (select a.p, a.q, {_entropy_sql("(2 * n.n)", "a.t + b.t")} - (x.h + y.h) / 2 as value from t a join t b on a.p = b.q and a.q = b.p join n on n.bag = a.p join n m on m.bag = a.q join h x on x.p = a.p join h y on y.p = a.q where n.n = m.n)
 select p.bag as p, q.bag as q, 0.8::double as alpha, 3::int as k, round(case when p.bag = q.bag then 0 else value end, 6) as value from n p, n q left join v on v.p = p.bag and v.q = q.bag""")
-add("js_core", _divs(balances, ["js-core"], [3]))
+add("js_core", _divs(balances, ["js-core"], [3]), _js_sql("js-core"))
 
 
 def bow_codewords(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,7 +298,7 @@ def psd_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def svc_cv_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids, d = _gram(spark, sf_dir)
     y = np.array([int(i) % 2 for i in ids])
-    _, preds = machines.crossvalidate(spark, d, y, "SVC", 3, sigmas=(0.5, 1.0, 2.0), params=[{"c": 1.0}, {"c": 64.0}])
+    _, preds = machines.crossvalidate(spark, d, y, "SVC")
     return spark.createDataFrame([(int(i), int(a), int(b)) for i, a, b in zip(ids, y, preds)], "bag_id int, label int, pred int")
 
 
@@ -300,7 +306,7 @@ def svc_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bags of the nations 0 to 14 train a machine that predicts the others'."""
     pts = balances(spark, sf_dir)
     known = pts.where("bag_id < 15")
-    m = estimators.BagMachine("SVC", "renyi:0.8", sigmas=(0.5, 1.0, 2.0), params=[{"c": 1.0}, {"c": 64.0}])
+    m = estimators.BagMachine("SVC", "renyi:0.8")
     return m.fit(known, known.select("bag_id", (F.col("bag_id") % 2).alias("label")).distinct()).predict(pts.where("bag_id >= 15"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +14,28 @@ def points(df: DataFrame, bag: str, point: str, features) -> DataFrame:
     return df.select(F.col(bag).alias("bag_id"), F.col(point).cast("long").alias("point_id"), F.transform(features, lambda x: x.cast("double")).alias("features"))
 
 
+def from_matrix(spark: SparkSession, rows: np.ndarray, n_pts: list[int]) -> DataFrame:
+    """Points of bags 0, 1, … that lie below each other in one matrix on the driver, n_pts rows for each."""
+    rows, counts = np.asarray(rows, float), np.asarray(n_pts)
+    if rows.ndim != 2 or rows.shape[1] < 1:
+        raise ValueError(f"a matrix of points is expected, not an array of shape {rows.shape}")
+    if counts.ndim != 1 or (counts < 1).any() or (counts != np.rint(counts)).any() or counts.sum() != len(rows):
+        raise ValueError(f"numbers of points must be positive whole numbers with the sum {len(rows)}")
+    counts = counts.astype(int)
+    first = np.cumsum(counts) - counts
+    bag = np.repeat(np.arange(len(counts)), counts)
+    table = pa.table({"bag_id": bag, "point_id": np.arange(len(rows)) - first[bag], "features": pa.FixedSizeListArray.from_arrays(rows.ravel(), rows.shape[1]).cast(pa.list_(pa.float64()))})
+    return spark.createDataFrame(table)
+
+
+def from_bags(spark: SparkSession, arrays: list[np.ndarray]) -> DataFrame:
+    """Points of bags 0, 1, …, each an array of points on the driver; a vector is a bag of one point."""
+    arrays = [np.atleast_2d(np.asarray(a, float)) for a in arrays]
+    if len({a.shape[1] for a in arrays}) != 1:
+        raise ValueError("one bag at least, and all of one dimension, are expected")
+    return from_matrix(spark, np.concatenate(arrays), [len(a) for a in arrays])
+
+
 def bags(pts: DataFrame) -> DataFrame:
     return pts.groupBy("bag_id").agg(F.count("*").alias("n_pts"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,11 +23,21 @@ def _place(path):
     return F.element_at(parts, -2).alias("category"), F.element_at(parts, -1).alias("file")
 
 
-def read_npz(spark: SparkSession, path: str, cats: list[str] | None = None, names_only: bool = False) -> DataFrame:
-    """root/<category>/<name>.npz -> points (category, name, point_id, features); object arrays are refused."""
+def chosen(df: DataFrame, pairs: DataFrame | None = None, choose: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Rows of the bags (category, name) in pairs, and of those that choose keeps of the bags left."""
+    if pairs is not None:
+        df = df.join(pairs.select("category", "name"), ["category", "name"], "left_semi")
+    return df if choose is None else df.join(choose(df.select("category", "name").distinct()).select("category", "name"), ["category", "name"], "left_semi")
+
+
+def read_npz(spark: SparkSession, path: str, cats: list[str] | None = None, names_only: bool = False, pairs: DataFrame | None = None, choose: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """root/<category>/<name>.npz -> points (category, name, point_id, features); object arrays are refused.
+
+    pairs and choose as in `chosen`: files that they leave out aren't parsed.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npz").load(path)
     files = files.select(*_place(F.col("path")), *([] if names_only else ["content"])).withColumn("name", F.regexp_replace("file", r"\.npz$", ""))
-    files = files.where(F.col("category").isin(cats)) if cats else files
+    files = chosen(files.where(F.col("category").isin(cats)) if cats else files, pairs, choose)
     if names_only:
         return files.select("category", "name")
 
@@ -68,10 +78,11 @@ def typed(data: memoryview, at: int) -> tuple[object, int]:
     return (out if code == 8 else dict(zip(out[::2], out[1::2]))), at
 
 
-def read_typedbytes(spark: SparkSession, path: str, cats: list[str] | None = None) -> DataFrame:
+def read_typedbytes(spark: SparkSession, path: str, cats: list[str] | None = None, pairs: DataFrame | None = None, choose: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Files data_*.tb of pairs `category/name`, {features: array, ...} -> points (category, name, point_id, features).
 
     Bags are emitted one by one; a file is held by one task, so files should stay at the usual 500 MB.
+    pairs and choose as in `chosen`.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "data_*.tb").load(path).select("content")
     text = lambda v: v.decode() if isinstance(v, bytes) else str(v)
@@ -89,7 +100,7 @@ def read_typedbytes(spark: SparkSession, path: str, cats: list[str] | None = Non
                     x = np.atleast_2d(np.asarray({text(k): v for k, v in value.items()}["features"], float))
                     yield pd.DataFrame({"category": category, "name": name, "point_id": np.arange(len(x)), "features": list(x)})
 
-    return files.mapInPandas(run, "category string, name string, point_id long, features array<double>")
+    return chosen(files.mapInPandas(run, "category string, name string, point_id long, features array<double>"), pairs, choose)
 
 
 def _packed(pts: DataFrame, extras: DataFrame | None) -> DataFrame:
@@ -176,38 +187,68 @@ def write_typedbytes(pts: DataFrame, path: str, extras: DataFrame | None = None,
     return _packed(pts, extras).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def save(pts: DataFrame, path: str, form: str = "parquet") -> None:
-    """points in one of the forms that `load` tells apart."""
+def write_attrs(spark: SparkSession, path: str, attrs: dict) -> None:
+    """Facts about the data in a folder, as the text file _attrs.json in it, which readers of its data pass over."""
+    spark.createDataFrame([(json.dumps(attrs),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_attrs.json")
+
+
+def read_attrs(spark: SparkSession, path: str) -> dict:
+    """What `write_attrs` wrote; empty if nothing was."""
+    try:
+        return json.loads("\n".join(r.value for r in spark.read.text(f"{path}/_attrs.json").collect()) or "{}")
+    except AnalysisException:
+        return {}
+
+
+def save(pts: DataFrame, path: str, form: str = "parquet", **attrs) -> None:
+    """points in one of the forms that `load` tells apart, and what `read_attrs` shall give."""
     writers = {"parquet": write_points, "npz": write_npz, "typedbytes": write_typedbytes}
     if form not in writers:
         raise ValueError(f"unknown form {form!r}")
     writers[form](pts, path)
+    if attrs:
+        write_attrs(pts.sparkSession, path, attrs)
 
 
-def load(spark: SparkSession, path: str, cats: list[str] | None = None) -> DataFrame:
-    """points (category, name, point_id, features) of a folder, by the names of the files in it."""
+def load(spark: SparkSession, path: str, cats: list[str] | None = None, pairs: DataFrame | None = None, choose: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """points (category, name, point_id, features) of a folder, by the names of the files in it; pairs and choose as in `chosen`."""
     names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.element_at(F.split("path", r"\."), -1).alias("kind"))
     kinds = {r.kind for r in names.distinct().collect()} & {"parquet", "npz", "tb"}
     if len(kinds) != 1:
         raise ValueError(f"files of one form are expected in {path}, not of {sorted(kinds) or 'none'}")
     reader = {"parquet": read_points, "npz": read_npz, "tb": read_typedbytes}[kinds.pop()]
-    return reader(spark, path, cats).select("category", "name", "point_id", "features")
+    return reader(spark, path, cats, pairs=pairs, choose=choose).select("category", "name", "point_id", "features")
 
 
 def write_points(pts: DataFrame, path: str, mode: str = "errorifexists") -> None:
     pts.write.mode(mode).partitionBy("category").parquet(path)
 
 
-def read_points(spark: SparkSession, path: str, cats: list[str] | None = None, pairs: DataFrame | None = None) -> DataFrame:
+def read_points(spark: SparkSession, path: str, cats: list[str] | None = None, pairs: DataFrame | None = None, choose: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     out = spark.read.parquet(path)
-    out = out.where(F.col("category").isin(cats)) if cats else out
-    return out if pairs is None else out.join(pairs, ["category", "name"], "left_semi")
+    return chosen(out.where(F.col("category").isin(cats)) if cats else out, pairs, choose)
+
 
+def find_images(spark: SparkSession, path: str, n: int | None = None, how: str = "first", seed: int = 0) -> DataFrame:
+    """(category, file, path) of the images below a folder, the category being their own folder; n: that many of each
+    category, picked as by `sample_bags`. Two images of one category and file name are an error."""
+    from ..operators.transforms import sample_bags
 
-def find_images(spark: SparkSession, path: str) -> DataFrame:
-    """(category, file, path) of the images below a folder, the category being their own folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    return files.where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*IMAGES)).select(*_place(F.col("path")), "path")
+    files = files.where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*IMAGES)).select(*_place(F.col("path")), "path")
+    if twice := files.groupBy("category", "file").count().where("count > 1").limit(5).collect():
+        raise ValueError(f"images of the same category and name: {[f'{r.category}/{r.file}' for r in twice]}")
+    return files if n is None else sample_bags(files, "category", "file", n, how, seed)
+
+
+def side_labels(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """(category, file, <name>) of images with a file `<image><suffix>` beside them that holds one value, as text without
+    white space at its ends; the name is the suffix without a leading `.`, `_` or `-`."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(path)
+    found = found.select(*_place(F.col("path")), F.regexp_replace(F.col("content").cast("string"), r"^\s+|\s+$", "").alias(suffix.lstrip("._-")))
+    image = F.col("file").substr(F.lit(1), F.length("file") - len(suffix))
+    ends = F.col("file").endswith(suffix) & F.lower(F.element_at(F.split(image, r"\."), -1)).isin(*IMAGES)
+    return found.where(ends).withColumn("file", image)
 
 
 def read_labels(spark: SparkSession, path: str, name: str) -> DataFrame:

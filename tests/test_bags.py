@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from bagdiv import schema
 from bagdiv.functions import specs as S
 from bagdiv.operators import divergence, kernel, knn, machines, transforms
 from bagdiv.sources import files
@@ -197,3 +198,94 @@ def test_npz_and_cache(spark, tmp_path):
     cache = files.DivergenceCache(spark, str(tmp_path / "cache"))
     cache.write(spark.createDataFrame([(0, 1, "kl", 3, 0.5), (0, 1, "kl", 5, 0.7)], "p int, q int, spec string, k int, value double"))
     assert [r.value for r in cache.read("kl", 5).collect()] == [0.7]
+
+
+def test_bags_of_a_matrix_and_of_arrays(spark):
+    x = np.arange(10.0).reshape(5, 2)
+    want = [(0, 0, [0.0, 1.0]), (0, 1, [2.0, 3.0]), (1, 0, [4.0, 5.0]), (1, 1, [6.0, 7.0]), (1, 2, [8.0, 9.0])]
+    for pts in (schema.from_matrix(spark, x, [2, 3]), schema.from_bags(spark, [x[:2], x[2:]])):
+        assert sorted(map(tuple, pts.collect())) == want
+    for n_pts in ([2, 2], [5, 0], [2.5, 2.5], [[2, 3]]):
+        with pytest.raises(ValueError):
+            schema.from_matrix(spark, x, n_pts)
+    for arrays in ([], [x, x[:, :1]]):
+        with pytest.raises(ValueError):
+            schema.from_bags(spark, arrays)
+
+
+@pytest.mark.parametrize("form", ["npz", "typedbytes", "parquet"])
+def test_only_the_bags_that_are_asked_for_are_loaded(spark, tmp_path, form):
+    rows = [(c, n, 0, [1.0]) for c in ("a", "b") for n in ("x", "y")]
+    out = str(tmp_path / "out")
+    files.save(spark.createDataFrame(rows, "category string, name string, point_id long, features array<double>"), out, form, made="here", sizes=[1, 2])
+    names = lambda **how: sorted((r.category, r.name) for r in files.load(spark, out, **how).collect())
+    pairs = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "x")], "category string, name string")
+    assert names(pairs=pairs) == [("a", "x"), ("b", "y")]
+    assert names(cats=["b"], pairs=pairs) == [("b", "y")]
+    assert names(choose=lambda bags: bags.where("name = 'x'")) == [("a", "x"), ("b", "x")]
+    assert files.read_attrs(spark, out) == {"made": "here", "sizes": [1, 2]} and files.read_attrs(spark, str(tmp_path)) == {}
+
+
+def test_images_by_category_and_their_side_files(spark, tmp_path):
+    for c in ("cat", "dog"):
+        (tmp_path / "in" / c).mkdir(parents=True)
+        for i in range(5):
+            (tmp_path / "in" / c / f"{i}.jpg").write_bytes(b"x")
+    (tmp_path / "in" / "cat" / "1.jpg.weight").write_text(" 2.5\n")
+    (tmp_path / "in" / "cat" / "note.weight").write_text("7")
+    picked = lambda how: sorted((r.category, r.file) for r in files.find_images(spark, str(tmp_path), 3, how).collect())
+    assert picked("first") == [(c, f"{i}.jpg") for c in ("cat", "dog") for i in (0, 1, 2)]
+    assert picked("uniform") == [(c, f"{i}.jpg") for c in ("cat", "dog") for i in (0, 2, 4)]
+    assert [tuple(r) for r in files.side_labels(spark, str(tmp_path), ".weight").collect()] == [("cat", "1.jpg", "2.5")]
+    assert files.side_labels(spark, str(tmp_path), ".weight").columns == ["category", "file", "weight"]
+    (tmp_path / "other" / "cat").mkdir(parents=True)
+    (tmp_path / "other" / "cat" / "1.jpg").write_bytes(b"x")
+    with pytest.raises(ValueError):
+        files.find_images(spark, str(tmp_path))
+
+
+def test_divergences_of_the_user(spark, monkeypatch):
+    monkeypatch.setattr(S, "CUSTOM", {})
+    S.register("both", ["kl", "alpha:.5"], lambda kl, half: kl - half)
+    rng = np.random.default_rng(8)
+    pts = bags(spark, rng.normal(size=(9, 2)), rng.normal(size=(8, 2)))
+    got = {(r.p, r.q, r.spec): r.value for r in divergence.estimate_divs(pts, ["both", "kl_raw", "alpha:0.5"], [2]).collect()}
+    for p, q in ((0, 1), (1, 0), (0, 0)):
+        assert got[p, q, "both"] == pytest.approx(got[p, q, "kl_raw"] - got[p, q, "alpha:0.5"])
+    for name, bases in (("kl", ["linear"]), ("both", ["kl"]), ("a:b", ["kl"]), ("new", []), ("new", ["js"])):
+        with pytest.raises(ValueError):
+            S.register(name, bases, lambda *_: None)
+
+
+def test_searches_of_all_folds_in_one_job_find_what_each_alone_finds(spark):
+    rng = np.random.default_rng(9)
+    y = np.array([0, 1] * 15)
+    x = rng.normal(size=30) + 1.5 * y
+    d, fold = np.abs(x[:, None] - x[None]), np.arange(30) % 3
+    how = {"sigmas": (0.25, 1.0, 4.0), "params": [{"c": 0.1}, {"c": 10.0}]}
+    found = machines.crossvalidated(spark, d, y, fold=fold, **how)
+    for f in range(3):
+        at = np.flatnonzero(fold != f)
+        assert found["params"][f] == machines.tune(spark, d[np.ix_(at, at)], y[at], **how)
+    assert (found["fold"] == fold).all() and found["score"] == pytest.approx((found["preds"] == y).mean())
+
+
+def test_codewords_are_means_of_their_points_and_noise_fills_blanks(spark):
+    rng = np.random.default_rng(10)
+    x, y = rng.normal(size=(60, 2)), rng.normal(size=(50, 2)) + 9
+    pts = bags(spark, x, y)
+    centers = transforms.codewords(pts, 3)
+    every = np.concatenate([x, y])
+    code = ((every[:, None] - centers[None]) ** 2).sum(2).argmin(1)
+    assert np.allclose(centers, [every[code == c].mean(0) for c in range(3)], atol=1e-2)
+    got = {(r.bag_id, r.code): r.n for r in transforms.bag_of_words(pts, centers).collect()}
+    assert got == {(b, c): n for b, part in enumerate((code[:60], code[60:])) for c, n in enumerate(np.bincount(part, minlength=3)) if n}
+    of = lambda: {(r.bag_id, r.point_id): r.features for r in transforms.blanks(pts, "fill", 12.0).collect()}
+    filled = of()
+    assert filled == of()
+    for b, z in enumerate((x, y)):
+        for i, v in enumerate(z):
+            if v.sum() < 12:
+                assert all(0 <= u < 36 for u in filled[b, i]) and filled[b, i] != v.tolist()
+            else:
+                assert filled[b, i] == v.tolist()
