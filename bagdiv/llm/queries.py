@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_near_dup, html_extract, line_dedup, lm_score, mixing, ngram_jaccard, quality_rules, token_counts, toxicity
+from . import bpe, embedding_near_dup, html_extract, importance, kmeans, line_dedup, lm_score, mixing, ngram_jaccard, quality_rules, token_counts, topk, toxicity
 from .common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -58,6 +58,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least_words=20, seed=42)
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op13_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.clusters(table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed=2, dim=64)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_embedding_near_dup, op2_token_counts, op3_quality_rules, op4_bpe, op5_line_dedup, op6_toxicity, op7_lm_score, op8_ngram_jaccard, op9_html_extract, op10_mixing, pipeline)
+    named = (op1_embedding_near_dup, op2_token_counts, op3_quality_rules, op4_bpe, op5_line_dedup, op6_toxicity, op7_lm_score, op8_ngram_jaccard, op9_html_extract, op10_mixing, op11_importance, op12_top_k, op13_kmeans, pipeline)
     return {f.__name__: f for f in named}
 
 
@@ -109,4 +121,4 @@ select c.id as doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from c
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dup": OP1, "op5_line_dedup": OP5, "op8_ngram_jaccard": OP8, "op10_mixing": mixing.ORACLE.replace("{documents}", "documents")}
+    return {"op1_embedding_near_dup": OP1, "op5_line_dedup": OP5, "op8_ngram_jaccard": OP8, "op10_mixing": mixing.ORACLE.replace("{documents}", "documents"), "op11_importance": importance.oracle(), "op12_top_k": topk.ORACLE, "op13_kmeans": kmeans.oracle()}
