@@ -30,7 +30,7 @@ from .common import checkpointed
 #: Whole components beyond this size are cut to it, so that sums of products fit in 64 bits.
 LIMIT = 1 << 27
 #: Vectors of a tree and queries that meet it in one task, at most; pivots at most, and bytes of them; entries of a page.
-TREE, QUERIES, PIVOTS, PIVOT_BYTES, PAGE = 1 << 16, 1 << 16, 1024, 1 << 24, 64
+TREE, QUERIES, PIVOTS, PIVOT_BYTES, PAGE = 1 << 16, 1 << 16, 1024, 1 << 24, 256
 #: A vector without an id comes after all others among equals.
 NO_ID = (1 << 63) - 1
 
