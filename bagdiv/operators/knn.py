@@ -122,15 +122,28 @@ def merged(rows: list[tuple[int, bytes]], k: int, least: float) -> np.ndarray:
     return np.maximum(d, least)
 
 
-def near(pts: DataFrame, k: int, of: Shape | None = None, pairs: DataFrame | None = None, with_ids: bool = False) -> DataFrame:
+#: Up to this dimension and from this many points on, the join with bounds takes the place of the grid.
+FEW_DIMENSIONS, MANY_POINTS = 5, 1 << 15
+
+
+def near(pts: DataFrame, k: int, of: Shape | None = None, pairs: DataFrame | None = None, with_ids: bool = False, how: str = "auto") -> DataFrame:
     """(p, n, part, q, m, width, near, own, ids): for a chunk of p's points and one of q's, a matrix of the distances to the
     nearest `width` (k at most), the point itself left out; own and ids are of the points and the neighbours, if asked for.
     n and m are the sizes of the bags. Rows come by p and part, in order of q with p itself first.
 
     With a column split, bags meet themselves and the bags of another split only. pairs (p, q): p meets itself
     and these alone, and bags in no pair aren't sent anywhere.
+
+    how: grid, pruned (the join with bounds of `pruned`), or auto, which takes the one or the other by dimension and size. Both
+    are exact.
     """
     spark, of = pts.sparkSession, of or shape(pts)
+    if how not in ("auto", "grid", "pruned"):
+        raise ValueError(f"unknown join {how!r}")
+    if how == "pruned" or (how == "auto" and of.dim <= FEW_DIMENSIONS and of.points >= MANY_POINTS):
+        from .pruned import pruned_near
+
+        return pruned_near(pts, k, of, pairs, with_ids)
     kind = pts.schema["bag_id"].dataType.simpleString()
     packed = chunks(pts, CHUNK, of.largest)
     if pairs is None:
@@ -165,8 +178,8 @@ def by_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dic
         yield key, held
 
 
-def nearest(pts: DataFrame, k: int, pairs: DataFrame | None = None) -> DataFrame:
-    """(p, i, q, j, rank, dist): the k nearest of each bag to every point, or of the bags that pairs name; ties by id."""
+def nearest(pts: DataFrame, k: int, pairs: DataFrame | None = None, how: str = "auto") -> DataFrame:
+    """(p, i, q, j, rank, dist): the k nearest of each bag to every point, or of the bags that pairs name; ties by id. how: see `near`."""
     kind = pts.schema["bag_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,4 +196,4 @@ def nearest(pts: DataFrame, k: int, pairs: DataFrame | None = None) -> DataFrame
             of = lambda name: pa.array([name] * len(own), bag)
             yield pa.RecordBatch.from_arrays([of(p), pa.array(own), of(q), pa.array(j.ravel()[ok]), pa.array(rank.ravel()[ok]), pa.array(d.ravel()[ok])], ["p", "i", "q", "j", "rank", "dist"])
 
-    return near(pts, k, pairs=pairs, with_ids=True).mapInArrow(run, f"p {kind}, i long, q {kind}, j long, rank int, dist double")
+    return near(pts, k, pairs=pairs, with_ids=True, how=how).mapInArrow(run, f"p {kind}, i long, q {kind}, j long, rank int, dist double")

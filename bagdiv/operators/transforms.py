@@ -71,6 +71,28 @@ def append_xy(pts: DataFrame, x: str | None = "x", y: str | None = "y", per_bag:
     return met.withColumn("features", F.concat("features", F.array(*(F.col(c).cast("double") / F.col(f"_{c}") for c in names)))).drop(*(f"_{c}" for c in names))
 
 
+def _summed(pts: DataFrame, dim: int, of) -> np.ndarray:
+    """The sum of of(points) over blocks of points, an array of one shape, flat: each task adds its own, Spark adds the tasks'."""
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            for lo in range(0, len(x), 4096):
+                part = of(x[lo : lo + 4096]).ravel()
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(total))), "x": pa.array(total)})
+
+    rows = pts.select("features").mapInArrow(run, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow().sort_by("at")
+    return rows.column("x").to_numpy()
+
+
+def _column_sums(pts: DataFrame, dim: int) -> tuple[int, np.ndarray]:
+    found = _summed(pts, dim, lambda x: np.concatenate([[len(x)], x.sum(0)]))
+    return int(found[0]), found[1:]
+
+
 @dataclass(frozen=True)
 class Projection:
     """Principal components of some points, to be applied to any of the same dimension."""
@@ -103,6 +125,29 @@ class Projection:
             k = min(dim, int(np.searchsorted(np.cumsum(values) / values.sum(), varfrac) + 1))
         return Projection(mean, vectors[:, :k], values[:k], whiten)
 
+    @staticmethod
+    def fit_randomized(pts: DataFrame, k: int, whiten: bool = False, more: int = 10, passes: int = 2, seed: int = 0) -> "Projection":
+        """About what `fit` gives, for dimensions whose dim x dim sums are too large: no task and not the driver holds more than dim x (k + more).
+
+        A Gaussian sketch of the covariance finds the space of its largest components: each pass multiplies the covariance by what
+        the last one gave, one point after another, and its sums are added over the tasks. A last pass takes the exact
+        covariance within that space. With k + more >= dim nothing is lost; beyond, each pass more brings the space nearer.
+        """
+        dim = dimension(pts)
+        width = min(dim, k + more)
+        n, mean = _column_sums(pts, dim)
+        mean = mean / n
+        space = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, width)))[0]
+        for _ in range(passes if width < dim else 0):
+            basis = space
+            product = _summed(pts, dim, lambda x: (x - mean).T @ ((x - mean) @ basis))
+            space = np.linalg.qr(product.reshape(dim, width))[0]
+        inner = _summed(pts, dim, lambda x: ((x - mean) @ space).T @ ((x - mean) @ space)).reshape(width, width) / n
+        values, vectors = np.linalg.eigh(inner)
+        values, vectors = np.maximum(values[::-1], 0)[:k], (space @ vectors[:, ::-1])[:, :k]
+        vectors = vectors * np.where(vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])] < 0, -1, 1)
+        return Projection(mean, vectors, values, whiten)
+
     def apply(self, pts: DataFrame) -> DataFrame:
         components = self.components / np.sqrt(np.maximum(self.variances, 1e-300)) if self.whiten else self.components
         mean, dim = self.mean, len(self.mean)
@@ -117,8 +162,11 @@ class Projection:
         return pts.mapInArrow(scores, pts.schema)
 
 
-def pca(pts: DataFrame, k: int | None = None, varfrac: float = 0.7, whiten: bool = False) -> DataFrame:
-    return Projection.fit(pts, k, varfrac, whiten).apply(pts)
+def pca(pts: DataFrame, k: int | None = None, varfrac: float = 0.7, whiten: bool = False, randomize: bool = False, seed: int = 0) -> DataFrame:
+    """Points in their principal components; randomize: by `Projection.fit_randomized`, which needs k."""
+    if randomize and k is None:
+        raise ValueError("a randomised projection needs k")
+    return (Projection.fit_randomized(pts, k, whiten, seed=seed) if randomize else Projection.fit(pts, k, varfrac, whiten)).apply(pts)
 
 
 def prepared(pts: DataFrame, k: int | None = None, varfrac: float = 0.7, blank: str | None = None, threshold: float = 1000.0, xy: bool = False) -> tuple[DataFrame, Projection, Scaler]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import schema
 from .functions import specs as S
-from .operators import divergence, estimators, kernel, knn, machines, transforms
+from .operators import approx, divergence, estimators, kernel, knn, machines, transforms
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,12 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema.points(_table(spark, sf_dir, "part"), "p_brand", "p_partkey", F.array(F.col("p_size").cast("double"), F.col("p_retailprice")))
 
 
+def order_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices and days of orders as bags by priority."""
+    day = F.datediff("o_orderdate", F.lit("1992-01-01")).cast("double")
+    return schema.points(_table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderkey", F.array(F.col("o_totalprice") / 1000, day))
+
+
 #: SQL of the same sources, with (bag, id, v), and their dimensions.
 SQL = {
     vectors: ("select label as bag, vec_id as id, embedding::DOUBLE[64] as v from embeddings", 64),
@@ -180,6 +186,25 @@ def knn_join_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("knn_join_ids", knn_join_ids, _near_sql(balances, [3]) + "select p, i, q, j, k::int as rank from r where k <= 3")
 
 
+def pruned_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join with bounds, whatever the size of the table."""
+    return knn.nearest(order_values(spark, sf_dir), 3, how="pruned").select("p", "i", "q", "j", "rank")
+
+
+add("pruned_knn_join", pruned_knn_join, """with e as (select o_orderpriority as bag, o_orderkey as id, [o_totalprice / 1000, (o_orderdate::date - date '1992-01-01')::double]::DOUBLE[2] as v from orders),
+f as (select a.bag as p, a.id as i, b.bag as q, min({'d': array_distance(a.v, b.v), 'j': b.id}, 3) as three from e a join e b on a.id <> b.id group by all)
+select p, i, q, unnest(three).j as j, unnest(range(1, 4))::int as rank from f""")
+
+
+def approx_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the parts whose ids are divisible by 100, among all parts."""
+    pts = parts(spark, sf_dir)
+    return approx.approximate_nearest(pts, 3, pts.where("point_id % 100 = 0")).select("p", "i", "q", "j", "rank", F.round("dist", 6).alias("dist"))
+
+
+add("approx_knn_join", approx_knn_join)
+
+
 def _kl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.estimate_divs(balances(spark, sf_dir), ["renyi:0.8"], [3])
 
@@ -235,6 +260,7 @@ add("pca_scores", lambda s, d: transforms.pca(vectors(s, d), k=3).select("bag_id
 add("pca_plane", _rounded(parts, lambda p: transforms.pca(p, k=2), 2), f"""with a as ({_P}), s as (select avg(v[1]) as mx, avg(v[2]) as my, var_pop(v[1]) as x, var_pop(v[2]) as y, covar_pop(v[1], v[2]) as c from a),
 t as (select *, c as u, (y - x) / 2 + sqrt(power((x - y) / 2, 2) + c * c) as w from s)
 select bag as bag_id, id as point_id, round(((v[1] - mx) * u + (v[2] - my) * w) / sqrt(u * u + w * w), 6) as f0, round(((v[1] - mx) * w - (v[2] - my) * u) / sqrt(u * u + w * w), 6) as f1 from a, t""")
+add("pca_randomized", _rounded(parts, lambda p: transforms.pca(p, k=2, randomize=True), 2), _sql["pca_plane"])
 add("condense_kmeans", lambda s, d: _rounded(parts, lambda p: transforms.condense_kmeans(p, 5), 2)(s, d))
 
 
@@ -252,16 +278,15 @@ add("condense_one_round", lambda s, d: _rounded(parts, lambda p: transforms.cond
 
 
 def jensen_renyi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Between the first 40 customers of each nation: bags must have one size."""
-    pts = transforms.sample_bags(balances(spark, sf_dir), "bag_id", "point_id", 40)
-    return divergence.jensen_renyi(pts, [0.8], [3], clamp=False).select("p", "q", "alpha", "k", F.round("value", 6).alias("value"))
+    """Between all customers of two nations; null for nations of different sizes, for whose mixture there is no estimator."""
+    return divergence.jensen_renyi(balances(spark, sf_dir), [0.8], [3], clamp=False).select("p", "q", "alpha", "k", F.round("value", 6).alias("value"))
 
 
 def _entropy_sql(n: str, total: str, a: float = 0.8, k: int = 3) -> str:
     return f"ln({divergence.entropy_constant(k, a, 1)!r} * power({n} - 1, {1 - a!r}) * ({total}) / ({n})) / {1 - a!r}"
 
 
-add("jensen_renyi", jensen_renyi, f"""with e as (select * from ({SQL[balances][0]}) qualify row_number() over (partition by bag order by id) <= 40),
+add("jensen_renyi", jensen_renyi, f"""with e as ({SQL[balances][0]}),
 d as (select a.bag as p, a.id as i, b.bag as q, greatest({S.min_dist(1)!r}, array_distance(a.v, b.v)) as d from e a, e b where a.id <> b.id),
 n as (select bag, count(*) as n from e group by bag),
 own as (select p, i, d, row_number() over (partition by p, i order by d) as r from d where p = q),
