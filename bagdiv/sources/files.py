@@ -53,54 +53,23 @@ def read_npz(spark: SparkSession, path: str, cats: list[str] | None = None, name
 
 def typed(data: memoryview, at: int) -> tuple[object, int]:
     """The typed bytes value at an offset, and the offset behind it. Code 0xAA: an array in npy format behind its length."""
-    code, at = data[at], at + 1
-    if code in PLAIN_CODES:
-        form = PLAIN_CODES[code]
-        return struct.unpack_from(form, data, at)[0], at + struct.calcsize(form)
-    if code == 9:
-        out = []
-        while data[at] != 255:
-            one, at = typed(data, at)
-            out.append(one)
-        return out, at + 1
-    n, at = struct.unpack_from(">i", data, at)[0], at + 4
-    if code in (0, 7):
-        raw = bytes(data[at : at + n])
-        return (raw.decode() if code == 7 else raw), at + n
-    if code == 0xAA:
-        return np.load(io.BytesIO(data[at : at + n]), allow_pickle=False), at + n
-    if code not in (8, 10):
-        raise ValueError(f"unknown type code {code}")
-    out = []
-    for _ in range(n if code == 8 else 2 * n):
-        one, at = typed(data, at)
-        out.append(one)
-    return (out if code == 8 else dict(zip(out[::2], out[1::2]))), at
+    from .bagfiles import Stream
+
+    file = io.BytesIO(data)
+    file.seek(at)
+    return Stream(file).value(), file.tell()
 
 
 def read_typedbytes(spark: SparkSession, path: str, cats: list[str] | None = None, pairs: DataFrame | None = None, choose: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Files data_*.tb of pairs `category/name`, {features: array, ...} -> points (category, name, point_id, features).
 
-    Bags are emitted one by one; a file is held by one task, so files should stay at the usual 500 MB.
-    pairs and choose as in `chosen`.
+    Large files are read in splits, and bags of other categories than cats are passed over (see `bagfiles`). pairs and choose as
+    in `chosen`.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "data_*.tb").load(path).select("content")
-    text = lambda v: v.decode() if isinstance(v, bytes) else str(v)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for content in pdf["content"]:
-                data, at = memoryview(content), 0
-                while at < len(data):
-                    key, at = typed(data, at)
-                    value, at = typed(data, at)
-                    category, _, name = text(key).partition("/")
-                    if cats and category not in cats:
-                        continue
-                    x = np.atleast_2d(np.asarray({text(k): v for k, v in value.items()}["features"], float))
-                    yield pd.DataFrame({"category": category, "name": name, "point_id": np.arange(len(x)), "features": list(x)})
+    from .bagfiles import read_bags
 
-    return chosen(files.mapInPandas(run, "category string, name string, point_id long, features array<double>"), pairs, choose)
+    found = read_bags(spark, path)
+    return chosen(found.where(F.col("category").isin(cats)) if cats else found, pairs, choose)
 
 
 def _packed(pts: DataFrame, extras: DataFrame | None) -> DataFrame:
@@ -113,29 +82,13 @@ def _packed(pts: DataFrame, extras: DataFrame | None) -> DataFrame:
     return out.join(extras.select("category", "name", F.to_json(F.struct(*own)).alias("extras")), ["category", "name"], "left").fillna("{}", ["extras"])
 
 
-def _bags(packed: pd.DataFrame) -> Iterator[tuple[str, str, dict]]:
-    for r in packed.itertuples():
-        yield r.category, r.name, {"features": np.array([*r.features], float), **json.loads(r.extras)}
-
-
 def write_npz(pts: DataFrame, path: str, extras: DataFrame | None = None) -> int:
     """points (category, name, point_id, features) -> root/<category>/<name>.npz with features and the extras of the bag
-    (a table by category and name). A bag is one file, so it is held by one task. Gives the number of files."""
+    (a table by category and name). A bag is one file, so it is held by one task. All files appear when the job ends, or
+    none; bags that are there already are an error. Gives the number of bags in the folder."""
+    from .bagfiles import write_bags
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        for pdf in batches:
-            for category, name, bag in _bags(pdf):
-                store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-                store.create_dir(f"{root}/{category}", recursive=True)
-                data = io.BytesIO()
-                np.savez(data, **bag)
-                with store.open_output_stream(f"{root}/{category}/{name}.npz") as f:
-                    f.write(data.getvalue())
-            yield pd.DataFrame({"n": [len(pdf)]})
-
-    return _packed(pts, extras).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return write_bags(_packed(pts, extras), path, "npz")
 
 
 def as_typed(value) -> bytes:
@@ -162,29 +115,37 @@ def as_typed(value) -> bytes:
 
 
 def write_typedbytes(pts: DataFrame, path: str, extras: DataFrame | None = None, file_bytes: int = 500 << 20) -> int:
-    """points -> files data_<partition>_<first bag>.tb of pairs `category/name`, {features, extras…}; a new file begins beyond file_bytes. Gives the number of bags."""
+    """points -> files data_<job>_<partition>_<file>.tb of pairs `category/name`, {features, extras…}, which appear when the job
+    ends, or not at all; a new file begins beyond file_bytes. Gives the number of bags in the folder."""
+    from .bagfiles import write_bags
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-        from pyspark import TaskContext
+    return write_bags(_packed(pts, extras), path, "typedbytes", file_bytes)
+
+
+def read_extras(spark: SparkSession, path: str, defaults: dict | None = None) -> DataFrame:
+    """(category, name, extras…) of the bags in a folder of any form: a row for each bag, with one type for each name (see
+    `bagfiles.unified`). Features aren't read."""
+    from .bagfiles import plain, read_bags, unified
 
-        store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-        store.create_dir(root, recursive=True)
-        out, size, n = None, 0, 0
+    form = form_of(spark, path)
+    if form == "parquet":
+        try:
+            return unified(spark.read.parquet(f"{path}/_extras.parquet"), defaults)
+        except AnalysisException:
+            return spark.read.parquet(path).select("category", "name").distinct()
+    if form == "tb":
+        return unified(read_bags(spark, path, extras=True), defaults)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npz").load(path)
+    files = files.select(*_place(F.col("path")), "content").withColumn("name", F.regexp_replace("file", r"\.npz$", ""))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for category, name, bag in _bags(pdf):
-                if out is None or size > file_bytes:
-                    if out is not None:
-                        out.close()
-                    out, size = store.open_output_stream(f"{root}/data_{TaskContext.get().partitionId():05d}_{n:09d}.tb"), 0
-                row = as_typed(f"{category}/{name}") + as_typed(bag)
-                out.write(row)
-                size, n = size + len(row), n + 1
-        if out is not None:
-            out.close()
-        yield pd.DataFrame({"n": [n]})
+            for r in pdf.itertuples():
+                with np.load(io.BytesIO(r.content), allow_pickle=False) as z:
+                    held = {k: plain(z[k]) for k in z.files if k != "features"}
+                yield pd.DataFrame({"category": [r.category], "name": [r.name], "extras": [json.dumps(held)]})
 
-    return _packed(pts, extras).mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return unified(files.select("category", "name", "content").mapInPandas(run, "category string, name string, extras string"), defaults)
 
 
 def write_attrs(spark: SparkSession, path: str, attrs: dict) -> None:
@@ -200,23 +161,34 @@ def read_attrs(spark: SparkSession, path: str) -> dict:
         return {}
 
 
-def save(pts: DataFrame, path: str, form: str = "parquet", **attrs) -> None:
-    """points in one of the forms that `load` tells apart, and what `read_attrs` shall give."""
-    writers = {"parquet": write_points, "npz": write_npz, "typedbytes": write_typedbytes}
-    if form not in writers:
+def save(pts: DataFrame, path: str, form: str = "parquet", extras: DataFrame | None = None, **attrs) -> None:
+    """points in one of the forms that `load` tells apart, extras (by category and name) that `read_extras` gives back, and what
+    `read_attrs` shall give."""
+    if form not in ("parquet", "npz", "typedbytes"):
         raise ValueError(f"unknown form {form!r}")
-    writers[form](pts, path)
+    if form == "parquet":
+        write_points(pts, path)
+        if extras is not None:
+            own = [c for c in extras.columns if c not in ("category", "name")]
+            extras.select("category", "name", F.to_json(F.struct(*own)).alias("extras")).write.parquet(f"{path}/_extras.parquet")
+    else:
+        (write_npz if form == "npz" else write_typedbytes)(pts, path, extras)
     if attrs:
         write_attrs(pts.sparkSession, path, attrs)
 
 
-def load(spark: SparkSession, path: str, cats: list[str] | None = None, pairs: DataFrame | None = None, choose: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """points (category, name, point_id, features) of a folder, by the names of the files in it; pairs and choose as in `chosen`."""
+def form_of(spark: SparkSession, path: str) -> str:
+    """parquet, npz or tb, by the names of the files in a folder."""
     names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.element_at(F.split("path", r"\."), -1).alias("kind"))
     kinds = {r.kind for r in names.distinct().collect()} & {"parquet", "npz", "tb"}
     if len(kinds) != 1:
         raise ValueError(f"files of one form are expected in {path}, not of {sorted(kinds) or 'none'}")
-    reader = {"parquet": read_points, "npz": read_npz, "tb": read_typedbytes}[kinds.pop()]
+    return kinds.pop()
+
+
+def load(spark: SparkSession, path: str, cats: list[str] | None = None, pairs: DataFrame | None = None, choose: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """points (category, name, point_id, features) of a folder, by the names of the files in it; pairs and choose as in `chosen`."""
+    reader = {"parquet": read_points, "npz": read_npz, "tb": read_typedbytes}[form_of(spark, path)]
     return reader(spark, path, cats, pairs=pairs, choose=choose).select("category", "name", "point_id", "features")
 
 
