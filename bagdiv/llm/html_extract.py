@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,7 +23,7 @@ from .common import checkpointed
 #: Names of HTML elements by what they are here.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "annotation", "annotation-xml", "object", "canvas", "audio", "video", "textarea", "title"}
-SKIPPED = {"nav", "header", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "fieldset", "head", *RAW}
+SKIPPED = {"nav", "header", "footer", "aside", "button", "select", "option", "menu", "dialog", "fieldset", "head", *RAW}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "picture", "br"} | {
     "math", "semantics", "mi", "mn", "mo", "ms", "mtext", "mrow", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "mover", "munder", "munderover", "mstyle", "mspace", "mpadded", "mphantom", "menclose", "merror", "mmultiscripts", "mprescripts", "mtable", "mtr", "mtd",
 }
@@ -35,37 +36,59 @@ BOILERPLATE = {
     "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "comment", "comments", "disqus", "reply", "replies", "respond", "share", "sharing", "social", "related", "recommended",
     "newsletter", "subscribe", "subscription", "signup", "login", "search", "widget", "toolbar", "pagination", "pager", "skip", "complementary", "contentinfo", "copyright", "legal", "disclaimer",
 }
+#: Words that may stand beside those above in one class or id; with any other word (market-share) it is the name of something else.
+BESIDE = {
+    "site", "page", "main", "top", "bottom", "left", "right", "global", "primary", "secondary", "sub", "box", "bar", "block", "area", "section", "wrapper", "wrap", "container", "inner", "outer", "list", "link", "links", "button", "buttons",
+    "icon", "icons", "item", "items", "panel", "form", "post", "posts", "article", "articles", "story", "stories", "user", "reader", "readers", "blog", "mobile", "desktop", "sticky", "fixed", "js", "the", "slot", "unit", "space", "zone", "rail",
+    "col", "column", "thread", "count", "media", "content", "text", "body", "title", "module", "row", "group", "small", "large",
+}
+#: Of the marks, those of readers' comments; they are never taken for the article.
+COMMENTS = {"comment", "comments", "disqus", "reply", "replies", "respond"}
+#: Words with which a header is that of an article.
+OF_ARTICLE = {"post", "article", "story", "content", "body", "text", "title"}
+#: Elements that hold text of their own: a name marks them only as adverts.
+TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "li", "dt", "dd", "figcaption", "caption", "th"}
+#: Levels of containers that are told apart and scored; what is deeper counts for the last of them.
+LEVELS = 50
 #: Of these, the words that mark an advert within a line of text.
 ADVERTS = {"ad", "ads", "advert", "advertisement", "adverts", "sponsor", "sponsored", "promo", "promotion"}
 #: Parts of a class or id that say something about a page or container which isn't boilerplate itself.
 ABOUT = re.compile(r"^(?:has|no|not|with|without|hide|show|is)[-_]|[-_](?:open|opened|closed|enabled|disabled|active|inactive|on|off|left|right|none)$")
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=<))|</?[a-zA-Z][^<>]*\Z", re.S)
-ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: All attributes in their order, so that no name is sought within a quoted value.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|["'][^"']*["']?""")
+READ = {"class", "id", "role", "hidden", "style", "aria-hidden"}
 MARKS = re.compile(r"\b(?:class|id|role|hidden|style)\b", re.I)
 #: Ends of raw elements; sought in the source itself, as lower() makes two characters of some.
 SHUT = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
-_WORDS = re.compile(r"[a-z]+")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 @dataclass
 class Block:
-    """Text of a block, the containers that it stands in (from the outside), and its letters within links."""
+    """Text of a block, the innermost container that it stands in (-1: none), and its letters within links."""
 
     text: str
-    inside: tuple[int, ...]
+    inside: int
     linked: int
 
 
 @dataclass
 class Page:
-    """Containers (path by number) and blocks of a page, without boilerplate."""
+    """Containers (path and the container around, by number) and blocks of a page, without boilerplate."""
 
     paths: list[str] = field(default_factory=list)
+    around: list[int] = field(default_factory=list)
     blocks: list[Block] = field(default_factory=list)
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {k.lower(): html.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(text)} if text else {}
+    """The attributes that matter here, the first of a name."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text) if text else ():
+        if m[1] and (name := m[1].lower()) in READ:
+            out.setdefault(name, html.unescape((m[2] or "").strip("\"'")))
+    return out
 
 
 def _step(tag: str, own: dict[str, str]) -> str:
@@ -78,36 +101,44 @@ def _hidden(own: dict[str, str]) -> bool:
     return "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
 
 
-def _names(own: dict[str, str]) -> set[str]:
-    """Words of a class, id and role, without those that speak about something else."""
-    names = [n for n in f"{own.get('class', '')} {own.get('id', '')} {own.get('role', '')}".lower().split() if not ABOUT.search(n)]
-    return {w for n in names for w in _WORDS.findall(n.replace("_", " "))}
-
-
-def _marked(own: dict[str, str], in_article: bool) -> bool:
-    words = _names(own)
-    return not BOILERPLATE.isdisjoint(words - {"header"} if in_article else words)
+def _names(own: dict[str, str], in_article: bool = False) -> set[str]:
+    """The words of boilerplate in a class, id and role: of names that consist of such words and of those that stand beside them."""
+    out: set[str] = set()
+    for name in f"{own.get('class', '')} {own.get('id', '')} {own.get('role', '')}".split():
+        if ABOUT.search(name.lower()):
+            continue
+        words = {w.lower() for w in _WORDS.findall(name)}
+        found = words & BOILERPLATE
+        if found and words <= BOILERPLATE | BESIDE:
+            out |= found - {"header"} if in_article or not OF_ARTICLE.isdisjoint(words) else found
+    return out
 
 
 def parse(source: str) -> Page:
     """Blocks and containers of a page; markup may be broken or cut off.
 
-    Elements with the name of boilerplate are left out, but never article and main, and none that holds
-    most of the page's letters outside of links, unless an article or main stands apart from all such.
+    Forms and elements with the name of boilerplate are left out, but never article and main, no form around one of these,
+    and none that holds most of the page's letters outside of links and comments, unless an article or main stands apart
+    from all such. Readers' comments are left out unless the page has nothing else. Of forms that stay the controls and their
+    labels go.
     """
     page, spared = _parsed(source, frozenset())
     return _parsed(source, spared)[0] if spared else page
 
 
 def _parsed(source: str, spared: frozenset[int]) -> tuple[Page, frozenset[int]]:
-    """The page, and the marked elements (by the place of their tags) that hold most of its letters."""
+    """The page, and the marked elements (by the place of their tags) that are to stay. In time linear in the source."""
     page = Page()
-    open_: list[tuple[str, bool, int | None, tuple[int, int] | None]] = []  # tag, whether it is boilerplate, its container; if only by name, its place and the letters before it
-    skipping, links, named, articles, within = 0, 0, 0, 0, 0
-    lit = dimmed = 0  # letters outside of links: shown, and left out only by the name of an element
+    open_: list[tuple[str, bool, int | None, tuple[int, int, bool] | None]] = []  # tag, whether it is boilerplate, its container; if only by name, its place, the letters before it and whether it has comments
+    opened: Counter[str] = Counter()
+    skipping, links, named, talking, within = 0, 0, 0, 0, 0
+    lit = dimmed = spoken = 0  # letters outside of links: shown, and left out only by the name of an element, those of comments apart
     held: dict[int, int] = {}
+    talk: list[int] = []
+    forms: list[int] = []
+    around: set[int] = set()  # forms around an article or main
     apart = False
-    inside: tuple[int, ...] = ()
+    inside, level = -1, 0
     path = ""
     text: list[str] = []
     linked = 0
@@ -120,17 +151,23 @@ def _parsed(source: str, spared: frozenset[int]) -> tuple[Page, frozenset[int]]:
             text, linked = [], 0
 
     def close() -> None:
-        nonlocal skipping, inside, path, named, articles, within
+        nonlocal skipping, inside, path, named, talking, within, level
         tag, dark, number, mark = open_.pop()
+        opened[tag] -= 1
         skipping -= dark
         within -= tag in INLINE
-        articles -= tag == "article"
+        if tag == "form" and forms:
+            forms.pop()
         if mark:
             named -= 1
-            held[mark[0]] = dimmed - mark[1]
+            talking -= mark[2]
+            if mark[2]:
+                talk.append(mark[0])
+            else:
+                held[mark[0]] = dimmed - mark[1]
         if number is not None:
-            inside = inside[:-1]
-            path = page.paths[inside[-1]] if inside else ""
+            inside, level = page.around[number], level - 1
+            path = page.paths[inside] if inside >= 0 else ""
 
     at, end = 0, len(source)
     while at < end:
@@ -144,7 +181,8 @@ def _parsed(source: str, spared: frozenset[int]) -> tuple[Page, frozenset[int]]:
             else:
                 lit += len(piece.strip())
         elif stop > at and skipping == named and not links:
-            dimmed += len(html.unescape(source[at:stop]).strip())
+            n = len(html.unescape(source[at:stop]).strip())
+            dimmed, spoken = (dimmed, spoken + n) if talking else (dimmed + n, spoken)
         if m is None:
             break
         at = m.end()
@@ -158,14 +196,15 @@ def _parsed(source: str, spared: frozenset[int]) -> tuple[Page, frozenset[int]]:
                 text.append(" ")
             # An inline element is followed only if it is an advert or hidden, and those of its name within it.
             elif m[1]:
-                if within and any(t[0] == tag for t in open_):
+                if within and opened[tag]:
                     while open_[-1][0] != tag:
                         close()
                     close()
-            elif tag not in VOID and not m[3].endswith("/") and (within or MARKS.search(m[3])):
+            elif tag not in VOID and not m[3].endswith("/") and (within or MARKS.search(m[3]) or (tag == "label" and opened["form"])):
                 own = _attributes(m[3])
-                if dark := _hidden(own) or not ADVERTS.isdisjoint(_names(own)) or (within and any(t[0] == tag for t in open_)):
+                if dark := _hidden(own) or not ADVERTS.isdisjoint(_names(own)) or (within and opened[tag] > 0) or (tag == "label" and opened["form"] > 0):
                     open_.append((tag, dark, None, None))
+                    opened[tag] += 1
                     skipping += 1
                     within += 1
             continue
@@ -177,12 +216,12 @@ def _parsed(source: str, spared: frozenset[int]) -> tuple[Page, frozenset[int]]:
         flush()
         links = 0
         if m[1]:
-            if any(t[0] == tag for t in open_):
+            if opened[tag]:
                 while open_[-1][0] != tag:
                     close()
                 close()
             continue
-        if tag in ENDS_P and any(t[0] == "p" for t in open_):
+        if tag in ENDS_P and opened["p"]:
             while open_[-1][0] != "p":
                 close()
             close()
@@ -191,34 +230,49 @@ def _parsed(source: str, spared: frozenset[int]) -> tuple[Page, frozenset[int]]:
         if tag in VOID or m[3].endswith("/"):
             continue
         own = _attributes(m[3])
-        dark = (tag in SKIPPED and not (tag == "header" and articles)) or (_hidden(own) and tag not in ("html", "body"))
+        dark = (tag in SKIPPED and not (tag == "header" and opened["article"])) or (_hidden(own) and tag not in ("html", "body"))
         mark = None
-        if not dark and tag not in ("html", "body", "article", "main") and m.start() not in spared and _marked(own, articles > 0):
-            dark, mark = True, (m.start(), dimmed)
-        apart |= tag in ("article", "main") and not skipping and not dark
+        if not dark and tag not in ("html", "body", "article", "main") and m.start() not in spared:
+            words = _names(own, opened["article"] > 0)
+            if tag == "form" or (words if tag not in TEXTUAL else words & ADVERTS):
+                comments = not COMMENTS.isdisjoint(words)
+                dark, mark = True, (m.start(), dimmed, comments)
+                talking += comments
+        if tag == "form":
+            forms.append(m.start())
+        if tag in ("article", "main"):
+            apart |= not skipping and not dark
+            if not talking:
+                for at_form in reversed(forms):
+                    if at_form in around:
+                        break
+                    around.add(at_form)
         number = None
-        if tag in CONTAINERS and not skipping and not dark:
+        if tag in CONTAINERS and not skipping and not dark and level < LEVELS:
             path = f"{path}/{_step(tag, own)}"
             number = len(page.paths)
             page.paths.append(path)
-            inside = (*inside, number)
+            page.around.append(inside)
+            inside, level = number, level + 1
         open_.append((tag, dark, number, mark))
+        opened[tag] += 1
         skipping += dark
         named += mark is not None
-        articles += tag == "article"
     flush()
     while open_:
         close()
-    return page, frozenset() if apart else frozenset(k for k, n in held.items() if 2 * n > lit + dimmed)
+    most = frozenset() if apart else frozenset(k for k, n in held.items() if 2 * n > lit + dimmed)
+    return page, most | (around - spared) | frozenset(talk if spoken and not lit + dimmed else ())
 
 
 def scores(page: Page) -> list[float]:
     """Score of each container: letters outside of links, whole from its own blocks, half from a container within it, and so on."""
     out = [0.0] * len(page.paths)
     for b in page.blocks:
-        worth = len(b.text) - 2 * b.linked
-        for up, number in enumerate(reversed(b.inside)):
-            out[number] += worth / 2**up
+        worth, number = float(len(b.text) - 2 * b.linked), b.inside
+        while number >= 0:
+            out[number] += worth
+            worth, number = worth / 2, page.around[number]
     return out
 
 
@@ -232,8 +286,10 @@ def best_path(page: Page) -> str:
 def main_text(page: Page, path: str | None) -> str:
     """Blocks in all containers on the path, in the page's order; from the page's own best path if it lacks the one given, and all if no container has text."""
     for tried in (path, best_path(page)):
-        wanted = {i for i, p in enumerate(page.paths) if p == tried}
-        if wanted and (kept := [b.text for b in page.blocks if not wanted.isdisjoint(b.inside)]):
+        wanted: list[bool] = []
+        for p, outer in zip(page.paths, page.around):
+            wanted.append(p == tried or (outer >= 0 and wanted[outer]))
+        if kept := [b.text for b in page.blocks if b.inside >= 0 and wanted[b.inside]]:
             return "\n\n".join(kept)
     return "\n\n".join(b.text for b in page.blocks)
 
