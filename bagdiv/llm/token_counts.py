@@ -100,23 +100,23 @@ def _pieces(path: str):
 
 
 def _frequencies(path: str, head):
-    """(doc_id, mark, text) -> a row for each document with its bytes, the tokens that the head gives, and no pre-token; and one for each other pre-token of it."""
+    """(doc_id, one, two, text) -> a row for each document with its bytes, the tokens that the head gives, and no pre-token; and one for each other pre-token of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, known = PieceCounter.of(path), head.value
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
-                ids, marks, size, tokens, pre, times = [], [], [], [], [], []
-                for doc_id, mark, text in zip(*(batch.column(k).slice(i, 500).to_pylist() for k in range(3))):
+                row, size, tokens, pre, times = [], [], [], [], []
+                for at, text in enumerate(batch.column(3).slice(i, 500).to_pylist(), i):
                     special, found = counter.frequencies(text or "")
                     rest = [(k, n) for k, n in found.items() if k not in known]
-                    ids += [doc_id] * (len(rest) + 1)
-                    marks += [mark] * (len(rest) + 1)
+                    row += [at] * (len(rest) + 1)
                     size += [len((text or "").encode()), *[None] * len(rest)]
                     tokens += [special + sum(known[k] * n for k, n in found.items() if k in known), *[0] * len(rest)]
                     pre += [None, *(k for k, _ in rest)]
                     times += [None, *(n for _, n in rest)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array(size, pa.int64()), pa.array(tokens, pa.int64()), pa.array(pre, pa.string()), pa.array(times, pa.int64())], ["doc_id", "mark", "size", "tokens", "pre", "times"])
+                own = [batch.column(k).take(pa.array(row, pa.int64())) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(size, pa.int64()), pa.array(tokens, pa.int64()), pa.array(pre, pa.string()), pa.array(times, pa.int64())], ["doc_id", "one", "two", "size", "tokens", "pre", "times"])
 
     return run
 
@@ -126,21 +126,22 @@ def token_counts(documents: DataFrame, path: str, limit: int = 1024, head: int =
 
     Counts equal the tokenizers library's with the file at path, no tokens added at the ends; special
     strings in a text are one token each. Null text counts as empty: 0 bytes, 0 tokens. Rows with a repeated or
-    null doc_id are counted each by itself; equal rows give equal rows. An empty table gives no rows. head: pre-tokens
+    null doc_id are counted each by itself, told apart by 128 bits of hash of their texts; equal rows give equal rows. A very long
+    text is split whole in one task, which holds its distinct pre-tokens besides. An empty table gives no rows. head: pre-tokens
     (of 64 characters at most) in the broadcast table, the most frequent of all texts; it changes no count.
     """
     spark = documents.sparkSession
-    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("mark"), "text")
+    own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("one"), F.xxhash64(F.lit(1), "text").alias("two"), "text")
     seen = own.select("text").mapInArrow(_summary(path), "pre string, n long").groupBy("pre").agg(F.sum("n").alias("n"))
     pieces = checkpointed(seen.mapInArrow(_pieces(path), "pre string, n long, pieces long"))
     rows = above_cutoff(pieces.where(F.length("pre") <= 64), head).select("pre", "pieces").collect()
     table = spark.sparkContext.broadcast({r.pre: r.pieces for r in rows})
     # A document's own row has no pre-token; its key matches nothing and spreads over the partitions.
-    spread = F.coalesce("pre", F.concat(F.lit("\x00doc "), F.coalesce(F.col("doc_id"), F.col("mark")).cast("string")))
-    found = own.mapInArrow(_frequencies(path, table), "doc_id long, mark int, size long, tokens long, pre string, times long")
+    spread = F.coalesce("pre", F.concat(F.lit("\x00doc "), F.coalesce(F.col("doc_id"), F.col("one")).cast("string")))
+    found = own.mapInArrow(_frequencies(path, table), "doc_id long, one long, two long, size long, tokens long, pre string, times long")
     met = found.withColumn("key", spread).join(pieces.select(F.col("pre").alias("key"), "pieces"), "key", "left")
     total = F.sum(F.col("tokens") + F.when(F.col("pre").isNull(), F.lit(0)).otherwise(F.col("times") * F.col("pieces")))
     # Rows of one doc_id and one text come together here and are told apart again.
-    counted = met.groupBy("doc_id", "mark").agg(F.max("size").alias("n_bytes"), total.alias("n_tokens"), F.count("size").alias("rows"))
+    counted = met.groupBy("doc_id", "one", "two").agg(F.max("size").alias("n_bytes"), total.alias("n_tokens"), F.count("size").alias("rows"))
     each = counted.select("doc_id", "n_bytes", F.expr("n_tokens div rows").alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("row"))
     return each.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
