@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from . import schema
 from .functions import specs as S
 from .operators import approx, divergence, estimators, kernel, knn, machines, transforms
+from .sources import growing
+from .tables import checkpoint_folder, checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -211,7 +214,14 @@ def _kl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RENYI = _near_sql(balances, [3]) + f", v as (select p, q, {_stat_sql(S.Spec('renyi', 0.8), 1, [3])} as value from j group by p, q, k), s as (select a.p, a.q, (a.value + b.value) / 2 as value from v a join v b on a.p = b.q and a.q = b.p), m as (select median(value) as m from s where value > 0)\n"
 add("symmetrize", lambda s, d: kernel.symmetrize(_kl(s, d)).select("p", "q", F.round("value", 6).alias("value")), _RENYI + "select p, q, round(value, 6) as value from s")
-add("median_sigma", lambda s, d: kernel.symmetrize(_kl(s, d)).where("value > 0").agg(F.round(F.median("value"), 6).alias("sigma")), _RENYI + "select round(m, 6) as sigma from m")
+
+
+def median_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    divs = checkpointed(kernel.symmetrize(_kl(spark, sf_dir)))
+    return spark.range(1).select(F.round(F.lit(kernel.median_positive(divs)), 6).alias("sigma"))
+
+
+add("median_sigma", median_sigma, _RENYI + "select round(m, 6) as sigma from m")
 
 
 def rbf_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,6 +305,18 @@ mix as (select x.p, y.bag as q, d.i, d.d, row_number() over (partition by x.p, y
 t as (select p, q, sum(power(d, {1 - _A!r})) as t from mix where r = 3 group by p, q),
 v as (select a.p, a.q, {_entropy_sql("(2 * n.n)", "a.t + b.t")} - (x.h + y.h) / 2 as value from t a join t b on a.p = b.q and a.q = b.p join n on n.bag = a.p join n m on m.bag = a.q join h x on x.p = a.p join h y on y.p = a.q where n.n = m.n)
 select p.bag as p, q.bag as q, 0.8::double as alpha, 3::int as k, round(case when p.bag = q.bag then 0 else value end, 6) as value from n p, n q left join v on v.p = p.bag and v.q = q.bag""")
+
+
+def growing_divs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations in three batches: each costs the pairs with its own bags."""
+    pts = balances(spark, sf_dir)
+    grown = growing.GrowingDivergences(spark, f"{checkpoint_folder(spark)}/growing-{uuid.uuid4().hex}", ["renyi:0.8", "kl_raw"], [3])
+    for at in range(3):
+        grown.add(pts.where(F.col("bag_id") % 3 == at))
+    return grown.divs().select("p", "q", "spec", "k", F.round("value", 6).alias("value"))
+
+
+add("growing_divs", growing_divs, _divs_sql(balances, ["renyi:0.8", "kl_raw"], [3]))
 add("js_core", _divs(balances, ["js-core"], [3]), _js_sql("js-core"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -68,3 +68,23 @@ def with_extra(bag_table: DataFrame, extra: DataFrame, default=None) -> DataFram
         raise ValueError(f"columns exist already: {sorted(clash)}")
     out = bag_table.join(extra, "bag_id", "left")
     return out if default is None else out.fillna({c: default for c in new})
+
+
+def text_of(category: Column) -> Column:
+    """A category as text: whole numbers without a fraction, whatever their type was."""
+    real = category.try_cast("double")
+    whole = real.isNotNull() & (F.abs(real) < 1e15) & (real == F.floor(real))
+    return F.when(whole, real.cast("long").cast("string")).otherwise(category.cast("string"))
+
+
+def relabelled(df: DataFrame, own: str, other: str) -> DataFrame:
+    """(own, other): which category of one column is which of another, as text; an error if two of one go with one of the other.
+
+    Each side is one grouped count of the distinct pairs, so it costs no more than a distinct. Rows with a null on either side
+    say nothing.
+    """
+    met = df.select(text_of(F.col(own)).alias("own"), text_of(F.col(other)).alias("other")).where("own is not null and other is not null").distinct()
+    for side, back in (("own", "other"), ("other", "own")):
+        if rows := met.groupBy(side).agg(F.count("*").alias("n"), F.min(back).alias("one"), F.max(back).alias("two")).where("n > 1").orderBy(side).limit(3).collect():
+            raise ValueError(f"categories aren't the same up to their names: {[(r[0], r.one, r.two) for r in rows]}")
+    return met
