@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 from .operators import divergence, estimators, kernel, machines
 from .sources.files import DivergenceCache, write_attrs
+from .sources.growing import counted
 
 #: The divergences that are estimated by default.
 DIVS = ["hellinger", "bc", "linear", "l2", "kl", "renyi:.5", "renyi:.7", "renyi:.9", "renyi:.99"]
@@ -19,6 +20,7 @@ def parser() -> argparse.ArgumentParser:
     todo = out.add_subparsers(dest="todo", required=True)
     one = todo.add_parser("divs", help="divergences between all bags, written by spec and K")
     one.add_argument("points"), one.add_argument("out")
+    one.add_argument("--strict", action="store_true", help="values that aren't finite are an error")
     one.add_argument("--div", nargs="+", default=DIVS), one.add_argument("-K", nargs="+", type=int, default=[1, 3, 5, 10])
     for name, more in (("cv", ("points", "labels", "out")), ("predict", ("points", "labels", "test", "out"))):
         one = todo.add_parser(name)
@@ -35,12 +37,13 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("bagdiv").getOrCreate()
     pts = spark.read.parquet(a.points)
     if a.todo == "divs":
-        DivergenceCache(spark, a.out).write(divergence.estimate_divs(pts, a.div, a.K))
+        counted(divergence.estimate_divs(pts, a.div, a.K), a.div, a.K, DivergenceCache(spark, a.out).write, a.strict)
         return
     labels = spark.read.parquet(a.labels)
     if a.todo == "predict":
         m = estimators.BagMachine(a.kind, a.div, a.K, a.psd).fit(pts, labels)
         m.predict(spark.read.parquet(a.test)).write.parquet(a.out)
+        write_attrs(spark, a.out, {"div": a.div, "K": a.K, "kind": a.kind, "psd": a.psd, "params": {"sigma": float(m.sigma), **m.best}})
         return
     said = {r.bag_id: r.label for r in labels.where("label is not null").collect()}
     ids = sorted(said)

@@ -58,7 +58,7 @@ class BagMachine:
         if not (inside > 0).any():
             raise ValueError("no divergence is positive")
         best = machines.tune(pts.sparkSession, inside, y, self.kind, sigmas, self.params or ([{}] if one_class else None), self.n_folds, self.how, self.seed)
-        self.sigma = best.pop("sigma")
+        self.sigma, self.best = best.pop("sigma"), best
         gram, self.change = kernel.repair(np.exp(-(d**2) / (2 * self.sigma**2)), self.how)
         gram = gram[np.ix_(self.rows, self.rows)]
         self.machine = machines.Machine(self.kind, **best).fit(gram, y)

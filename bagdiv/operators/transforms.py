@@ -180,20 +180,48 @@ def prepared(pts: DataFrame, k: int | None = None, varfrac: float = 0.7, blank:
     return scaler.apply(pts), projection, scaler
 
 
-def condense_kmeans(pts: DataFrame, k: int, rounds: int = 20) -> DataFrame:
+def _gap(c: Column) -> Column:
+    """Squared distance of a point to a center."""
+    return _total(F.zip_with("features", c, lambda a, b: (a - b) * (a - b)))
+
+
+def condense_kmeans(pts: DataFrame, k: int, rounds: int = 20, runs: int = 0, seed: int = 0) -> DataFrame:
     """Bags of more than k points become their k cluster centers, numbered from 0; others stay.
 
-    Each bag starts from its k points of the smallest ids. A round is a join of the points with the centers of their bag
+    Each bag starts from its k points of the smallest ids, or with runs from oversampled seeds (see `_oversampled`), as many times
+    as said, of which the one of the least cost stays. A round is a join of the points with the centers of their bag
     and sums by center, so that a bag of any size is spread over tasks; a center that loses all points stays.
     It ends when no center moves.
     """
     sizes = pts.groupBy("bag_id").agg(F.count("*").alias("_n"))
     large = checkpointed(pts.select("bag_id", "point_id", "features").join(sizes.where(F.col("_n") > k).select("bag_id"), "bag_id", "left_semi"))
-    centers = checkpointed(_first(large, k))
     dim = dimension(pts)
+    if not runs:
+        centers = _lloyd(large, checkpointed(_first(large, k)), rounds, dim)
+    else:
+        tried = [_lloyd(large, _oversampled(large, k, seed + run), rounds, dim) for run in range(runs)]
+        if runs > 1:
+            costs = [cost(large, c).select("bag_id", "cost", F.lit(run).alias("run")).join(c, "bag_id") for run, c in enumerate(tried)]
+            every = costs[0]
+            for one in costs[1:]:
+                every = every.unionByName(one)
+            tried = [every.groupBy("bag_id").agg(F.min_by("centers", F.struct("cost", "run")).alias("centers"))]
+        centers = tried[0]
+    condensed = centers.select("bag_id", F.posexplode("centers").alias("point_id", "features")).withColumn("point_id", F.col("point_id").cast("long"))
+    small = pts.select("bag_id", "point_id", "features").join(sizes.where(F.col("_n") <= k).select("bag_id"), "bag_id", "left_semi")
+    return small.unionByName(condensed)
+
+
+def cost(pts: DataFrame, centers: DataFrame) -> DataFrame:
+    """(bag_id, cost): squared distances of a bag's points to the nearest of its centers (bag_id, centers), added up."""
+    met = pts.join(centers.select("bag_id", "centers"), "bag_id")
+    return met.groupBy("bag_id").agg(F.sum(F.array_min(F.transform("centers", _gap))).alias("cost"))
+
+
+def _lloyd(large: DataFrame, centers: DataFrame, rounds: int, dim: int) -> DataFrame:
+    """(bag_id, centers) after that many rounds, or when none moves; the table of the centers given is deleted."""
     for _ in range(rounds):
-        gap = lambda c: _total(F.zip_with("features", c, lambda a, b: (a - b) * (a - b)))
-        coded = large.join(centers, "bag_id").withColumn("_gaps", F.transform("centers", gap))
+        coded = large.join(centers, "bag_id").withColumn("_gaps", F.transform("centers", _gap))
         coded = coded.select("bag_id", (F.array_position("_gaps", F.array_min("_gaps")) - 1).cast("int").alias("code"), "features", "centers")
         means = coded.groupBy("bag_id", "code").agg(F.array(*(F.avg(F.element_at("features", i + 1)) for i in range(dim))).alias("mean"))
         new = means.groupBy("bag_id").agg(F.map_from_entries(F.collect_list(F.struct("code", "mean"))).alias("by_code")).join(centers, "bag_id")
@@ -203,9 +231,51 @@ def condense_kmeans(pts: DataFrame, k: int, rounds: int = 20) -> DataFrame:
         centers = new.select("bag_id", "centers")
         if not moved:
             break
-    condensed = centers.select("bag_id", F.posexplode("centers").alias("point_id", "features")).withColumn("point_id", F.col("point_id").cast("long"))
-    small = pts.select("bag_id", "point_id", "features").join(sizes.where(F.col("_n") <= k).select("bag_id"), "bag_id", "left_semi")
-    return small.unionByName(condensed)
+    return centers
+
+
+def _oversampled(large: DataFrame, k: int, seed: int, passes: int = 4) -> DataFrame:
+    """(bag_id, centers): k seeds of each bag, for all bags at once; a written table.
+
+    From one point on, each pass draws about 2k points of every bag, each by its share of the cost that the points drawn before
+    leave. The points drawn are weighted by how many others are nearest to them, and k of these some 2k * passes are
+    chosen within one row of the bag. Draws come from hashes of ids and seed, so they don't change.
+    """
+    unit = lambda n: F.pmod(F.xxhash64("bag_id", "point_id", F.lit(seed), F.lit(n)), F.lit(1 << 40)) / float(1 << 40)
+    drawn = checkpointed(large.groupBy("bag_id").agg(F.array(F.min_by("features", F.struct(unit(0), "point_id"))).alias("centers")))
+    for n in range(1, passes + 1):
+        far = large.join(drawn, "bag_id").select("bag_id", "point_id", "features", F.array_min(F.transform("centers", _gap)).alias("far"))
+        whole = far.groupBy("bag_id").agg(F.sum("far").alias("whole"))
+        some = far.join(whole, "bag_id").where(unit(n) * F.col("whole") < F.lit(2 * k) * F.col("far"))
+        more = some.groupBy("bag_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("point_id", "features"))), lambda r: r["features"]).alias("more"))
+        new = drawn.join(more, "bag_id", "left").select("bag_id", F.when(F.col("more").isNull(), F.col("centers")).otherwise(F.concat("centers", "more")).alias("centers"))
+        was, drawn = drawn, checkpointed(new)
+        dropped(was)
+    gaps = F.transform("centers", _gap)
+    near = large.join(drawn, "bag_id").select("bag_id", (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int").alias("at"))
+    weights = near.groupBy("bag_id", "at").agg(F.count("*").alias("n")).groupBy("bag_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("weights"))
+    rows = drawn.join(weights, "bag_id").select("bag_id", "centers", F.transform("centers", lambda c, i: F.coalesce(F.element_at("weights", i), F.lit(0)).cast("double")).alias("weight"))
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for r in batch.to_pylist():
+                x, weight = np.array(r["centers"], float), np.array(r["weight"])
+                draw, at, least = np.random.default_rng(seed), [], np.full(len(x), np.inf)
+                for _ in range(k):
+                    share = weight if not at else weight * least
+                    share = np.where(np.isin(np.arange(len(x)), at), 0, share)
+                    if not share.sum():
+                        share = (~np.isin(np.arange(len(x)), at)).astype(float)
+                    if not share.sum():
+                        share = np.ones(len(x))
+                    at.append(int(draw.choice(len(x), p=share / share.sum())))
+                    least = np.minimum(least, ((x - x[at[-1]]) ** 2).sum(1))
+                found.append(x[at].tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("bag_id"), pa.array(found, pa.list_(pa.list_(pa.float64())))], ["bag_id", "centers"])
+
+    kind = large.schema["bag_id"].dataType.simpleString()
+    return checkpointed(rows.mapInArrow(run, f"bag_id {kind}, centers array<array<double>>"))
 
 
 def _first(pts: DataFrame, k: int) -> DataFrame:

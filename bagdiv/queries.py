@@ -274,6 +274,9 @@ add("pca_randomized", _rounded(parts, lambda p: transforms.pca(p, k=2, randomize
 add("condense_kmeans", lambda s, d: _rounded(parts, lambda p: transforms.condense_kmeans(p, 5), 2)(s, d))
 
 
+add("condense_oversampled", lambda s, d: _rounded(parts, lambda p: transforms.condense_kmeans(p, 5, runs=2), 2)(s, d))
+
+
 def _one_round_sql(k: int) -> str:
     """Centers of k-means after one round from the k points of the smallest ids; bags of no more than k points as they are."""
     return f"""with a as ({_P}), s as (select bag from a group by bag having count(*) <= {k}), e as (select * from a where bag not in (select bag from s)),
