@@ -2,16 +2,14 @@
 
 import hashlib
 import math
-import os
 import re
 import zlib
 from collections import Counter
 
-import duckdb
 import numpy as np
 import pytest
 
-from bagdiv.llm import importance, kmeans, queries, topk
+from bagdiv.llm import importance, kmeans, topk
 
 TEXTS = [None, "", " .,- ", "one", "Two words", "The É-cole of İstanbul is OLD; naïve x1 " * 4, "a b c d e f g h i j k l m n o p q r s t", "a b c d e f g h i j k l m n o p q r s", "...lead and trail...", "same words here " * 30, "same words here " * 30, "日本 語\x00x\x7fy", "Straße STRASSE " * 12, "long " * 40_000]
 TARGETS = [None, "", "same words there and the ecole", "A b C"]
@@ -181,16 +179,3 @@ def test_boxes_save_distances():
     assert all((got.total[i] == tree.codes[label == i].sum(0)).all() for i in range(8))
     _, alike = kmeans.kd_tree(np.ones((1000, 4), np.int64))
     assert len(alike.left) == 1
-
-
-@pytest.mark.parametrize("name", ["op11_importance", "op12_top_k", "op13_kmeans"])
-def test_against_sql(spark, name):
-    sf = "/root/testdata/sf0.001"
-    con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
-        path = f"{sf}/{t}.parquet"
-        con.execute(f"create view {t} as select * from '{path}/*.parquet'" if os.path.isdir(path) else f"create view {t} as select * from '{path}'")
-    df = queries.queries()[name](spark, sf)
-    names = sorted(df.columns)
-    want = con.execute(f"select {', '.join(names)} from ({queries.oracle_sql()[name]})").fetchall()
-    assert ordered(df.select(*names).collect()) == ordered(want)
