@@ -218,8 +218,9 @@ class LineIndex:
 
             return lines.mapInArrow(probed, kind)
         # A shard of very common lines has several tasks, each with a copy of its filter.
-        tasks = self.shared().groupBy(self._shard(n)).agg((F.floor(F.sum("refs") / TASK_LINES) + 1).cast("int").alias("tasks"))
-        asked = lines.mapInArrow(_lines(least), kind).withColumn("shard", self._shard(n)).join(F.broadcast(tasks), "shard")
+        tasks = checkpointed(self.shared().groupBy(self._shard(n)).agg((F.floor(F.sum("refs") / TASK_LINES) + 1).cast("int").alias("tasks")))
+        few = tasks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        asked = lines.mapInArrow(_lines(least), kind).withColumn("shard", self._shard(n)).join(F.broadcast(tasks) if few else tasks, "shard")
         asked = asked.select("shard", F.pmod(F.xxhash64("doc_id"), "tasks").cast("int").alias("task"), *KEY, "doc_id", F.lit(None).cast("binary").alias("filter"))
         given = self.filters.join(tasks, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), *(F.lit(None).cast("long").alias(c) for c in (*KEY, "doc_id")), "filter")
         rows = given.unionByName(asked).repartition("shard", "task").sortWithinPartitions("shard", "task", F.col("filter").isNull())
