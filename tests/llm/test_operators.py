@@ -194,29 +194,28 @@ def test_cuckoo_filter():
 def lm_by_hand(texts, out):
     """(n_tokens, n_known, N, base_score, score) of each text, by an automaton of dictionaries that reads word by word."""
     words = [lm_score.words(t) for t in texts]
-    c, two = Counter(), Counter()
+    seen = Counter()
     for ws in (ws for ws, o in zip(words, out) if not o):
-        c.update(ws), two.update(zip(ws, ws[1:]))
+        for k in (1, 2, 3):
+            seen.update(tuple(ws[i : i + k]) for i in range(len(ws) - k + 1))
+    c = {g[0]: n for g, n in seen.items() if len(g) == 1}
     total, kinds = sum(c.values()), len(c)
     once, twice = (sum(n == k for n in c.values()) for k in (1, 2))
     d = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.05
-    single = lambda w: (c[w] - d if w in c else d * kinds) / total if total else 1.0
-    follow, times = defaultdict(set), Counter()
-    for (a, b), n in two.items():
-        follow[a].add(b)
-        times[a] += n
-    left = {a: lm_score.DISCOUNT * len(ws) / times[a] for a, ws in follow.items()}
-    rows = []
-    for ws in words:
-        state, score = None, 0.0
-        for w in ws:
-            if (state, w) in two:
-                score += math.log10((two[state, w] - lm_score.DISCOUNT) / times[state] + left[state] * single(w))
-            else:
-                score += math.log10(left.get(state, 1.0)) + math.log10(single(w))
-            state = w
-        rows.append((len(ws), sum(w in c for w in ws), total, sum(math.log10((c[w] + 1) / (total + kinds + 1)) for w in ws), score))
-    return rows
+    follow, times = Counter(), Counter()
+    for g, n in seen.items():
+        follow[g[:-1]] += 1
+        times[g[:-1]] += n
+
+    def chance(history, w):
+        if not history:
+            return (c[w] - d if w in c else d * kinds) / total if total else 1.0
+        lower = chance(history[1:], w)
+        if not times[history]:
+            return lower
+        return (max(seen[*history, w] - lm_score.DISCOUNT, 0) + lm_score.DISCOUNT * follow[history] * lower) / times[history]
+
+    return [(len(ws), sum(w in c for w in ws), total, sum(math.log10((c.get(w, 0) + 1) / (total + kinds + 1)) for w in ws), sum(math.log10(chance(tuple(ws[max(0, i - 2) : i]), w)) for i, w in enumerate(ws))) for ws in words]
 
 
 def test_lm(docs, empty):
@@ -229,7 +228,7 @@ def test_lm(docs, empty):
     assert all(r.score == r.base_score == 0 for r in lm_score.score(docs, F.lit(True)).collect())
 
 
-def test_lm_holds_every_pair_of_words(spark):
+def test_lm_holds_every_pair_and_triple_of_words(spark):
     rng = np.random.default_rng(8)
     texts = [None, "", "One", *(" ".join(f"w{x}" for x in rng.zipf(1.3, rng.integers(1, 40)) % 4000) for _ in range(300))]
     df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
@@ -241,11 +240,12 @@ def test_lm_holds_every_pair_of_words(spark):
         assert [tuple(got[i])[2:] == pytest.approx(w) for i, w in enumerate(want)] == [True] * len(texts)
 
 
-def test_lm_states_of_several_owners(spark, monkeypatch):
+@pytest.mark.parametrize("most,ranked", [(7, 100), (1 << 16, 3)])
+def test_lm_states_of_several_owners(spark, monkeypatch, most, ranked):
     texts = [" ".join(["the", f"w{i % 9}", "the", f"v{i}"]) for i in range(200)]
     u, size = lm_score.count_words(spark.createDataFrame([(t, False) for t in texts], "text string, held_out boolean"))
     hot = {int(lm_score.hashed([b"the"])[0]): 5, int(lm_score.hashed([b"w3"])[0]): 2}
-    monkeypatch.setattr(lm_score, "count_words", lambda *a: (lm_score.Unigrams(u.total, u.distinct, u.discount, u.ends, hot), size))
+    monkeypatch.setattr(lm_score, "count_words", lambda *a: (lm_score.Unigrams(u.total, u.distinct, u.discount, u.ends, hot, most, u.frequent[:ranked]), size))
     df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     got = by_id(lm_score.score(df, F.lit(False), group_bytes=1000))
     assert [tuple(got[i])[2:] == pytest.approx(w) for i, w in enumerate(lm_by_hand(texts, [False] * 200))] == [True] * 200
@@ -262,23 +262,25 @@ def test_lm_of_repeated_and_null_doc_ids(spark):
 def test_lm_probabilities_sum_to_one():
     import pyarrow as pa
 
-    trained = ["a b a c", "b a", "a b b", "c"]
+    trained = ["a b a c", "b a", "a b b", "c", "a b a b"]
     names = ["a", "b", "c", "zz"]
-    # Every word that may follow one, in texts that aren't learned from.
-    asked = [f"{x} {y}" for x in names for y in names] + names
-    r = lm_score.Reading(pa.array(trained + asked), np.append(np.ones(len(trained)), np.zeros(len(asked))), {})
-    total = np.bincount(r.token[: sum(len(t.split()) + 1 for t in trained)], minlength=len(r.words))
-    kinds = np.bincount(r.before, r.times > 0, len(r.words))
-    u = lm_score.Unigrams(int(total.sum()), int((total > 0).sum()), 0.5, len(trained))
-    a = lm_score.Automaton.of(r, u, total, kinds, r.times)
-    p = 10 ** a.read(r.token, r.arc, r.begins)
-    first = {(t, k): at for t, (lo, n) in enumerate(zip(np.cumsum(r.size) - r.size, r.size)) for k, at in enumerate(range(lo, lo + n))}
-    for i, x in enumerate(names):
-        words = [p[first[len(trained) + 4 * i + j, 1]] for j in range(4)]
-        end = p[first[len(trained) + 16 + i, 1]]
-        assert sum(words) + end == pytest.approx(1)
-    start = [p[first[len(trained) + 16 + i, 0]] for i in range(4)]
-    assert sum(start) + 10 ** u.log10(len(trained)) == pytest.approx(1)
+    # Every word that may follow any two, in texts that aren't learned from.
+    asked = [f"{x} {y} {z}" for x in names for y in names for z in names] + [f"{x} {y}" for x in names for y in names] + names
+    learned = np.append(np.ones(len(trained)), np.zeros(len(asked)))
+    r = lm_score.Reading(pa.array(trained + asked), learned, lm_score.Unigrams(0, 0, 0.5))
+    total = np.bincount(r.token, learned[r.text], len(r.words)).astype(np.int64)
+    r.u = lm_score.Unigrams(int(total.sum()), int((total > 0).sum()), 0.5, len(trained))
+    r.deepen()
+    # No other group has any pair, so nobody is asked.
+    assert not len(r.triples(r.times, np.zeros(len(r.times), bool))[1])
+    p = 10 ** lm_score.Automaton.of(r, total, np.bincount(r.before, r.times > 0, len(r.words)), r.times, np.bincount(r.history, r.three > 0, len(r.times)), r.three).read(r)
+    begin = np.cumsum(r.size) - r.size
+    place = {t: int(begin[len(trained) + i]) for i, t in enumerate(asked)}
+    for x in names:
+        for y in names:
+            assert sum(p[place[f"{x} {y} {z}"] + 2] for z in names) + p[place[f"{x} {y}"] + 2] == pytest.approx(1)
+        assert sum(p[place[f"{x} {y}"] + 1] for y in names) + p[place[x] + 1] == pytest.approx(1)
+    assert sum(p[place[x]] for x in names) + 10 ** r.u.log10(len(trained)) == pytest.approx(1)
 
 
 def test_quality(docs, empty, spark):
