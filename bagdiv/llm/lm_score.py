@@ -30,8 +30,10 @@ END_HASH = U64(0x5D1F0C2A9B7E4361)
 _FIRST, _SLICE = U64(0x9E6C63D0876A9A47), U64(0xC2B2AE3D27D4EB4F)
 #: Bytes of text in a group of documents; and at most so many words whose arcs are dealt to several owners.
 GROUP_BYTES, HOT_WORDS = 6 << 20, 1 << 12
-#: At most so many of the most frequent words are named by two bytes in questions, all others by their hashes.
-RANKED = (1 << 16) - 1
+#: At most so many of the most frequent words (12 bytes each in a broadcast) are named by their places in questions, all others by
+#: their hashes; and bytes of text that a task holds while it deals them to groups.
+RANKED, DEALT_BYTES = 1 << 20, 32 << 20
+_ZSTD = pa.Codec("zstd", compression_level=3)
 
 
 def folded(doc_id: str, mod: int) -> Column:
@@ -74,7 +76,8 @@ class Unigrams:
     """Probabilities of single words: absolute discounting, what it takes away going to all unseen words as one.
 
     ends: how often a training text ended. hot: words whose arcs have several owners, with the number of those; most: what
-    one owner of a state is to have of its arcs. frequent: hashes of the most frequent words, in order.
+    one owner of a state is to have of its arcs. frequent, places: hashes of the most frequent words, in order, and their
+    places by frequency.
     """
 
     total: int
@@ -84,13 +87,14 @@ class Unigrams:
     hot: dict[int, int] = field(default_factory=dict)
     most: int = 1 << 16
     frequent: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))
+    places: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
 
     def rank(self, words: np.ndarray) -> np.ndarray:
         """Places of words among the frequent ones, RANKED for all others."""
         if not len(self.frequent):
             return np.full(len(words), RANKED, np.int64)
         at = np.minimum(np.searchsorted(self.frequent, words), len(self.frequent) - 1)
-        return np.where(self.frequent[at] == words, at, RANKED)
+        return np.where(self.frequent[at] == words, self.places[at], RANKED).astype(np.int64)
 
     def log10(self, n: np.ndarray) -> np.ndarray:
         n = np.asarray(n, float)
@@ -140,17 +144,30 @@ def count_words(texts: DataFrame, hot: int = HOT_WORDS) -> tuple[Unigrams, int]:
     most = max(1 << 16, -(-total // hot))
     many = {r.word % 2**64: -(-r.n // most) for r in known.where(F.col("n") > most).collect()}
     many.pop(int(END_HASH), None)
-    frequent = above_cutoff(known, RANKED).select("word").toArrow().column("word").to_numpy().view(U64)
+    top = above_cutoff(known, RANKED).select("word", "n").toArrow()
+    frequent, n = top.column("word").to_numpy().view(U64), top.column("n").to_numpy()
+    order = np.argsort(frequent)
+    places = np.empty(len(order), np.int32)
+    places[np.lexsort([frequent[order], -n[order]])] = np.arange(len(order), dtype=np.int32)
     dropped(counts)
-    return Unigrams(total, distinct, min(0.95, max(0.05, once / (once + 2 * twice) if once else 0.05)), ends, many, most, np.sort(frequent)), size
+    return Unigrams(total, distinct, min(0.95, max(0.05, once / (once + 2 * twice) if once else 0.05)), ends, many, most, frequent[order], places), size
+
+
+def squeezed(b: bytes) -> bytes:
+    return len(b).to_bytes(8, "little") + _ZSTD.compress(b, asbytes=True) if b else b""
+
+
+def restored(b: bytes) -> bytes:
+    return _ZSTD.decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True) if b else b""
 
 
 def planes(x: np.ndarray, width: int = 8) -> bytes:
-    """Whole numbers of so many bytes, all lowest bytes first: small ones compress well."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    """Whole numbers of so many bytes, all lowest bytes first, compressed: small ones compress well."""
+    return squeezed(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
 
 
 def from_planes(b: bytes, width: int = 8) -> np.ndarray:
+    b = restored(b)
     out = np.zeros((len(b) // width, 8), np.uint8)
     out[:, :width] = np.frombuffer(b, np.uint8).reshape(width, -1).T
     return out.view("<u8").reshape(-1).astype(np.int64)
@@ -188,7 +205,7 @@ class Questions:
             if lo < hi:
                 of = slice(self.edges[lo], self.edges[hi])
                 keys = np.diff(self.keys[lo:hi], prepend=U64(0))
-                yield b, planes(keys), planes(np.diff(self.edges[lo : hi + 1])), planes(rank[of], 2), after[of][rank[of] == RANKED].astype("<u8").tobytes(), planes(times[of])
+                yield b, planes(keys), planes(np.diff(self.edges[lo : hi + 1])), planes(rank[of], 3), after[of][rank[of] == RANKED].astype("<u8").tobytes(), planes(times[of])
 
     def answered(self, answers: pa.Table, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(how often each state is in training texts before a word, its distinct arcs there, how often each arc is there, and
@@ -312,10 +329,43 @@ ANSWERED = "bucket int, group int, level int, totals binary, kinds binary, times
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _reading(table: pa.Table, u: Unigrams) -> Reading:
-    texts = table.column("text").combine_chunks()
-    texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
-    return Reading(texts, ~table.column("held_out").to_numpy().astype(bool), u)
+def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, doc_id, text, held_out) -> (group, docs): rows of one group as far as a task has met them, compressed."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        group = rows.column("group").to_numpy()
+        order = np.argsort(group, kind="stable")
+        edges = [*np.flatnonzero(np.diff(group[order], prepend=-1)), len(order)]
+        for lo, hi in zip(edges, edges[1:]):
+            sink = pa.BufferOutputStream()
+            part = rows.take(pa.array(order[lo:hi])).drop_columns(["group"])
+            with pa.ipc.new_stream(sink, part.schema) as writer:
+                writer.write_table(part)
+            yield pa.RecordBatch.from_arrays([pa.array([group[order[lo]]], pa.int32()), pa.array([squeezed(sink.getvalue().to_pybytes())], pa.binary())], ["group", "docs"])
+
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size > DEALT_BYTES:
+            yield from out()
+            size = 0
+    if held:
+        yield from out()
+
+
+def _docs(table: pa.Table) -> pa.Table:
+    """The rows of one group (doc_id, text, held_out)."""
+    return pa.concat_tables([pa.ipc.open_stream(restored(b.as_py())).read_all() for b in table.column("docs")]).combine_chunks()
+
+
+def _reading(docs: pa.Table, u: Unigrams) -> Reading:
+    texts = docs.column("text")
+    return Reading(pa.concat_arrays(texts.chunks), ~docs.column("held_out").to_numpy().astype(bool), u)
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
@@ -324,18 +374,18 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table([pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(columns)], [n for n, _ in columns])
 
 
-def _asked_pairs(buckets: int, u: Unigrams):
+def _asked_pairs(buckets: int, u):
     def run(table: pa.Table) -> pa.Table:
-        r = _reading(table, u)
+        r = _reading(_docs(table), u.value)
         group = table.column("group")[0].as_py()
         return _table([(b, group, *x) for b, *x in r.pairs().asked(buckets, r.rank[r.after], r.words[r.after], r.times)], ASKED)
 
     return run
 
 
-def _asked_triples(buckets: int, u: Unigrams):
+def _asked_triples(buckets: int, u):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        r = _reading(docs, u)
+        r = _reading(_docs(docs), u.value)
         group = docs.column("group")[0].as_py()
         _, _, seen, shared = r.pairs().answered(answers, len(r.words))
         r.deepen()
@@ -355,7 +405,7 @@ def _answered(level: int):
         column = lambda name: table.column(name).to_pylist()
         states = [np.cumsum(from_planes(b).view(U64), dtype=U64) for b in column("states")]
         lengths = [from_planes(b) for b in column("lengths")]
-        rank = np.concatenate([from_planes(b, 2) for b in column("ranks")])
+        rank = np.concatenate([from_planes(b, 3) for b in column("ranks")])
         times = [from_planes(b) for b in column("times")]
         sizes = [len(x) for x in times]
         times = np.concatenate(times)
@@ -380,9 +430,10 @@ def _answered(level: int):
     return run
 
 
-def _scored(u: Unigrams):
+def _scored(held):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        r = _reading(docs, u)
+        docs = _docs(docs)
+        r, u = _reading(docs, held.value), held.value
         level = answers.column("level").to_numpy()
         total, kinds, times, shared = r.pairs().answered(answers.filter(pa.array(level == 2)), len(r.words))
         total[r.words == END_HASH] = u.ends
@@ -417,7 +468,9 @@ def score(documents: DataFrame, held_out: Column, group_bytes: int = GROUP_BYTES
     u, size = count_words(own, hot)
     groups = max(1, -(-size // group_bytes))
     # The one exchange of the texts serves all three plans below.
-    dealt = own.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")).repartition(groups, "group")
+    rows = own.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("group"), "*")
+    dealt = rows.mapInArrow(_bundles, "group int, docs binary").repartition(groups, "group")
+    u = documents.sparkSession.sparkContext.broadcast(u)
     pairs = dealt.groupBy("group").applyInArrow(_asked_pairs(groups, u), ASKED).groupBy("bucket").applyInArrow(_answered(2), ANSWERED)
     asked = dealt.groupBy("group").cogroup(pairs.groupBy("group")).applyInArrow(_asked_triples(groups, u), ASKED)
     answers = pairs.unionByName(asked.groupBy("bucket").applyInArrow(_answered(3), ANSWERED))

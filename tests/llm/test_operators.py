@@ -245,7 +245,7 @@ def test_lm_states_of_several_owners(spark, monkeypatch, most, ranked):
     texts = [" ".join(["the", f"w{i % 9}", "the", f"v{i}"]) for i in range(200)]
     u, size = lm_score.count_words(spark.createDataFrame([(t, False) for t in texts], "text string, held_out boolean"))
     hot = {int(lm_score.hashed([b"the"])[0]): 5, int(lm_score.hashed([b"w3"])[0]): 2}
-    monkeypatch.setattr(lm_score, "count_words", lambda *a: (lm_score.Unigrams(u.total, u.distinct, u.discount, u.ends, hot, most, u.frequent[:ranked]), size))
+    monkeypatch.setattr(lm_score, "count_words", lambda *a: (lm_score.Unigrams(u.total, u.distinct, u.discount, u.ends, hot, most, u.frequent[:ranked], u.places[:ranked]), size))
     df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     got = by_id(lm_score.score(df, F.lit(False), group_bytes=1000))
     assert [tuple(got[i])[2:] == pytest.approx(w) for i, w in enumerate(lm_by_hand(texts, [False] * 200))] == [True] * 200
