@@ -251,6 +251,37 @@ def test_lm_states_of_several_owners(spark, monkeypatch, most, ranked):
     assert [tuple(got[i])[2:] == pytest.approx(w) for i, w in enumerate(lm_by_hand(texts, [False] * 200))] == [True] * 200
 
 
+def test_lm_bundles_hold_all_rows(monkeypatch):
+    """Rows dealt in several rounds come back by group, null ids and texts among them."""
+    import pyarrow as pa
+
+    rows = [(i % 3, None if i % 5 == 0 else i, None if i % 7 == 0 else f"text {i}" * (i % 4), i % 2 == 0) for i in range(100)]
+    schema = pa.schema([("group", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string()), ("held_out", pa.bool_())])
+    table = pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
+    for limit in (0, 1 << 20):
+        monkeypatch.setattr(lm_score, "DEALT_BYTES", limit)
+        out = pa.Table.from_batches([*lm_score._bundles(iter(table.to_batches(max_chunksize=9)))])
+        assert (out.num_rows > 3) == (limit == 0)
+        for g in range(3):
+            got = lm_score._docs(out.filter(pa.array([x == g for x in out.column("group").to_pylist()])))
+            assert [tuple(r.values()) for r in got.to_pylist()] == [r[1:] for r in rows if r[0] == g]
+    assert not [*lm_score._bundles(iter([]))]
+
+
+@pytest.mark.parametrize("x", [[], [0], [1, 2**40, 7], [2**63 - 1] * 3])
+def test_lm_planes(x):
+    assert lm_score.from_planes(lm_score.planes(np.array(x, np.int64))).tolist() == x
+
+
+def test_lm_reads_a_long_text(spark):
+    """A text far larger than a group, beside short ones."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 200_000) % 5000), "w1 w2 w3", "", None]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = by_id(lm_score.score(df, F.col("doc_id") == 1, group_bytes=1 << 16))
+    assert [tuple(got[i])[2:] == pytest.approx(w) for i, w in enumerate(lm_by_hand(texts, [False, True, False, False]))] == [True] * 4
+
+
 def test_lm_of_repeated_and_null_doc_ids(spark):
     rows = [(5, "a b c"), (5, "a b c"), (None, "a b d"), (None, None), (5, "c b a")]
     got = lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), lm_score.held_out_fold(7, 2)).collect()
