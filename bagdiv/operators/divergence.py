@@ -1,8 +1,9 @@
 """Divergences between all bags, from nearest-neighbour distances.
 
-All specs and all K share one neighbour pass. It leaves additive sums per pair of bags, which are written once and
-from which Spark aggregates and column expressions make the divergences; those that need both directions join the
-table with its transpose. Pairs that nobody asked for are not computed.
+All specs and all K share one neighbour pass. It leaves additive sums per pair of bags, which one aggregate adds up,
+a row for each pair and K, and from which column expressions make the divergences. Those that need both directions join
+these rows with their transpose, for which they are written once; others are written only where the caller writes them.
+Pairs that nobody asked for are not computed.
 """
 
 from __future__ import annotations
@@ -83,16 +84,20 @@ def _sums(bases: list[str], ks: list[int], dim: int, width: int, least: float):
     return run
 
 
-def base_sums(pts: DataFrame, bases: list[str], ks: list[int], least: float | None = None, of: Shape | None = None, pairs: DataFrame | None = None) -> DataFrame:
-    """(p, q, n, m, stat, k, total): sums over the points of p, for every pair of bags (or those in pairs), p = q included; a written table."""
-    of = of or shape(pts)
+def _chunk_sums(pts: DataFrame, bases: list[str], ks: list[int], least: float | None, of: Shape, pairs: DataFrame | None) -> DataFrame:
+    """(p, q, n, m, stat, k, total): sums over the points of a chunk of p, for every pair of bags (or those in pairs), p = q included."""
     least = S.min_dist(of.dim) if least is None else least
     most = max(ks)
     if min(ks) < 1 or most >= of.smallest:
         raise ValueError(f"K must be from 1 to less than the smallest bag, which has {of.smallest} points")
     width = 2 * most + 1 if "js-core" in bases else most
     kind = pts.schema["bag_id"].dataType.simpleString()
-    sums = near(pts, width, of, pairs).mapInArrow(_sums(bases, ks, of.dim, width, least), f"p {kind}, q {kind}, n long, m long, stat string, k int, total double")
+    return near(pts, width, of, pairs).mapInArrow(_sums(bases, ks, of.dim, width, least), f"p {kind}, q {kind}, n long, m long, stat string, k int, total double")
+
+
+def base_sums(pts: DataFrame, bases: list[str], ks: list[int], least: float | None = None, of: Shape | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """(p, q, n, m, stat, k, total): sums over the points of p, for every pair of bags (or those in pairs), p = q included; a written table."""
+    sums = _chunk_sums(pts, bases, ks, least, of or shape(pts), pairs)
     return checkpointed(sums.groupBy("p", "q", "n", "m", "stat", "k").agg(F.sum("total").alias("total")))
 
 
@@ -117,20 +122,27 @@ def estimate_divs(pts: DataFrame, specs: list[str], ks: list[int], pairs: DataFr
     if pairs is not None:
         asked = pairs.select("p", "q")
         asked = asked.union(asked.select("q", "p")) if any(s.transposed for s in wanted) else asked
-    sums = base_sums(pts, bases, ks, min_dist, of, asked)
-    same, n, m, mean = F.col("p") == F.col("q"), F.col("n"), F.col("m"), F.col("total") / F.col("n")
-    density = _by_k(ks, lambda k: S.density_constant(k, dim))
-    value = F.when(F.col("stat") == "linear", density / F.when(same, n).otherwise(m) * mean)
-    value = value.when(F.col("stat") == "kl", F.when(same, F.lit(0.0)).otherwise(F.lit(dim) * mean + F.log(m / (n - 1))))
-    value = value.when(F.col("stat").isin("js-core", "log-rho"), mean)
-    for b in bases:
-        if b.startswith("alpha:"):
-            a = float(b[6:])
-            one = _by_k(ks, lambda k, a=a: S.alpha_constant(k, a)) * F.pow((n - 1) / m, F.lit(1 - a)) * mean
-            value = value.when(F.col("stat") == b, F.when(same, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), one)))
+    sums = _chunk_sums(pts, bases, ks, min_dist, of, asked)
+    same, n, m = F.col("p") == F.col("q"), F.col("n"), F.col("m")
     stats = [*bases, *(["log-rho"] if "js-core" in bases else [])]
     name = lambda s: s.replace(":", "_").replace(".", "_").replace("-", "_")
-    wide = sums.withColumn("value", value).groupBy("p", "q", "n", "m", "k").agg(*(F.max(F.when(F.col("stat") == s, F.col("value"))).alias(name(s)) for s in stats))
+    added = sums.groupBy("p", "q", "n", "m", "k").agg(*(F.sum(F.when(F.col("stat") == s, F.col("total"))).alias(name(s)) for s in stats))
+
+    def base(s: str) -> Column:
+        mean = F.col(name(s)) / n
+        if s == "linear":
+            return _by_k(ks, lambda k: S.density_constant(k, dim)) / F.when(same, n).otherwise(m) * mean
+        if s == "kl":
+            return F.when(same, F.lit(0.0)).otherwise(F.lit(dim) * mean + F.log(m / (n - 1)))
+        if s.startswith("alpha:"):
+            a = float(s[6:])
+            one = _by_k(ks, lambda k: S.alpha_constant(k, a)) * F.pow((n - 1) / m, F.lit(1 - a)) * mean
+            return F.when(same, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), one))
+        return mean
+
+    wide = added.select("p", "q", "n", "m", "k", *(base(s).alias(name(s)) for s in stats))
+    if any(s.transposed for s in wanted):
+        wide = checkpointed(wide)
     if "linear" in bases and any(s.name == "l2" for s in wanted):
         # The self value divides by n; the integral of p squared divides by n - 1.
         own = wide.where(same).select(F.col("p").alias("_b"), F.col("k").alias("_k"), (F.col("linear") * n / (n - 1)).alias("_q"))
@@ -180,7 +192,7 @@ def estimate_divs(pts: DataFrame, specs: list[str], ks: list[int], pairs: DataFr
 
     rows = F.explode(F.array(*(F.struct(F.lit(str(s)).alias("spec"), of(s).alias("value")) for s in wanted))).alias("r")
     out = wide.select("p", "q", "k", rows).select("p", "q", "r.spec", "k", "r.value")
-    return out if pairs is None else out.join(pairs.select("p", "q").distinct(), ["p", "q"], "left_semi")
+    return out if pairs is None else out.join(pairs.select("p", "q"), ["p", "q"], "left_semi")
 
 
 def _known(c: str) -> Column:

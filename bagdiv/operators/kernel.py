@@ -51,9 +51,14 @@ def median_positive(divs: DataFrame) -> float:
 
 
 def symmetrize(divs: DataFrame) -> DataFrame:
+    """The mean of both directions, for pairs that have both; null where one of them is. Both meet in one aggregate, so
+    divergences are computed once even where they aren't written."""
     keys = [c for c in divs.columns if c not in ("p", "q", "value")]
-    back = divs.select(F.col("q").alias("p"), F.col("p").alias("q"), *keys, F.col("value").alias("_back"))
-    return divs.join(back, ["p", "q", *keys]).withColumn("value", (F.col("value") + F.col("_back")) / 2).drop("_back")
+    both = divs.groupBy(F.least("p", "q").alias("_a"), F.greatest("p", "q").alias("_b"), *keys).agg(F.sum("value").alias("_sum"), F.count("value").alias("_known"), F.count("*").alias("_n"))
+    both = both.where("_a = _b or _n = 2")
+    ends = F.when(F.col("_a") == F.col("_b"), F.array(F.struct(F.col("_a").alias("p"), F.col("_b").alias("q")))).otherwise(F.array(F.struct(F.col("_a").alias("p"), F.col("_b").alias("q")), F.struct(F.col("_b").alias("p"), F.col("_a").alias("q"))))
+    value = F.when(F.col("_known") == F.col("_n"), F.col("_sum") / F.col("_n")).alias("value")
+    return both.select(F.explode(ends).alias("_e"), *keys, value).select("_e.p", "_e.q", *keys, "value")
 
 
 def rbf(divs: DataFrame, sigma: float) -> DataFrame:

@@ -1,8 +1,8 @@
 """Exact nearest neighbours between bags, over a grid of groups of bags.
 
-Every chunk of points goes to the cells of one row (as queries) and one column (as neighbours) of a grid, so
-that a chunk is sent as often as the grid is wide and not once per bag. A task holds the neighbours of
-one cell and streams its queries. What a chunk of queries found in several cells comes together in order
+Every chunk of points goes to the cells of one line (as queries) and one column (as neighbours) of a grid, so
+that a chunk is sent as often as the grid has lines and columns and not once per bag. A task holds the neighbours of
+one cell, which bounds the columns, and streams its queries. What a chunk of queries found in several cells comes together in order
 of the bag that it asked, its own bag first, so that one pass over it has all that divergences need.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Points of a chunk, bytes of neighbours that a cell is planned to hold, and tasks that cells are dealt to at most.
-CHUNK, CELL_BYTES, CELL_TASKS = 2048, 1 << 25, 20_000
+CHUNK, CELL_BYTES, CELL_TASKS = 2048, 1 << 26, 20_000
 
 
 @dataclass(frozen=True)
@@ -122,6 +122,12 @@ def merged(rows: list[tuple[int, bytes]], k: int, least: float) -> np.ndarray:
     return np.maximum(d, least)
 
 
+def grid(of: Shape, tasks: int) -> tuple[int, int]:
+    """Lines and columns: as many columns as bound the bytes of a cell's neighbours, as many lines at least as give `tasks` cells (256 at most)."""
+    columns = max(math.ceil(of.points * of.dim * 8 / CELL_BYTES), min(16, math.isqrt(tasks)))
+    return max(columns // 2, math.ceil(min(256, tasks) / columns), 1), columns
+
+
 #: Up to this dimension and from this many points on, the join with bounds takes the place of the grid.
 FEW_DIMENSIONS, MANY_POINTS = 5, 1 << 15
 
@@ -149,17 +155,19 @@ def near(pts: DataFrame, k: int, of: Shape | None = None, pairs: DataFrame | Non
     if pairs is None:
         packed = packed.withColumn("wanted", F.lit(None).cast(f"array<{kind}>"))
     else:
-        pairs = pairs.select("p", "q").distinct()
-        wanted = pairs.groupBy(F.col("p").alias("bag_id")).agg(F.collect_set("q").alias("wanted"))
-        met = pairs.select(F.col("p").alias("bag_id")).union(pairs.select("q")).distinct()
-        packed = packed.join(met, "bag_id", "left_semi").join(wanted, "bag_id", "left").withColumn("wanted", F.coalesce("wanted", F.array().cast(f"array<{kind}>")))
-    width = max(1, math.ceil(of.points * of.dim * 8 / CELL_BYTES), min(16, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    own = F.pmod(F.xxhash64("bag_id", "part"), F.lit(width)).cast("long")
-    line = F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))
-    at = lambda side, cell: F.transform(line, lambda i: F.struct(cell(i).alias("cell"), F.lit(side).alias("side")))
-    places = F.explode(F.concat(at(1, lambda j: own * width + j), at(0, lambda i: i * width + own)))
+        # A bag that others ask only meets itself: its null is no member of the set.
+        ends = pairs.select(F.col("p").alias("bag_id"), F.col("q").alias("other")).union(pairs.select("q", F.lit(None).cast(kind)))
+        packed = packed.join(ends.groupBy("bag_id").agg(F.collect_set("other").alias("wanted")), "bag_id")
+    lines, columns = grid(of, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    whole = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    own = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "bag_id", "part"), F.lit(n)).cast("long")
+    at = lambda side, n, cell: F.transform(whole(n), lambda i: F.struct(cell(i).alias("cell"), F.lit(side).alias("side")))
+    line, column = own(1, lines), own(2, columns)
+    places = F.explode(F.concat(at(1, columns, lambda j: line * columns + j), at(0, lines, lambda i: i * columns + column)))
     rows = packed.withColumn("place", places).select("place.cell", "place.side", "bag_id", "n", "part", "split", "wanted", "rows")
-    found = rows.repartition(min(width * width, CELL_TASKS), "cell").sortWithinPartitions("cell", "side").mapInArrow(_near(k, with_ids), FOUND.format(kind))
+    cells = min(lines * columns, CELL_TASKS)
+    dealt = rows.repartitionById(cells, F.pmod("cell", F.lit(cells)).cast("int"))
+    found = dealt.sortWithinPartitions("cell", "side").mapInArrow(_near(k, with_ids), FOUND.format(kind))
     return found.repartition("p", "part").sortWithinPartitions("p", "part", F.col("p") != F.col("q"), "q")
 
 
