@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -289,3 +291,31 @@ def test_codewords_are_means_of_their_points_and_noise_fills_blanks(spark):
                 assert all(0 <= u < 36 for u in filled[b, i]) and filled[b, i] != v.tolist()
             else:
                 assert filled[b, i] == v.tolist()
+
+
+def test_symmetrize_keeps_pairs_of_both_directions_and_their_nulls(spark):
+    rows = [(1, 1, 3, 0.5), (1, 2, 3, 1.0), (2, 1, 3, 2.0), (1, 3, 3, 4.0), (2, 3, 3, None), (3, 2, 3, 1.0), (1, 2, 5, 7.0), (2, 1, 5, float("nan"))]
+    got = {(r.p, r.q, r.k): r.value for r in kernel.symmetrize(spark.createDataFrame(rows, "p int, q int, k int, value double")).collect()}
+    # Pair (1, 3) has one direction only.
+    assert {k for k in got if k[2] == 3} == {(1, 1, 3), (1, 2, 3), (2, 1, 3), (2, 3, 3), (3, 2, 3)}
+    assert got[1, 1, 3] == 0.5 and got[1, 2, 3] == got[2, 1, 3] == 1.5 and got[2, 3, 3] is None and got[3, 2, 3] is None
+    assert all(math.isnan(got[p, q, 5]) for p, q in ((1, 2), (2, 1)))
+    assert kernel.symmetrize(spark.createDataFrame([], "p string, q string, value double")).collect() == []
+
+
+@pytest.mark.parametrize(("dim", "points", "tasks"), [(64, 2_000, 8), (1, 15_000, 4), (2, 100, 1), (64, 200_000_000, 200), (8, 10_000_000, 3_000)])
+def test_grid_bounds_the_neighbours_of_a_cell(dim, points, tasks):
+    lines, columns = knn.grid(knn.Shape(dim, points, 5, 5), tasks)
+    assert columns * knn.CELL_BYTES >= points * dim * 8 and lines * columns >= min(tasks, 256)
+    # A chunk is sent to every column of its line and every line of its column.
+    assert lines + columns <= 2 * max(columns, 16)
+
+
+def test_divergences_of_plain_specs_write_no_table(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(divergence, "checkpointed", lambda df: written.append(1) or df)
+    pts = bags(spark, [i * 3 % 11 for i in range(9)], [(7 + i * 3) % 13 for i in range(8)])
+    divergence.estimate_divs(pts, ["kl", "alpha:0.8"], [2])
+    assert not written
+    divergence.estimate_divs(pts, ["l2", "js"], [2])
+    assert len(written) == 1
