@@ -117,61 +117,109 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return float(b[0] / spread), float(b[1]), float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
 
-def learn(texts: list[str | None], toxic: list[int], least: int = 5, most: int = 5000) -> Lexicon:
-    """A lexicon of at most `most` entries: each between `least` different pairs of words in toxic texts (so that
-    copies of one text count once) and at least twenty times as frequent there."""
-    y = np.array(toxic, float)
-    folded = [fold(t) for t in texts]
-    n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    if not y.sum() or y.all():
-        share = (y.sum() + 0.5) / (len(y) + 1)
+def _folded_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1000):
+            own = batch.slice(i, 1000)
+            yield pa.RecordBatch.from_pydict({"doc_id": own.column(0), "toxic": own.column(1), "folded": pa.array([fold(t) for t in own.column(2).to_pylist()], pa.string())})
+
+
+def _entry_counts(least: int):
+    """Rows (toxic, folded) -> (entry, bad, good, beside): texts of either kind that hold an entry, and up to `least` different
+    pairs of words around it in toxic ones, which are enough to tell over all tasks whether there are so many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bad, good, beside, known = Counter(), Counter(), {}, {}
+        for batch in batches:
+            for toxic, folded in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = folded.split()
+                found: set[str] = set()
+                for w in set(words):
+                    if w not in known:
+                        known[w] = entries(w)
+                    found.update(known[w])
+                (bad if toxic else good).update(found)
+                if toxic:
+                    for before, w, after in zip(["", *words], words, [*words[1:], ""]):
+                        for k in known[w]:
+                            if len(seen := beside.setdefault(k, set())) < least:
+                                seen.add(f"{before} {after}")
+        every = [*(bad | good)]
+        for i in range(0, len(every), 10_000):
+            own = every[i : i + 10_000]
+            yield pa.RecordBatch.from_pydict({"entry": pa.array(own, pa.string()), "bad": pa.array([bad[k] for k in own], pa.int64()), "good": pa.array([good[k] for k in own], pa.int64()), "beside": pa.array([[*beside.get(k, ())] for k in own], pa.list_(pa.string()))})
+
+    return run
+
+
+def _phrases(lexicon):
+    """Rows (toxic, folded) -> (phrase, weight, held, seen): clean and toxic texts that hold an entry with the word before or after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, held, seen = lexicon.value.automaton(), Counter(), Counter()
+        for batch in batches:
+            for toxic, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = set()
+                for end, w in automaton.iter(f) if len(automaton) and f else ():
+                    first = f.rfind(" ", 0, end)
+                    stop = f.find(" ", first + 1)
+                    before, after = f.rfind(" ", 0, first), f.find(" ", stop + 1)
+                    found |= {(f[before : stop + 1], w)} if before >= 0 else set()
+                    found |= {(f[first : after + 1], w)} if after > 0 else set()
+                (seen if toxic else held).update(found)
+        every = [*(held | seen)]
+        for i in range(0, len(every), 10_000):
+            own = every[i : i + 10_000]
+            yield pa.RecordBatch.from_pydict({"phrase": pa.array([p for p, _ in own], pa.string()), "weight": pa.array([w for _, w in own], pa.float64()), "held": pa.array([held[k] for k in own], pa.int64()), "seen": pa.array([seen[k] for k in own], pa.int64())})
+
+    return run
+
+
+def _sums(lexicon):
+    """Rows (doc_id, toxic, folded) -> (doc_id, toxic, raw, words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Lexicon = lexicon.value
+        automaton = own.automaton()
+        for batch in batches:
+            folded = batch.column(2).to_pylist()
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "toxic": batch.column(1), "raw": pa.array([float(own.raw(automaton, f)) for f in folded], pa.float64()), "words": pa.array([max(1, f.count(" ") - 1) for f in folded], pa.int64())})
+
+    return run
+
+
+def learn(texts: DataFrame, n_toxic: int, n_clean: int, least: int = 5, most: int = 5000) -> Lexicon:
+    """texts (doc_id, toxic, folded), read three times -> a lexicon of at most `most` entries: each between `least` different pairs of
+    words in toxic texts (so that copies of one text count once) and at least twenty times as frequent there. Counts are
+    Spark's; the driver gets the entries, the exceptions, and for each text the sum of its weights and its number of words."""
+    if not n_toxic or not n_clean:
+        share = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
         return Lexicon({}, {}, 0.0, 1.0, math.log(share / (1 - share)))
-    bad, good, beside = Counter(), Counter(), {}
-    for f, t in zip(folded, toxic):
-        if t:
-            words = f.split()
-            bad.update({k for w in set(words) for k in entries(w)})
-            for before, w, after in zip(["", *words], words, [*words[1:], ""]):
-                for k in entries(w):
-                    if len(seen := beside.setdefault(k, set())) < least:
-                        seen.add((before, after))
-    bad = Counter({k: n for k, n in bad.items() if len(beside[k]) >= least})
-    open_: dict[str, list[str]] = {}
-    for f, t in zip(folded, toxic):
-        if not t:
-            found: set[str] = set()
-            for w in set(f.split()):
-                if (own := open_.get(w)) is None:
-                    own = open_[w] = [k for k in entries(w) if k in bad]
-                found.update(own)
-            good.update(found)
-    weigh = lambda k: math.log((bad[k] + 0.5) / (n1 + 1)) - math.log((good[k] + 0.5) / (n0 + 1))
+    context = texts.sparkSession.sparkContext
+    two = texts.select("toxic", "folded")
+    counted = two.mapInArrow(_entry_counts(least), "entry string, bad long, good long, beside array<string>").groupBy("entry")
+    counted = counted.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.size(F.array_distinct(F.flatten(F.collect_list("beside")))).alias("pairs")).where(F.col("pairs") >= least)
+    weight = F.log((F.col("bad") + 0.5) / (n_toxic + 1)) - F.log((F.col("good") + 0.5) / (n_clean + 1))
     # Beyond the odds, the difference must exceed three standard errors, so that chance doesn't make entries.
-    found = {k: w for k, n in bad.items() if (w := weigh(k)) > 3 and w > 3 * math.sqrt(1 / (n + 0.5) + 1 / (good[k] + 0.5)) * (good[k] > 0)}
-    best = dict(sorted(found.items(), key=lambda x: (-x[1] * math.log1p(bad[x[0]]), x[0]))[:most])
+    chance = F.when(F.col("good") > 0, 3 * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))).otherwise(0.0)
+    sure = counted.withColumn("weight", weight).where((F.col("weight") > 3) & (F.col("weight") > chance))
+    rows = sure.orderBy((F.col("weight") * F.log1p("bad")).desc(), "entry").limit(most).collect()
+    best = {r.entry: math.log((r.bad + 0.5) / (n_toxic + 1)) - math.log((r.good + 0.5) / (n_clean + 1)) for r in rows}
     # Of a beginning and what it is a beginning of, only the beginning counts if it says as much.
     weights = {k: w for k, w in best.items() if not any(k[: n + 1] != k and best.get(k[: n + 1], -1) >= w - 0.7 for n in PREFIXES)}
     lexicon = Lexicon(weights, {}, 0.0, 1.0, 0.0)
-    automaton = lexicon.automaton()
-    # Exceptions: an entry with the word before or after it, if that phrase is found in clean texts alone.
-    held, seen = Counter(), Counter()
-    for f, t in zip(folded, toxic):
-        if len(automaton) and f:
-            phrases = set()
-            for end, w in automaton.iter(f):
-                first = f.rfind(" ", 0, end)
-                stop = f.find(" ", first + 1)
-                before, after = f.rfind(" ", 0, first), f.find(" ", stop + 1)
-                phrases |= {(f[before : stop + 1], w)} if before >= 0 else set()
-                phrases |= {(f[first : after + 1], w)} if after > 0 else set()
-            (seen if t else held).update(phrases)
-    lexicon.exceptions = {p: -w for (p, w), n in held.items() if n >= 2 and not seen[(p, w)]}
-    automaton = lexicon.automaton()
-    raw = np.array([lexicon.raw(automaton, f) for f in folded])
-    tried = []
-    for power in (0.25, 0.5, 0.75, 1.0):
-        lexicon.power = power
-        tried.append((*_logistic(np.array([lexicon.density(r, f) for r, f in zip(raw, folded)]), y), power))
+    # Exceptions: an entry with the word before or after it, if that phrase is found in clean texts alone. Of two entries in
+    # one phrase it takes back the larger weight.
+    shared = context.broadcast(lexicon)
+    phrases = two.mapInArrow(_phrases(shared), "phrase string, weight double, held long, seen long").groupBy("phrase", "weight").agg(F.sum("held").alias("held"), F.sum("seen").alias("seen"))
+    kept = phrases.where("held >= 2 and seen = 0").groupBy("phrase").agg(F.max("weight").alias("weight")).collect()
+    shared.unpersist()
+    lexicon = Lexicon(weights, {r.phrase: -r.weight for r in sorted(kept)}, 0.0, 1.0, 0.0)
+    shared = context.broadcast(lexicon)
+    facts = texts.mapInArrow(_sums(shared), "doc_id long, toxic boolean, raw double, words long").toArrow().sort_by("doc_id")
+    shared.unpersist()
+    y, raw, words = (facts.column(c).to_numpy().astype(float) for c in ("toxic", "raw", "words"))
+    tried = [(*_logistic(raw / words**power, y), power) for power in (0.25, 0.5, 0.75, 1.0)]
     lexicon.scale, lexicon.shift, _, lexicon.power = min(tried, key=lambda t: (t[2], t[3]))
     return lexicon
 
@@ -191,21 +239,26 @@ def _scored(lexicon):
 def fit(documents: DataFrame, labels: DataFrame, held_out: Column, sample: int = 12_000, text_bytes: int = 64 << 20) -> Lexicon:
     """From at most `sample` labelled documents that aren't held out and at most `text_bytes` of their texts, those of the
     smallest hash of doc_id. A text that alone is larger than what is left is passed over. Of rows with one doc_id
-    the first text counts."""
+    the first text counts. Their folded texts are a written table, from which Spark makes the counts."""
     own = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out)
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     met = documents.select("doc_id", "text").join(F.broadcast(own), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= text_bytes)
     rows = checkpointed(met.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
-    sizes = rows.select("doc_id", F.xxhash64("doc_id").alias("at"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).collect()
+    sizes = rows.select("doc_id", (F.col("toxic") != 0).alias("toxic"), F.xxhash64("doc_id").alias("at"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).collect()
     room, chosen = text_bytes, []
     for r in sorted(sizes, key=lambda r: (r["at"], r["doc_id"])):
         if r["n"] <= room:
             room -= r["n"]
-            chosen.append((r["doc_id"],))
-    ids = documents.sparkSession.createDataFrame(chosen, "doc_id long")
-    held = sorted(rows.join(F.broadcast(ids), "doc_id", "left_semi").collect(), key=lambda r: r["doc_id"])
+            chosen.append((r["doc_id"], r["toxic"]))
+    n_toxic = sum(toxic for _, toxic in chosen)
+    ids = documents.sparkSession.createDataFrame([(doc_id,) for doc_id, _ in chosen], "doc_id long")
+    # Slices of about a megabyte.
+    own = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", (F.col("toxic") != 0).alias("toxic"), "text")
+    texts = checkpointed(own.repartition(((text_bytes - room) >> 20) + 1, "doc_id").mapInArrow(_folded_texts, "doc_id long, toxic boolean, folded string"))
     dropped(rows)
-    return learn([r["text"] for r in held], [int(r["toxic"] != 0) for r in held])
+    lexicon = learn(texts, n_toxic, len(chosen) - n_toxic)
+    dropped(texts)
+    return lexicon
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, held_out: Column, **how) -> DataFrame:
