@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from .operators import divergence, estimators, kernel, machines
 from .sources.files import DivergenceCache, write_attrs
 from .sources.growing import counted
+from .tables import scratch
 
 #: The divergences that are estimated by default.
 DIVS = ["hellinger", "bc", "linear", "l2", "kl", "renyi:.5", "renyi:.7", "renyi:.9", "renyi:.99"]
@@ -37,7 +38,8 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("bagdiv").getOrCreate()
     pts = spark.read.parquet(a.points)
     if a.todo == "divs":
-        counted(divergence.estimate_divs(pts, a.div, a.K), a.div, a.K, DivergenceCache(spark, a.out).write, a.strict)
+        with scratch(spark):
+            counted(divergence.estimate_divs(pts, a.div, a.K), a.div, a.K, DivergenceCache(spark, a.out).write, a.strict)
         return
     labels = spark.read.parquet(a.labels)
     if a.todo == "predict":
@@ -47,7 +49,8 @@ def main(args: list[str] | None = None) -> None:
         return
     said = {r.bag_id: r.label for r in labels.where("label is not null").collect()}
     ids = sorted(said)
-    d = kernel.matrix(divergence.estimate_divs(pts, [a.div], [a.K]), ids)
+    with scratch(spark):
+        d = kernel.matrix(divergence.estimate_divs(pts, [a.div], [a.K]), ids)
     y = np.array([said[b] for b in ids])
     found = machines.crossvalidated(spark, d, y, a.kind, a.folds, a.psd)
     print(f"score {found['score']:.6f}")

@@ -13,6 +13,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import scratch
+
 IMAGES = ("jpg", "jpeg", "png", "bmp")
 #: Codes of plain values in the typed bytes format.
 PLAIN_CODES = {1: ">b", 2: ">?", 3: ">i", 4: ">q", 5: ">f", 6: ">d"}
@@ -273,7 +275,8 @@ class DivergenceCache:
             facts.write.mode("overwrite").parquet(f"{self.path}-bags")
         lacking = [s for s in names if any((s, k) not in known for k in ks)]
         if lacking:
-            self.write(estimate_divs(pts, lacking, ks, min_dist=min_dist))
+            with scratch(self.spark):
+                self.write(estimate_divs(pts, lacking, ks, min_dist=min_dist))
         found = self.spark.read.parquet(self.path)
         return found.where(F.col("spec").isin(names) & F.col("k").isin(ks)).select("p", "q", F.col("spec").cast("string").alias("spec"), F.col("k").cast("int").alias("k"), "value")
 

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.specs import parse
 from ..operators import divergence
+from ..tables import scratch
 
 PAIR = ["p", "q", "spec", "k", "value"]
 
@@ -101,8 +102,9 @@ class GrowingDivergences:
         if n:
             put(named(pts.join(new.select("bag_id"), "bag_id", "left_semi")), "points")
             points = self._of_batches("points", done | {batch}).select("bag_id", "point_id", "features")
-            divs = divergence.estimate_divs(points, self.specs, self.ks, self.pairs(new, done | {batch}), self.min_dist)
-            counted(divs.select(*PAIR), self.specs, self.ks, lambda df: put(named(df), "divs", "spec", "k"), self.strict)
+            with scratch(self.spark):
+                divs = divergence.estimate_divs(points, self.specs, self.ks, self.pairs(new, done | {batch}), self.min_dist)
+                counted(divs.select(*PAIR), self.specs, self.ks, lambda df: put(named(df), "divs", "spec", "k"), self.strict)
             self.spark.createDataFrame([(batch, self.asked, n)], "batch string, asked string, bags long").write.mode("append").parquet(f"{self.path}/made")
         return n
 
