@@ -68,11 +68,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, in a table that stays. What a stage and its operator wrote goes when the next one is written."""
     from bagdiv.llm import common
+    from bagdiv.tables import deleted, scratch
 
     docs = common.table(spark, sf_dir, "documents")
-    folder = f"{common.checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{common.checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}", []
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        deleted(spark, *before)
+        before = [f"{folder}/{name}"]
     return docs
