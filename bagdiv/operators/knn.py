@@ -288,12 +288,13 @@ def nearest(pts: DataFrame, k: int, pairs: DataFrame | None = None, how: str = "
             i = np.frombuffer(rows[0]["own"], "<i8")
             d = np.concatenate([np.frombuffer(r["near"]).reshape(len(i), -1) for r in rows], axis=1)
             j = np.concatenate([np.frombuffer(r["ids"], "<i8").reshape(len(i), -1) for r in rows], axis=1)
-            order = np.lexsort((j, d), axis=1)[:, :k]
-            d, j = np.take_along_axis(d, order, 1), np.take_along_axis(j, order, 1)
+            if len(rows) > 1:
+                order = np.lexsort((j, d), axis=1)[:, :k]
+                d, j = np.take_along_axis(d, order, 1), np.take_along_axis(j, order, 1)
             rank = np.broadcast_to(np.arange(1, d.shape[1] + 1, dtype=np.int32), d.shape)
             ok = np.isfinite(d).ravel()
             own = np.repeat(i, d.shape[1])[ok]
-            of = lambda name: pa.array([name] * len(own), bag)
+            of = lambda name: pa.repeat(pa.scalar(name, bag), len(own))
             yield pa.RecordBatch.from_arrays([of(p), pa.array(own), of(q), pa.array(j.ravel()[ok]), pa.array(rank.ravel()[ok]), pa.array(d.ravel()[ok])], ["p", "i", "q", "j", "rank", "dist"])
 
     return near(pts, k, pairs=pairs, with_ids=True, how=how).mapInArrow(run, f"p {kind}, i long, q {kind}, j long, rank int, dist double")
