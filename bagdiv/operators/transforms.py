@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -185,28 +186,27 @@ def _gap(c: Column) -> Column:
     return _total(F.zip_with("features", c, lambda a, b: (a - b) * (a - b)))
 
 
+#: Points of a block and numbers in it at most; distances measured at once; numbers for a task of a large table.
+BLOCK, NUMBERS, AT_ONCE, TASK = 1 << 13, 1 << 19, 1 << 16, 1 << 22
+
+
 def condense_kmeans(pts: DataFrame, k: int, rounds: int = 20, runs: int = 0, seed: int = 0) -> DataFrame:
     """Bags of more than k points become their k cluster centers, numbered from 0; others stay.
 
     Each bag starts from its k points of the smallest ids, or with runs from oversampled seeds (see `_oversampled`), as many times
-    as said, of which the one of the least cost stays. A round is a join of the points with the centers of their bag
-    and sums by center, so that a bag of any size is spread over tasks; a center that loses all points stays.
-    It ends when no center moves.
+    as said, of which the one of the least cost stays. The points are written once in blocks of one bag each, so that
+    a bag of any size is spread over tasks. A round, of all runs at once, sends the centers of a bag to its blocks, and sums by center come
+    back; a center that loses all points stays. A bag takes part until none of its centers moves.
     """
-    sizes = pts.groupBy("bag_id").agg(F.count("*").alias("_n"))
-    large = checkpointed(pts.select("bag_id", "point_id", "features").join(sizes.where(F.col("_n") > k).select("bag_id"), "bag_id", "left_semi"))
     dim = dimension(pts)
-    if not runs:
-        centers = _lloyd(large, checkpointed(_first(large, k)), rounds, dim)
-    else:
-        tried = [_lloyd(large, _oversampled(large, k, seed + run), rounds, dim) for run in range(runs)]
-        if runs > 1:
-            costs = [cost(large, c).select("bag_id", "cost", F.lit(run).alias("run")).join(c, "bag_id") for run, c in enumerate(tried)]
-            every = costs[0]
-            for one in costs[1:]:
-                every = every.unionByName(one)
-            tried = [every.groupBy("bag_id").agg(F.min_by("centers", F.struct("cost", "run")).alias("centers"))]
-        centers = tried[0]
+    sizes = checkpointed(pts.groupBy("bag_id").agg(F.count("*").alias("_n")))
+    blocks = _blocks(pts, sizes.where(F.col("_n") > k), dim)
+    centers = _lloyd(blocks, _oversampled(blocks, k, seed, runs, dim) if runs else checkpointed(_first(blocks, k, dim)), rounds, dim)
+    if runs > 1:
+        costs = _assigned(blocks, centers, dim).groupBy("bag_id", "run").agg(F.sum("cost").alias("cost"))
+        tried, centers = centers, checkpointed(costs.join(centers, ["bag_id", "run"]).groupBy("bag_id").agg(F.min_by("centers", F.struct("cost", "run")).alias("centers")))
+        dropped(tried)
+    dropped(blocks)
     condensed = centers.select("bag_id", F.posexplode("centers").alias("point_id", "features")).withColumn("point_id", F.col("point_id").cast("long"))
     small = pts.select("bag_id", "point_id", "features").join(sizes.where(F.col("_n") <= k).select("bag_id"), "bag_id", "left_semi")
     return small.unionByName(condensed)
@@ -218,50 +218,161 @@ def cost(pts: DataFrame, centers: DataFrame) -> DataFrame:
     return met.groupBy("bag_id").agg(F.sum(F.array_min(F.transform("centers", _gap))).alias("cost"))
 
 
-def _lloyd(large: DataFrame, centers: DataFrame, rounds: int, dim: int) -> DataFrame:
-    """(bag_id, centers) after that many rounds, or when none moves; the table of the centers given is deleted."""
+def _blocks(pts: DataFrame, sizes: DataFrame, dim: int) -> DataFrame:
+    """(bag_id, ids, features) of the bags in sizes (bag_id, _n): some thousand points of one bag by their ids, with all their features in one array; a written table.
+
+    Tasks get pieces of bags, as many as there are points for: a file of few bytes would be read by one task alone.
+    """
+    most = max(1, min(BLOCK, NUMBERS // dim))
+    n = sizes.agg(F.sum("_n")).first()[0] or 0
+    tasks = max(1, min(2 * pts.sparkSession.sparkContext.defaultParallelism, n // BLOCK), n * dim // TASK)
+    rows = pts.select("bag_id", "point_id", F.col("features").cast("array<double>").alias("features")).join(sizes, "bag_id")
+    pieces = rows.withColumn("_piece", F.pmod(F.xxhash64("point_id", "features"), F.ceil(F.col("_n") * 2 / most)))
+    dealt = pieces.repartition(tasks, "bag_id", "_piece").sortWithinPartitions("bag_id", "point_id").select("bag_id", "point_id", "features")
+
+    def run(batches):
+        for batch in batches:
+            bag, points = batch.column("bag_id"), batch.column("features")
+            x = points.flatten()
+            if points.null_count or x.null_count:
+                raise ValueError("points to condense must not have null features")
+            first = np.ones(len(batch), bool)
+            first[1:] = pc.not_equal(bag[1:], bag[:-1]).to_numpy(zero_copy_only=False)
+            start = np.flatnonzero(first)
+            start = np.concatenate([np.arange(lo, hi, most) for lo, hi in zip(start, [*start[1:], len(batch)])]) if len(start) else start
+            ends = np.append(start, len(batch))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), batch.column("point_id"))
+            yield pa.RecordBatch.from_arrays([bag.take(pa.array(start)), ids, pa.ListArray.from_arrays(pa.array(ends * dim, pa.int32()), x)], ["bag_id", "ids", "features"])
+
+    bag, point = (pts.schema[c].dataType.simpleString() for c in ("bag_id", "point_id"))
+    return checkpointed(dealt.mapInArrow(run, f"bag_id {bag}, ids array<{point}>, features array<double>"))
+
+
+def _matrix(column: pa.Array, i: int, dim: int) -> np.ndarray:
+    """Row i of a column of arrays, or of arrays of arrays, with dim numbers a line."""
+    x = column[i].values
+    return (x.flatten() if pa.types.is_list(x.type) else x).to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def _gaps(x: np.ndarray, centers: np.ndarray):
+    """(first line, squared distances of some lines of x to the centers), added up in the order of the dimensions as in `_gap`."""
+    step = max(1, AT_ONCE // len(centers))
+    for lo in range(0, len(x), step):
+        part = x[lo : lo + step]
+        far = np.zeros((len(part), len(centers)))
+        for i in range(x.shape[1]):
+            far += (part[:, i, None] - centers[:, i]) ** 2
+        yield lo, far
+
+
+def _least(far: np.ndarray) -> np.ndarray:
+    """The place of the least number of each line, the first of equals; what isn't a number is more than all others."""
+    odd = np.isnan(far)
+    if not odd.any():
+        return far.argmin(1)
+    at = np.where(odd, np.inf, far).argmin(1)
+    return np.where(odd[np.arange(len(far)), at], (~odd).argmax(1), at)
+
+
+def _assigned(blocks: DataFrame, centers: DataFrame, dim: int) -> DataFrame:
+    """(bag_id, run, code, n, cost, total): of the points of a block nearest to a center (bag_id, run, centers) the number, squared distances and sum."""
+
+    def run(batches):
+        for batch in batches:
+            row, code, n, gaps, total = [], [], [], [], []
+            for i in range(batch.num_rows):
+                x, c = _matrix(batch.column("features"), i, dim), _matrix(batch.column("centers"), i, dim)
+                near, least = np.empty(len(x), np.int64), np.empty(len(x))
+                for lo, far in _gaps(x, c):
+                    at = _least(far)
+                    near[lo : lo + len(far)], least[lo : lo + len(far)] = at, far[np.arange(len(far)), at]
+                count = np.bincount(near, minlength=len(c))
+                some = np.flatnonzero(count)
+                row.append(np.full(len(some), i)), code.append(some), n.append(count[some]), gaps.append(np.bincount(near, least, len(c))[some])
+                total.append(np.stack([np.bincount(near, x[:, j], len(c)) for j in range(dim)], 1)[some])
+            if not row:
+                continue
+            at, sums = pa.array(np.concatenate(row)), np.concatenate(total)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * dim, pa.int32()), pa.array(sums.ravel()))
+            found = [pa.array(np.concatenate(code), pa.int32()), pa.array(np.concatenate(n)), pa.array(np.concatenate(gaps)), lists]
+            yield pa.RecordBatch.from_arrays([batch.column("bag_id").take(at), batch.column("run").take(at), *found], ["bag_id", "run", "code", "n", "cost", "total"])
+
+    met = blocks.select("bag_id", "features").join(centers.select("bag_id", "run", "centers"), "bag_id")
+    return met.mapInArrow(run, f"bag_id {blocks.schema['bag_id'].dataType.simpleString()}, run int, code int, n long, cost double, total array<double>")
+
+
+def _lloyd(blocks: DataFrame, centers: DataFrame, rounds: int, dim: int) -> DataFrame:
+    """(bag_id, run, centers) after that many rounds, or when none moves; the table of the centers given is deleted."""
+    key = ["bag_id", "run"]
+    state = centers.withColumn("moved", F.lit(True))
     for _ in range(rounds):
-        coded = large.join(centers, "bag_id").withColumn("_gaps", F.transform("centers", _gap))
-        coded = coded.select("bag_id", (F.array_position("_gaps", F.array_min("_gaps")) - 1).cast("int").alias("code"), "features", "centers")
-        means = coded.groupBy("bag_id", "code").agg(F.array(*(F.avg(F.element_at("features", i + 1)) for i in range(dim))).alias("mean"))
-        new = means.groupBy("bag_id").agg(F.map_from_entries(F.collect_list(F.struct("code", "mean"))).alias("by_code")).join(centers, "bag_id")
-        new = checkpointed(new.select("bag_id", F.transform("centers", lambda c, i: F.coalesce(F.element_at("by_code", i), c)).alias("centers"), F.col("centers").alias("was")))
-        moved = not new.where(F.col("centers") != F.col("was")).isEmpty()
-        dropped(centers)
-        centers = new.select("bag_id", "centers")
+        moving = state.where("moved")
+        sums = _assigned(blocks, moving, dim).groupBy(*key, "code").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.element_at("total", i + 1)) for i in range(dim))).alias("total"))
+        means = sums.select(*key, "code", F.transform("total", lambda x: x / F.col("n")).alias("mean"))
+        new = means.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("code", "mean"))).alias("by_code")).join(moving, key)
+        new = new.select(*key, F.transform("centers", lambda c, i: F.coalesce(F.element_at("by_code", i), c)).alias("centers"), F.col("centers").alias("was"))
+        new = new.select(*key, "centers", (F.col("centers") != F.col("was")).alias("moved"))
+        was, state = state, checkpointed(new.unionByName(state.where(~F.col("moved"))))
+        moved = not state.where("moved").isEmpty()
+        dropped(was)
         if not moved:
             break
-    return centers
+    return state.select(*key, "centers")
 
 
-def _oversampled(large: DataFrame, k: int, seed: int, passes: int = 4) -> DataFrame:
-    """(bag_id, centers): k seeds of each bag, for all bags at once; a written table.
+def _oversampled(blocks: DataFrame, k: int, seed: int, runs: int, dim: int, passes: int = 4) -> DataFrame:
+    """(bag_id, run, centers): k seeds of each bag and run, for all of them at once; a written table.
 
     From one point on, each pass draws about 2k points of every bag, each by its share of the cost that the points drawn before
     leave. The points drawn are weighted by how many others are nearest to them, and k of these some 2k * passes are
-    chosen within one row of the bag. Draws come from hashes of ids and seed, so they don't change.
+    chosen within one row of the bag. Draws come from hashes of ids and seed + run, so they don't change. The cost of a bag is no less
+    than that of one of its blocks, so a block gives away about 2k points alone, among which those drawn by the cost of the bag are.
     """
-    unit = lambda n: F.pmod(F.xxhash64("bag_id", "point_id", F.lit(seed), F.lit(n)), F.lit(1 << 40)) / float(1 << 40)
-    drawn = checkpointed(large.groupBy("bag_id").agg(F.array(F.min_by("features", F.struct(unit(0), "point_id"))).alias("centers")))
-    for n in range(1, passes + 1):
-        far = large.join(drawn, "bag_id").select("bag_id", "point_id", "features", F.array_min(F.transform("centers", _gap)).alias("far"))
-        whole = far.groupBy("bag_id").agg(F.sum("far").alias("whole"))
-        some = far.join(whole, "bag_id").where(unit(n) * F.col("whole") < F.lit(2 * k) * F.col("far"))
-        more = some.groupBy("bag_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("point_id", "features"))), lambda r: r["features"]).alias("more"))
-        new = drawn.join(more, "bag_id", "left").select("bag_id", F.when(F.col("more").isNull(), F.col("centers")).otherwise(F.concat("centers", "more")).alias("centers"))
+    key, kind = ["bag_id", "run"], {c: blocks.schema[c].dataType for c in ("bag_id", "ids")}
+
+    def draws(batches):
+        for batch in batches:
+            row, part, far, at = [], [], [], []
+            starts = batch.column("ids").offsets.to_numpy()
+            for i in range(batch.num_rows):
+                c, unit = _matrix(batch.column("centers"), i, dim), batch.column("units")[i].values.to_numpy()
+                if not len(c):
+                    row.append([i]), part.append([None]), far.append([None]), at.append([starts[i] + unit.argmin()])
+                    continue
+                gaps = np.concatenate([np.fmin.reduce(f, 1) for _, f in _gaps(_matrix(batch.column("features"), i, dim), c)])
+                whole = gaps.sum()
+                some = np.flatnonzero(unit * whole < 2 * k * gaps)
+                # The first row has the sum and no point.
+                row.append([i] * (len(some) + 1)), part.append([whole] + [None] * len(some)), far.append([None, *gaps[some]]), at.append([None, *(starts[i] + some)])
+            rows, part, far, at = (pa.array([v for x in y for v in x], t) for y, t in ((row, pa.int64()), (part, pa.float64()), (far, pa.float64()), (at, pa.int64())))
+            points = pa.FixedSizeListArray.from_arrays(batch.column("features").values, dim).cast(pa.list_(pa.float64()))
+            found = [part, batch.column("units").values.take(at), far, batch.column("ids").values.take(at), points.take(at)]
+            yield pa.RecordBatch.from_arrays([batch.column("bag_id").take(rows), batch.column("run").take(rows), *found], ["bag_id", "run", "part", "unit", "far", "point_id", "features"])
+
+    unit = lambda n: lambda i: F.pmod(F.xxhash64("bag_id", i, F.col("run") + F.lit(seed), F.lit(n)), F.lit(1 << 40)) / float(1 << 40)
+    none = F.array().cast("array<array<double>>")
+    drawn = checkpointed(blocks.select("bag_id").distinct().select("bag_id", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), none.alias("centers")))
+    for n in range(passes + 1):
+        met = blocks.join(drawn, "bag_id").withColumn("units", F.transform("ids", unit(n)))
+        found = checkpointed(met.mapInArrow(draws, f"bag_id {kind['bag_id'].simpleString()}, run int, part double, unit double, far double, point_id {kind['ids'].elementType.simpleString()}, features array<double>"))
+        if n == 0:
+            more = found.groupBy(*key).agg(F.array(F.min_by("features", F.struct("unit", "point_id"))).alias("more"))
+        else:
+            whole = found.groupBy(*key).agg(F.sum("part").alias("whole"))
+            some = found.join(whole, key).where(F.col("unit") * F.col("whole") < F.lit(2 * k) * F.col("far"))
+            more = some.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("point_id", "features"))), lambda r: r["features"]).alias("more"))
+        new = drawn.join(more, key, "left").select(*key, F.concat("centers", F.coalesce("more", none)).alias("centers"))
         was, drawn = drawn, checkpointed(new)
-        dropped(was)
-    gaps = F.transform("centers", _gap)
-    near = large.join(drawn, "bag_id").select("bag_id", (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int").alias("at"))
-    weights = near.groupBy("bag_id", "at").agg(F.count("*").alias("n")).groupBy("bag_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("weights"))
-    rows = drawn.join(weights, "bag_id").select("bag_id", "centers", F.transform("centers", lambda c, i: F.coalesce(F.element_at("weights", i), F.lit(0)).cast("double")).alias("weight"))
+        dropped(was, found)
+    weights = _assigned(blocks, drawn, dim).groupBy(*key, "code").agg(F.sum("n").alias("n")).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("code", "n"))).alias("weights"))
+    rows = drawn.join(weights, key).select(*key, "centers", F.transform("centers", lambda c, i: F.coalesce(F.element_at("weights", i), F.lit(0)).cast("double")).alias("weight"))
 
     def run(batches):
         for batch in batches:
             found = []
             for r in batch.to_pylist():
                 x, weight = np.array(r["centers"], float), np.array(r["weight"])
-                draw, at, least = np.random.default_rng(seed), [], np.full(len(x), np.inf)
+                draw, at, least = np.random.default_rng(seed + r["run"]), [], np.full(len(x), np.inf)
                 for _ in range(k):
                     share = weight if not at else weight * least
                     share = np.where(np.isin(np.arange(len(x)), at), 0, share)
@@ -272,21 +383,22 @@ def _oversampled(large: DataFrame, k: int, seed: int, passes: int = 4) -> DataFr
                     at.append(int(draw.choice(len(x), p=share / share.sum())))
                     least = np.minimum(least, ((x - x[at[-1]]) ** 2).sum(1))
                 found.append(x[at].tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("bag_id"), pa.array(found, pa.list_(pa.list_(pa.float64())))], ["bag_id", "centers"])
+            yield pa.RecordBatch.from_arrays([batch.column("bag_id"), batch.column("run"), pa.array(found, pa.list_(pa.list_(pa.float64())))], ["bag_id", "run", "centers"])
 
-    kind = large.schema["bag_id"].dataType.simpleString()
-    return checkpointed(rows.mapInArrow(run, f"bag_id {kind}, centers array<array<double>>"))
+    chosen = checkpointed(rows.mapInArrow(run, f"bag_id {kind['bag_id'].simpleString()}, run int, centers array<array<double>>"))
+    dropped(drawn)
+    return chosen
 
 
-def _first(pts: DataFrame, k: int) -> DataFrame:
-    """(bag_id, centers): the k points of each bag with the smallest ids, by rank among those of a few hundred parts."""
+def _first(blocks: DataFrame, k: int, dim: int) -> DataFrame:
+    """(bag_id, run, centers): the k points of each bag with the smallest ids, by rank among those of its blocks; one run, 0."""
     from pyspark.sql import Window as W
 
-    part = pts.withColumn("_part", F.pmod(F.xxhash64("point_id"), F.lit(256)))
-    some = part.withColumn("_r", F.row_number().over(W.partitionBy("bag_id", "_part").orderBy("point_id"))).where(F.col("_r") <= k)
+    point = lambda i: F.struct(F.element_at("ids", i).alias("point_id"), F.slice("features", (i - 1) * dim + 1, dim).alias("features"))
+    some = blocks.select("bag_id", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size("ids"), F.lit(k))), point)).alias("r")).select("bag_id", "r.*")
     few = some.withColumn("_r", F.row_number().over(W.partitionBy("bag_id").orderBy("point_id"))).where(F.col("_r") <= k)
     rows = F.sort_array(F.collect_list(F.struct("point_id", "features")))
-    return few.groupBy("bag_id").agg(F.transform(rows, lambda r: r["features"]).alias("centers"))
+    return few.groupBy("bag_id").agg(F.transform(rows, lambda r: r["features"]).alias("centers")).select("bag_id", F.lit(0).alias("run"), "centers")
 
 
 def codewords(pts: DataFrame, k: int, rounds: int = 100, seed: int = 0) -> np.ndarray:

@@ -44,6 +44,52 @@ def test_oversampled_seeds_find_far_clusters(spark):
     assert [(r.point_id, r.features) for r in got.where("bag_id = 2").collect()] == [(0, [1.0, 1.0])]
 
 
+def test_runs_share_their_rounds_and_points_are_spread(spark, tmp_path):
+    """More runs are no more jobs, and points in one small file are no single task: before, each run had rounds of its own, read by one task."""
+    rng = np.random.default_rng(2)
+    spark.createDataFrame([(i % 3, i, p.tolist()) for i, p in enumerate(rng.integers(0, 9, (40_000, 2)).astype(float))], "bag_id long, point_id long, features array<double>").coalesce(1).write.parquet(str(tmp_path / "pts"))
+    pts = spark.read.parquet(str(tmp_path / "pts"))
+    assert pts.rdd.getNumPartitions() == 1
+    jobs = {}
+    for runs in (1, 4):
+        spark.sparkContext.setJobGroup(f"condense {runs}", "")
+        assert transforms.condense_kmeans(pts, 4, rounds=2, runs=runs).count() == 12
+        jobs[runs] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"condense {runs}"))
+    spark.sparkContext.setJobGroup("", "")
+    assert 0 < jobs[4] <= jobs[1] + 12
+    blocks = transforms._blocks(pts, pts.groupBy("bag_id").agg(F.count("*").alias("_n")), 2)
+    assert blocks.rdd.getNumPartitions() > 1 and blocks.agg(F.sum(F.size("ids"))).first()[0] == 40_000
+
+
+def test_blocks_change_no_result(spark, monkeypatch):
+    """Blocks of seven points, of a whole bag, and plain expressions over rows give the same draws, centers and costs."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, (400, 3)), rng.normal(30, 1, (100, 3)), rng.normal(9, 5, (9, 3))])
+    rows = [("ab"[i % 2] if i < 500 else "c", i // 2, p.tolist()) for i, p in enumerate(x)] + [("d", 7, [1.0, 2.0, 3.0])] * 40 + [(None, 1, [0.0] * 3)]
+    pts = spark.createDataFrame(rows, "bag_id string, point_id long, features array<double>")
+    key = lambda df: sorted((r.bag_id, r.point_id, tuple(np.round(r.features, 9))) for r in df.collect())
+    whole = [key(transforms.condense_kmeans(pts, 4, runs=runs, seed=5)) for runs in (0, 3)]
+    monkeypatch.setattr(transforms, "BLOCK", 7), monkeypatch.setattr(transforms, "AT_ONCE", 8)
+    assert [key(transforms.condense_kmeans(pts, 4, runs=runs, seed=5)) for runs in (0, 3)] == whole
+    assert [sum(r[0] == b for r in whole[1]) for b in "abcd"] == [4, 4, 4, 4]
+    blocks = transforms._blocks(pts, pts.groupBy("bag_id").agg(F.count("*").alias("_n")), 3)
+    assert blocks.agg(F.max(F.size("ids"))).first()[0] <= 7
+    centers = spark.createDataFrame([(b, 0, x[i : i + 5].tolist()) for i, b in enumerate("abc")], "bag_id string, run int, centers array<array<double>>")
+    got = {r.bag_id: r.cost for r in transforms._assigned(blocks, centers, 3).groupBy("bag_id").agg(F.sum("cost").alias("cost")).collect()}
+    want = {r.bag_id: r.cost for r in transforms.cost(pts, centers).collect()}
+    assert got.keys() == want.keys() and all(np.isclose(got[b], want[b]) for b in want)
+
+
+def test_nearest_of_odd_numbers_is_as_in_spark(spark):
+    odd = [0.0, 1.0, float("inf"), float("nan")]
+    rows = np.array([[a, b, c] for a in odd for b in odd for c in odd])
+    want = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "i long, g array<double>").orderBy("i").select(F.array_position("g", F.array_min("g")).alias("at")).collect()
+    assert (transforms._least(rows) + 1).tolist() == [r.at for r in want]
+    pts = spark.createDataFrame([(0, i, [1.0, None if i == 3 else 2.0]) for i in range(9)], "bag_id long, point_id long, features array<double>")
+    with pytest.raises(Exception, match="must not have null"):
+        transforms.condense_kmeans(pts, 2)
+
+
 def test_command_line_says_parameters_and_odd_values(spark, tmp_path):
     rng = np.random.default_rng(1)
     pts = spark.createDataFrame([(b, i, (rng.normal(3 * (b % 2), 1, 2)).tolist()) for b in range(12) for i in range(10)], "bag_id long, point_id long, features array<double>")
