@@ -26,7 +26,7 @@ def rmse(label: Column, pred: Column) -> Column:
 
 @dataclass
 class BagMachine:
-    """kind as of Machine; div and k name the divergence; sigmas count in medians of the positive divergences.
+    """kind as of Machine; div and k name the divergence; sigmas count in `machines.sigma_scale` of the divergences.
 
     Several sigmas or params are searched by folds of the training bags. probability: fit sigmoids too.
     """
@@ -55,8 +55,6 @@ class BagMachine:
             raise ValueError("two bags at least must have labels")
         sigmas = self.sigmas or ((1.0,) if one_class else machines.SIGMAS)
         inside = d[np.ix_(self.rows, self.rows)]
-        if not (inside > 0).any():
-            raise ValueError("no divergence is positive")
         best = machines.tune(pts.sparkSession, inside, y, self.kind, sigmas, self.params or ([{}] if one_class else None), self.n_folds, self.how, self.seed)
         self.sigma, self.best = best.pop("sigma"), best
         gram, self.change = kernel.repair(np.exp(-(d**2) / (2 * self.sigma**2)), self.how)

@@ -61,8 +61,10 @@ def symmetrize(divs: DataFrame) -> DataFrame:
     return both.select(F.explode(ends).alias("_e"), *keys, value).select("_e.p", "_e.q", *keys, "value")
 
 
-def rbf(divs: DataFrame, sigma: float) -> DataFrame:
-    return divs.withColumn("value", F.exp(-F.col("value") * F.col("value") / (2 * sigma * sigma)))
+def rbf(divs: DataFrame, sigma: float | None) -> DataFrame:
+    """Null without a sigma."""
+    s = F.lit(sigma).cast("double")
+    return divs.withColumn("value", F.exp(-F.col("value") * F.col("value") / (2 * s * s)))
 
 
 def matrix(divs: DataFrame, ids: list) -> np.ndarray:

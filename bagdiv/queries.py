@@ -216,9 +216,14 @@ _RENYI = _near_sql(balances, [3]) + f", v as (select p, q, {_stat_sql(S.Spec('re
 add("symmetrize", lambda s, d: kernel.symmetrize(_kl(s, d)).select("p", "q", F.round("value", 6).alias("value")), _RENYI + "select p, q, round(value, 6) as value from s")
 
 
+def _median(divs: DataFrame) -> float | None:
+    """Of the positive divergences; None without any, which is null in SQL."""
+    return kernel.median(divs.where("value > 0"), "value")
+
+
 def median_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
     divs = checkpointed(kernel.symmetrize(_kl(spark, sf_dir)))
-    return spark.range(1).select(F.round(F.lit(kernel.median_positive(divs)), 6).alias("sigma"))
+    return spark.range(1).select(F.round(F.lit(_median(divs)).cast("double"), 6).alias("sigma"))
 
 
 add("median_sigma", median_sigma, _RENYI + "select round(m, 6) as sigma from m")
@@ -226,7 +231,7 @@ add("median_sigma", median_sigma, _RENYI + "select round(m, 6) as sigma from m")
 
 def rbf_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     divs = kernel.symmetrize(_kl(spark, sf_dir)).persist()
-    return kernel.rbf(divs, kernel.median_positive(divs)).select("p", "q", F.round("value", 6).alias("value"))
+    return kernel.rbf(divs, _median(divs)).select("p", "q", F.round("value", 6).alias("value"))
 
 
 add("rbf_kernel", rbf_kernel, _RENYI + "select p, q, round(exp(-value * value / (2 * m * m)), 6) as value from s, m")
@@ -340,8 +345,9 @@ def _gram(spark: SparkSession, sf_dir: str) -> tuple[list, np.ndarray]:
 
 
 def psd_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of nations that are all alike, as large bags of few values are, every value is 1."""
     ids, d = _gram(spark, sf_dir)
-    k = machines.gram(d, float(np.median(d[d > 0])))
+    k = machines.gram(d, machines.sigma_scale(d))
     return spark.createDataFrame([(int(a), int(b), float(k[i, j])) for i, a in enumerate(ids) for j, b in enumerate(ids)], "p int, q int, value double")
 
 
