@@ -215,8 +215,8 @@ def merged(rows: list[tuple[int, bytes]], k: int, least: float) -> np.ndarray:
 
 def grid(of: Shape, tasks: int) -> tuple[int, int]:
     """Lines and columns: as many columns as bound the bytes of a cell's neighbours, as many lines at least as give `tasks` cells (256 at most)
-    and bound a cell's products."""
-    columns = max(math.ceil(of.points * of.dim * 8 / CELL_BYTES), min(16, math.isqrt(tasks)))
+    and bound a cell's products. A chunk is sent once for each line and column, so where products need more cells these are about equally many."""
+    columns = max(math.ceil(of.points * of.dim * 8 / CELL_BYTES), min(16, math.isqrt(tasks)), math.ceil(of.points / math.sqrt(CELL_PRODUCTS)))
     return max(columns // 2, math.ceil(max(min(256, tasks), of.points**2 / CELL_PRODUCTS) / columns), 1), columns
 
 
